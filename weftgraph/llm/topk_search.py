@@ -120,14 +120,14 @@ def op3_topk_search(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH v AS (
-  SELECT vec_id AS id, max(list_transform(embedding, x -> floor(x::DOUBLE * 1024)::BIGINT)) AS v
+  SELECT vec_id AS id, max(list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
   GROUP BY vec_id),
 s AS (
   SELECT q.id AS query_id, c.id AS vec_id,
-         list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::BIGINT AS score
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM v q JOIN v c ON q.id <> c.id AND len(q.v) = len(c.v)
   WHERE q.id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)

@@ -9,71 +9,87 @@ one shuffle); profiles have a fixed length, and so does what is broadcast per la
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0; with
 nothing learned every document is ``und``; a null id counts as the empty string in the
-split of held-out documents; equally frequent grams rank by their hash, equally near
+split of held-out documents; equally frequent grams rank by their number, equally near
 languages by name; whole texts are read; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE = 400
-LONGEST = 4
+LONGEST = 4  #: four UTF-16 units fill a 64-bit gram
 UNKNOWN = "und"
-#: Words whose grams a task remembers, and grams that it counts before it hands them on.
-REMEMBERED, HELD = 200_000, 500_000
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def words_of(text: str | None) -> Counter:
-    return Counter(_WORD.findall(text.lower())) if text else Counter()
-
-
-def grams_of(word: str) -> list[str]:
-    padded = f"_{word}_"
-    return [padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != "_"]
+#: Grams that a task holds before it counts them.
+HELD = 2_000_000
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+_EDGE = np.uint64(ord("_"))
+
+
+def grams_of(text: str | None) -> np.ndarray:
+    """The 1- to 4-grams of the words of ``text``, each word between two edge marks.
+
+    A gram is a 64-bit number of UTF-16 units; none reaches across an edge mark.
+    """
+    if not text or not any(map(str.isalpha, text)):
+        return np.empty(0, np.int64)
+    marked = f"_{_NO_LETTERS.sub('_', text.lower()).strip('_')}_"
+    units = np.frombuffer(marked.encode("utf-16-le"), np.uint16).astype(np.uint64)
+    letter = units != _EDGE
+    grams, inner, out = units, None, [units[letter]]
+    for n in range(2, LONGEST + 1):
+        grams = (grams[:-1] << np.uint64(16)) | units[n - 1 :]
+        if n == 3:
+            inner = letter[1:-1]
+        elif n > 3:
+            inner = inner[:-1] & letter[n - 2 : -1]
+        out.append(grams if inner is None else grams[inner])
+    return np.concatenate(out).view(np.int64)
 
 
 def held_out(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds)) == fold
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    grams, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return grams, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: dict[str, Counter] = {}
-
-    def out():
-        rows = [(lang, g, n) for lang, own in words.items() for g, n in _grams(own).items()]
-        words.clear()
-        for at in range(0, len(rows), 50_000):
-            some = rows[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.string()), pa.array([r[1] for r in some], pa.string()), pa.array([r[2] for r in some], pa.int64())], names=["lang", "gram", "n"])
-
-    def _grams(own: Counter) -> Counter:
-        grams: Counter = Counter()
-        for word, n in own.items():
-            for g in grams_of(word):
-                grams[g] += n
-        return grams
+    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    held: dict[str, list[np.ndarray]] = {}
+    sizes: dict[str, int] = {}
+
+    def settle(lang: str) -> None:
+        new = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
+        counts[lang] = _merged([counts[lang], new]) if lang in counts else new
+        sizes[lang] = 0
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            words.setdefault(lang, Counter()).update(words_of(text.as_py()))
-        if sum(map(len, words.values())) > HELD:
-            yield from out()
-    yield from out()
+            if len(grams := grams_of(text.as_py())):
+                held.setdefault(lang, []).append(grams)
+                sizes[lang] = sizes.get(lang, 0) + len(grams)
+                if sizes[lang] > HELD:
+                    settle(lang)
+    for lang in list(held):
+        settle(lang)
+    for lang, (grams, n) in counts.items():
+        for at in range(0, len(grams), 50_000):
+            some = grams[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[at : at + 50_000])], names=["lang", "gram", "n"])
 
 
 def profiles(labelled: DataFrame, length: int = PROFILE) -> DataFrame:
     """(lang, rank, gram) from rows of (lang, text), at most ``length`` a language."""
-    counts = labelled.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = labelled.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return counts.withColumn("rank", place).where(F.col("rank") <= length).select("lang", "rank", "gram")
 
@@ -81,30 +97,17 @@ def profiles(labelled: DataFrame, length: int = PROFILE) -> DataFrame:
 class Ranks:
     """The profiles as a table of ranks: a row per gram, a column per language."""
 
-    def __init__(self, rows: list[tuple[str, int, str]], length: int = PROFILE):
+    def __init__(self, rows: list[tuple[str, int, int]], length: int = PROFILE):
         self.length, self.langs = length, sorted({r[0] for r in rows})
-        hashed = {g: xxhash.xxh3_64_intdigest(g) for _, _, g in rows}
-        self.grams = np.array(sorted(set(hashed.values())), np.uint64)
-        self.ranks = np.full((len(self.grams) + 1, len(self.langs)), -1, np.int64)
-        for lang, rank, g in rows:
-            self.ranks[np.searchsorted(self.grams, np.uint64(hashed[g])), self.langs.index(lang)] = rank - 1
-        self.known: dict[str, np.ndarray] = {}
-
-    def hashes(self, word: str) -> np.ndarray:
-        if (got := self.known.get(word)) is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            got = np.array([xxhash.xxh3_64_intdigest(g) for g in grams_of(word)], np.uint64)
-            if len(word) <= 64:
-                self.known[word] = got
-        return got
+        self.grams = np.array(sorted({r[2] for r in rows}), np.int64)
+        self.ranks = np.full((len(self.grams), len(self.langs)), -1, np.int64)
+        for lang, rank, gram in rows:
+            self.ranks[np.searchsorted(self.grams, gram), self.langs.index(lang)] = rank - 1
 
     def nearest(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.langs:
+        every = grams_of(text)
+        if not len(every) or not self.langs:
             return UNKNOWN, 0.0
-        found = [self.hashes(w) for w in words]
-        every = np.repeat(np.concatenate(found), np.repeat(list(words.values()), [len(f) for f in found]))
         grams, counts = np.unique(every, return_counts=True)
         own = grams[np.argsort(-counts, kind="stable")[: self.length]]
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
@@ -114,7 +117,7 @@ class Ranks:
         return self.langs[best], float(1 - apart[best] / (self.length * len(own)))
 
 
-def identify(docs: DataFrame, model: list[tuple[str, int, str]], id_col: str = "doc_id", text_col: str = "text", length: int = PROFILE) -> DataFrame:
+def identify(docs: DataFrame, model: list[tuple[str, int, int]], id_col: str = "doc_id", text_col: str = "text", length: int = PROFILE) -> DataFrame:
     """(doc_id, lang_pred, score) of every row; ``model`` holds the collected profiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +129,7 @@ def identify(docs: DataFrame, model: list[tuple[str, int, str]], id_col: str = "
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", length: int = PROFILE) -> list[tuple[str, int, str]]:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", length: int = PROFILE) -> list[tuple[str, int, int]]:
     """The profiles of the learning folds, on the driver: ``length`` rows a language."""
     labelled = docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     return [tuple(r) for r in profiles(labelled, length).collect()]

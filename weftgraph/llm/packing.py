@@ -18,7 +18,9 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +32,9 @@ CAPACITY = 4096
 END_ID = 2
 BUCKET_PIECES = 50_000
 #: Words whose ids a task remembers; beyond that it forgets them all and starts again.
-REMEMBERED = 300_000
-_GAP = re.compile(r"[\x20\x09-\x0D]+")
+REMEMBERED = 1_200_000
+_GAP, _ODD = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\t\x0b\x0c\r]")
+_MARKED = re.compile(r"""([("]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)"]*)""")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -40,27 +43,62 @@ PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds:
     """Token ids by white-space separated word, as little-endian bytes.
 
-    The vocabulary's own splitting ends every token at white space, so the ids of a text
-    are those of its words one after another.
+    The vocabulary's own splitting ends every token at white space, so the ids of a text are
+    those of its words one after another. Most words are Latin letters with some marks around
+    them; the letters are a token sequence of their own that ends in a token marked as the end
+    of a word, so many can be encoded as one text and told apart again.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {}
+        self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {"": b""}
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            to = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(to) == len(some):
+                data, cuts = ids.tobytes(), [0, *to.tolist()]
+                self.known.update((w, data[i:j]) for w, i, j in zip(some, cuts, cuts[1:], strict=False))
+            else:
+                self.known.update((w, self._one(w)) for w in some)
+
+    def _learn(self, words: list[str]) -> None:
+        known, parts = self.known, {}
+        for word in words:
+            if m := _MARKED.fullmatch(word):
+                parts[word] = (m[1], m[2].lower(), m[3])
+            else:
+                known[word] = self._one(word)
+        self._letters(list({p[1] for p in parts.values()} - known.keys()))
+        for word, (left, letters, right) in parts.items():
+            for mark in (left, right):
+                if mark not in known:
+                    known[mark] = self._one(mark)
+            known[word] = known[left] + known[letters] + known[right]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [_GAP.split(t) for t in texts]
-        new = [w for w in set().union(*words) if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*words))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        known = self.known
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        words = [_GAP.split(t) if _ODD.search(t) else t.replace("\n", " ").split(" ") for t in texts]
+        every = set().union(*words)
+        if len(self.known) > REMEMBERED:
+            self.known = {"": b""}
+        self._learn(list(every - self.known.keys()))
+        get = self.known.__getitem__
+        return [b"".join(map(get, ws)) for ws in words]
+
+
+@lru_cache(1)
+def encoder_of(vocabulary: str) -> WordIds:
+    """A worker's encoder, which later tasks find as earlier ones left it."""
+    return WordIds(vocabulary)
 
 
 def _cut(vocabulary: str, capacity: int, end_id: int):
@@ -68,7 +106,7 @@ def _cut(vocabulary: str, capacity: int, end_id: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, deal = WordIds(vocabulary), TaskContext.get().partitionId() * 7919
+        encoder, deal = encoder_of(vocabulary), TaskContext.get().partitionId() * 7919
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -9,12 +9,14 @@ from weftgraph.llm.packing import op8_packing
 from weftgraph.llm.secret_scan import op1_secret_scan
 from weftgraph.llm.topk_search import OP3_SQL, op3_topk_search
 from weftgraph.llm.url_filter import op4_url_filter
+from weftgraph.llm.window_dedup import op6_substring_dedup
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_topk_search": op3_topk_search,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,

@@ -25,7 +25,7 @@ from weftgraph.llm.scratch import stage
 BLOCK_BYTES = 2 << 20
 BLOCK_DOCS = 4096
 #: Bytes of text whose windows meet in one bucket.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 BLOCKS = "block long, ids array<long>, sizes array<int>, data binary, bytes long"
 
 _U = np.uint64

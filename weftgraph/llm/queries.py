@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftgraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from weftgraph.llm.jaccard_join import op7_jaccard_join
 from weftgraph.llm.language_id import op5_language_id
 from weftgraph.llm.mixing import OP9_SQL, op9_mixing
 from weftgraph.llm.packing import op8_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,

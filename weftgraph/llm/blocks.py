@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.scratch import stage
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 3 << 19
 BLOCK_DOCS = 4096
 #: Bytes of text whose windows meet in one bucket.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 BLOCKS = "block long, ids array<long>, sizes array<int>, data binary, bytes long"
 
 _U = np.uint64
@@ -112,7 +112,7 @@ def _powers(least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(BLOCK_BYTES * 2, 1 << int(n).bit_length()))
+    return _powers(-(-int(n) // BLOCK_BYTES) * BLOCK_BYTES + 4096)
 
 
 def rabin_karp(values: np.ndarray) -> np.ndarray:

@@ -8,12 +8,14 @@ from weftgraph.llm.language_id import op5_language_id
 from weftgraph.llm.mixing import OP9_SQL, op9_mixing
 from weftgraph.llm.packing import op8_packing
 from weftgraph.llm.secret_scan import op1_secret_scan
+from weftgraph.llm.suffix_dedup import op2_suffix_dedup
 from weftgraph.llm.topk_search import OP3_SQL, op3_topk_search
 from weftgraph.llm.url_filter import op4_url_filter
 from weftgraph.llm.window_dedup import op6_substring_dedup
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_topk_search": op3_topk_search,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,

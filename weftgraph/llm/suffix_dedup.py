@@ -76,7 +76,7 @@ class Anchored:
         last = np.append(new[1:], len(place)) - 1
         self.begin, self.run, self.off = starts[new], last - new + 1, place[new] - starts[new]
         self.length = length
-        self.anchor = short[place[new]]
+        self.anchor = bl.mixed(short[place[new]])  # anchors are small hashes; mixed again, they fill all buckets alike
         text = bl.span_hash(self.sums, self.begin, self.begin + self.run + length - 1) ^ bl.mixed(self.off.astype(_U))
         order = np.lexsort((text, self.anchor))
         a, t = self.anchor[order], text[order]

@@ -7,7 +7,8 @@ of blocked urls does not differ from that of the node above by more than chance
 into one. A template that holds labels is rejected if its smoothed share of blocked urls
 passes a half; where they are few, the share leans on its host's.
 
-Pages are aggregated to templates before any shuffle; tree work runs on templates.
+Pages are aggregated to templates before any shuffle; tree work runs on templates, and each
+level of the tree is written, so that plans stay small.
 
 Defined cases: a null url or one without ``://`` has empty host and path, fits no rule and
 is allowed; a template that no rule labels is allowed; repeated urls each get their row; an
@@ -21,6 +22,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.scratch import stage
+
 #: (verdict, host, path). Fixed values.
 RULES = (
     ("allow", "com", "/"),
@@ -83,9 +86,10 @@ def _level(templates: DataFrame, level: int) -> DataFrame:
 def template_tree(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(host, raw, tree, purity, labels) from rows of (host, raw, verdict); raw is the array of segments."""
     counted = urls.groupBy("host", "raw").agg(F.count("*").alias("urls"), F.count("verdict").alias("labelled"), F.sum(F.when(F.col("verdict") == "block", 1).otherwise(0)).alias("blocked"))
+    counted = stage(counted, "templates")
     tree = counted.withColumn("tree", F.col("raw"))
     for level in range(depth):
-        tree = _level(tree, level)
+        tree = stage(_level(tree, level), "tree")
     smooth = lambda prior: (F.sum("blocked") + PRIOR_WEIGHT * prior) / (F.sum("labelled") + PRIOR_WEIGHT)
     hosts = counted.groupBy("host").agg(smooth(F.lit(PRIOR)).alias("host_share"))
     pure = tree.join(hosts, "host").groupBy("host", "tree").agg(smooth(F.first("host_share")).alias("purity"), F.sum("labelled").alias("labels"))
@@ -97,6 +101,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     parsed = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     urls = parsed.withColumns({"rule": rule, "verdict": verdict, "raw": segments(F.col("path"))})
+    urls = stage(urls, "urls")
     judged = urls.join(template_tree(urls), ["host", "raw"], "left")
     own = F.when((F.col("labels") > 0) & (F.col("purity") > REJECT_ABOVE), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), F.concat(F.lit("/"), F.array_join("tree", "/")).alias("template"), "purity")

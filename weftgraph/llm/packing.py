@@ -34,7 +34,8 @@ BUCKET_PIECES = 50_000
 #: Words whose ids a task remembers; beyond that it forgets them all and starts again.
 REMEMBERED = 1_200_000
 _GAP, _ODD = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\t\x0b\x0c\r]")
-_MARKED = re.compile(r"""([("]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)"]*)""")
+_LETTERS, _OTHER = re.compile("[a-zà-öø-ÿ]+"), re.compile("[^\x00-\u012f\u0131-\u024f]")
+_STOP = re.compile("[.,](?<=[a-zà-öø-ÿ][.,])(?=[ \n]|\\Z)")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -44,9 +45,10 @@ class WordIds:
     """Token ids by white-space separated word, as little-endian bytes.
 
     The vocabulary's own splitting ends every token at white space, so the ids of a text are
-    those of its words one after another. Most words are Latin letters with some marks around
-    them; the letters are a token sequence of their own that ends in a token marked as the end
-    of a word, so many can be encoded as one text and told apart again.
+    those of its words one after another. A run of letters is a token sequence of its own that
+    ends in a token marked as the end of a word, so many runs can be encoded as one text and
+    told apart again; a stop or comma after a letter at the end of a word is split off first.
+    Texts of Latin letters alone are lowered beforehand, as the vocabulary would.
     """
 
     def __init__(self, vocabulary: str):
@@ -71,26 +73,19 @@ class WordIds:
             else:
                 self.known.update((w, self._one(w)) for w in some)
 
-    def _learn(self, words: list[str]) -> None:
-        known, parts = self.known, {}
-        for word in words:
-            if m := _MARKED.fullmatch(word):
-                parts[word] = (m[1], m[2].lower(), m[3])
-            else:
-                known[word] = self._one(word)
-        self._letters(list({p[1] for p in parts.values()} - known.keys()))
-        for word, (left, letters, right) in parts.items():
-            for mark in (left, right):
-                if mark not in known:
-                    known[mark] = self._one(mark)
-            known[word] = known[left] + known[letters] + known[right]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [_GAP.split(t) if _ODD.search(t) else t.replace("\n", " ").split(" ") for t in texts]
-        every = set().union(*words)
+        words = []
+        for t in texts:
+            if not _OTHER.search(t):
+                t = _STOP.sub(r" \g<0>", t.lower())
+            words.append(_GAP.split(t) if _ODD.search(t) else t.replace("\n", " ").split(" "))
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-        self._learn(list(every - self.known.keys()))
+        new = set().union(*words) - self.known.keys()
+        letters = [w for w in new if _LETTERS.fullmatch(w)]
+        self._letters(letters)
+        for word in new.difference(letters):
+            self.known[word] = self._one(word)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.scratch import stage
+from weftgraph.llm.scratch import give_back, stage
 
 BLOCK_BYTES = 3 << 19
 BLOCK_DOCS = 4096
@@ -65,6 +65,7 @@ def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 number, ids, texts, held = number + 1, [], [], 0
     if ids:
         yield out()
+    give_back()
 
 
 def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,6 +183,7 @@ def each_block(blocks: DataFrame, run: Callable[[int, Block, dict], Iterator[pa.
             for at in range(batch.num_rows):
                 row = {n: batch.column(i)[at].as_py() for i, n in enumerate(batch.schema.names)}
                 yield from run(row["block"], Block(row.pop("ids"), row.pop("sizes"), row.pop("data")), row)
+        give_back()
 
     return blocks.mapInArrow(rows, schema)
 

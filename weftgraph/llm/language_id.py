@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm.scratch import give_back
+
 PROFILE = 400
 LONGEST = 4  #: four UTF-16 units fill a 64-bit gram
 UNKNOWN = "und"
@@ -85,6 +87,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(grams), 50_000):
             some = grams[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(n[at : at + 50_000])], names=["lang", "gram", "n"])
+    give_back()
 
 
 def profiles(labelled: DataFrame, length: int = PROFILE) -> DataFrame:

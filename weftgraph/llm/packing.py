@@ -26,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.scratch import stage
+from weftgraph.llm.scratch import give_back, stage
 
 CAPACITY = 4096
 END_ID = 2
 BUCKET_PIECES = 50_000
 #: Words whose ids a task remembers; beyond that it forgets them all and starts again.
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 _GAP, _ODD = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\t\x0b\x0c\r]")
 _LETTERS, _OTHER = re.compile("[a-zà-öø-ÿ]+"), re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: Printable ASCII that holds no special token, and the runs that the vocabulary splits it into.
+_ASCII, _RUNS = re.compile("[!-;=-~]+"), re.compile("(?i)'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _STOP = re.compile("[.,](?<=[a-zà-öø-ÿ][.,])(?=[ \n]|\\Z)")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
@@ -62,13 +64,14 @@ class WordIds:
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters(self, words: list[str]) -> None:
+    def _together(self, words: list[str], runs: list[int]) -> None:
+        """Learns ``words`` that hold the given numbers of token runs, encoded in few texts."""
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            to = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(to) == len(some):
-                data, cuts = ids.tobytes(), [0, *to.tolist()]
+            ends, last = 4 * (np.flatnonzero(self.ends[ids]) + 1), np.cumsum(runs[at : at + 1000])
+            if len(ends) == last[-1]:
+                data, cuts = ids.tobytes(), [0, *ends[last - 1].tolist()]
                 self.known.update((w, data[i:j]) for w, i, j in zip(some, cuts, cuts[1:], strict=False))
             else:
                 self.known.update((w, self._one(w)) for w in some)
@@ -83,8 +86,11 @@ class WordIds:
             self.known = {"": b""}
         new = set().union(*words) - self.known.keys()
         letters = [w for w in new if _LETTERS.fullmatch(w)]
-        self._letters(letters)
-        for word in new.difference(letters):
+        self._together(letters, [1] * len(letters))
+        rest = new.difference(letters)
+        plain = [w for w in rest if _ASCII.fullmatch(w)]
+        self._together(plain, [len(_RUNS.findall(w)) for w in plain])
+        for word in rest.difference(plain):
             self.known[word] = self._one(word)
         get = self.known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
@@ -116,6 +122,7 @@ def _cut(vocabulary: str, capacity: int, end_id: int):
                         deal += 1
                         out.append((doc, start, len(piece) // 4, zlib.crc32(piece), total, deal))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], names=list(names))
+            give_back()
 
     return run
 

@@ -42,8 +42,9 @@ def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"),
         normalised(F.col(text_col)).alias("body"),
     ).select("id", "points", "body", F.octet_length("body").alias("size"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix"))
-    lengths = base.groupBy("size").count().where("count > 1").select("size")
-    prefixes = base.join(lengths, "size", "left_semi").groupBy("size", "prefix").count().where("count > 1").select("size", "prefix", F.lit(True).alias("repeated"))
+    counts = base.groupBy("size", "prefix").count()
+    lengths = counts.groupBy("size").agg(F.sum("count").alias("n")).where("n > 1").select("size")
+    prefixes = counts.join(lengths, "size", "left_semi").where("count > 1").select("size", "prefix", F.lit(True).alias("repeated"))
     return base.join(prefixes, ["size", "prefix"], "left").select(
         "id", "points", "size", "prefix",
         F.when(F.col("repeated"), F.sha2("body", 256)).alias("digest"),

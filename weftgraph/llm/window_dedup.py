@@ -147,3 +147,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) AS i FROM w)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM (SELECT doc_id, i, unnest(range(0, 13)) AS j FROM win JOIN least USING (k) WHERE m < doc_id)),
+places AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM w),
+each AS (SELECT t.doc_id, t.p, t.words[t.p] AS word, g.p IS NOT NULL AS off FROM places t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.p = t.p),
+runs AS (SELECT *, off AND NOT coalesce(lag(off) OVER (PARTITION BY doc_id ORDER BY p), false) AS rises FROM each),
+sums AS (SELECT doc_id, count(*) FILTER (off) AS n_removed, count(*) FILTER (rises) AS n_spans, string_agg(word, ' ' ORDER BY p) FILTER (NOT off) AS kept FROM runs GROUP BY doc_id)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN sums USING (doc_id)
+"""

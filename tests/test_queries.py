@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from weftgraph.plans import relations  # noqa: F401  registers its queries
 from weftgraph.plans.queries import REGISTRY
 
 DATA = "/root/testdata/sf0.001"

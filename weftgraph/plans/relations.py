@@ -71,12 +71,12 @@ def property_variants(spark, d) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT p_partkey, p_brand AS scope, lower(p_name) AS k FROM part), t AS (SELECT p_brand AS scope, lower(p_name) AS k, count(*) AS n, min(p_partkey) AS target FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1, 2)
-  SELECT p_partkey, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN target END AS target FROM r LEFT JOIN t ON r.scope = t.scope AND r.k = t.k""")
+  SELECT p_partkey, coalesce(n, 0) AS candidates, CASE WHEN n = 1 THEN target::VARCHAR ELSE 'unresolved' END AS target FROM r LEFT JOIN t ON r.scope = t.scope AND r.k = t.k""")
 def scoped_resolution(spark, d) -> DataFrame:
     """References by (scope, folded name); only a single candidate resolves."""
     rows = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("scope"), fold(F.col("p_name")).alias("k"))
     found = rows.where("p_partkey % 3 <> 0").groupBy("scope", "k").agg(F.count("*").alias("n"), F.min("p_partkey").alias("found"))
-    return rows.join(found, ["scope", "k"], "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("candidates"), F.when(F.col("n") == 1, F.col("found")).alias("target"))
+    return rows.join(found, ["scope", "k"], "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("candidates"), F.when(F.col("n") == 1, F.col("found").cast("string")).otherwise("unresolved").alias("target"))
 
 
 @query("""WITH h AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM pages)

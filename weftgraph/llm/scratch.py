@@ -7,11 +7,12 @@ executor can read, so a lost executor costs no more than the tasks it was runnin
 from __future__ import annotations
 
 import ctypes
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
-
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
@@ -41,3 +42,11 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except OSError:  # another C library
         pass
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where only the driver's path names it."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *env.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftgraph.plans import impact, relations  # noqa: F401  register their queries
+from weftgraph.plans import impact, relations, review  # noqa: F401  register their queries
 from weftgraph.plans.queries import REGISTRY
 
 DATA = "/root/testdata/sf0.001"

@@ -64,3 +64,25 @@ edges AS (
   UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'part:' || l_partkey, 'USES' FROM lineitem
   UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'REFERENCES' FROM lineitem)
 """
+
+
+def formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, model_id, name, formula): one measure per part, its brand as the model; every kind of reference occurs."""
+    k = F.col("p_partkey")
+    text = lambda *parts: F.concat(*[p if isinstance(p, F.Column) else F.lit(p) for p in parts])
+    formula = (
+        F.when(k % 4 == 0, "SUM('Part'[size])")
+        .when(k % 4 == 1, text("// [M1]\nCALCULATE([M", (k - 1).cast("string"), "], FILTER(ALL(Part), Part[brand] = \"[x]\"))"))
+        .when(k % 4 == 2, text("IF(HASONEVALUE(Part[type]), [m", (k - 1).cast("string"), "], [Missing])"))
+        .otherwise(text("SWITCH(SELECTEDVALUE(Part[brand]), \"[M1]\", [M", (k - 2).cast("string"), "]) -- [M2]"))
+    )
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("measure:"), k.cast("string")).alias("id"), F.concat(F.lit("model:"), (k % 40 < 20).cast("string")).alias("model_id"), F.concat(F.lit("M"), k.cast("string")).alias("name"), formula.alias("formula"))
+
+
+FORMULA_SQL = """
+formulas AS (SELECT 'measure:' || p_partkey AS id, 'model:' || (p_partkey % 40 < 20) AS model_id, 'M' || p_partkey AS name, CASE p_partkey % 4
+  WHEN 0 THEN 'SUM(''Part''[size])'
+  WHEN 1 THEN '// [M1]' || chr(10) || 'CALCULATE([M' || (p_partkey - 1) || '], FILTER(ALL(Part), Part[brand] = "[x]"))'
+  WHEN 2 THEN 'IF(HASONEVALUE(Part[type]), [m' || (p_partkey - 1) || '], [Missing])'
+  ELSE 'SWITCH(SELECTEDVALUE(Part[brand]), "[M1]", [M' || (p_partkey - 2) || ']) -- [M2]' END AS formula FROM part)
+"""

@@ -49,3 +49,44 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k1: floa
 def excerpt(text: Column, query: str, length: int = 240) -> Column:
     at = F.instr(F.lower(text), query)
     return F.when(at > 0, F.substring(text, F.greatest(at - length // 2, F.lit(1)), F.lit(length)))
+
+
+def scope(nodes: DataFrame, types: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
+    """Nodes of the types and models named; a model's own id counts as its model."""
+    own = F.when(F.col("type") == "MODEL", F.col("id")).otherwise(F.col("model_id"))
+    kept = nodes.where(F.col("type").isin(types)) if types else nodes
+    return kept.where(own.isin(models)) if models else kept
+
+
+def evidence(nodes: DataFrame, query: str, fields: tuple[str, ...] = ("id", "name"), most: int = 3) -> DataFrame:
+    """(id, score, evidence): per match the best fields, by score down, field and value."""
+    found = F.filter(F.array(*[F.struct((-ladder(F.col(f), query, WEIGHTS[f])).alias("minus"), F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]), lambda e: e["minus"].isNotNull())
+    rows = nodes.select("id", F.slice(F.array_sort(found), 1, most).alias("evidence")).where("size(evidence) > 0")
+    return rows.select("id", (-F.col("evidence")[0]["minus"]).alias("score"), "evidence")
+
+
+def resolve(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(wanted, candidates, id): an exact id, else the one node of that name; never a part of a name."""
+    by_id = nodes.select(F.col("id").alias("wanted"), F.col("id").alias("exact")).dropDuplicates(["wanted"])
+    by_name = nodes.dropna(subset=["name"]).groupBy(lexical(F.col("name")).alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("named"))
+    rows = names.select("wanted", lexical(F.col("wanted")).alias("k")).join(by_id, "wanted", "left").join(by_name, "k", "left")
+    return rows.select("wanted", F.when(F.col("exact").isNotNull(), 1).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("candidates"), F.coalesce("exact", F.when(F.col("n") == 1, F.col("named"))).alias("id"))
+
+
+def mentions(docs: DataFrame, names: DataFrame, id_col: str, text_col: str, longest: int = 8) -> DataFrame:
+    """(id, names): names that a text mentions, from its start on the longest first, each name once, none overlapping.
+
+    ``names`` has a ``name`` column; names of over ``longest`` words, or under three characters, are not
+    looked for, and one plain word counts only where it is capitalised. Texts without a mention have no row.
+    """
+    clean = lambda c: F.filter(F.split(c, "[^A-Za-z0-9_]+"), lambda w: w != "")
+    known = names.select(F.lower(F.array_join(clean(F.col("name")), " ")).alias("phrase")).where("length(phrase) >= 3").distinct()
+    words = docs.select(F.col(id_col).alias("id"), clean(F.col(text_col)).alias("w")).where("size(w) > 0")
+    at = words.select("id", F.posexplode("w").alias("pos", "first"), "w")
+    piece = lambda n: F.struct(F.lit(n).alias("len"), F.lower(F.array_join(F.slice("w", F.col("pos") + 1, n), " ")).alias("phrase"))
+    able = lambda n: (F.col("pos") + n <= F.size("w")) & (F.lit(n > 1) | F.col("first").rlike("^[A-Z]"))
+    grams = at.select("id", "pos", F.explode(F.array_compact(F.array(*[F.when(able(n), piece(n)) for n in range(1, longest + 1)]))).alias("g")).select("id", "pos", "g.*")
+    hits = grams.join(known, "phrase").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("len")).alias("minus"), "phrase"))).alias("hits"))
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("names"))
+    take = lambda s, h: F.when((h["pos"] >= s["next"]) & ~F.array_contains(s["names"], h["phrase"]), F.struct((h["pos"] - h["minus"]).alias("next"), F.array_append(s["names"], h["phrase"]).alias("names"))).otherwise(s)
+    return hits.select("id", F.aggregate("hits", start, take, lambda s: s["names"]).alias("names"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import fingerprint
+from weftgraph.functions.lineage import cut
 
 
 def classify(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -34,10 +35,13 @@ def unique_match(left: DataFrame, right: DataFrame, key: list[Column], id_col: s
 
 
 def cascade(left: DataFrame, right: DataFrame, passes: dict[str, list[Column]], id_col: str = "id") -> DataFrame:
-    """(left_id, right_id, step): passes in order, matched rows leave both pools."""
+    """(left_id, right_id, step): passes in order, matched rows leave both pools.
+
+    Matches of a pass are written before the next, which would else compute every earlier pass twice.
+    """
     found = None
     for step, key in passes.items():
-        got = unique_match(left, right, key, id_col).withColumn("step", F.lit(step))
+        got = cut(unique_match(left, right, key, id_col).withColumn("step", F.lit(step)))
         left = left.join(got.select(F.col("left_id").alias(id_col)), id_col, "left_anti")
         right = right.join(got.select(F.col("right_id").alias(id_col)), id_col, "left_anti")
         found = got if found is None else found.union(got)

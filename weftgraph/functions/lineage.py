@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and written to the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once, written to the shared folder and read back, so its true size is known to joins."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftgraph.plans import edits, impact, relations, review, snapshots  # noqa: F401  register their queries
+from weftgraph.plans import edits, impact, merging, relations, review, snapshots  # noqa: F401  register their queries
 from weftgraph.plans.queries import REGISTRY
 
 DATA = "/root/testdata/sf0.001"

@@ -57,13 +57,22 @@ def deep_diff(old: DataFrame, new: DataFrame, key: str, json: str, depth: int =
     return both.select(key, "path", change.alias("change"), "old_value", "new_value")
 
 
-def verdict(before: DataFrame, after: DataFrame, mode: str, keys: list[str], values: list[str], missing: bool = False, new: bool = False, **limits: float) -> DataFrame:
+def verdict(before: DataFrame, after: DataFrame, mode: str, keys: list[str], values: list[str], missing: bool = False, new: bool = False, expected: DataFrame | None = None, how: str = "EXACT", **limits: float) -> DataFrame:
     """One row (mode, passed, compared, failed, missing_rows, new_rows) for a whole result.
 
     SCHEMA_ONLY compares names and types; SET_EQUIVALENCE bags of rows; PRESERVE_AGGREGATE asks for one
     row a side and the tolerance; MONITOR is never passed or failed. Rows that one side lacks fail
-    unless allowed. Names or types that differ fail every mode but MONITOR.
+    unless allowed. Names or types that differ fail every mode but MONITOR. EXPECTED_VALUE and
+    EXPECTED_CHANGE hold ``after`` against ``expected`` by mode ``how``, and against ``before`` by the
+    number of rows alone; without ``expected`` they fail.
     """
+    if mode in ("EXPECTED_VALUE", "EXPECTED_CHANGE"):
+        if how not in ("EXACT", "NUMERIC_TOLERANCE", "SET_EQUIVALENCE"):
+            raise ValueError(f"an expected result is not compared by {how}")
+        told = verdict(before if expected is None else expected, after, how, keys, values, **limits)
+        grown, alike = after.count() - before.count(), before.schema.simpleString() == after.schema.simpleString()
+        passed = expected is not None and alike and (missing or grown >= 0) and (new or grown <= 0)
+        return told.withColumn("mode", F.lit(mode)).withColumn("passed", F.col("passed") & F.lit(passed))
     spark, head = before.sparkSession, "mode string, passed boolean, compared long, failed long, missing_rows long, new_rows long"
     same = [(f.name, f.dataType) for f in before.schema] == [(f.name, f.dataType) for f in after.schema]
     if mode == "MONITOR" or not same or mode == "SCHEMA_ONLY":

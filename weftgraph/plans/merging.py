@@ -44,8 +44,8 @@ def _cells(spark, d) -> DataFrame:
     return table(spark, d, "lineitem").where("l_linenumber <= 4").select(F.col("l_orderkey").alias("row_key"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("source"), state.alias("state"))
 
 
-@query(f"""WITH {_CELLS_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, source) AS same_source FROM l),
-  g AS (SELECT l_orderkey, min(CASE state WHEN 'renamed' THEN 3 WHEN 'moved' THEN 4 WHEN 'different' THEN 5 ELSE 6 END) AS r, count(*) AS present, count(*) FILTER (source = 's1') AS own, count(*) FILTER (state <> 'same') AS unlike FROM n GROUP BY 1)
+@query(f"""WITH {_CELLS_SQL},
+  g AS (SELECT l_orderkey, min(CASE state WHEN 'renamed' THEN 3 WHEN 'moved' THEN 4 WHEN 'different' THEN 5 ELSE 6 END) AS r, count(*) AS present, count(*) FILTER (source = 's1') AS own, count(*) FILTER (state <> 'same') AS unlike FROM l GROUP BY 1)
   SELECT l_orderkey AS row_key, CASE WHEN present < 4 THEN 'missing' ELSE ['type_conflict', 'missing', 'renamed', 'moved', 'different', 'same'][r] END AS row_state, present, own = 0 AND present > 1 AND unlike > 0 AS donor_conflict FROM g""")
 def compare_rows(spark, d) -> DataFrame:
     return merge.compare_rows(_cells(spark, d), "s1", 4)

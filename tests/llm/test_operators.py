@@ -84,6 +84,19 @@ def test_keep_one_has_a_row_per_component(docs):
     assert len(kept) == len(set(kept)) and (3, 7) not in kept and (4, 7) not in kept and (15, 7) in kept and (7, 7) in kept
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    a, b, c = words(80, 21, 5000), words(80, 22, 5000), words(80, 23, 5000)
+    near = " ".join("changed" if i == 40 else w for i, w in enumerate(b.split(" ")))
+    rows = messy() + [(None, a), (None, b), (None, b), (None, c), (None, ""), (30, near), (30, a + " x"), (31, c), (31, words(50, 24)), (None, words(50, 25)), (None, None), (8, "")]
+    groups = {}  # by brute force over rows: the row's number stands for its id
+    for place, _, at in brute.components([(i, t) for i, (_, t) in enumerate(rows)]):
+        groups.setdefault(at, []).append(rows[place])
+    least = [min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups.values()]
+    kept = [tuple(r) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert Counter(r[0] for r in kept) == Counter(least) and all(set(g) & set(kept) for g in groups.values())
+    assert {(1, "other text of one id"), (1, rows[0][1]), (30, near), (30, a + " x"), (31, c)} <= set(kept) and (None, rows[0][1]) not in kept
+
+
 def test_exact_dedup(docs):
     got = exact_dedup.exact_groups(docs).collect()
     assert len(got) == len(messy())

@@ -15,13 +15,14 @@ linked without reading the sets.
 
 Defined cases: null and empty texts have no set and are linked with nothing; a text of fewer
 than five words is one shingle of all of them; rows that repeat an id are told apart by
-their sets; a null id never is a component's smallest unless it is alone; an empty table
+their sets (``keep_one``: by their texts); a null id never is a component's smallest unless it is alone; an empty table
 gives an empty result; further columns are ignored. Shingles and sets stand for themselves
 by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ _COUNTED = _U(((1 << 64) - 1) ^ ((1 << 20) - 1))  #: counts go by 44 bits; more
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-SETS = "doc_id long, block long, place int, n_shingles long, set_id long"
+SETS = "doc_id long, block long, place int, n_shingles long, set_id long, row_key binary"
 ASKED = "bucket int, block long, hashes binary, counts binary"
 REPLIES = "block long, bucket int, totals binary"
 INDEXED = "set_id long, n int, alone int, shingles array<long>, prefix array<long>"
@@ -73,12 +74,13 @@ class Shingles:
         return np.unique(self.hashes & _COUNTED, return_inverse=True, return_counts=True)
 
 
-def _describe(size: int):
+def _describe(size: int, keyed: bool):
     def run(number: int, block: bl.Block, _: dict) -> Iterator[pa.RecordBatch]:
         s = Shingles(block, size)
         n = np.diff(s.first)
+        keys = [hashlib.md5(f"{'' if i is None else i}:".encode() + block.raw[b:e]).digest() if keyed else None for i, b, e in zip(block.ids, block.begin, block.end, strict=True)]
         mark = bl.mixed(bl.mixed(s.sums(bl.mixed(s.hashes)) + n.astype(_U)) ^ s.sums(bl.mixed(s.hashes ^ _U(0xA5A5A5A5A5A5A5A5))))
-        yield bl.table({"doc_id": (block.ids, pa.int64()), "block": ([number] * len(n), pa.int64()), "place": (np.arange(len(n)), pa.int32()), "n_shingles": (n, pa.int64()), "set_id": (mark.view(np.int64), pa.int64())})
+        yield bl.table({"doc_id": (block.ids, pa.int64()), "block": ([number] * len(n), pa.int64()), "place": (np.arange(len(n)), pa.int32()), "n_shingles": (n, pa.int64()), "set_id": (mark.view(np.int64), pa.int64()), "row_key": (keys, pa.binary())})
 
     return run
 
@@ -172,11 +174,11 @@ def similar_sets(index: DataFrame, percent: int = PERCENT) -> DataFrame:
     return links.unionByName(derived).unionByName(more)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id) of every document."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sets of all rows, and (set_id, label, component_id) of every set; a label stands for one component."""
     blocks = bl.make_blocks(docs, id_col, text_col)
     buckets = bl.bucket_count(blocks)
-    sets = stage(bl.each_block(blocks, _describe(size), SETS), "sets")
+    sets = stage(bl.each_block(blocks, _describe(size, keyed), SETS), "sets")
     classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.count("*").cast("int").alias("members"), F.min("doc_id").alias("least"), F.min(F.struct("block", "place")).alias("at"))
     by_block = classes.select("at.block", "at.place", "members", "set_id").groupBy("block").agg(F.collect_list(F.struct("place", "members", "set_id")).alias("classes"))
     replies = bl.each_block(blocks, _ask(size, buckets), ASKED).groupBy("bucket").applyInPandas(_total, REPLIES)
@@ -185,17 +187,30 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = connected(similar_sets(index, percent)).withColumnRenamed("id", "set_id")
     least = classes.select("set_id", "least").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = least.join(smallest, "label").select("set_id", "component_id")
-    joined = sets.join(found, "set_id", "left")
+    return sets, least.join(smallest, "label").select("set_id", "label", "component_id")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, set_id, component_id) of every document."""
+    sets, found = _grouped(docs, id_col, text_col, size, percent)
+    joined = sets.join(found.drop("label"), "set_id", "left")
     return joined.select("doc_id", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each component, all columns kept; of rows that repeat it, one."""
-    kept = components(docs, id_col, text_col).select("doc_id", "component_id").where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    found = docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]))
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc_nulls_last(text_col)))
-    return found.withColumn("__n", first).where(F.col("__n") == 1).select(*docs.columns)
+    """One row of ``docs`` per component, all columns kept: the smallest id (null last), then the smallest row key.
+
+    Rows are told apart by id and text together, so ids may be null or repeat; of rows equal in both,
+    one stays. Every row without a word is a component of its own.
+    """
+    sets, found = _grouped(docs, id_col, text_col, WORDS, PERCENT, keyed=True)
+    own = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "row_key")).alias("first"))
+    kept = own.join(found, "set_id").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("__key"))
+    key = F.unhex(F.md5(F.concat(F.coalesce(docs[id_col].cast("long").cast("string"), F.lit("")), F.lit(":"), docs[text_col])))
+    worded = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # repeats go before the join, task by task, so that a row repeated often is no hot key
+    one = docs.where(worded).withColumn("__key", key).dropDuplicates(["__key"]).join(kept, "__key", "left_semi")
+    return one.select(*docs.columns).unionByName(docs.where(~worded))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from weftgraph.llm import language_id
 from weftgraph.llm.queries import ORACLE_SQL, QUERIES
 from weftgraph.llm.scratch import stage
 
@@ -40,3 +42,13 @@ def test_stages_keep_columns_and_take_effect(spark):
 def test_run_on_no_documents(spark, tmp_path):
     spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 0").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("lang", [None, "en"])
+def test_language_stage_keeps_texts_with_letters_when_nothing_is_learned(spark, lang):
+    rows = [(i, t, None) for i, t in enumerate(["some clean words", None, "", "12 ½ _ !", "één"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ids = spark.range(100, 200).where(language_id.held_out(F.col("id"))).selectExpr("id AS doc_id", "'held out text' AS text", f"{'NULL' if lang is None else repr(lang)} AS lang")
+    kept = language_id.keep_identified(docs.union(ids))
+    assert language_id.learn(docs.union(ids)) == [] and kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id < 100").collect()) == [0, 4] and kept.where("doc_id >= 100").count() == ids.count() > 0

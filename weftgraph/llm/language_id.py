@@ -139,7 +139,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language, all columns kept; rejected are null texts and texts without a letter."""
+    """The rows whose text has a language, all columns kept; rejected are null texts and texts without a letter.
+
+    Any text with a letter has a nearest profile, so no distance rejects it; with nothing learned it stays too.
+    """
     model = learn(docs, id_col, text_col)
     columns = docs.columns
 
@@ -147,7 +150,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ranks = Ranks(model)
         place = columns.index(text_col)
         for batch in batches:
-            yield batch.filter(pa.array([ranks.nearest(t.as_py())[0] != UNKNOWN for t in batch.column(place)], pa.bool_()))
+            keep = (ranks.nearest(t)[0] != UNKNOWN if ranks.langs else len(grams_of(t)) > 0 for t in (x.as_py() for x in batch.column(place)))
+            yield batch.filter(pa.array(list(keep), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

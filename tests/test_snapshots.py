@@ -107,3 +107,13 @@ def test_stream_state_goes_over_batches(spark, tmp_path):
         changes.drain(changes.classify(changes.read_table(spark, str(tmp_path), "in"), "k", "n", ["v"]), f"{tmp_path}/out", f"{tmp_path}/state")
     got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {("a", 1, "NEW"), ("a", 2, "UNCHANGED"), ("a", 3, "CHANGED"), ("b", 1, "NEW")}
+
+
+def test_stream_classes_do_not_depend_on_batches(spark, tmp_path):
+    head = "k string, n int, v string"
+    for rows in ([("a", 3, "y"), ("b", 2, "x")], [("a", 1, "x"), ("a", 2, "y"), ("b", 3, "x")], [("b", 1, "z"), ("a", 4, "x")]):
+        spark.createDataFrame(rows, head).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in.parquet")
+    for files in (1, 1000):
+        changes.drain(changes.classify(changes.read_table(spark, str(tmp_path), "in", files), "k", "n", ["v"]), f"{tmp_path}/out{files}", f"{tmp_path}/state{files}")
+        got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out{files}").collect()}
+        assert got == {("a", 1, "NEW"), ("a", 2, "CHANGED"), ("a", 3, "UNCHANGED"), ("a", 4, "CHANGED"), ("b", 1, "NEW"), ("b", 2, "CHANGED"), ("b", 3, "UNCHANGED")}

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftgraph.functions.keys import fingerprint
 
@@ -24,31 +22,43 @@ def windowed(stream: DataFrame, ts: str, by: list[str], length: str, late: str |
     return timed.groupBy(F.window(ts, length).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 
 
-def classify(stream: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
-    """(key, order, status): NEW, CHANGED or UNCHANGED against the key's last record by ``order`` in this batch, else in earlier ones.
+@dataclass(frozen=True)
+class Changes:
+    """A stream of (key, order, __print) whose classes ``drain`` tells."""
+
+    rows: DataFrame
+    key: str
+    order: str
+
+    def told(self, records: DataFrame) -> DataFrame:
+        last = Window.partitionBy(self.key).orderBy(self.order, "__print")
+        status = F.when(F.row_number().over(last) == 1, "NEW").when(F.col("__print") == F.lag("__print").over(last), "UNCHANGED").otherwise("CHANGED")
+        return records.select(self.key, self.order, status.alias("status"))
 
-    One fingerprint a key is kept as state. Null keys are left out.
-    """
 
-    def step(keys: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(chunks).sort_values("__order", kind="stable")
-        before = [state.get[0] if state.exists else None, *rows["__print"].iloc[:-1]]
-        status = ["NEW" if b is None else "UNCHANGED" if a == b else "CHANGED" for a, b in zip(rows["__print"], before, strict=True)]
-        state.update((rows["__print"].iloc[-1],))
-        yield pd.DataFrame({key: keys[0], order: rows["__order"], "status": status})
+def classify(stream: DataFrame, key: str, order: str, values: list[str]) -> Changes:
+    """(key, order, status): NEW, CHANGED or UNCHANGED against the key's record before it by ``order``, in whatever batch either came.
+
+    A fingerprint a record is kept, as a record that comes late changes the class of the one behind it. Null keys are left out.
+    """
+    return Changes(stream.where(F.col(key).isNotNull()).select(key, order, fingerprint(*map(F.col, values)).alias("__print")), key, order)
 
-    kinds = dict(stream.dtypes)
-    rows = stream.where(F.col(key).isNotNull()).select(key, F.col(order).alias("__order"), fingerprint(*map(F.col, values)).alias("__print"))
-    return rows.groupBy(key).applyInPandasWithState(step, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, status string", "print string", "append", GroupStateTimeout.NoTimeout)
 
+def drain(result: DataFrame | Changes, out: str, checkpoint: str, mode: str = "append", seconds: int = 3600) -> None:
+    """Runs a stream over all that is there now and writes Parquet; ``complete`` results and changes replace what stood before.
 
-def drain(result: DataFrame, out: str, checkpoint: str, mode: str = "append", seconds: int = 3600) -> None:
-    """Runs a stream over all that is there now and writes Parquet; ``complete`` results replace what stood before."""
-    writer = result.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
-    if mode == "complete":
+    Records of changes gather under ``checkpoint``, a folder a batch, and are classed once when the stream has run.
+    """
+    stream, records = (result.rows if isinstance(result, Changes) else result), f"{checkpoint}/records"
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    if isinstance(result, Changes):
+        run = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{records}/{n:08d}")).start()
+    elif mode == "complete":
         run = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     else:
         run = writer.format("parquet").option("path", out).start()
     if not run.awaitTermination(seconds):
         run.stop()
         raise TimeoutError(f"stream still running after {seconds} seconds")
+    if isinstance(result, Changes):
+        result.told(stream.sparkSession.read.schema(stream.schema).parquet(f"{records}/*")).write.mode("overwrite").parquet(out)

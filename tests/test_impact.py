@@ -63,3 +63,12 @@ def test_breaks_and_needs(spark):
     texts = spark.createDataFrame([(1, "[A] + [B] + [A]"), (2, "[B]"), (3, None)], "id int, t string")
     known = spark.createDataFrame([("[A]",)], "name string")
     assert [tuple(r) for r in impact.needs(texts, F.col("t"), r"\[[^\]]+\]", known).collect()] == [("[B]", 2)]
+
+
+def test_without_a_bound_walks_end_only_with_their_frontier(spark):
+    chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", "USES") for i in range(9)] + [("n09", "n00", "USES")], "from_id string, to_id string, type string")
+    reached = impact.closure(impact.steps(chain, [Rule("uses", ("USES",), out=True)]), ids(spark, "n00"))
+    assert {r["id"]: r["depth"] for r in reached.collect()} == {f"n{i:02}": i for i in range(10)}
+    assert [tuple(r) for r in impact.upstream(chain, ids(spark, "n00"), ids(spark, "n09")).collect()] == [("n00", "n09", 9, "n08")]
+    moves = [("target", ("USES",), True, "target")]
+    assert impact.context_slice(chain, ids(spark, "n00"), moves).count() == 10

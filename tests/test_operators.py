@@ -89,3 +89,9 @@ def test_bm25_prefers_rare_terms(spark):
     docs = spark.createDataFrame([(1, "the the cat"), (2, "the dog"), (3, None)], "id int, t string")
     got = {r["id"]: r["score"] for r in search.bm25(docs, ["the", "cat"], "id", "t").collect()}
     assert set(got) == {1, 2} and got[1] > got[2] and all(map(math.isfinite, got.values()))
+
+
+def test_shortest_path_over_more_than_32_edges(spark):
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}", "T") for i in range(34)], "from_id string, to_id string, type string")
+    assert rows(traversal.shortest_path(edges, "n00", "n34")) == [(i, f"n{i:02}") for i in range(35)]
+    assert rows(traversal.shortest_path(edges, "n00", "n03", 2)) == []

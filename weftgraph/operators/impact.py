@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.lineage import cut
+from weftgraph.operators.traversal import rounds
 
 #: From certain to unknown; a path is as uncertain as its weakest step. Fixed values.
 CATEGORIES = ["DIRECT", "STRUCTURAL", "CONDITIONAL", "POTENTIAL_BEHAVIORAL", "UNKNOWN"]
@@ -33,8 +34,8 @@ def steps(edges: DataFrame, rules: list[Rule], fact: Column | None = None) -> Da
     return edges.select(F.explode(F.array_compact(F.array(*map(one, rules)))).alias("s")).select("s.*").where("at is not null and id is not null")
 
 
-def closure(links: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
-    """(id, depth, rule, category, certainty, path) of all that ``seeds`` (id) reach in ``most`` rounds.
+def closure(links: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, depth, rule, category, certainty, path) of all that ``seeds`` (id) reach, in ``most`` rounds or at all.
 
     An object keeps one shortest record: of equally short ones the smallest predecessor, then rule.
     A record is INFERRED if its path has a step that is not a fact or a category past STRUCTURAL.
@@ -42,7 +43,7 @@ def closure(links: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """
     state = cut(seeds.dropna().distinct().select("id", F.lit(0).alias("depth"), F.lit("seed").alias("rule"), F.lit(0).alias("rank"), F.lit(True).alias("fact"), F.array("id").alias("path")))
     frontier = state
-    for at in range(1, most + 1):
+    for at in rounds(most):
         known = state.select("id")
         told = frontier.select(F.col("id").alias("at"), F.col("rank").alias("old_rank"), F.col("fact").alias("old_fact"), "path")
         step = told.join(links, "at").join(known, "id", "left_anti")
@@ -58,7 +59,7 @@ def closure(links: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return state.select("id", "depth", "rule", category.alias("category"), F.when(F.col("fact") & (F.col("rank") < 2), "FACT").otherwise("INFERRED").alias("certainty"), "path")
 
 
-def context_slice(edges: DataFrame, seeds: DataFrame, moves: list[tuple[str, tuple[str, ...], bool, str]], most: int) -> DataFrame:
+def context_slice(edges: DataFrame, seeds: DataFrame, moves: list[tuple[str, tuple[str, ...], bool, str]], most: int | None = None) -> DataFrame:
     """(id, mode): a walk whose next steps depend on how an object was reached.
 
     A move is (mode, edge types, along the edge, next mode); seeds have mode ``target``. Modes that no
@@ -70,7 +71,7 @@ def context_slice(edges: DataFrame, seeds: DataFrame, moves: list[tuple[str, tup
     )
     links = edges.select(F.explode(F.array_compact(F.array(*map(one, moves)))).alias("s")).select("s.*")
     state = frontier = cut(seeds.distinct().select("id", F.lit("target").alias("mode")))
-    for _ in range(most):
+    for _ in rounds(most):
         new = frontier.join(links, ["id", "mode"]).select(F.col("next_id").alias("id"), F.col("next_mode").alias("mode")).distinct()
         frontier = cut(new.join(state, ["id", "mode"], "left_anti"))
         if frontier.isEmpty():
@@ -79,14 +80,14 @@ def context_slice(edges: DataFrame, seeds: DataFrame, moves: list[tuple[str, tup
     return state
 
 
-def upstream(edges: DataFrame, origins: DataFrame, goals: DataFrame, most: int) -> DataFrame:
+def upstream(edges: DataFrame, origins: DataFrame, goals: DataFrame, most: int | None = None) -> DataFrame:
     """(origin, source, depth, via): per origin the first of ``goals`` (id) on each way along the edges.
 
     The walk ends at a goal; of equally short ways the one over the smallest last step is told.
     """
     state = frontier = cut(origins.distinct().select(F.col("id").alias("origin"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("goal")))
     marked = goals.select("id", F.lit(True).alias("is_goal"))
-    for at in range(1, most + 1):
+    for at in rounds(most):
         step = frontier.where("not goal").select("origin", F.col("id").alias("from_id")).join(edges.select("from_id", F.col("to_id").alias("id")), "from_id")
         best = step.groupBy("origin", "id").agg(F.min("from_id").alias("via")).join(state.select("origin", "id"), ["origin", "id"], "left_anti")
         frontier = cut(best.join(marked, "id", "left").select("origin", "id", F.lit(at).alias("depth"), "via", F.coalesce("is_goal", F.lit(False)).alias("goal")))

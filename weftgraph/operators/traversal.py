@@ -6,6 +6,9 @@ checkpoint folder, so plans stay small and a lost executor does not restart the
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +54,17 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(ids.select(F.col("id").alias("to_id")), "to_id", "left_semi")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 32) -> DataFrame:
-    """(step, id) of a shortest directed path; among equal ones the smallest predecessor, from the goal back."""
+def rounds(most: int | None) -> Iterable[int]:
+    """1 up to ``most``, or without end."""
+    return count(1) if most is None else range(1, most + 1)
+
+
+def shortest_path(edges: DataFrame, start: str, goal: str, most: int | None = None) -> DataFrame:
+    """(step, id) of a shortest directed path, of any length or up to ``most`` edges; among equal ones the smallest predecessor, from the goal back."""
     spark = edges.sparkSession
     seen = cut(spark.createDataFrame([(start, None, 0)], "id string, before string, depth int"))
     frontier = seen
-    for at in range(1, most + 1):
+    for at in rounds(most):
         if start == goal or not frontier.where(F.col("id") == goal).isEmpty():
             break
         step = frontier.join(edges, frontier["id"] == edges["from_id"]).groupBy(F.col("to_id").alias("id")).agg(F.min("from_id").alias("before"))

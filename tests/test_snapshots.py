@@ -117,3 +117,9 @@ def test_stream_classes_do_not_depend_on_batches(spark, tmp_path):
         changes.drain(changes.classify(changes.read_table(spark, str(tmp_path), "in", files), "k", "n", ["v"]), f"{tmp_path}/out{files}", f"{tmp_path}/state{files}")
         got = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out{files}").collect()}
         assert got == {("a", 1, "NEW"), ("a", 2, "CHANGED"), ("a", 3, "UNCHANGED"), ("a", 4, "CHANGED"), ("b", 1, "NEW"), ("b", 2, "CHANGED"), ("b", 3, "UNCHANGED")}
+
+
+def test_set_equivalence_is_strict_whatever_is_allowed(spark):
+    a, b = (spark.createDataFrame([(k, 1.0) for k in ks], "k int, v double") for ks in ([1, 1, 2], [1, 2, 3]))
+    row = align.verdict(a, b, "SET_EQUIVALENCE", ["k"], ["v"], missing=True, new=True).first()
+    assert (row["passed"], row["missing_rows"], row["new_rows"]) == (False, 1, 1)

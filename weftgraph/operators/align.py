@@ -62,7 +62,7 @@ def verdict(before: DataFrame, after: DataFrame, mode: str, keys: list[str], val
 
     SCHEMA_ONLY compares names and types; SET_EQUIVALENCE bags of rows; PRESERVE_AGGREGATE asks for one
     row a side and the tolerance; MONITOR is never passed or failed. Rows that one side lacks fail
-    unless allowed. Names or types that differ fail every mode but MONITOR. EXPECTED_VALUE and
+    unless allowed, and in SET_EQUIVALENCE always; SCHEMA_ONLY counts no rows. Names or types that differ fail every mode but MONITOR. EXPECTED_VALUE and
     EXPECTED_CHANGE hold ``after`` against ``expected`` by mode ``how``, and against ``before`` by the
     number of rows alone; without ``expected`` they fail.
     """
@@ -79,7 +79,7 @@ def verdict(before: DataFrame, after: DataFrame, mode: str, keys: list[str], val
         return spark.createDataFrame([(mode, None if mode == "MONITOR" else same, 0, 0, 0, 0)], head)
     if mode == "SET_EQUIVALENCE":
         counts = compare.bag_difference(before, after).agg(F.coalesce(F.sum(F.greatest("surplus", F.lit(0))), F.lit(0)).alias("missing_rows"), F.coalesce(F.sum(-F.least("surplus", F.lit(0))), F.lit(0)).alias("new_rows"))
-        passed = (F.lit(missing) | (F.col("missing_rows") == 0)) & (F.lit(new) | (F.col("new_rows") == 0))
+        passed = (F.col("missing_rows") == 0) & (F.col("new_rows") == 0)
         return counts.select(F.lit(mode).alias("mode"), passed.alias("passed"), F.lit(0).cast("long").alias("compared"), F.lit(0).cast("long").alias("failed"), "missing_rows", "new_rows")
     how = "NUMERIC_TOLERANCE" if mode == "PRESERVE_AGGREGATE" else mode
     rows = compare.compare_results(before, after, keys, values, how, **limits).join(before.select(*keys, F.lit(True).alias("__before")), keys, "left")

@@ -79,3 +79,40 @@ KINDS = (
 def secrets(text):
     found = [(m.start(), k, m.end()) for k, (_, rule, group, least) in enumerate(KINDS) for m in rule.finditer(text or "") if len(m.group(group)) >= least]
     return [f"{KINDS[k][0]}:{i}:{j}" for i, k, j in sorted(found)]
+
+
+def grams(text):
+    """Counts of 1- to 4-grams of UTF-16 units, words between two edge marks, none across a mark."""
+    out = Counter()
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        units = [int.from_bytes(u, "little") for u in zip(*[iter(f"_{word}_".encode("utf-16-le"))] * 2)]
+        for n in range(1, 5):
+            for i in range(len(units) - n + 1):
+                if n > 1 or units[i] != ord("_"):
+                    key = 0
+                    for u in units[i : i + n]:
+                        key = key << 16 | u
+                    out[key - (1 << 64) if key >> 63 else key] += 1
+    return out
+
+
+def ranked(counts, length):
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:length]]
+
+
+def languages(learning, texts, length):
+    """(language, score) of each text by out-of-place distance to the profiles of (lang, text) rows."""
+    totals = defaultdict(Counter)
+    for lang, text in learning:
+        totals[lang].update(grams(text))
+    profiles = {lang: {g: r for r, g in enumerate(ranked(c, length))} for lang, c in totals.items() if c}
+    out = []
+    for text in texts:
+        own = ranked(grams(text), length)
+        if not own or not profiles:
+            out.append(("und", 0.0))
+            continue
+        apart = {lang: sum(abs(p[g] - r) if g in p else length for r, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(apart, key=lambda lang: (apart[lang], lang))
+        out.append((best, 1 - apart[best] / (length * len(own))))
+    return out

@@ -80,8 +80,12 @@ def test_jaccard_join_of_many_near_copies(spark):
 
 
 def test_keep_one_has_a_row_per_component(docs):
-    kept = [tuple(r) for r in jaccard_join.keep_one(docs).select("doc_id", "__x").collect()]
-    assert len(kept) == len(set(kept)) and (3, 7) not in kept and (4, 7) not in kept and (15, 7) in kept and (7, 7) in kept
+    rows = list(docs.select("doc_id", "text").collect())
+    groups = len({at for _, _, at in brute.components([(i, r["text"]) for i, r in enumerate(rows)])})
+    kept = jaccard_join.keep_one(docs)
+    assert kept.count() == groups and {r["__x"] for r in kept.collect()} == {7}
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert 3 not in ids and 4 not in ids and 15 in ids and 7 in ids and ids.count(1) == 2  # two unlike texts of one id
 
 
 def test_keep_one_with_null_and_repeated_ids(spark):
@@ -114,6 +118,21 @@ def test_exact_dedup_keeps_one_of_repeated_rows(spark):
     assert [tuple(r) for r in got.collect()] == [(1, "a b")]
 
 
+def test_exact_dedup_of_the_least_ids(spark):
+    rows = [(-(2**63), "a"), (2**63 - 1, "a "), (None, "a"), (-(2**63), "b"), (None, "b")]
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2**63 - 1, 2**63 - 1, 3, True), (-(2**63), 2**63 - 1, 3, False), (None, 2**63 - 1, 3, False), (-(2**63), -(2**63), 2, True), (None, -(2**63), 2, False)}
+
+
+@pytest.mark.parametrize("change", [exact_dedup.deduplicate, jaccard_join.keep_one, mixing.mix, language_id.keep_identified])
+def test_stages_keep_columns_of_any_name(spark, change):
+    names = ["__id", "__n", "__copy", "__key", "__x", "id", "key", "whole", "row", "draw", "from", "rate", "copy", "digest", "a.b", "points", "best"]
+    rows = [(i, f"{words(30, i)}", "en", "s", *range(100 * i, 100 * i + len(names))) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    got = change(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} == set(rows)
+
+
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 500), (None, 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
@@ -128,12 +147,28 @@ def test_mixing(docs):
     assert bag(mixing.mix_plan(docs), "doc_id", "taken") == bag(mixing.mix_plan(docs), "doc_id", "taken")
 
 
-def test_packing(docs):
+def test_mixing_draws_rows_without_ids_apart(spark):
+    rows = [(None, f"text {i}", "ab"[i % 2]) for i in range(4000)]
+    got = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 2 and all(r["taken"] == pytest.approx(r["target"], rel=0.05) for r in got)
+
+
+def test_packing(spark, docs):
+    import zlib
+
+    import numpy as np
     from tokenizers import Tokenizer
 
     tokens = Tokenizer.from_file(packing.default_vocabulary())
-    got = packing.pack(docs, packing.default_vocabulary(), capacity=512).collect()
-    assert sum(r["length"] for r in got) == sum(len(tokens.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in messy())
+    more = [(2**53 + 1, "an id past 53 bits"), (-(2**63), "the least id")]
+    got = packing.pack(docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")), packing.default_vocabulary(), capacity=512).collect()
+    expected = Counter()
+    for d, t in messy() + more:
+        ids = [*tokens.encode(t or "", add_special_tokens=False).ids, 2]
+        for start in range(0, len(ids), 512):
+            piece = ids[start : start + 512]
+            expected[d, start, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids)] += 1
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == expected
     room = {}
     for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == room.get(r["sequence_id"], 0)
@@ -168,6 +203,26 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, []).collect()} == {"und"}
 
 
+def test_language_id_against_brute_force(spark):
+    import zlib
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(150).collect()]
+    rows += [(None, "Один два три 😀 four", "ru"), (-5, "x" * 30_000 + " é" * 9000, "fr"), (7, None, "en"), (8, "", None), (9, "1 2 3", "en"), (9, "Tie", None)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, lang string, rank int, gram int, n int").repartition(5)
+    learning = [(lang, t) for d, t, lang in rows if lang is not None and zlib.crc32(str("" if d is None else d).encode()) % 4 != 2]
+    expected = Counter((d, lang, round(score, 9)) for (d, _, _), (lang, score) in zip(rows, brute.languages(learning, [t for _, t, _ in rows], 50), strict=True))
+    got = language_id.identify(docs, language_id.learn(docs, length=50), length=50).collect()
+    assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got) == expected
+
+
+def test_language_stage_rejects_what_fits_no_profile(spark):
+    r = random.Random(4)
+    english = [(i, "the cat and the dog ran over the hill that they had seen before " * 3, "en") for i in range(8)]
+    odd = [(100, " ".join("".join(chr(0x4E00 + r.randrange(5000)) for _ in range(4)) for _ in range(100)), None), (101, "слово", None), (102, "qq", None)]
+    kept = language_id.keep_identified(spark.createDataFrame(english + odd, "doc_id long, text string, lang string"))
+    assert sorted(x["doc_id"] for x in kept.collect()) == [*range(8), 101, 102]
+
+
 def test_grams_do_not_cross_words():
     units = lambda g: int(g).to_bytes(8, "big", signed=True).decode("utf-16-be").strip("\0")
     assert sorted(map(units, language_id.grams_of("Ab c"))) == sorted(["a", "b", "c", "_a", "ab", "b_", "_c", "c_", "_ab", "ab_", "_c_", "_ab_"])
@@ -189,33 +244,70 @@ def test_secret_scan(spark, tmp_path):
     assert next(r["spans"] for r in got if r["doc_id"] == 9) == "github:0:40"
 
 
+def test_added_secret_kinds(spark):
+    import re
+
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abcXYZ012") for _ in range(n))
+    made = [f"gh{k}_{some(36)}" for k in "pousr"] + [f"xox{k}-{some(12)}" for k in "abprs"] + ["AIza" + some(35), f"eyJ{some(9)}.eyJ{some(9)}.{some(9)}", "-----BEGIN RSA PRIVATE KEY-----"]
+    texts = [f"é {a} and {b}, " * 2 for a in made for b in made[:3]] + ["ghp_short", "xoxb-", "AIza", "GHP_" + some(36)]
+    got = secret_scan.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("id", "kind", "start", "end").collect()
+    expected = {(i, rule.kind, m.start(), m.end()) for i, t in enumerate(texts) for rule in secret_scan.RULES for m in re.finditer(rule.pattern, t) if len(m.group(rule.group)) >= rule.least}
+    assert {tuple(x) for x in got} == expected and {k for _, k, _, _ in expected} >= {"github", "slack", "google", "jwt", "private_key"}
+
+
 def test_trigram_queries():
     query = secret_scan.trigram_query(secret_scan.RULES[0].pattern)
     assert len(query) == 1 and frozenset({"tok", "oke", "ken"}) in query[0] and frozenset({"api", "pik", "ike", "key"}) in query[0]
     assert secret_scan.trigram_query("[0-9a-f]{32,}") == [] and secret_scan.trigram_query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
+    assert [r.kind for r in secret_scan.RULES if not secret_scan.trigram_query(r.pattern)] == ["hex"]
+
 
+def _best(rows, k):
+    """Every query row's k best by plain comparison."""
+    out = []
+    for n, (q, own) in enumerate(rows):
+        if q is None or q % 100:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), c is None, c or 0) for m, (c, v) in enumerate(rows) if m != n and len(v) == len(own))
+        out += [(q, place + 1, None if last else c, -s) for place, (s, last, c) in enumerate(scored[:k])]
+    return sorted(out, key=repr)
 
-def test_topk(spark):
+
+@pytest.mark.parametrize("block", [topk_search.BLOCK_NUMBERS, 300])
+def test_topk(spark, block):
     r = random.Random(3)
     vectors = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(300)] + [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (303, [0.0] * 6), (304, [2.0] * 5), (5, [9.0] * 6)]
-    df = topk_search.vectors_of(spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<double>, id int"))
-    own = {i: [int(1024 * x // 1) for x in v] for i, v in vectors if v and all(x is not None and x == x for x in v)}
-    got = [tuple(x) for x in topk_search.top_k(df.where("id % 100 = 0"), df).collect()]
-    expected = []
-    for q in range(0, 300, 100):
-        scored = sorted((-sum(a * b for a, b in zip(own[q], own[c], strict=True)), c) for c in own if c != q and len(own[c]) == 6)
-        expected += [(q, k + 1, c, -s) for k, (s, c) in enumerate(scored[:10])]
-    assert sorted(got) == sorted(expected)
+    vectors += [(None, [8.0] * 6), (100, [8.0] * 6), (100, [8.0] * 6), (400, [1.0] * 3), (500, []), (600, [float("inf")])]
+    df = topk_search.vectors_of(spark.createDataFrame([(i, v, 0, 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, id int, row int, block int"))
+    good = [(i, [int(1024 * x // 1) for x in v]) for i, v in vectors if v and all(x is not None and x == x and abs(x) != float("inf") for x in v)]
+    got = [tuple(x) for x in topk_search.top_k(df.where("id % 100 = 0"), df, block_numbers=block).collect()]
+    assert sorted(got, key=repr) == _best(good, 10)
+
+
+def test_topk_clips_beyond_64_bits(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [3e9, 0.0]), (100, [float(2**40), 0.0])]
+    df = topk_search.vectors_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk_search.top_k(df.where("id % 100 = 0"), df).collect()}
+    assert got[0, 1] == got[0, 3] == 2**63 - 1 and got[0, 2] == -(2**63) and got[100, 3] == min(2**63 - 1, 2**50 * 3 * 10**9 * 1024) and len(got) == 8
 
 
 def test_topk_stops_early_and_keeps_ties():
     import numpy as np
 
+    class Counted(topk_search.Lists):
+        scored = 0
+
+        def scores(self, places, query):
+            self.scored += len(places)
+            return super().scores(places, query)
+
     vectors = np.zeros((1000, 2), np.int64)
     vectors[:, 0] = np.arange(1000) // 2
-    lists = topk_search.Lists(np.arange(1000), vectors)
-    assert lists.best(-1, np.array([1, 0]), 3) == [(499, 998), (499, 999), (498, 996)]
+    lists = Counted(list(range(1000)), list(range(1000)), vectors)
+    assert lists.best(-1, np.array([1, 0]), 3) == [(499, 998), (499, 999), (498, 996)] and lists.scored < 50
     assert lists.best(998, np.array([-1, 0]), 2) == [(0, 0), (0, 1)]
+    assert lists.best(-1, np.array([1, 0]), 3, least=10_000) == [] and lists.best(-1, np.array([1, 0]), 3, least=499) == [(499, 998), (499, 999)]
 
 
 def test_url_filter(spark):

@@ -1,20 +1,24 @@
 """Exact deduplication by progressive refinement, in DataFrame functions only.
 
 Rows are grouped by the length of their normalised text, then, where a length repeats, by
-a hash of its prefix, then, where that repeats, by the full SHA-256. Only rows that survive
-the first two steps have their whole content read for the last one. The first two steps
-shuffle pre-aggregated counts, and the join that brings the surviving keys to the texts
-has a thin right side, so a hot key is split by adaptive execution.
+a hash of its prefix, then, where that repeats, by the full SHA-256. Texts are read where
+they lie and never shuffled for grouping: a written thin row stands for each, and every
+step narrows the thin rows of the one before by counts that tasks pre-aggregate. The digest
+of a text is taken in the same scan, as the result names it for every document.
+
+``deduplicate`` moves each text that stays once, to drop the others; repeats of a whole row
+go within their task before that.
 
 Defined cases: a null text counts as empty; an empty text equals every other one that is
 empty or white space; among equal texts the row with the most code points stays, then the
 smallest id, a null id last; of rows repeated in full one stays; an empty table gives an
-empty result; further columns are ignored here and kept by ``deduplicate``.
+empty result; further columns, whatever their names, are ignored here and kept by
+``deduplicate``. Any 64-bit id may occur.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.scratch import stage
@@ -31,60 +35,59 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def refine(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
-    """One thin row per document: id, points, size, prefix, digest.
+def points_of(text: Column) -> Column:
+    return F.length(F.coalesce(text, F.lit("")))
+
+
+def thin_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+    """One written row per document: its number here, id, points, size, prefix hash, digest."""
+    base = docs.select(F.col(id_col).alias("id"), points_of(F.col(text_col)).alias("points"), normalised(F.col(text_col)).alias("body"))
+    thin = base.select("id", "points", F.octet_length("body").alias("size"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix"), F.sha2("body", 256).alias("digest"))
+    return stage(thin.withColumn("row", F.monotonically_increasing_id()), "exact-rows")
+
 
-    ``digest`` is null where length or prefix is unique, for then no other text is equal.
-    ``body_sha256`` is the same digest for every row, made where the text already is.
+def repeated(thin: DataFrame) -> DataFrame:
+    """(digest, members, best) of every text that occurs more than once.
+
+    ``best`` holds id and row of the one that stays. Lengths go first, then prefixes; only
+    rows that survive both are grouped by digest.
     """
-    base = docs.select(
-        F.col(id_col).alias("id"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"),
-        normalised(F.col(text_col)).alias("body"),
-    ).select("id", "points", "body", F.octet_length("body").alias("size"), F.xxhash64(F.substring("body", 1, prefix_chars)).alias("prefix"))
-    counts = base.groupBy("size", "prefix").count()
+    counts = thin.groupBy("size", "prefix").count()
     lengths = counts.groupBy("size").agg(F.sum("count").alias("n")).where("n > 1").select("size")
-    prefixes = counts.join(lengths, "size", "left_semi").where("count > 1").select("size", "prefix", F.lit(True).alias("repeated"))
-    return base.join(prefixes, ["size", "prefix"], "left").select(
-        "id", "points", "size", "prefix",
-        F.when(F.col("repeated"), F.sha2("body", 256)).alias("digest"),
-        F.sha2("body", 256).alias("body_sha256"),
-    )
+    prefixes = counts.join(lengths, "size", "left_semi").where("count > 1").select("size", "prefix")
+    survivors = thin.join(prefixes, ["size", "prefix"], "left_semi")
+    first = F.min(F.struct((-F.col("points")).alias("less"), F.isnull("id").alias("last"), "id", "row"))
+    return survivors.groupBy("digest").agg(F.count("*").alias("members"), first.alias("best")).where("members > 1")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id, keep_id, group_size, kept and text_sha256."""
-    rows = stage(refine(docs, id_col, text_col), "exact-rows")
-    groups = (
-        rows.where("digest is not null")
-        .groupBy("size", "digest")
-        .agg(F.count("*").alias("members"), F.max(F.struct("points", (-F.col("id")).alias("minus_id"))).alias("best"))
-        .where("members > 1")
-        .select("size", "digest", "members", (-F.col("best.minus_id")).alias("best_id"), F.lit(True).alias("grouped"))
-    )
-    twin = F.row_number().over(Window.partitionBy("id", "text_sha256").orderBy("points"))
-    return (
-        rows.join(groups, ["size", "digest"], "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.when(F.col("grouped"), F.col("best_id")).otherwise(F.col("id")).alias("keep_id"),
-            F.coalesce("members", F.lit(1)).cast("long").alias("group_size"),
-            F.col("body_sha256").alias("text_sha256"),
-            F.col("id"), (-F.col("points")).alias("points"),
-        )
-        .withColumn("kept", F.col("keep_id").eqNullSafe(F.col("id")) & (twin == 1))
-        .select(id_col, "keep_id", "group_size", "kept", "text_sha256")
+    thin = thin_rows(docs, id_col, text_col)
+    groups = stage(repeated(thin).select("digest", "members", F.col("best.id").alias("best_id"), F.col("best.row").alias("best_row")), "exact-groups")
+    grouped = F.col("members").isNotNull()
+    return thin.join(groups, "digest", "left").select(
+        F.col("id").alias(id_col),
+        F.when(grouped, F.col("best_id")).otherwise(F.col("id")).alias("keep_id"),
+        F.coalesce("members", F.lit(1)).cast("long").alias("group_size"),
+        (~grouped | (F.col("best_row") == F.col("row"))).alias("kept"),
+        F.col("digest").alias("text_sha256"),
     )
 
 
+def _row_key(id_column: Column, points: Column, digest: Column) -> Column:
+    """Names a row by all that decides whether it stays."""
+    return F.concat_ws(":", F.coalesce(id_column.cast("string"), F.lit("")), points.cast("string"), digest)
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
-    own = docs.withColumn("__digest_own", F.sha2(normalised(F.col(text_col)), 256))
-    found = own.join(kept, own[id_col].eqNullSafe(kept["__id"]) & (own["__digest_own"] == kept["__digest"]))
-    # what is left holds one row a group, but for rows with one id and equal texts
-    first = F.row_number().over(Window.partitionBy("__digest_own").orderBy(F.length(text_col).desc()))
-    return found.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    thin = thin_rows(docs, id_col, text_col)
+    groups = stage(repeated(thin).select("digest", F.col("best.row").alias("best_row")), "exact-groups")
+    stays = thin.join(groups, "digest", "left").where("best_row IS NULL OR best_row = row")
+    keys = stays.select(_row_key(F.col("id"), F.col("points"), F.col("digest")).alias("key"))
+    own = _row_key(F.col(id_col), points_of(F.col(text_col)), F.sha2(normalised(F.col(text_col)), 256))
+    rows = docs.select(own.alias("key"), F.struct(F.col("*")).alias("whole"))
+    return rows.dropDuplicates(["key"]).join(keys, "key", "left_semi").select("whole.*")
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -205,12 +205,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     sets, found = _grouped(docs, id_col, text_col, WORDS, PERCENT, keyed=True)
     own = sets.where("n_shingles > 0").groupBy("set_id").agg(F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "row_key")).alias("first"))
-    kept = own.join(found, "set_id").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("__key"))
-    key = F.unhex(F.md5(F.concat(F.coalesce(docs[id_col].cast("long").cast("string"), F.lit("")), F.lit(":"), docs[text_col])))
-    worded = F.coalesce(docs[text_col].rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = own.join(found, "set_id").groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("key"))
+    text = F.col(text_col)
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"), text)))
+    worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # repeats go before the join, task by task, so that a row repeated often is no hot key
-    one = docs.where(worded).withColumn("__key", key).dropDuplicates(["__key"]).join(kept, "__key", "left_semi")
-    return one.select(*docs.columns).unionByName(docs.where(~worded))
+    rows = docs.where(worded).select(key.alias("key"), F.struct(F.col("*")).alias("whole"))
+    one = rows.dropDuplicates(["key"]).join(kept, "key", "left_semi")
+    return one.select("whole.*").unionAll(docs.where(~worded))
 
 
 def op7_jaccard_join(spark, sf_dir: str) -> DataFrame:

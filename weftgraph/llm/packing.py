@@ -8,8 +8,8 @@ remaining capacity finds that window. Token ids never leave the task that made t
 
 Defined cases: a null text counts as empty and still yields its end id, a piece of one
 token; pieces of equal length go by id, then start, a null id first; repeated rows are
-packed as often as they stand; an empty table gives an empty result; more columns are
-ignored.
+packed as often as they stand; ids stay 64-bit numbers next to null ones; an empty table
+gives an empty result; more columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,14 +175,14 @@ def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
 
 
 def _pack(capacity: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], na_position="first", kind="stable")
-        placed = best_fit(rows["length"].tolist(), capacity)
-        out = rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]].copy()
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        out["sequence_id"] = [(key[0] << 32) + w for w, _ in placed]
-        out["offset"] = [o for _, o in placed]
-        return out
+    order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start")).select(columns)
+        placed = best_fit(rows.column("length").to_pylist(), capacity)
+        sequence = pa.array([(key[0].as_py() << 32) + w for w, _ in placed], pa.int64())
+        return rows.append_column("sequence_id", sequence).append_column("offset", pa.array([o for _, o in placed], pa.int64()))
 
     return run
 
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """A row per piece: where it lies in its document and in its sequence."""
     pieces = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cut(vocabulary, capacity, end_id), PIECES), "pieces")
     buckets = max(1, -(-pieces.count() // bucket_pieces))
-    return pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "deal"), F.lit(buckets))).groupBy("bucket").applyInPandas(_pack(capacity), PACKED)
+    return pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "deal"), F.lit(buckets))).groupBy("bucket").applyInArrow(_pack(capacity), PACKED)
 
 
 def default_vocabulary() -> str:

@@ -3,8 +3,10 @@
 From each rule's pattern a Boolean query over trigrams is derived: every match must hold
 all trigrams of one alternative of each of its literal runs. The index lists, per trigram
 that some query names, the documents that have it; postings meet per document, queries are
-evaluated on them, and only candidates are read again and verified with the pattern. A rule
-without mandatory trigrams scans every text.
+evaluated on them, and only candidates are verified with the pattern. So that only their
+texts are shuffled, the scan that reads texts again passes on just those that hold all
+trigrams of some query or match a rule without mandatory trigrams (the hex rule alone),
+which is tried on every text.
 
 Spark has no function for the places of matches; they are the running sums of the lengths
 of the parts that ``split`` leaves between them and of the matches themselves.
@@ -12,14 +14,17 @@ of the parts that ``split`` leaves between them and of the matches themselves.
 Defined cases: a null text counts as empty; a document without a secret has zero counts and
 an empty list, whose digest is that of the empty string; rows that repeat id and text share
 their spans and each get their row; a null id is a key like any other; an empty table gives
-an empty result; further columns are ignored.
+an empty result; further columns are ignored. Texts of one id are told apart by a 64-bit
+hash and their length.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,7 +52,8 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("private_key", r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----"),
 )
-MOST_STRINGS = 64
+#: Classes of so many letters, and runs of so many strings, are spelled out; wider ones count as unknown.
+FEW_LETTERS, MOST_STRINGS = 8, 64
 
 
 def _strings(items) -> tuple[list[frozenset[str]], frozenset[str] | None]:
@@ -66,7 +72,7 @@ def _strings(items) -> tuple[list[frozenset[str]], frozenset[str] | None]:
         name, inner, few = str(op), [], None
         if name == "LITERAL":
             few = frozenset([chr(arg).lower()])
-        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg) and len(arg) <= 4:
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg) and len(arg) <= FEW_LETTERS:
             few = frozenset(chr(c).lower() for _, c in arg)
         elif name == "SUBPATTERN":
             inner, few = _strings(arg[-1])
@@ -108,31 +114,35 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return out
 
 
-def key_columns(id_col: str, text: Column) -> list[Column]:
-    return [F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")]
+def text_key(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.struct(F.xxhash64(text).alias("hash"), F.length(text).alias("points"))
 
 
 def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, id, h) of (id, h, text) for the given trigrams."""
-    low = F.lower("text")
-    has = F.array_compact(F.array(*[F.when(low.contains(t), t) for t in trigrams]))
-    return docs.select(F.explode(has).alias("trigram"), "id", "h")
+    low = docs.select("id", "h", F.lower("text").alias("low"))
+    has = F.array_compact(F.array(*[F.when(F.col("low").contains(t), t) for t in trigrams]))
+    return low.select("id", "h", has.alias("have")).select(F.explode("have").alias("trigram"), "id", "h")
+
+
+def fulfilled(query: list[list[frozenset[str]]], has) -> Column:
+    """Whether ``query`` holds, where ``has`` tells if all of some trigrams are there."""
+    every = F.lit(True)
+    for run in query:
+        some = F.lit(False)
+        for need in run:
+            some = some | has(sorted(need))
+        every = every & some
+    return every
 
 
 def candidates(index: DataFrame, queries: dict[str, list[list[frozenset[str]]]]) -> DataFrame:
     """(id, h, kinds) of documents whose postings fulfil some query."""
     met = index.groupBy("id", "h").agg(F.collect_set("trigram").alias("have"))
 
-    def fulfilled(query) -> Column:
-        every = F.lit(True)
-        for run in query:
-            some = F.lit(False)
-            for need in run:
-                some = some | (F.size(F.array_except(F.array(*map(F.lit, sorted(need))), "have")) == 0)
-            every = every & some
-        return every
-
-    kinds = F.array_compact(F.array(*[F.when(fulfilled(q), kind) for kind, q in queries.items()]))
+    listed = lambda need: F.size(F.array_except(F.array(*map(F.lit, need)), "have")) == 0
+    kinds = F.array_compact(F.array(*[F.when(fulfilled(q, listed), kind) for kind, q in queries.items()]))
     return met.select("id", "h", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
@@ -148,15 +158,22 @@ def _matches(rule: Rule) -> Column:
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, h, kind, start, end), once for rows that repeat id and text; code points, end exclusive."""
-    base = docs.select(*key_columns(id_col, F.coalesce(F.col(text_col), F.lit(""))))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), text_key(text).alias("h"), text.alias("text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    index = stage(trigram_index(base, sorted({t for q in queries.values() for run in q for need in run for t in need})), "trigrams")
+    trigrams = sorted({t for q in queries.values() for run in q for need in run for t in need})
+    index = stage(trigram_index(base, trigrams), "trigrams")
     wanted = candidates(index, queries).withColumnsRenamed({"id": "id2", "h": "h2"})
     scans = [r for r in rules if r.kind not in queries]
     hit = F.lit(False)
     for r in scans:
         hit = hit | F.col("text").rlike(r.pattern)
-    read = base.withColumn("scanned", hit).join(wanted, base["id"].eqNullSafe(wanted["id2"]) & (base["h"] == wanted["h2"]), "left").where("scanned or kinds is not null").dropDuplicates(["id", "h"])
+    some = F.lit(False)
+    for q in queries.values():
+        some = some | fulfilled(q, lambda need: reduce(and_, [F.col("low").contains(t) for t in need]))
+    texts = base.withColumn("low", F.lower("text")).select("id", "h", "text", hit.alias("scanned"), some.alias("likely")).where("scanned OR likely")
+    met = texts.join(wanted, texts["id"].eqNullSafe(wanted["id2"]) & (texts["h"] == wanted["h2"]), "left")
+    read = met.where("scanned OR kinds IS NOT NULL").dropDuplicates(["id", "h"])
     found = []
     for r in rules:
         on = F.col("scanned") if r in scans else F.array_contains("kinds", r.kind)
@@ -176,7 +193,7 @@ def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     every = F.coalesce(F.col("all"), F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>"))
     count = lambda kind: F.size(F.filter(every, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    rows = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    rows = docs.select(F.col("doc_id"), text_key(F.coalesce("text", F.lit(""))).alias("h"))
     return rows.join(listed, rows["doc_id"].eqNullSafe(listed["id2"]) & (rows["h"] == listed["h2"]), "left").select(
         "doc_id", *map(count, base), F.sha2(text(F.filter(every, lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), text(every).alias("spans")
     )

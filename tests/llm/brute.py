@@ -116,3 +116,63 @@ def languages(learning, texts, length):
         best = min(apart, key=lambda lang: (apart[lang], lang))
         out.append((best, 1 - apart[best] / (length * len(own))))
     return out
+
+
+def url_templates(pages, rules, many=16, kids=2, z=1.96, weight=4.0):
+    """{(host, segments): (template, purity)} of rows of (host, path, verdict or None), a host and a level at a time."""
+    hosts = defaultdict(lambda: defaultdict(list))
+    for host, path, verdict in pages:
+        raw = tuple("#" if re.search("[0-9]", s) else s for s in path.split("/") if s)
+        hosts[host][raw].append(verdict)
+    out = {}
+    for host, raws in hosts.items():
+        tree = {raw: raw for raw in raws}
+        labels = {raw: [v == "block" for v in vs if v] for raw, vs in raws.items()}
+        for level in range(max(map(len, raws))):
+            nodes = defaultdict(lambda: defaultdict(list))
+            for raw, t in tree.items():
+                if len(t) > level:
+                    nodes[t[:level]][t[level]].append(raw)
+            for branches in nodes.values():
+                members = sum(len(rs) for rs in branches.values())
+                names = _branch_names({b: ([v for r in rs for v in labels[r]], sum(len(raws[r]) for r in rs), frozenset(tree[r][level + 1] for r in rs if len(tree[r]) > level + 1 and tree[r][level + 1][0] != "#")) for b, rs in branches.items()}, many, kids, z) if members > 1 else {}
+                for b, name in names.items():
+                    for raw in branches[b]:
+                        tree[raw] = (*tree[raw][:level], name, *tree[raw][level + 1 :])
+        count = defaultdict(list)
+        for raw, t in tree.items():
+            for d in range(len(t) + 1):
+                count[t[:d]] += labels[raw]
+        for raw, t in tree.items():
+            prior = purity = 0.5
+            for d in range(len(t) + 1):
+                n, b = len(count[t[:d]]), sum(count[t[:d]])
+                purity = (b + weight * prior) / (n + weight)
+                prior = purity if 0 < b < n else 0.5
+            out[host, raw] = ("/" + "/".join(t), purity)
+    return out
+
+
+def _branch_names(branches, many, kids, z):
+    """New names of a node's branches {name: (labels, urls, named children)}."""
+    once = [b for b, (_, urls, _) in branches.items() if urls == 1]
+    varied = len(branches) >= many and 2 * len(once) >= len(branches)
+    names = {b: "#" for b in once if varied and b[0] != "#"}
+    rest = {b: x for b, x in branches.items() if b not in names and b[0] != "#"}
+    side = {b: 2 * sum(x[0]) > len(x[0]) for b, x in rest.items() if x[0]}
+    joined = {True: set(), False: set()}
+    for b, s in side.items():
+        n, k = len(rest[b][0]), sum(rest[b][0])
+        others = [v for c, t in side.items() if c != b and t == s for v in rest[c][0]]
+        if others:
+            share, spread = (k + sum(others)) / (n + len(others)), 1 / n + 1 / len(others)
+            if abs(k / n - sum(others) / len(others)) <= z * (share * (1 - share) * spread) ** 0.5 + spread / 2:
+                joined[s].add(b)
+    for b, x in rest.items():
+        like = {c for c in side if rest[c][2] == x[2]} if not x[0] and len(x[2]) >= kids else set()
+        if len({side[c] for c in like}) == 1:
+            joined[side[min(like)]] |= {b, *like}
+    for group in joined.values():
+        if len(group) > 1:
+            names |= dict.fromkeys(group, "#" + min(group))
+    return names

@@ -318,7 +318,33 @@ def test_url_filter(spark):
         ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("example.com", "/en/1", "example.com/en/", "block"), ("www.example.com", "/en/1", "www.example.com/en/", "allow"),
         ("a.net", "/es/x", "net/es/", "block"), ("a.net", "/de/x", None, "allow"), ("b.com", "", None, "allow"), ("notexample.com", "/en/", "com/", "allow"), ("x.com", "/a://b/c", "com/", "allow"), ("a.net", "/es/x", "net/es/", "block"),
     ]
-    assert all(r["verdict"] == "block" and r["purity"] > 0.5 for r in got[11:])
+    assert all(r["verdict"] == "block" and r["purity"] > 0.75 for r in got[11:])
+
+
+def _planted_urls():
+    r = random.Random(8)
+    urls = [None, "", "http://x", "http://lone.org/a/b/c/d/e/f/g/h"] + [f"http://h.org/{a}/{b}/{i}" for a in ("bad", "mirror") for b in ("casino", "poker", "slots") for i in range(5)]
+    urls += [f"http://h.org/clean/{b}/{i}" for b in ("news", "sport") for i in range(6)] + [f"http://h.org/other/{i}" for i in range(6)] + [f"http://h.org/good/{b}/{i}" for b in ("casino", "tea") for i in range(4)]
+    urls += [f"http://pure.org/{b}/{i}" for b in ("es", "en") for i in range(9)] + [f"http://v.org/{''.join(r.choice('abcdefgh') for _ in range(6))}/x" for _ in range(30)]
+    urls += [f"http://deep.org/a/b/c/d/{e}/{x}" for e in ("bad", "fine") for x in ("p/q", "r/s", "t") for _ in range(4)] + [f"http://mix.org/z/{b}/{i}" for b in ("bad", "good", "new") for i in range(8)] + ["http://mix.org/z/" + "x" * 20_000]
+    return urls * 2
+
+
+PLANTED_RULES = (("block", "h.org", "/bad/"), ("allow", "h.org", "/good/"), ("block", "pure.org", "/es/"), ("block", "deep.org", "/a/b/c/d/bad/"), ("block", "mix.org", "/z/bad/"), ("allow", "mix.org", "/z/good/"), ("block", "v.org", "/a"))
+
+
+def test_url_templates_against_brute_force(spark):
+    urls = _planted_urls()
+    rows = [(None if i % 11 == 0 else i, u, 1, "x", 0.5) for i, u in enumerate(urls)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, urls int, raw string, purity double").repartition(3), rules=PLANTED_RULES).collect()
+    assert len(got) == len(urls)
+    expected = brute.url_templates([(r["host"], r["path"], r["verdict"] if r["rule"] else None) for r in got], PLANTED_RULES)
+    for r in got:
+        template, purity = expected[r["host"], tuple("#" if any(map(str.isdigit, s)) else s for s in r["path"].split("/") if s)]
+        assert (r["template"], round(r["purity"], 9)) == (template, round(purity, 9))
+        assert r["rule"] or r["verdict"] == ("block" if purity > url_filter.REJECT_ABOVE else "allow")
+    decided = {(r["host"], r["path"].split("/")[1]): r["verdict"] for r in got if not r["rule"] and "/" in r["path"]}
+    assert decided["h.org", "mirror"] == "block" and decided["h.org", "clean"] == decided["h.org", "other"] == decided["pure.org", "en"] == "allow"
 
 
 def test_empty_tables(spark, nothing):

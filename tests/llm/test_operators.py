@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from weftgraph.llm import exact_dedup, jaccard_join, language_id, mixing, packing, secret_scan, suffix_dedup, topk_search, url_filter, window_dedup
+from weftgraph.llm import blocks, exact_dedup, jaccard_join, language_id, mixing, packing, secret_scan, suffix_dedup, topk_search, url_filter, window_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, id string, size int, block int, `__x` int"
 
@@ -55,14 +55,48 @@ def test_suffix_dedup_over_the_standard_length(docs):
     assert bag(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.suffix(messy(), 400))
 
 
-def test_window_dedup(docs):
-    assert bag(window_dedup.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.windows(messy(), 13))
+@pytest.mark.parametrize("cut", [{}, {"bucket_bytes": 3000, "fan": 2}, {"bucket_bytes": 3000, "fan": 10}])
+def test_window_dedup(docs, cut):
+    assert bag(window_dedup.remove_repeats(docs, **cut), "doc_id", "n_words", "n_removed", "kept_sha256") == Counter(brute.windows(messy(), 13))
 
 
-def test_jaccard_join(docs):
-    got = jaccard_join.components(docs).where("doc_id is not null and doc_id not in (1, 2)")
-    expected = [r for r in brute.components(messy()) if r[0] not in (None, 1, 2)]
-    assert bag(got, "doc_id", "n_shingles", "component_id") == Counter(expected)
+def test_window_dedup_where_filter_hashes_collide():
+    """Hashes that agree in the bits of the first pass only keep windows for the second, which tells them apart."""
+    import numpy as np
+
+    class Made:
+        def __init__(self, first, second, ids):
+            self.hashes, self.ids = [np.array(first, np.uint64), np.array(second, np.uint64)], np.array(ids)
+
+    named = window_dedup.Named([Made([1 << 20, (1 << 20) + 1, 7 << 20], [5, 5, 1], [4, 3, 9]), Made([1 << 20, 9 << 20], [6, 1], [2, 1])], None, blocks.Cut(0))
+    assert [tuple(x) for x in zip(named.hashes.tolist(), *map(named.extra.__getitem__, ("second", "owner")))] == [(1 << 20, 5, 4), (1 << 20, 6, 2), ((1 << 20) + 1, 5, 3)]
+
+
+def test_ranges_of_many_buckets():
+    import time
+
+    import numpy as np
+
+    hashes = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 3000, np.uint64) * np.uint64(2))
+    began = time.time()
+    found = blocks.ranges(hashes, 24)
+    assert time.time() - began < 0.05 and sum(c.stop - c.start for _, c in found) == 3000 and all(((hashes[c] >> np.uint64(40)) == b).all() for b, c in found)
+    assert blocks.ranges(hashes, 0) == [(0, slice(0, 3000))] and blocks.ranges(hashes[:0], 5) == []
+
+
+@pytest.mark.parametrize("cut", [{}, {"bucket_bytes": 3000, "fan": 2}])
+def test_jaccard_join(docs, cut):
+    """Rows are told apart by their texts' sets, so ids may be null or repeat."""
+    got = jaccard_join.components(docs, **cut)
+    texts = [(i, t) for i, (_, t) in enumerate(messy())]
+    groups = {}
+    for (d, _), (_, n, at) in zip(messy(), brute.components(texts), strict=True):
+        groups.setdefault(at, []).append((d, n))
+    expected = Counter()
+    for members in groups.values():
+        least = min((d for d, _ in members if d is not None), default=None)
+        expected.update((d, n, least if n else d) for d, n in members)
+    assert bag(got, "doc_id", "n_shingles", "component_id") == expected
 
 
 def test_jaccard_join_of_many_near_copies(spark):

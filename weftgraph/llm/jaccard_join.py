@@ -16,8 +16,8 @@ linked without reading the sets.
 Defined cases: null and empty texts have no set and are linked with nothing; a text of fewer
 than five words is one shingle of all of them; rows that repeat an id are told apart by
 their sets (``keep_one``: by their texts); a null id never is a component's smallest unless it is alone; an empty table
-gives an empty result; further columns are ignored. Shingles and sets stand for themselves
-by 64-bit hashes.
+gives an empty result; further columns are ignored. Sets are told apart by 128-bit digests;
+within two sets that are compared, shingles stand for themselves by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,10 +42,10 @@ _COUNTED = _U(((1 << 64) - 1) ^ ((1 << 20) - 1))  #: counts go by 44 bits; more
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-SETS = "doc_id long, block long, place int, n_shingles long, set_id long, row_key binary"
-ASKED = "bucket int, block long, hashes binary, counts binary"
-REPLIES = "block long, bucket int, totals binary"
-INDEXED = "set_id long, n int, alone int, shingles array<long>, prefix array<long>"
+SETS = "doc_id long, block long, place int, n_shingles long, set_id binary, row_key binary"
+INDEXED = "set_id binary, n int, alone int, shingles array<long>, prefix array<long>"
+#: Totals stop here; a shingle this frequent is as common as any.
+MOST_COUNTED = (1 << 32) - 1
 
 
 class Shingles:
@@ -55,83 +54,91 @@ class Shingles:
     def __init__(self, block: bl.Block, size: int):
         block.bytes = _LOWER[block.bytes]
         begin, end, at = block.words()
-        words = bl.rabin_karp(bl.span_hash(bl.byte_sums(block.bytes), begin, end))
+        words = bl.Sums(bl.byte_sums(block.bytes).of(begin, end))
         n = np.diff(at)
         doc = np.repeat(np.arange(len(n)), np.where(n >= size, n - size + 1, n > 0))
         starts = np.arange(len(doc)) - np.searchsorted(doc, doc) + at[:-1][doc]
-        hashes = bl.span_hash(words, starts, np.minimum(starts + size, at[1:][doc]))
+        hashes = words.of(starts, np.minimum(starts + size, at[1:][doc]))
         order = np.lexsort((hashes, doc))
         hashes, doc = hashes[order], doc[order]
         new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.empty(0, bool)
         self.hashes, self.doc = hashes[new], doc[new]
         self.first = np.searchsorted(self.doc, np.arange(len(n) + 1))
 
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        total = np.concatenate([np.zeros(1, _U), np.cumsum(values, dtype=_U)])
-        return total[self.first[1:]] - total[self.first[:-1]]
+    def digests(self) -> list[bytes]:
+        """What names each document's set."""
+        data = self.hashes.tobytes()
+        return [hashlib.blake2b(data[8 * i : 8 * j], digest_size=16).digest() for i, j in zip(self.first, self.first[1:], strict=False)]
 
-    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.unique(self.hashes & _COUNTED, return_inverse=True, return_counts=True)
+
+def _counted(parts: list[Shingles]) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct shingles, and how many of its documents have each."""
+    hashes, which = np.unique(np.concatenate([s.hashes & _COUNTED for s in parts]), return_inverse=True)
+    return hashes, np.bincount(which, minlength=len(hashes)).astype(np.uint32)
 
 
 def _describe(size: int, keyed: bool):
-    def run(number: int, block: bl.Block, _: dict) -> Iterator[pa.RecordBatch]:
-        s = Shingles(block, size)
-        n = np.diff(s.first)
-        keys = [hashlib.md5(f"{'' if i is None else i}:".encode() + block.raw[b:e]).digest() if keyed else None for i, b, e in zip(block.ids, block.begin, block.end, strict=True)]
-        mark = bl.mixed(bl.mixed(s.sums(bl.mixed(s.hashes)) + n.astype(_U)) ^ s.sums(bl.mixed(s.hashes ^ _U(0xA5A5A5A5A5A5A5A5))))
-        yield bl.table({"doc_id": (block.ids, pa.int64()), "block": ([number] * len(n), pa.int64()), "place": (np.arange(len(n)), pa.int32()), "n_shingles": (n, pa.int64()), "set_id": (mark.view(np.int64), pa.int64()), "row_key": (keys, pa.binary())})
+    def run(number: int, parts: bl.Parts, _: dict) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for part in parts:
+            s, spans = Shingles(part, size), zip(part.ids, part.begin, part.end, strict=True)
+            n = np.diff(s.first)
+            keys = [hashlib.md5(f"{'' if i is None else i}:".encode() + part.raw[b:e]).digest() if keyed else None for i, b, e in spans]
+            yield bl.table({
+                "doc_id": (part.ids, pa.int64()), "block": ([number] * len(n), pa.int64()), "place": (np.arange(at, at + len(n)), pa.int32()),
+                "n_shingles": (n, pa.int64()), "set_id": (s.digests(), pa.binary()), "row_key": (keys, pa.binary()),
+            })
+            at += len(n)
 
     return run
 
 
-def _ask(size: int, buckets: int):
-    def run(number: int, block: bl.Block, _: dict) -> Iterator[pa.RecordBatch]:
-        hashes, _, counts = Shingles(block, size).counted()
-        edges = bl.bucket_edges(hashes, buckets)
-        some = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        cut = [slice(edges[b], edges[b + 1]) for b in some]
-        yield bl.table({
-            "bucket": (some, pa.int32()), "block": ([number] * len(some), pa.int64()),
-            "hashes": ([bl.pack_sorted(hashes[c]) for c in cut], pa.binary()), "counts": ([bl.pack_array(counts[c].astype(np.uint16)) for c in cut], pa.binary()),
-        })
+def _ask(size: int, by: bl.Cut):
+    def run(number: int, parts: bl.Parts, _: dict) -> Iterator[pa.RecordBatch]:
+        yield bl.cells(number, *_counted([Shingles(p, size) for p in parts]), by)
 
     return run
 
 
-def _total(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    hashes = [bl.unpack_sorted(h) for h in rows["hashes"]]
-    counts = np.concatenate([bl.unpack_array(c, np.uint16) for c in rows["counts"]])
-    _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.bincount(which, weights=counts)[which].astype(np.uint32)
-    cuts = np.cumsum([0, *map(len, hashes)])
-    return pd.DataFrame({"block": rows["block"], "bucket": key[0], "totals": [bl.pack_array(totals[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]})
-
-
-def _index(size: int, percent: int, buckets: int):
-    def run(number: int, block: bl.Block, row: dict) -> Iterator[pa.RecordBatch]:
-        s = Shingles(block, size)
-        hashes, which, _ = s.counted()
-        edges, totals = bl.bucket_edges(hashes, buckets), np.zeros(len(hashes), np.int64)
-        for reply in row["replies"] or []:
-            totals[edges[reply["bucket"]] : edges[reply["bucket"] + 1]] = bl.unpack_array(reply["totals"], np.uint32)
-        totals = totals[which]
-        out: list[tuple] = []
-        for one in row["classes"] or []:
-            own = slice(s.first[one["place"]], s.first[one["place"] + 1])
-            held, count = s.hashes[own], totals[own]
-            n, need = len(held), -(-percent * len(held) // 100)
-            shared = count > one["members"]
-            if shared.sum() >= need:
-                order = np.lexsort((held, held & _COUNTED, count))[: n - need + 1]
-                # a place in the prefix that no other set can share stays as a zero
-                prefix = np.where(shared[order], held[order].view(np.int64), 0)
-                out.append((one["set_id"], n, int(n - shared.sum()), held.view(np.int64), prefix))
-        yield bl.table(dict(zip(("set_id", "n", "alone", "shingles", "prefix"), [([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))], strict=True)))
+def _total(hashes: np.ndarray, _: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The count over all blocks where other blocks have the shingle too, zero elsewhere."""
+    _, which = np.unique(hashes, return_inverse=True)
+    totals = np.minimum(np.bincount(which, weights=counts)[which], MOST_COUNTED).astype(np.uint32)
+    return np.where(totals > counts, totals, 0).astype(np.uint32)
+
+
+def _index(size: int, percent: int, by: bl.Cut):
+    def run(number: int, parts: bl.Parts, row: dict) -> Iterator[pa.RecordBatch]:
+        every = [Shingles(p, size) for p in parts]
+        hashes, counts = _counted(every)
+        totals = np.maximum(bl.said_of(hashes, row["replies"], by, np.uint32), counts).astype(np.int64)
+        chosen = sorted(row["classes"] or [], key=lambda c: c["place"])
+        before = 0
+        for s in every:
+            docs = len(s.first) - 1
+            yield _prefixes(s, totals[np.searchsorted(hashes, s.hashes & _COUNTED)], [c | {"place": c["place"] - before} for c in chosen if 0 <= c["place"] - before < docs], percent)
+            before += docs
 
     return run
 
 
+def _prefixes(s: Shingles, totals: np.ndarray, chosen: list[dict], percent: int) -> pa.RecordBatch:
+    """The index's rows of the chosen sets of a part; those that can have no partner are left out."""
+    out: list[tuple] = []
+    for one in chosen:
+        own = slice(s.first[one["place"]], s.first[one["place"] + 1])
+        held, count = s.hashes[own], totals[own]
+        n, need = len(held), -(-percent * len(held) // 100)
+        shared = (count > one["members"]) | (count >= MOST_COUNTED)
+        if shared.sum() >= need:
+            order = np.lexsort((held, held & _COUNTED, count))[: n - need + 1]
+            # a place in the prefix that no other set can share stays as a zero
+            prefix = np.where(shared[order], held[order].view(np.int64), 0)
+            out.append((one["set_id"], n, int(n - shared.sum()), held.view(np.int64), prefix))
+    types = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return bl.table({n: ([o[i] for o in out], t) for i, (n, t) in enumerate(zip(("set_id", "n", "alone", "shingles", "prefix"), types, strict=True))})
+
+
 def _compared(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """``pairs`` (a, b, ...) with the sizes of intersection and union of their sets."""
     left = index.select(F.col("set_id").alias("a"), F.col("shingles").alias("sa"))
@@ -174,25 +181,25 @@ def similar_sets(index: DataFrame, percent: int = PERCENT) -> DataFrame:
     return links.unionByName(derived).unionByName(more)
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, keyed: bool = False, bucket_bytes: int = bl.BUCKET_BYTES, fan: int = bl.FAN_BITS) -> tuple[DataFrame, DataFrame]:
     """The sets of all rows, and (set_id, label, component_id) of every set; a label stands for one component."""
     blocks = bl.make_blocks(docs, id_col, text_col)
-    buckets = bl.bucket_count(blocks)
+    by = bl.bucket_cut(blocks, bucket_bytes, fan)
     sets = stage(bl.each_block(blocks, _describe(size, keyed), SETS), "sets")
     classes = sets.where("n_shingles > 0").groupBy("set_id").agg(F.count("*").cast("int").alias("members"), F.min("doc_id").alias("least"), F.min(F.struct("block", "place")).alias("at"))
     by_block = classes.select("at.block", "at.place", "members", "set_id").groupBy("block").agg(F.collect_list(F.struct("place", "members", "set_id")).alias("classes"))
-    replies = bl.each_block(blocks, _ask(size, buckets), ASKED).groupBy("bucket").applyInPandas(_total, REPLIES)
+    replies = bl.answered(bl.each_block(blocks, _ask(size, by), bl.CELLS), by, _total, np.uint32)
     asked = bl.with_replies(blocks, replies).join(by_block, "block", "left")
-    index = stage(bl.each_block(asked, _index(size, percent, buckets), INDEXED), "index")
+    index = stage(bl.each_block(asked, _index(size, percent, by), INDEXED), "index")
     labels = connected(similar_sets(index, percent)).withColumnRenamed("id", "set_id")
     least = classes.select("set_id", "least").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
     return sets, least.join(smallest, "label").select("set_id", "label", "component_id")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT, **cut) -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id) of every document."""
-    sets, found = _grouped(docs, id_col, text_col, size, percent)
+    sets, found = _grouped(docs, id_col, text_col, size, percent, **cut)
     joined = sets.join(found.drop("label"), "set_id", "left")
     return joined.select("doc_id", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -1,15 +1,17 @@
 """Substring deduplication by Rabin-Karp hashes of every fixed-length token window.
 
-Every window of ``WINDOW`` words is hashed from running sums. Per hash Spark finds the
-smallest id of a document that has it: blocks send their distinct hashes with the smallest
-id they know, bucket by bucket, and learn whether a smaller one exists elsewhere. A word is
-removed if a window over it also starts in a document with a smaller id; the removed windows
-merge into maximal intervals. Windows are judged on the input, not on what is left.
+Every window of ``WINDOW`` words is hashed from running sums, twice and independently. A first
+pass counts 48 bits of the one hash: windows that no other shares are done. It only excludes.
+What is left is told apart by both hashes, 128 bits: per window Spark's tasks find the
+smallest id of a document that has it, bucket by bucket, and each block of documents learns
+which of its windows also start in a document with a smaller id. A word is removed if such a
+window covers it; the removed windows merge into maximal intervals. Windows are judged on the
+input, not on what is left.
 
 Defined cases: a null text has no words; texts shorter than a window keep all words; a null
 id counts as larger than any other; rows that repeat an id are one document here, so windows
 shared among them alone stay; an empty table gives an empty result; further columns are
-ignored. Hashes have 64 bits: among n windows about n * n / 2**65 pairs agree by chance.
+ignored. Among n different windows about n * n / 2**129 pairs agree in both hashes by chance.
 """
 
 from __future__ import annotations
@@ -18,35 +20,52 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftgraph.llm import blocks as bl
+from weftgraph.llm.scratch import stage
 
 WINDOW = 13
 LAST = np.iinfo(np.int64).max  #: stands for a null id
+_COARSE = np.uint64(((1 << 64) - 1) ^ 0xFFFF)
+NAMED = np.dtype([("second", np.uint64), ("owner", np.int64)])
 
-ASKED = "bucket int, block long, hashes binary, owners binary"
-REPLIES = "block long, bucket int, bits binary"
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string"
 
 
 class Windows:
-    """The windows of a block: distinct hashes in order, each with its smallest document."""
+    """The windows of a part: where words and windows lie, each window's document and its two hashes."""
 
     def __init__(self, block: bl.Block, window: int):
         self.begin, self.end, self.first = block.words()
-        words = bl.span_hash(bl.byte_sums(block.bytes), self.begin, self.end)
         self.doc = np.repeat(np.arange(len(block.ids)), np.diff(self.first))
-        starts = np.arange(max(0, len(words) - window + 1))
+        starts = np.arange(max(0, len(self.begin) - window + 1))
         self.starts = starts[self.doc[starts] == self.doc[starts + window - 1]] if len(starts) else starts
-        hashes = bl.span_hash(bl.rabin_karp(words), self.starts, self.starts + window)
-        order = np.argsort(hashes, kind="stable")  # documents rise within a hash
-        ranked = hashes[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, bool)
-        self.hashes, self.owner = ranked[new], self.doc[self.starts[order[new]]]
-        self.which = np.empty(len(order), np.int64)
+        self.hashes = []
+        for factor in bl.FACTORS:
+            words = bl.byte_sums(block.bytes, factor).of(self.begin, self.end)
+            self.hashes.append(bl.Sums(words, factor).of(self.starts, self.starts + window))
+        self.ids = known_ids(block)[self.doc[self.starts]]
+
+
+class Named:
+    """A block's windows that may repeat: distinct by both hashes, in order, each with its smallest document."""
+
+    def __init__(self, parts: list[Windows], replies: list | None, by: bl.Cut):
+        first, second = (np.concatenate([w.hashes[i] for w in parts]) for i in (0, 1))
+        ids = np.concatenate([w.ids for w in parts])
+        coarse, which, counts = np.unique(first & _COARSE, return_inverse=True, return_counts=True)
+        self.some = np.flatnonzero(((counts > 1) | bl.said_of(coarse, replies, by))[which])
+        h, g, self.ids = first[self.some], second[self.some], ids[self.some]
+        order = np.lexsort((self.ids, g, h))
+        h, g = h[order], g[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]) if len(h) else np.empty(0, bool)
+        self.hashes = h[new]
+        self.extra = np.empty(int(new.sum()), NAMED)
+        self.extra["second"], self.extra["owner"] = g[new], self.ids[order[new]]
+        self.which = np.empty(len(h), np.int64)
         self.which[order] = np.cumsum(new) - 1
 
 
@@ -54,46 +73,36 @@ def known_ids(block: bl.Block) -> np.ndarray:
     return np.array([LAST if i is None else i for i in block.ids], np.int64)
 
 
-def _ask(window: int, buckets: int):
-    def run(number: int, block: bl.Block, _: dict) -> Iterator[pa.RecordBatch]:
-        w, ids = Windows(block, window), known_ids(block)
-        edges = bl.bucket_edges(w.hashes, buckets)
-        some = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        cut = [slice(edges[b], edges[b + 1]) for b in some]
-        yield bl.table({
-            "bucket": (some, pa.int32()), "block": ([number] * len(some), pa.int64()),
-            "hashes": ([bl.pack_sorted(w.hashes[c]) for c in cut], pa.binary()),
-            "owners": ([_owners(w.owner[c], ids) for c in cut], pa.binary()),
-        })
+def _ask(window: int, by: bl.Cut):
+    def run(number: int, parts: bl.Parts, _: dict) -> Iterator[pa.RecordBatch]:
+        yield bl.cells(number, np.unique(np.concatenate([np.unique(Windows(p, window).hashes[0] & _COARSE) for p in parts])), None, by)
 
     return run
 
 
-def _owners(owner: np.ndarray, ids: np.ndarray) -> bytes:
-    """Documents by their place among those that occur, and the ids of these."""
-    present, place = np.unique(owner, return_inverse=True)
-    one, two = bl.pack_array(ids[present]), bl.pack_array(place.astype(np.uint16))
-    return len(one).to_bytes(4, "little") + one + two
+def _ask_named(window: int, by: bl.Cut):
+    def run(number: int, parts: bl.Parts, row: dict) -> Iterator[pa.RecordBatch]:
+        named = Named([Windows(p, window) for p in parts], row["replies"], by)
+        yield bl.cells(number, named.hashes, named.extra, by)
+
+    return run
 
 
-def _owner_ids(data: bytes) -> np.ndarray:
-    cut = 4 + int.from_bytes(data[:4], "little")
-    return bl.unpack_array(data[4:cut], np.int64)[bl.unpack_array(data[cut:], np.uint16)]
+def _shared(hashes: np.ndarray, _: np.ndarray, __: None) -> np.ndarray:
+    """Whether another block has the hash too."""
+    _, which, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    return counts[which] > 1
 
 
-def _answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    hashes = [bl.unpack_sorted(h) for h in rows["hashes"]]
-    ids = np.concatenate([_owner_ids(o) for o in rows["owners"]])
-    every = np.concatenate(hashes)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    least = np.minimum.reduceat(ids[order], new)
-    smaller = np.empty(len(every), bool)
-    smaller[order] = np.repeat(least, np.diff(np.append(new, len(every)))) < ids[order]
-    cuts = np.cumsum([0, *map(len, hashes)])
-    bits = [bl.packed(np.packbits(smaller[i:j]).tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
-    return pd.DataFrame({"block": rows["block"], "bucket": key[0], "bits": bits})
+def _smaller(hashes: np.ndarray, _: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Whether another block has the window in a document with a smaller id."""
+    order = np.lexsort((extra["second"], hashes))
+    h, g, ids = hashes[order], extra["second"][order], extra["owner"][order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+    least = np.minimum.reduceat(ids, new)
+    out = np.empty(len(h), bool)
+    out[order] = np.repeat(least, np.diff(np.append(new, len(h)))) < ids
+    return out
 
 
 def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:
@@ -104,45 +113,52 @@ def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _remove(window: int, buckets: int):
-    def run(number: int, block: bl.Block, row: dict) -> Iterator[pa.RecordBatch]:
-        w, ids = Windows(block, window), known_ids(block)
-        edges = bl.bucket_edges(w.hashes, buckets)
-        elsewhere = np.zeros(len(w.hashes), bool)
-        for reply in row["replies"] or []:
-            i, j = edges[reply["bucket"]], edges[reply["bucket"] + 1]
-            elsewhere[i:j] = np.unpackbits(np.frombuffer(bl.unpacked(reply["bits"]), np.uint8), count=j - i)
-        own = ids[w.doc[w.starts]]
-        gone = elsewhere[w.which] | (own > ids[w.owner][w.which])
-        off = covered(w.starts[gone], window, len(w.begin))
-        first = w.first
-        removed = np.concatenate([[0], np.cumsum(off)])
-        rises = np.concatenate([[0], np.cumsum(off & ~np.concatenate([[False], off[:-1] & (w.doc[1:] == w.doc[:-1])]))]) if len(off) else np.zeros(1, int)
-        kept = np.flatnonzero(~off)
-        steps = np.zeros(len(block.bytes) + 1, np.int8)
-        steps[w.begin[kept]] += 1
-        steps[w.end[kept]] -= 1
-        keep, data = np.cumsum(steps[:-1]).astype(bool), block.bytes.copy()
-        more = kept[:-1][w.doc[kept[1:]] == w.doc[kept[:-1]]] if len(kept) else kept
-        keep[w.end[more]], data[w.end[more]] = True, 32
-        at = np.concatenate([[0], np.cumsum(keep)])
-        left = data[keep].tobytes()
-        digest = [hashlib.sha256(left[at[i] : at[j]]).hexdigest() for i, j in zip(block.begin, block.end, strict=True)]
-        yield bl.table({
-            "doc_id": (block.ids, pa.int64()), "n_words": (np.diff(first), pa.int64()), "n_removed": (removed[first[1:]] - removed[first[:-1]], pa.int64()),
-            "n_spans": (rises[first[1:]] - rises[first[:-1]], pa.int64()), "kept_sha256": (digest, pa.string()),
-        })
+def _remove(window: int, by: bl.Cut):
+    def run(number: int, parts: bl.Parts, row: dict) -> Iterator[pa.RecordBatch]:
+        windows = [Windows(p, window) for p in parts]
+        named = Named(windows, row["replies"], by)
+        elsewhere = bl.said_of(named.hashes, row["answers"], by)
+        gone = np.zeros(sum(len(w.starts) for w in windows), bool)
+        gone[named.some] = elsewhere[named.which] | (named.ids > named.extra["owner"][named.which])
+        at = 0
+        for part, w in zip(parts, windows, strict=True):
+            yield _result(part, w, w.starts[gone[at : at + len(w.starts)]], window)
+            at += len(w.starts)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def _result(block: bl.Block, w: Windows, gone: np.ndarray, window: int) -> pa.RecordBatch:
+    """The rows of a part whose windows that start at ``gone`` are removed."""
+    off = covered(gone, window, len(w.begin))
+    first = w.first
+    removed = np.concatenate([[0], np.cumsum(off)])
+    rises = np.concatenate([[0], np.cumsum(off & ~np.concatenate([[False], off[:-1] & (w.doc[1:] == w.doc[:-1])]))]) if len(off) else np.zeros(1, int)
+    kept = np.flatnonzero(~off)
+    steps = np.zeros(len(block.bytes) + 1, np.int8)
+    steps[w.begin[kept]] += 1
+    steps[w.end[kept]] -= 1
+    keep, data = np.cumsum(steps[:-1]).astype(bool), block.bytes.copy()
+    more = kept[:-1][w.doc[kept[1:]] == w.doc[kept[:-1]]] if len(kept) else kept
+    keep[w.end[more]], data[w.end[more]] = True, 32
+    at = np.concatenate([[0], np.cumsum(keep)])
+    left = data[keep].tobytes()
+    digest = [hashlib.sha256(left[at[i] : at[j]]).hexdigest() for i, j in zip(block.begin, block.end, strict=True)]
+    return bl.table({
+        "doc_id": (block.ids, pa.int64()), "n_words": (np.diff(first), pa.int64()), "n_removed": (removed[first[1:]] - removed[first[:-1]], pa.int64()),
+        "n_spans": (rises[first[1:]] - rises[first[:-1]], pa.int64()), "kept_sha256": (digest, pa.string()),
+    })
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, bucket_bytes: int = bl.BUCKET_BYTES, fan: int = bl.FAN_BITS) -> DataFrame:
     """Per document: words, removed words, maximal removed runs, digest of what is kept."""
     blocks = bl.make_blocks(docs, id_col, text_col)
-    buckets = bl.bucket_count(blocks)
-    asked = bl.each_block(blocks, _ask(window, buckets), ASKED)
-    replies = asked.groupBy("bucket").applyInPandas(_answer, REPLIES)
-    return bl.each_block(bl.with_replies(blocks, replies), _remove(window, buckets), RESULT)
+    by = bl.bucket_cut(blocks, bucket_bytes, fan)
+    replies = stage(bl.answered(bl.each_block(blocks, _ask(window, by), bl.CELLS), by, _shared), "replies")
+    known = bl.with_replies(blocks, replies)
+    answers = bl.answered(bl.each_block(known, _ask_named(window, by), bl.CELLS), by, _smaller, NAMED)
+    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    return bl.each_block(known.join(by_block, "block", "left"), _remove(window, by), RESULT)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,10 +3,10 @@
 From each rule's pattern a Boolean query over trigrams is derived: every match must hold
 all trigrams of one alternative of each of its literal runs. The index lists, per trigram
 that some query names, the documents that have it; postings meet per document, queries are
-evaluated on them, and only candidates are verified with the pattern. So that only their
-texts are shuffled, the scan that reads texts again passes on just those that hold all
-trigrams of some query or match a rule without mandatory trigrams (the hex rule alone),
-which is tried on every text.
+evaluated on them, and only candidates are verified with the pattern. The scan that makes the
+postings writes along the texts that they can be asked for, so that no other text is read
+again or shuffled: those that hold all trigrams of some query, or match a rule without
+mandatory trigrams (the hex rule alone), which is tried on every text.
 
 Spark has no function for the places of matches; they are the running sums of the lengths
 of the parts that ``split`` leaves between them and of the matches themselves.
@@ -22,9 +22,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,11 +117,11 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("hash"), F.length(text).alias("points"))
 
 
-def trigram_index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (trigram, id, h) of (id, h, text) for the given trigrams."""
-    low = docs.select("id", "h", F.lower("text").alias("low"))
+def trigrams_of(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """``docs`` with ``have``, the given trigrams that the lower-cased text holds."""
+    low = docs.withColumn("low", F.lower("text"))
     has = F.array_compact(F.array(*[F.when(F.col("low").contains(t), t) for t in trigrams]))
-    return low.select("id", "h", has.alias("have")).select(F.explode("have").alias("trigram"), "id", "h")
+    return low.withColumn("have", has).drop("low")
 
 
 def fulfilled(query: list[list[frozenset[str]]], has) -> Column:
@@ -162,16 +160,18 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("id"), text_key(text).alias("h"), text.alias("text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in queries.values() for run in q for need in run for t in need})
-    index = stage(trigram_index(base, trigrams), "trigrams")
-    wanted = candidates(index, queries).withColumnsRenamed({"id": "id2", "h": "h2"})
     scans = [r for r in rules if r.kind not in queries]
     hit = F.lit(False)
     for r in scans:
         hit = hit | F.col("text").rlike(r.pattern)
-    some = F.lit(False)
+    likely = F.col("scanned")
     for q in queries.values():
-        some = some | fulfilled(q, lambda need: reduce(and_, [F.col("low").contains(t) for t in need]))
-    texts = base.withColumn("low", F.lower("text")).select("id", "h", "text", hit.alias("scanned"), some.alias("likely")).where("scanned OR likely")
+        likely = likely | fulfilled(q, lambda need: F.size(F.array_except(F.array(*map(F.lit, need)), "have")) == 0)
+    seen = trigrams_of(base, trigrams).withColumn("scanned", hit)
+    seen = stage(seen.select("id", "h", "have", "scanned", F.when(likely, F.col("text")).alias("text")), "trigrams")
+    index = seen.select(F.explode("have").alias("trigram"), "id", "h")
+    wanted = candidates(index, queries).withColumnsRenamed({"id": "id2", "h": "h2"})
+    texts = seen.where("text IS NOT NULL").select("id", "h", "text", "scanned")
     met = texts.join(wanted, texts["id"].eqNullSafe(wanted["id2"]) & (texts["h"] == wanted["h2"]), "left")
     read = met.where("scanned OR kinds IS NOT NULL").dropDuplicates(["id", "h"])
     found = []

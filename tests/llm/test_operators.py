@@ -44,9 +44,9 @@ def bag(df, *columns):
     return Counter(tuple(r) for r in df.select(*columns).collect())
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix_dedup(docs, hot):
-    got = suffix_dedup.remove_repeats(docs, length=60, anchor=12, hot=hot)
+@pytest.mark.parametrize("cut", [{}, {"bucket_bytes": 3000, "fan": 2}])
+def test_suffix_dedup(docs, cut):
+    got = suffix_dedup.remove_repeats(docs, length=60, anchor=12, **cut)
     assert bag(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute.suffix(messy(), 60))
 
 

@@ -8,16 +8,22 @@ the texts stably by it (the Burrows-Wheeler step) and updates the common prefixe
 neighbours. A window is repeated if, in the round of its first symbol, it shares ``LENGTH``
 symbols with a neighbour.
 
-Most groups need no rounds: an anchor that occurs once has no repeat, and texts that agree
-in full are repeated in full; hashes settle both. Groups are dealt to buckets of bounded
-size and read as the shuffle's sequential files. A group of very many different texts (a
-common passage between different neighbours) is not gathered: its windows are counted by
-hash, spread over all buckets.
+What comes before the rounds, for groups of every size alike, leaves out what they need not see:
+
+1. Runs of windows with one anchor are texts. Blocks ask which of their texts occur elsewhere
+   and which anchors have different texts. A text that occurs twice is repeated in full; texts
+   are told apart by 128 bits. An anchor with one text is done.
+2. Of the other texts' windows, those whose 64-bit hash occurs once are unique. This only
+   excludes.
+3. Runs of what is left are sent as bytes. Equal ones meet first, spread by their contents so
+   that a common passage is no hot key; one of each goes on to the rounds of its anchor.
+
+The files of each step are those of Spark's shuffle, read in sequence.
 
 Defined cases: a null text counts as empty; texts shorter than ``LENGTH`` keep all bytes; a
 repeat may lie in the same document, overlaps included; repeated rows are documents of their
 own, and repeat each other; null ids are kept; an empty table gives an empty result; further
-columns are ignored. Single documents are held in memory whole, up to a gigabyte.
+columns are ignored. A single document is held in memory whole.
 """
 
 from __future__ import annotations
@@ -37,16 +43,16 @@ from weftgraph.llm.window_dedup import covered
 
 LENGTH = 400
 ANCHOR = 48
-HOT = 20_000  #: different texts of one anchor beyond which their windows are counted instead
 _U = np.uint64
-_PLACE = _U(30)
-
-ASKED = "bucket int, block long, anchors binary, texts binary, counts binary"
-CLASSES = "block long, bucket int, kinds binary"
-SENT = "kind int, bucket int, block long, a binary, b binary, c binary, d binary"
-ANSWERS = "block long, kind int, bucket int, bits binary"
+_PLACE = _U(32)  #: bits of a place in a part; no text is longer
+_ONE = _U(1)
+
+#: Entries of the first question. Of texts: second hash and count; of anchors: smallest and largest text hash.
+ABOUT = np.dtype([("x", np.uint64), ("y", np.uint64)])
+SENT = "bucket long, block long, places binary, anchors binary, offs binary, runs binary, copies binary, text binary"
+MET = "bucket long, blocks binary, places binary, anchors binary, offs binary, runs binary, text binary, whole array<struct<block:bigint,places:binary>>"
+ANSWERS = "block long, whole binary, place int, bits binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-WHOLE, SEND, COUNT = 1, 2, 4
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -58,124 +64,218 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], forth[width - 1 : width - 1 + n])
 
 
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a new combination begins in columns sorted together."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    differs = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        differs |= c[1:] != c[:-1]
+    return np.concatenate([[0], np.flatnonzero(differs) + 1])
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] of them), then the same for the next."""
+    before = np.cumsum(size) - size
+    return np.repeat(begin - before, size) + np.arange(size.sum())
+
+
 class Anchored:
-    """A block's windows in runs of one anchor, and the distinct (anchor, text) of the runs."""
+    """A part's windows in runs of one anchor, and the distinct texts of the runs."""
 
     def __init__(self, block: bl.Block, length: int, anchor: int):
+        self.bytes, self.length, self.docs = block.bytes, length, (block.ids, block.begin, block.end)
         self.sums = bl.byte_sums(block.bytes)
+        second = bl.byte_sums(block.bytes, bl.FACTORS[1])
         n = len(block.bytes)
         starts = np.concatenate([np.arange(i, j - length + 1) for i, j in zip(block.begin, block.end, strict=True) if j - i >= length] or [np.empty(0, np.int64)])
         at = np.arange(max(0, n - anchor + 1))
-        short = bl.span_hash(self.sums, at, at + anchor)
+        short = self.sums.of(at, at + anchor)
         if len(starts):
             near = sliding_min((short >> _PLACE << _PLACE) | at.astype(_U), length - anchor + 1)[starts]
-            place = (near & _U((1 << 30) - 1)).astype(np.int64)
+            place = (near & _U((1 << 32) - 1)).astype(np.int64)
         else:
             place = starts
-        new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else starts
+        new = _heads(place)
         last = np.append(new[1:], len(place)) - 1
-        self.begin, self.run, self.off = starts[new], last - new + 1, place[new] - starts[new]
-        self.length = length
-        self.anchor = bl.mixed(short[place[new]])  # anchors are small hashes; mixed again, they fill all buckets alike
-        text = bl.span_hash(self.sums, self.begin, self.begin + self.run + length - 1) ^ bl.mixed(self.off.astype(_U))
-        order = np.lexsort((text, self.anchor))
-        a, t = self.anchor[order], text[order]
-        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1])]) if len(a) else np.empty(0, bool)
-        head = np.flatnonzero(fresh)
-        self.anchors, self.texts, self.first = a[head], t[head], order[head]  # distinct; first: one of its runs
-        self.counts = np.diff(np.append(head, len(a)))
+        self.begin, self.run, self.off = starts[new], (last - new + 1)[: len(new)], place[new] - starts[new]
+        anchors = bl.mixed(short[place[new]]) | _ONE  # anchors are small hashes; mixed again, they fill all buckets alike
+        end = self.begin + self.run + length - 1
+        mark = bl.mixed(self.off.astype(_U) ^ anchors)
+        one, two = (self.sums.of(self.begin, end) ^ mark) & ~_ONE, second.of(self.begin, end) ^ mark
+        order = np.lexsort((two, one))
+        head = _heads(one[order], two[order])
+        self.texts, self.seconds = one[order][head], two[order][head]  # distinct texts; first: a run of each
+        self.first, self.counts = order[head], np.diff(np.append(head, len(order)))
+        self.anchors = anchors[self.first]
         self.which = np.empty(len(order), np.int64)
-        self.which[order] = np.cumsum(fresh) - 1
+        self.which[order] = np.repeat(np.arange(len(head)), self.counts)
+
+
+class Known:
+    """A block's parts, its first question, and what was said to it."""
+
+    def __init__(self, parts: bl.Parts, length: int, anchor: int):
+        self.parts = [Anchored(p, length, anchor) for p in parts]
+        texts, seconds, anchors, counts = (np.concatenate([getattr(w, n) for w in self.parts]) for n in ("texts", "seconds", "anchors", "counts"))
+        order = np.lexsort((seconds, texts))
+        head = _heads(texts[order], seconds[order])
+        by_anchor = np.lexsort((texts, anchors))
+        a_head = _heads(anchors[by_anchor])
+        self.hashes = np.concatenate([texts[order][head], anchors[by_anchor][a_head]])
+        self.extra = np.empty(len(self.hashes), ABOUT)
+        t = len(head)
+        self.extra["x"][:t] = seconds[order][head]
+        self.extra["y"][:t] = np.minimum(np.add.reduceat(counts[order], head), 2) if t else 0
+        self.extra["x"][t:] = texts[by_anchor][a_head]
+        self.extra["y"][t:] = texts[by_anchor][np.append(a_head[1:], len(by_anchor)) - 1] if t else 0
+        sort = np.lexsort((self.extra["x"], self.hashes))
+        self.hashes, self.extra = self.hashes[sort], self.extra[sort]
+
+    def hear(self, replies: list | None, by: bl.Cut) -> None:
+        """Per part and distinct text: is it repeated in full, does its anchor have other texts."""
+        said = bl.said_of(self.hashes, replies, by)
+        anchors = (self.hashes & _ONE) > 0
+        many = self.hashes[anchors & said]
+        repeated = {(int(h), int(x)) for h, x in zip(self.hashes[~anchors & said], self.extra["x"][~anchors & said], strict=True)}
+        for w in self.parts:
+            w.whole = np.fromiter(((int(h), int(x)) in repeated for h, x in zip(w.texts, w.seconds, strict=True)), bool, len(w.texts))
+            w.mixed = np.isin(w.anchors, many)
+
+
+def _about(hashes: np.ndarray, _: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Of texts: whether they occur twice or more. Of anchors: whether they have different texts."""
+    x, y = extra["x"], extra["y"]
+    order = np.lexsort((x, hashes))
+    h, x, y = hashes[order], x[order], y[order]
+    text = (h & _ONE) == 0
+    head = _heads(h, np.where(text, x, 0))
+    size = np.diff(np.append(head, len(h)))
+    total, low, high = np.add.reduceat(np.where(text, y, 0), head), np.minimum.reduceat(x, head), np.maximum.reduceat(y, head)
+    out = np.empty(len(h), bool)
+    out[order] = np.repeat(np.where(text[head], total > 1, low != high), size)
+    return out
+
+
+def _ask(length: int, anchor: int, by: bl.Cut):
+    def run(number: int, parts: bl.Parts, _: dict) -> Iterator[pa.RecordBatch]:
+        known = Known(parts, length, anchor)
+        yield bl.cells(number, known.hashes, known.extra, by)
 
+    return run
 
-def _ask(length: int, anchor: int, buckets: int):
-    def run(number: int, block: bl.Block, _: dict) -> Iterator[pa.RecordBatch]:
-        w = Anchored(block, length, anchor)
-        edges = bl.bucket_edges(w.anchors, buckets)
-        some = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        cut = [slice(edges[b], edges[b + 1]) for b in some]
-        yield bl.table({
-            "bucket": (some, pa.int32()), "block": ([number] * len(some), pa.int64()),
-            "anchors": ([bl.pack_sorted(w.anchors[c]) for c in cut], pa.binary()), "texts": ([bl.pack_array(w.texts[c]) for c in cut], pa.binary()),
-            "counts": ([bl.pack_array(np.minimum(w.counts[c], 2).astype(np.uint8)) for c in cut], pa.binary()),
-        })
 
-    return run
+def _counted(known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the windows of texts whose anchors have others, and how often they occur, up to twice."""
+    hashes, weights = [np.empty(0, _U)], [np.empty(0, np.int64)]
+    for w in known.parts:
+        chosen = np.flatnonzero(w.mixed)
+        runs = w.first[chosen]
+        starts = _spread(w.begin[runs], w.run[runs])
+        hashes.append(w.sums.of(starts, starts + w.length))
+        weights.append(np.repeat(np.where(w.whole[chosen], 2, 1), w.run[runs]))
+    every, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    return every, np.minimum(np.bincount(which, weights=np.concatenate(weights), minlength=len(every)), 2).astype(np.uint8)
 
 
-def _heads(*columns: np.ndarray) -> np.ndarray:
-    """Where a new combination begins in columns sorted together."""
-    differs = np.zeros(max(0, len(columns[0]) - 1), bool)
-    for c in columns:
-        differs |= c[1:] != c[:-1]
-    return np.concatenate([[0], np.flatnonzero(differs) + 1])
+def _often(hashes: np.ndarray, _: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    _, which = np.unique(hashes, return_inverse=True)
+    return np.bincount(which, weights=counts)[which] > 1
 
 
-def _classify(hot: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("block")
-        parts = [bl.unpack_sorted(x) for x in rows["anchors"]]
-        anchors = np.concatenate(parts)
-        texts = np.concatenate([bl.unpack_array(x, np.uint64) for x in rows["texts"]])
-        counts = np.concatenate([bl.unpack_array(x, np.uint8) for x in rows["counts"]]).astype(np.int64)
-        order = np.lexsort((texts, anchors))
-        a, t = anchors[order], texts[order]
-        head = _heads(a, t)
-        size = np.diff(np.append(head, len(a)))
-        total = np.add.reduceat(counts[order], head)
-        groups = _heads(a[head])
-        different = np.repeat(np.diff(np.append(groups, len(head))), np.diff(np.append(groups, len(head))))
-        kinds = np.repeat(np.where(total > 1, WHOLE, 0), size)
-        kinds[head] |= np.where(different > hot, COUNT, np.where(different > 1, SEND, 0))
-        back = np.empty(len(order), np.uint8)
-        back[order] = kinds
-        cuts = np.cumsum([0, *map(len, parts)])
-        return pd.DataFrame({"block": rows["block"], "bucket": key[0], "kinds": [bl.packed(back[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]})
+def _count(length: int, anchor: int, by: bl.Cut):
+    def run(number: int, parts: bl.Parts, row: dict) -> Iterator[pa.RecordBatch]:
+        known = Known(parts, length, anchor)
+        known.hear(row["replies"], by)
+        yield bl.cells(number, *_counted(known), by)
 
     return run
 
 
-def _kinds(w: Anchored, edges: np.ndarray, replies: list | None) -> np.ndarray:
-    kinds = np.zeros(len(w.anchors), np.uint8)
-    for r in replies or []:
-        kinds[edges[r["bucket"]] : edges[r["bucket"] + 1]] = np.frombuffer(bl.unpacked(r["kinds"]), np.uint8)
-    return kinds
+class Pieces:
+    """A block's distinct runs of windows that may repeat, in order of part and place."""
+
+    def __init__(self, known: Known, replies: list | None, by: bl.Cut):
+        hashes, counts = _counted(known)
+        often = hashes[bl.said_of(hashes, replies, by) | (counts > 1)]
+        rows: dict[tuple, int] = {}
+        self.rows, self.copies, self.at = [], [], []
+        for w in known.parts:
+            runs = w.first[np.flatnonzero(w.mixed)]
+            starts = _spread(w.begin[runs], w.run[runs])
+            some = np.isin(w.sums.of(starts, starts + w.length), often)
+            owner = np.repeat(np.arange(len(runs)), w.run[runs])
+            head = np.flatnonzero(some & ~(np.concatenate([[False], some[:-1] & (owner[1:] == owner[:-1])]) if len(some) else some))
+            tail = np.flatnonzero(some & ~(np.concatenate([some[1:] & (owner[1:] == owner[:-1]), [False]]) if len(some) else some))
+            for i, j in zip(head.tolist(), tail.tolist(), strict=True):
+                r = runs[owner[i]]
+                begin, n = int(starts[i]), j - i + 1
+                piece = (int(w.anchors[w.which[r]]), int(w.off[r] - (begin - w.begin[r])), w.bytes[begin : begin + n + w.length - 1].tobytes())
+                place = rows.setdefault(piece, len(self.rows))
+                if place == len(self.rows):
+                    self.rows.append((*piece, n))
+                    self.copies.append(0)
+                self.copies[place] += 1
+                self.at.append((w, begin, n, place))
+
+
+def _send(length: int, anchor: int, by: bl.Cut):
+    def run(number: int, parts: bl.Parts, row: dict) -> Iterator[pa.RecordBatch]:
+        known = Known(parts, length, anchor)
+        known.hear(row["replies"], by)
+        pieces = Pieces(known, row["counted"], by)
+        keys = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "big") for _, _, t, _ in pieces.rows], _U)
+        order = np.argsort(keys, kind="stable")
+        cut = bl.ranges(keys[order], by.bits)
+        packs: list[list] = [[] for _ in range(6)]
+        for _, c in cut:
+            some = [pieces.rows[i] for i in order[c]]
+            columns = (order[c].astype(np.uint32), np.array([x[0] for x in some], _U), np.array([x[1] for x in some], np.uint16), np.array([x[3] for x in some], np.uint16), np.minimum([pieces.copies[i] for i in order[c]], 2).astype(np.uint8))
+            for pack, column in zip(packs, columns, strict=False):
+                pack.append(bl.pack_array(column))
+            packs[5].append(bl.packed(b"".join(x[2] for x in some)))
+        names = ("places", "anchors", "offs", "runs", "copies", "text")
+        yield bl.table({"bucket": ([b for b, _ in cut], pa.int64()), "block": ([number] * len(cut), pa.int64())} | {n: (p, pa.binary()) for n, p in zip(names, packs, strict=True)})
 
+    return run
 
-def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... (size[0] of them), then the same for the next."""
-    before = np.cumsum(size) - size
-    return np.repeat(begin - before, size) + np.arange(size.sum())
+
+def _unpacked_texts(rows: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Places, anchors, offsets, runs and texts, row after row."""
+    kinds = {"places": np.uint32, "anchors": np.uint64, "offs": np.uint16, "runs": np.uint16}
+    places, anchors, offs, runs = (np.concatenate([bl.unpack_array(x, kind) for x in rows[name]]).astype(np.uint64 if name == "anchors" else np.int64) for name, kind in kinds.items())
+    data = b"".join(map(bl.unpacked, rows["text"]))
+    end = np.cumsum(runs + length - 1)
+    return places, anchors, offs, runs, [data[j - n : j] for j, n in zip(end.tolist(), (runs + length - 1).tolist(), strict=True)]
 
 
-def _windows(w: Anchored, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the runs to be counted: window starts, distinct hashes, each start's hash, and counts."""
-    chosen = np.flatnonzero(kinds & COUNT)
-    runs = w.first[chosen]
-    starts = _spread(w.begin[runs], w.run[runs])
-    hashes, which = np.unique(bl.span_hash(w.sums, starts, starts + w.length), return_inverse=True)
-    weight = np.repeat(np.where(kinds[chosen] & WHOLE, 2, 1), w.run[runs])
-    return starts, hashes, which, np.bincount(which, weights=weight, minlength=len(hashes))
-
-
-def _send(length: int, anchor: int, buckets: int):
-    def run(number: int, block: bl.Block, row: dict) -> Iterator[pa.RecordBatch]:
-        w = Anchored(block, length, anchor)
-        edges = bl.bucket_edges(w.anchors, buckets)
-        kinds, out = _kinds(w, edges, row["replies"]), []
-        for b in range(buckets):
-            at = np.arange(edges[b], edges[b + 1])
-            if len(at := at[(kinds[at] & SEND) > 0]):
-                runs = w.first[at]
-                text = block.bytes[_spread(w.begin[runs], w.run[runs] + length - 1)]
-                out.append((0, b, number, bl.pack_sorted(w.anchors[at]), bl.pack_array(w.off[runs].astype(np.uint16)), bl.pack_array(w.run[runs].astype(np.uint16)), bl.packed(text.tobytes())))
-        _, hashes, _, counts = _windows(w, kinds)
-        edges = bl.bucket_edges(hashes, buckets)
-        for b in np.flatnonzero(np.diff(edges)):
-            cut = slice(edges[b], edges[b + 1])
-            out.append((1, int(b), number, bl.pack_sorted(hashes[cut]), bl.pack_array(np.minimum(counts[cut], 2).astype(np.uint8)), b"", b""))
-        types = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
-        yield bl.table({n: ([o[i] for o in out], t) for i, (n, t) in enumerate(zip(("kind", "bucket", "block", "a", "b", "c", "d"), types, strict=True))})
+def _meet(length: int, by: bl.Cut):
+    """Equal pieces, byte by byte: all of them are repeated; one of each goes on to its anchor's rounds."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        places, anchors, offs, runs, texts = _unpacked_texts(rows, length)
+        counts = [bl.unpack_array(x, np.uint8) for x in rows["copies"]]
+        blocks, copies = np.repeat(rows["block"].to_numpy(), [len(c) for c in counts]), np.concatenate(counts)
+        groups: dict[tuple, list[int]] = {}
+        for i, piece in enumerate(zip(anchors.tolist(), offs.tolist(), texts, strict=True)):
+            groups.setdefault(piece, []).append(i)
+        whole = np.zeros(len(texts), bool)
+        for members in groups.values():
+            whole[members] = len(members) > 1 or copies[members[0]] > 1
+        # one of each goes on, without an owner if it is decided here
+        one = np.array([m[0] for m in groups.values()])
+        one = one[np.argsort(anchors[one], kind="stable")]
+        owner = np.where(whole[one], -1, blocks[one])
+        out = []
+        for b, c in bl.ranges(anchors[one], by.bits):
+            at = one[c]
+            out.append((b, bl.pack_array(owner[c]), bl.pack_array(places[at].astype(np.uint32)), bl.pack_array(anchors[at]), bl.pack_array(offs[at].astype(np.uint16)), bl.pack_array(runs[at].astype(np.uint16)), bl.packed(b"".join(texts[i] for i in at)), None))
+        told = [{"block": int(b), "places": bl.pack_array(places[whole & (blocks == b)].astype(np.uint32))} for b in np.unique(blocks[whole])]
+        if told:
+            out.append((None, *[None] * 6, told))
+        names = ["bucket", "blocks", "places", "anchors", "offs", "runs", "text", "whole"]
+        return pd.DataFrame(out, columns=names).astype({"bucket": "Int64"})
 
     return run
 
@@ -219,84 +319,66 @@ def repeated_windows(group: np.ndarray, off: np.ndarray, run: np.ndarray, text:
     return answer
 
 
-def _judge_texts(rows: pd.DataFrame, length: int, anchor: int) -> list[bytes]:
-    group = [bl.unpack_sorted(x) for x in rows["a"]]
-    off = np.concatenate([bl.unpack_array(x, np.uint16) for x in rows["b"]]).astype(np.int64)
-    runs = [bl.unpack_array(x, np.uint16).astype(np.int64) for x in rows["c"]]
-    run, text = np.concatenate(runs), np.frombuffer(b"".join(map(bl.unpacked, rows["d"])), np.uint8)
-    anchors = np.concatenate(group)
-    order = np.argsort(anchors, kind="stable")
-    size = run + length - 1
-    begin = np.cumsum(size) - size
-    found = repeated_windows(anchors[order], off[order], run[order], text[_spread(begin[order], size[order])], length, anchor)
-    bits = np.empty(len(found), bool)
-    bits[_spread((np.cumsum(run) - run)[order], run[order])] = found
-    cuts = np.cumsum([0, *(r.sum() for r in runs)])
-    return [bl.packed(np.packbits(bits[i:j]).tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
-
-
-def _judge_counts(rows: pd.DataFrame) -> list[bytes]:
-    hashes = [bl.unpack_sorted(x) for x in rows["a"]]
-    _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-    more = (np.bincount(which, weights=np.concatenate([bl.unpack_array(x, np.uint8) for x in rows["b"]])) > 1)[which]
-    cuts = np.cumsum([0, *map(len, hashes)])
-    return [bl.packed(np.packbits(more[i:j]).tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
-
-
 def _judge(length: int, anchor: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bits = _judge_counts(rows) if key[0] else _judge_texts(rows, length, anchor)
-        return pd.DataFrame({"block": rows["block"], "kind": key[0], "bucket": key[1], "bits": bits})
+        places, anchors, offs, runs, texts = _unpacked_texts(rows, length)
+        blocks = np.concatenate([bl.unpack_array(x, np.int64) for x in rows["blocks"]])
+        order = np.argsort(anchors, kind="stable")
+        found = repeated_windows(anchors[order], offs[order], runs[order], np.frombuffer(b"".join(texts[i] for i in order), np.uint8), length, anchor)
+        end = np.cumsum(runs[order])
+        out = [(int(blocks[i]), None, int(places[i]), bl.packed(np.packbits(found[j - runs[i] : j]).tobytes())) for i, j in zip(order.tolist(), end.tolist(), strict=True) if blocks[i] >= 0 and found[j - runs[i] : j].any()]
+        return pd.DataFrame(out, columns=["block", "whole", "place", "bits"]).astype({"block": "int64", "place": "Int64"})
 
     return run
 
 
-def _bits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bl.unpacked(data), np.uint8), count=n).astype(bool)
-
-
-def _remove(length: int, anchor: int, buckets: int):
-    def run(number: int, block: bl.Block, row: dict) -> Iterator[pa.RecordBatch]:
-        w = Anchored(block, length, anchor)
-        edges = bl.bucket_edges(w.anchors, buckets)
-        kinds = _kinds(w, edges, row["replies"])
-        whole = np.flatnonzero((kinds[w.which] & WHOLE) > 0)
-        gone = [_spread(w.begin[whole], w.run[whole])]
-        starts, hashes, which, _ = _windows(w, kinds)
-        more, hash_edges = np.zeros(len(hashes), bool), bl.bucket_edges(hashes, buckets)
+def _remove(length: int, anchor: int, by: bl.Cut):
+    def run(number: int, parts: bl.Parts, row: dict) -> Iterator[pa.RecordBatch]:
+        known = Known(parts, length, anchor)
+        known.hear(row["replies"], by)
+        pieces = Pieces(known, row["counted"], by)
+        gone: list[np.ndarray | None] = [None] * len(pieces.rows)
         for r in row["answers"] or []:
-            b = r["bucket"]
-            if r["kind"]:
-                more[hash_edges[b] : hash_edges[b + 1]] = _bits(r["bits"], hash_edges[b + 1] - hash_edges[b])
+            if r["whole"] is not None:
+                for place in bl.unpack_array(r["whole"], np.uint32).tolist():
+                    gone[place] = np.ones(pieces.rows[place][3], bool)
             else:
-                at = np.arange(edges[b], edges[b + 1])
-                runs = w.first[at[(kinds[at] & SEND) > 0]]
-                windows = _spread(w.begin[runs], w.run[runs])
-                gone.append(windows[_bits(r["bits"], len(windows))])
-        gone.append(starts[more[which]])
-        off = covered(np.unique(np.concatenate(gone)), length, len(block.bytes))
-        removed = np.concatenate([[0], np.cumsum(off)])
-        rises = np.concatenate([[0], np.cumsum(off & ~np.concatenate([[False], off[:-1]]))])
-        digest = [hashlib.sha256(block.bytes[i:j][~off[i:j]].tobytes()).hexdigest() for i, j in zip(block.begin, block.end, strict=True)]
-        yield bl.table({
-            "doc_id": (block.ids, pa.int64()), "n_bytes": (block.end - block.begin, pa.int64()), "n_removed": (removed[block.end] - removed[block.begin], pa.int64()),
-            "n_spans": (rises[block.end] - rises[block.begin], pa.int64()), "kept_sha256": (digest, pa.string()),
-        })
+                gone[r["place"]] = np.unpackbits(np.frombuffer(bl.unpacked(r["bits"]), np.uint8), count=pieces.rows[r["place"]][3]).astype(bool)
+        for w in known.parts:
+            whole = np.flatnonzero(w.whole[w.which])
+            starts = [_spread(w.begin[whole], w.run[whole])] + [begin + np.flatnonzero(gone[place]) for part, begin, _, place in pieces.at if part is w and gone[place] is not None]
+            yield _result(w, np.unique(np.concatenate(starts)))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+def _result(w: Anchored, gone: np.ndarray) -> pa.RecordBatch:
+    """The rows of a part whose windows that start at ``gone`` are removed."""
+    ids, begin, end = w.docs
+    off = covered(gone, w.length, len(w.bytes))
+    removed = np.concatenate([[0], np.cumsum(off)])
+    rises = np.concatenate([[0], np.cumsum(off & ~np.concatenate([[False], off[:-1]]))])
+    digest = [hashlib.sha256(w.bytes[i:j][~off[i:j]].tobytes()).hexdigest() for i, j in zip(begin, end, strict=True)]
+    return bl.table({
+        "doc_id": (ids, pa.int64()), "n_bytes": (end - begin, pa.int64()), "n_removed": (removed[end] - removed[begin], pa.int64()),
+        "n_spans": (rises[end] - rises[begin], pa.int64()), "kept_sha256": (digest, pa.string()),
+    })
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, bucket_bytes: int = bl.BUCKET_BYTES, fan: int = bl.FAN_BITS) -> DataFrame:
     """Per document: bytes, removed bytes, maximal removed runs, digest of what is kept."""
     blocks = bl.make_blocks(docs, id_col, text_col)
-    buckets = bl.bucket_count(blocks)
-    asked = bl.each_block(blocks, _ask(length, anchor, buckets), ASKED)
-    replies = stage(asked.groupBy("bucket").applyInPandas(_classify(hot), CLASSES), "classes")
+    by = bl.bucket_cut(blocks, bucket_bytes, fan)
+    replies = stage(bl.answered(bl.each_block(blocks, _ask(length, anchor, by), bl.CELLS), by, _about, ABOUT), "about")
     known = bl.with_replies(blocks, replies)
-    sent = bl.each_block(known, _send(length, anchor, buckets), SENT)
-    answers = sent.groupBy("kind", "bucket").applyInPandas(_judge(length, anchor), ANSWERS)
-    by_block = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "bits")).alias("answers"))
-    return bl.each_block(known.join(by_block, "block", "left"), _remove(length, anchor, buckets), RESULT)
+    counted = stage(bl.answered(bl.each_block(known, _count(length, anchor, by), bl.CELLS), by, _often, np.uint8), "counted")
+    known = known.join(counted.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("counted")), "block", "left")
+    met = bl.each_block(known, _send(length, anchor, by), SENT).groupBy("bucket").applyInPandas(_meet(length, by), MET)
+    met = stage(met, "met")
+    told = met.select(F.explode("whole").alias("w")).select(F.col("w.block").alias("block"), F.col("w.places").alias("whole"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("binary").alias("bits"))
+    judged = met.where("bucket IS NOT NULL").groupBy("bucket").applyInPandas(_judge(length, anchor), ANSWERS)
+    answers = told.unionByName(judged).groupBy("block").agg(F.collect_list(F.struct("whole", "place", "bits")).alias("answers"))
+    return bl.each_block(known.join(answers, "block", "left"), _remove(length, anchor, by), RESULT)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,11 @@ executor can read, so a lost executor costs no more than the tasks it was runnin
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -19,12 +22,15 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder; a temporary one, deleted at exit, only where none is set and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="spark-weft-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
     return _OWN[0]
 
 

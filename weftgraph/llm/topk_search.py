@@ -71,32 +71,36 @@ class Lists:
     def _bound(self, query: np.ndarray) -> int:
         return max(abs(int(query.max(initial=0))), abs(int(query.min(initial=0)))) * self.most * len(query)
 
-    def _limits(self, query: np.ndarray, used: np.ndarray, down: np.ndarray) -> np.ndarray | None:
-        """At each depth, what a candidate that no list has shown so far can score at most; None beyond 64 bits."""
-        if self._bound(query) >= 2**62:
-            return None
-        return np.where(down, self.sorted[::-1, used], self.sorted[:, used]) @ query[used]
+    def _limit(self, query: np.ndarray, at: int) -> int:
+        """What a candidate that no list has shown down to depth ``at`` can score at most."""
+        values = np.where(query > 0, self.sorted[len(self.ids) - 1 - at], self.sorted[at])
+        if self._bound(query) < 2**63:
+            return int(values @ query)
+        return sum(int(a) * int(b) for a, b in zip(values, query, strict=True))
 
     def best(self, own: int, query: np.ndarray, k: int, least: int | None = None) -> list[tuple[int, int]]:
         """(score, place) of the k best by score, then place, without row ``own``; those below ``least`` may lack."""
-        n, used = len(self.ids), np.flatnonzero(query)
+        n, falls, rises = len(self.ids), np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         seen = self.rows == own
-        down = query[used] > 0
-        limits = self._limits(query, used, down) if len(used) else None
         at, step, top = 0, max(FIRST_STEP, k), []
         while at < n:
             to = min(n, at + step)
-            lists = np.where(down, self.rising[::-1, used][at:to], self.rising[at:to, used]) if len(used) else np.arange(at, to)
-            met = np.unique(lists)
-            new = met[~seen[met]]
-            seen[new] = True
+            met = np.zeros(n, bool)
+            met[self.rising[n - to : n - at, falls].ravel()] = True
+            met[self.rising[at:to, rises].ravel()] = True
+            if not len(falls) and not len(rises):
+                met[at:to] = True
+            new = np.flatnonzero(met & ~seen)
+            seen |= met
             if len(new):
                 got = self.scores(new, query)
+                if len(top) == k:
+                    new, got = new[got >= top[-1][0]], got[got >= top[-1][0]]
                 chosen = np.lexsort((new, ~got))[:k]
                 top = sorted(top + [(int(got[i]), int(new[i])) for i in chosen], key=lambda x: (-x[0], x[1]))[:k]
             known = [least] if least is not None else []
             floor = max(known + ([top[-1][0]] if len(top) == k else []), default=None)
-            if floor is not None and limits is not None and limits[to - 1] < floor:
+            if seen.all() or floor is not None and self._limit(query, to - 1) < floor:
                 break
             at, step = to, 2 * step
         return top if least is None else [x for x in top if x[0] >= least]

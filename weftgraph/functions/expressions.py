@@ -19,14 +19,16 @@ FUNCTION_CLASSES = {
 #: Statements that a read-only query must not hold. Fixed values.
 WRITING = ["INSERT", "UPDATE", "DELETE", "ALTER", "CREATE", "DROP", "MERGE", "TRUNCATE", "GRANT", "REVOKE"]
 
-#: Strings and comments in one alternation, so the one that begins first wins; quoted tables stay as group 1.
-SKIPPED = r"""('(?:[^']|'')*')|"(?:[^"]|"")*"|//[^\n]*|--[^\n]*|/\*(?s:.*?)\*/"""
-REFERENCE = r"(?:'(?:[^']|'')+'\s*|[A-Za-z_][A-Za-z0-9_]*)?\[[^\]]+\]"
-
-
-#: A reference with doubled brackets in its name, and the tokens of a formula that a rewrite must tell apart.
-REFERENCE_PARTS = r"(?:'(?:[^']|'')+'\s*|[A-Za-z_][A-Za-z0-9_]*)?\[(?:[^\]]|\]\])+\]"
-TOKEN = r"""(?s)"(?:[^"]|"")*"|//[^\n]*|--[^\n]*|/\*.*?\*/|""" + REFERENCE_PARTS + r"""|[A-Za-z0-9_]+|."""
+# The lexical rules of formulas; every pattern below is put together from these.
+STRING = r'"(?:[^"]|"")*"'
+COMMENT = r"(?://|--)[^\n]*|/\*[\s\S]*?\*/"
+QUOTED = r"'(?:[^']|'')+'"
+BRACKETED = r"\[(?:[^\]]|\]\])+\]"
+WORD = r"[A-Za-z_]\w*"
+REFERENCE = rf"(?:{QUOTED}\s*|{WORD})?{BRACKETED}"
+#: One alternation, so that what begins first wins; quoted tables stay as group 1.
+SKIPPED = rf"({QUOTED})|{STRING}|{COMMENT}"
+TOKEN = rf"{STRING}|{COMMENT}|{REFERENCE}|\w+|[\s\S]"
 
 
 def tokens(c: Column) -> Column:
@@ -36,14 +38,16 @@ def tokens(c: Column) -> Column:
 
 def reference_table(ref: Column) -> Column:
     """The table of a reference token, quotes undone; null for a bare ``[name]``."""
-    raw = F.regexp_extract(ref, r"^(?s)(.*?)\[", 1)
-    return F.when(raw.startswith("'"), F.replace(F.regexp_extract(ref, r"^(?s)'((?:[^']|'')+)'", 1), F.lit("''"), F.lit("'"))).when(raw != "", raw)
+    owner = F.rtrim(F.substring_index(ref, "[", 1))
+    quoted = F.regexp_extract(ref, rf"^({QUOTED})", 1)
+    inner = F.replace(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit("''"), F.lit("'"))
+    return F.when(quoted != "", inner).when(owner != "", owner)
 
 
 def reference_name(ref: Column) -> Column:
     """The name of a reference token, doubled brackets undone."""
-    inner = F.regexp_extract(ref, r"(?s)\[((?:[^\]]|\]\])+)\]$", 1)
-    return F.replace(inner, F.lit("]]"), F.lit("]"))
+    held = F.regexp_extract(ref, rf"({BRACKETED})$", 1)
+    return F.replace(F.substring(held, F.lit(2), F.length(held) - 2), F.lit("]]"), F.lit("]"))
 
 
 def bare(c: Column) -> Column:
@@ -52,12 +56,9 @@ def bare(c: Column) -> Column:
 
 
 def references(c: Column) -> Column:
-    """Distinct (table, name) structs; the table is null for a bare ``[name]``, doubled quotes are undone."""
-    all_of = F.regexp_extract_all(bare(c), F.lit(REFERENCE), F.lit(0))
-    unquoted = lambda t: F.when(t.startswith("'"), F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit("''"), F.lit("'"))).otherwise(t)
-    owner = lambda r: F.regexp_extract(r, r"^(.*?)\s*\[", 1)
-    one = lambda r: F.struct(F.when(owner(r) != "", unquoted(owner(r))).alias("table"), F.regexp_extract(r, r"\[([^\]]+)\]$", 1).alias("name"))
-    return F.array_distinct(F.transform(all_of, one))
+    """Distinct (table, name) structs; the table is null for a bare ``[name]``, doubled quotes and brackets are undone."""
+    found = F.regexp_extract_all(bare(c), F.lit(REFERENCE), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda r: F.struct(reference_table(r).alias("table"), reference_name(r).alias("name"))))
 
 
 def functions(c: Column) -> Column:
@@ -73,7 +74,8 @@ def function_classes(c: Column) -> Column:
 
 def formula_key(c: Column) -> Column:
     """What two formulas share if only white space, comments, letter case or table quotes differ; strings count."""
-    code = F.regexp_replace(c, r"""("(?:[^"]|"")*")|//[^\n]*|--[^\n]*|/\*(?s:.*?)\*/|\s+|'(?=[A-Za-z_][A-Za-z0-9_]*'\[)|(?<=[A-Za-z0-9_])'(?=\[)""", "$1")
+    idle = rf"{COMMENT}|\s+|'(?={WORD}'\[)|(?<=\w)'(?=\[)"
+    code = F.regexp_replace(c, rf"({STRING})|{idle}", "$1")
     return F.lower(code)
 
 

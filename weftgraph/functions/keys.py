@@ -11,13 +11,13 @@ def fold(c: Column) -> Column:
 
 
 def alnum_key(c: Column) -> Column:
-    """Folded letters and digits only."""
-    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    """Folded letters and digits only, of any script."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
 
 
 def lexical(c: Column) -> Column:
     """Folded words, one space between them."""
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9_]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
 
 
 def edge_id(*parts: Column) -> Column:

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rounds that are read side by side before they are written as one.
+MOST_ROUNDS = 16
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only if none is set."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one, deleted at exit, only if none is set and Spark runs in one process."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-weft-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="spark-weft-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
@@ -21,3 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """What rounds have found so far. A round is written once and appended; earlier ones are not written again but now and then as one."""
+
+    def __init__(self, first: DataFrame):
+        self.frames = [cut(first)]
+
+    def add(self, found: DataFrame) -> DataFrame:
+        """Writes one more round and returns it."""
+        new = cut(found)
+        self.frames.append(new)
+        if len(self.frames) > MOST_ROUNDS:
+            self.frames = [cut(self.all())]
+        return new
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.union, self.frames)

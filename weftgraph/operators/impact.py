@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.lineage import cut
+from weftgraph.functions.lineage import Rounds, cut
 from weftgraph.operators.traversal import rounds
 
 #: From certain to unknown; a path is as uncertain as its weakest step. Fixed values.
@@ -41,20 +41,20 @@ def closure(links: DataFrame, seeds: DataFrame, most: int | None = None) -> Data
     A record is INFERRED if its path has a step that is not a fact or a category past STRUCTURAL.
     Null seeds and ends reach nothing; a seed that no edge names is its own only record.
     """
-    state = cut(seeds.dropna().distinct().select("id", F.lit(0).alias("depth"), F.lit("seed").alias("rule"), F.lit(0).alias("rank"), F.lit(True).alias("fact"), F.array("id").alias("path")))
-    frontier = state
+    links = cut(links)
+    found = Rounds(seeds.dropna().distinct().select("id", F.lit(0).alias("depth"), F.lit("seed").alias("rule"), F.lit(0).alias("rank"), F.lit(True).alias("fact"), F.array("id").alias("path")))
+    frontier = found.all()
     for at in rounds(most):
-        known = state.select("id")
         told = frontier.select(F.col("id").alias("at"), F.col("rank").alias("old_rank"), F.col("fact").alias("old_fact"), "path")
-        step = told.join(links, "at").join(known, "id", "left_anti")
+        step = told.join(links, "at").join(found.all().select("id"), "id", "left_anti")
         best = F.min(F.struct("at", "rule", "fact", F.greatest("rank", "old_rank").alias("rank"), "old_fact", "path")).alias("b")
-        frontier = cut(
+        frontier = found.add(
             step.groupBy("id").agg(best)
             .select("id", F.lit(at).alias("depth"), "b.rule", "b.rank", (F.col("b.fact") & F.col("b.old_fact")).alias("fact"), F.concat("b.path", F.array("id")).alias("path"))
         )
         if frontier.isEmpty():
             break
-        state = cut(state.union(frontier))
+    state = found.all()
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), F.col("rank") + 1)
     return state.select("id", "depth", "rule", category.alias("category"), F.when(F.col("fact") & (F.col("rank") < 2), "FACT").otherwise("INFERRED").alias("certainty"), "path")
 
@@ -70,14 +70,14 @@ def context_slice(edges: DataFrame, seeds: DataFrame, moves: list[tuple[str, tup
         F.struct(F.lit(m[0]).alias("mode"), F.col("from_id" if m[2] else "to_id").alias("id"), F.lit(m[3]).alias("next_mode"), F.col("to_id" if m[2] else "from_id").alias("next_id")),
     )
     links = edges.select(F.explode(F.array_compact(F.array(*map(one, moves)))).alias("s")).select("s.*")
-    state = frontier = cut(seeds.distinct().select("id", F.lit("target").alias("mode")))
+    links, found = cut(links), Rounds(seeds.distinct().select("id", F.lit("target").alias("mode")))
+    frontier = found.all()
     for _ in rounds(most):
         new = frontier.join(links, ["id", "mode"]).select(F.col("next_id").alias("id"), F.col("next_mode").alias("mode")).distinct()
-        frontier = cut(new.join(state, ["id", "mode"], "left_anti"))
+        frontier = found.add(new.join(found.all(), ["id", "mode"], "left_anti"))
         if frontier.isEmpty():
             break
-        state = cut(state.union(frontier))
-    return state
+    return found.all()
 
 
 def upstream(edges: DataFrame, origins: DataFrame, goals: DataFrame, most: int | None = None) -> DataFrame:
@@ -85,16 +85,16 @@ def upstream(edges: DataFrame, origins: DataFrame, goals: DataFrame, most: int |
 
     The walk ends at a goal; of equally short ways the one over the smallest last step is told.
     """
-    state = frontier = cut(origins.distinct().select(F.col("id").alias("origin"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("goal")))
-    marked = goals.select("id", F.lit(True).alias("is_goal"))
+    links, marked = cut(edges.select("from_id", F.col("to_id").alias("id"))), cut(goals.select("id", F.lit(True).alias("is_goal")))
+    found = Rounds(origins.distinct().select(F.col("id").alias("origin"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("goal")))
+    frontier = found.all()
     for at in rounds(most):
-        step = frontier.where("not goal").select("origin", F.col("id").alias("from_id")).join(edges.select("from_id", F.col("to_id").alias("id")), "from_id")
-        best = step.groupBy("origin", "id").agg(F.min("from_id").alias("via")).join(state.select("origin", "id"), ["origin", "id"], "left_anti")
-        frontier = cut(best.join(marked, "id", "left").select("origin", "id", F.lit(at).alias("depth"), "via", F.coalesce("is_goal", F.lit(False)).alias("goal")))
+        step = frontier.where("not goal").select("origin", F.col("id").alias("from_id")).join(links, "from_id")
+        best = step.groupBy("origin", "id").agg(F.min("from_id").alias("via")).join(found.all().select("origin", "id"), ["origin", "id"], "left_anti")
+        frontier = found.add(best.join(marked, "id", "left").select("origin", "id", F.lit(at).alias("depth"), "via", F.coalesce("is_goal", F.lit(False)).alias("goal")))
         if frontier.isEmpty():
             break
-        state = cut(state.union(frontier))
-    return state.where("goal").select("origin", F.col("id").alias("source"), "depth", "via")
+    return found.all().where("goal").select("origin", F.col("id").alias("source"), "depth", "via")
 
 
 def removal_preview(uses: DataFrame, removed: DataFrame) -> DataFrame:

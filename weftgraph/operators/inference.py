@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.keys import noisy_or
+from weftgraph.functions.keys import alnum_key, noisy_or
 
 #: What one piece of evidence weighs, by where it comes from; anything else weighs UNKNOWN. Fixed values.
 WEIGHTS = {
@@ -46,9 +46,24 @@ def role_from_text(c: Column) -> Column:
     return out
 
 
-def denies(c: Column, aliases: list[str]) -> Column:
-    """Whether a text denies one of ``aliases`` within five words of the denial."""
-    return F.coalesce(F.lower(c).rlike(rf"(?:{'|'.join(DENIALS)})(?:\W+\w+){{0,5}}\W+(?:{'|'.join(aliases)})\b"), F.lit(False))
+def denies(c: Column, aliases: list[str], reach: int = 5) -> Column:
+    """Whether one of ``aliases`` follows a denial with at most ``reach`` words between.
+
+    Texts are read as words, so letters that only look like a denial inside a word are none; an alias may
+    have several words. A null text denies nothing.
+    """
+    words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_']+"), lambda w: w != "")
+    plain = [w for w in DENIALS if " " not in w]  # of two words the last, "not", tells
+
+    def follows(at: Column) -> Column:
+        found = F.lit(False)
+        for alias in aliases:
+            own = alias.lower().split()
+            near = F.concat(F.lit(" "), F.array_join(F.slice(words, at + 2, reach + len(own)), " "), F.lit(" "))
+            found = found | near.contains(f" {' '.join(own)} ")
+        return F.element_at(words, at + 1).isin(plain) & found
+
+    return F.coalesce(F.exists(F.sequence(F.lit(0), F.size(words) - 1), follows) & (F.size(words) > 0), F.lit(False))
 
 
 def scored(objects: DataFrame, facts: dict[str, tuple[DataFrame, float]], cap: float = 0.99) -> DataFrame:
@@ -79,14 +94,23 @@ def concepts(rows: DataFrame, label: Column) -> DataFrame:
     return rows.groupBy(key.alias("concept_id")).agg(F.count("*").alias("members"), F.countDistinct("source").alias("sources")).dropna(subset=["concept_id"])
 
 
-def low_evidence(name: Column, value: Column, source: Column, evidence: Column, score: Column) -> Column:
-    """A suggestion that restates the name, rests on the name alone, or scores at most 35 % without other evidence."""
-    token = lambda c: F.regexp_replace(F.lower(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"""^['"\[]+|['"\]]+$""", "")), r"[\s_\-]+", "")
-    given = F.coalesce(F.transform(evidence, lambda e: F.lower(F.coalesce(e, F.lit("")))), F.array().cast("array<string>"))
-    only_name = (F.size(given) > 0) & F.forall(given, lambda e: e.isin("object_name", "name"))
-    by_name = F.lower(F.coalesce(source, F.lit(""))).isin("object_name", "name") & (F.size(given) <= 1)
-    weak = F.coalesce(F.bround(F.when(score <= 1, score * 100).otherwise(score)) <= 35, F.lit(False)) & ((F.size(given) == 0) | only_name)
-    return ((token(name) != "") & (token(name) == token(value))) | by_name | only_name | weak
+def low_evidence(name: Column, value: Column, source: Column, evidence: Column, score: Column, kind: Column | None = None) -> Column:
+    """Whether a suggestion says little: it restates the name, or nothing but the name stands behind it, or it scores at most 35 %.
+
+    A score counts only where no evidence besides the name is given; one over 1 is in percent already. Conflicts and
+    stale items (``kind``) never count as low.
+    """
+    names = ["object_name", "name"]
+    sources = F.transform(F.coalesce(evidence, F.array().cast("array<string>")), lambda e: F.lower(e))
+    from_names = F.size(F.filter(sources, lambda e: e.isin(names)))
+    others = F.size(sources) - from_names
+    key = alnum_key(name)
+    restates = F.coalesce((key != "") & (key == alnum_key(value)), F.lit(False))
+    told_by_name = F.coalesce(F.lower(source).isin(names), F.lit(False)) & (F.size(sources) < 2)
+    percent = F.when(score > 1, score).otherwise(100 * score)
+    poor = F.coalesce(F.bround(percent) <= 35, F.lit(False))
+    low = restates | told_by_name | ((others == 0) & ((from_names > 0) | poor))
+    return low if kind is None else low & ~F.coalesce(kind.isin("conflict", "stale"), F.lit(False))
 
 
 def auto_accepted(source: Column, confidence: Column, reopened: Column, threshold: float = 0.9) -> Column:

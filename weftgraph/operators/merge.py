@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.expressions import REFERENCE_PARTS, reference_name, reference_table, tokens
+from weftgraph.functions.expressions import REFERENCE, reference_name, reference_table, tokens
 from weftgraph.functions.keys import alnum_key, fold
 from weftgraph.functions.lineage import cut
 from weftgraph.operators import compare
@@ -154,7 +154,7 @@ def rewrite(formulas: DataFrame, renames: DataFrame) -> DataFrame:
     comments stay as they are; a null new part keeps the old one. ``changed`` counts references rewritten.
     A null scope meets no rename. Only the references are joined, never the texts; a null formula stays null with 0 changed.
     """
-    ref = F.explode(F.array_distinct(F.filter(tokens(F.col("formula")), lambda t: t.rlike(f"^(?:{REFERENCE_PARTS})$"))))
+    ref = F.explode(F.array_distinct(F.filter(tokens(F.col("formula")), lambda t: t.rlike(f"^(?:{REFERENCE})$"))))
     refs = formulas.select("id", "scope", ref.alias("ref")).select("id", "scope", "ref", fold(reference_table(F.col("ref"))).alias("t"), fold(reference_name(F.col("ref"))).alias("k"))
     own = renames.where("table is not null and name is not null").groupBy("scope", fold(F.col("table")).alias("t"), fold(F.col("name")).alias("k")).agg(F.min(F.struct("new_table", "new_name")).alias("own"))
     bare = renames.where("table is null and name is not null").groupBy("scope", fold(F.col("name")).alias("k")).agg(F.min("new_name").alias("bare_name"))

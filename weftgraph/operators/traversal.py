@@ -1,7 +1,8 @@
 """Walks over (from_id, to_id, type) edges as rounds of joins on a frontier.
 
-Each round joins the frontier to the edges, drops what was seen and is written to the shared
-checkpoint folder, so plans stay small and a lost executor does not restart the walk.
+The edges that a walk needs are written once; each round joins the frontier to them, drops what
+was seen and is appended in the shared checkpoint folder, so plans stay small, no round scans the
+sources again, and a lost executor does not restart the walk.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.lineage import cut
+from weftgraph.functions.lineage import Rounds, cut
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, of: str) -> DataFrame:
@@ -32,21 +33,22 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int | None, ends: tuple[str,
     An edge whose type is in ``ends`` is followed, but the walk stops behind it.
     """
     # a node reached only by an ending edge in one round may go on if another edge reaches it later
-    state = cut(seeds.select("id", F.lit(0).alias("depth"), F.lit(False).alias("stopped")).distinct())
-    frontier, at = state, 0
+    links = cut(edges.select("from_id", "to_id", (F.col("type").isin(*ends) if ends else F.lit(False)).alias("ending")))
+    found = Rounds(seeds.select("id", F.lit(0).alias("depth"), F.lit(False).alias("stopped")).distinct())
+    frontier, at = found.all(), 0
     while depth is None or at < depth:
         at += 1
-        step = (
-            frontier.where("not stopped").join(edges, frontier["id"] == edges["from_id"])
-            .groupBy(F.col("to_id").alias("id")).agg(F.min(F.col("type").isin(*ends) if ends else F.lit(False)).alias("stopped"))
-            .select("id", F.lit(at).alias("depth"), "stopped")
-        )
-        known = state.groupBy("id").agg(F.min("stopped").alias("was_stopped"))
-        new = cut(step.join(known, "id", "left").where("was_stopped is null or (was_stopped and not stopped)").select("id", "depth", "stopped"))
-        if new.isEmpty():
+        step = frontier.where("not stopped").join(links, frontier["id"] == links["from_id"]).groupBy(F.col("to_id").alias("id")).agg(F.min("ending").alias("stopped"))
+        done = found.all()
+        if ends:  # what only ending edges reached may be reached again
+            done = done.groupBy("id").agg(F.min("stopped").alias("was_stopped"))
+            step = step.join(done, "id", "left").where("was_stopped IS NULL OR (was_stopped AND NOT stopped)")
+        else:
+            step = step.join(done.select("id"), "id", "left_anti")
+        frontier = found.add(step.select("id", F.lit(at).alias("depth"), "stopped"))
+        if frontier.isEmpty():
             break
-        state, frontier = cut(state.union(new)), new
-    return state.groupBy("id").agg(F.min("depth").alias("depth"))
+    return found.all().groupBy("id").agg(F.min("depth").alias("depth"))
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -61,18 +63,17 @@ def rounds(most: int | None) -> Iterable[int]:
 
 def shortest_path(edges: DataFrame, start: str, goal: str, most: int | None = None) -> DataFrame:
     """(step, id) of a shortest directed path, of any length or up to ``most`` edges; among equal ones the smallest predecessor, from the goal back."""
-    spark = edges.sparkSession
-    seen = cut(spark.createDataFrame([(start, None, 0)], "id string, before string, depth int"))
-    frontier = seen
+    spark, links = edges.sparkSession, cut(edges.select("from_id", "to_id"))
+    found = Rounds(spark.createDataFrame([(start, None, 0)], "id string, before string, depth int"))
+    frontier = found.all()
     for at in rounds(most):
         if start == goal or not frontier.where(F.col("id") == goal).isEmpty():
             break
-        step = frontier.join(edges, frontier["id"] == edges["from_id"]).groupBy(F.col("to_id").alias("id")).agg(F.min("from_id").alias("before"))
-        frontier = cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(at)))
+        step = frontier.join(links, frontier["id"] == links["from_id"]).groupBy(F.col("to_id").alias("id")).agg(F.min("from_id").alias("before"))
+        frontier = found.add(step.join(found.all().select("id"), "id", "left_anti").withColumn("depth", F.lit(at)))
         if frontier.isEmpty():
             return spark.createDataFrame([], "step int, id string")
-        seen = cut(seen.union(frontier))
-    path, now = [], goal
+    path, now, seen = [], goal, found.all()
     while now is not None and (row := seen.where(F.col("id") == now).first()):
         path.append((row["depth"], row["id"]))
         now = row["before"]
@@ -81,17 +82,55 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int | None = No
 
 def layers(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kahn's peel: (id, layer) of nodes in topological layers, and (id) of those behind a cycle."""
-    left, links, out, at = cut(ids.select("id").distinct()), cut(edges.select("from_id", "to_id").distinct()), None, 0
+    left, links, at = cut(ids.select("id").distinct()), cut(edges.select("from_id", "to_id").distinct()), 0
+    done = Rounds(left.limit(0).withColumn("layer", F.lit(0)))
     while True:
         free = cut(left.join(links.select(F.col("to_id").alias("id")), "id", "left_anti"))
         if free.isEmpty():
-            return (out if out is not None else free.withColumn("layer", F.lit(0))), left
-        layer = free.withColumn("layer", F.lit(at))
-        out, at = (layer if out is None else cut(out.union(layer))), at + 1
+            return done.all(), left
+        done.add(free.withColumn("layer", F.lit(at)))
+        at += 1
         left = cut(left.join(free, "id", "left_anti"))
         links = cut(links.join(free.select(F.col("id").alias("from_id")), "from_id", "left_anti"))
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """(id, cycle): the objects on cycles and the smallest id of the cycle's group; what only leads there or comes after is left out.
+
+    Peeling from both sides leaves the cycles and what lies between them; of that, two objects that reach
+    each other are one group. Reach runs over the residue alone, one row per object and start.
+    """
+    links = cut(edges.select("from_id", "to_id").distinct())
+    while True:
+        starts, ends = links.select(F.col("to_id").alias("from_id")), links.select(F.col("from_id").alias("to_id"))
+        inner = cut(links.join(starts, "from_id", "left_semi").join(ends, "to_id", "left_semi").select("from_id", "to_id"))
+        if inner.count() == links.count():
+            break
+        links = inner
+    found = Rounds(links)
+    frontier = links
+    while not frontier.isEmpty():
+        step = frontier.join(links.toDF("to_id", "further"), "to_id").select("from_id", F.col("further").alias("to_id")).distinct()
+        frontier = found.add(step.join(found.all(), ["from_id", "to_id"], "left_anti"))
+    reach = found.all()
+    back = reach.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
+    return reach.join(back, ["from_id", "to_id"], "left_semi").groupBy(F.col("from_id").alias("id")).agg(F.min("to_id").alias("cycle"))
+
+
+def path_of_parents(nodes: DataFrame, ids: DataFrame, goal_types: list[str], most: int = 64) -> DataFrame:
+    """(id, ancestor): for each of ``ids`` (id) the first object of ``goal_types`` up its ``parent_id`` chain; none if the chain ends or loops."""
+    climb = cut(nodes.select(F.col("id").alias("at"), "parent_id", F.col("type").isin(goal_types).alias("goal")))
+    frontier, found = cut(ids.select("id", F.col("id").alias("at")).distinct()), None
+    for _ in range(most):
+        told = frontier.join(climb, "at")
+        hit = cut(told.where("goal").select("id", F.col("at").alias("ancestor")))
+        found = hit if found is None else found.union(hit)
+        frontier = cut(told.where("NOT goal AND parent_id IS NOT NULL AND parent_id <> id").select("id", F.col("parent_id").alias("at")))
+        if frontier.isEmpty():
+            break
+    return found
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(end, id) for ends of edges that are no node."""
     ends = edges.select(F.explode(F.array(F.struct(F.lit("from").alias("end"), F.col("from_id").alias("id")), F.struct(F.lit("to").alias("end"), F.col("to_id").alias("id")))).alias("e")).select("e.*")

@@ -31,10 +31,10 @@ def donor_conflicts(spark, d) -> DataFrame:
     return edits.disagreeing(table(spark, d, "part").select(F.col("p_type").alias("name"), "p_size"), "name", "p_size")
 
 
-@query("""WITH u AS (SELECT l_partkey AS item, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+@query("""WITH u AS (SELECT l_partkey AS item, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1)
   SELECT p_partkey AS item, coalesce(n, 0) AS dependents, CASE WHEN n IS NULL THEN 'remove' WHEN p_partkey % 3 = 0 THEN 'blocked' WHEN p_partkey % 3 = 1 THEN 'remove_all' ELSE 'repoint' END AS result FROM part LEFT JOIN u ON item = p_partkey WHERE p_size <= 10""")
 def removal_policies(spark, d) -> DataFrame:
-    uses = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("owner"), F.col("l_partkey").alias("item"))
+    uses = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("owner"), F.col("l_partkey").alias("item"))
     policy = F.element_at(F.array(F.lit("block"), F.lit("cascade"), F.lit("repoint")), (F.col("item") % 3 + 1).cast("int"))
     return edits.outcome(table(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("item")), uses, policy)
 

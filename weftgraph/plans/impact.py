@@ -58,10 +58,10 @@ def relationship_reach(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT u.from_id AS origin, r.to_id AS source, 2 AS depth, min(r.from_id) AS via FROM edges u JOIN edges r ON r.from_id = u.to_id
-  WHERE u.type = 'USES' AND r.type = 'REFERENCES' AND u.from_id LIKE 'order:1%' GROUP BY 1, 2""")
+  WHERE u.type = 'USES' AND r.type = 'REFERENCES' GROUP BY 1, 2""")
 def upstream_sources(spark, d) -> DataFrame:
     e, n = edges(spark, d).where("type in ('USES', 'REFERENCES')"), nodes(spark, d)
-    return impact.upstream(e, n.where("type = 'ORDER' and id like 'order:1%'").select("id"), n.where("type = 'SUPPLIER'").select("id"), 4)
+    return impact.upstream(e, n.where("type = 'ORDER'").select("id"), n.where("type = 'SUPPLIER'").select("id"), 4)
 
 
 MOVES = [

@@ -51,11 +51,11 @@ def compare_rows(spark, d) -> DataFrame:
     return merge.compare_rows(_cells(spark, d), "s1", 4)
 
 
-@query("""SELECT 'web' AS source, event_id AS id, event_type AS mark, CASE WHEN c_custkey IS NOT NULL THEN 'row:' || c_custkey END AS row_key FROM events LEFT JOIN customer ON event_id = c_custkey AND c_custkey % 4 <> 0 WHERE event_id % 7 = 0""")
+@query("""SELECT 'web' AS source, event_id AS id, event_type AS mark, CASE WHEN c_custkey IS NOT NULL THEN 'row:' || c_custkey END AS row_key FROM events LEFT JOIN customer ON event_id = c_custkey AND c_custkey % 4 <> 0""")
 def marks(spark, d) -> DataFrame:
     """Marks on compare rows; those on objects that are gone are orphans."""
     placed = table(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.lit("web").alias("source"), F.col("c_custkey").alias("id"), F.concat(F.lit("row:"), F.col("c_custkey").cast("string")).alias("row_key"))
-    return merge.marked(placed, table(spark, d, "events").where("event_id % 7 = 0").select(F.lit("web").alias("source"), F.col("event_id").alias("id"), F.col("event_type").alias("mark")))
+    return merge.marked(placed, table(spark, d, "events").select(F.lit("web").alias("source"), F.col("event_id").alias("id"), F.col("event_type").alias("mark")))
 
 
 @query("""WITH u AS (SELECT DISTINCT o_orderpriority AS source, 'p' || o_custkey AS page, 'v' || o_orderkey AS visual, 'Part[P' || l_partkey || ']' AS f, CASE WHEN l_partkey % 10 = 0 THEN 1 WHEN l_partkey % 10 < 7 THEN 0 ELSE -1 END AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey),

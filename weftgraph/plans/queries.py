@@ -87,10 +87,10 @@ def shortest_path(spark, d) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {GRAPH_SQL},
-  w AS (SELECT id FROM nodes WHERE type = 'ORDER' AND id LIKE 'order:1%' UNION SELECT e.to_id FROM w JOIN edges e ON e.from_id = w.id)
+  w AS (SELECT id FROM nodes WHERE type = 'ORDER' UNION SELECT e.to_id FROM w JOIN edges e ON e.from_id = w.id)
   SELECT type, count(*) AS reached FROM w JOIN nodes USING (id) GROUP BY type""")
 def closure(spark, d) -> DataFrame:
-    seeds = nodes(spark, d).where("type = 'ORDER' and id like 'order:1%'").select("id")
+    seeds = nodes(spark, d).where("type = 'ORDER'").select("id")
     return traversal.walk(edges(spark, d), seeds, None).join(nodes(spark, d), "id").groupBy("type").agg(F.count("*").alias("reached"))
 
 
@@ -119,11 +119,11 @@ def cycle_check(spark, d) -> DataFrame:
     return every.join(left.withColumn("behind", F.lit(True)), "id", "left").select("id", F.coalesce("behind", F.lit(False)).alias("behind_cycle"))
 
 
-@query(f"""WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT * FROM edges WHERE type IN ('CONTAINS', 'DEPENDS_ON')),
-  w AS (SELECT id, 0 AS layer FROM nodes WHERE type <> 'PART' UNION SELECT e.to_id, layer + 1 FROM w JOIN e ON e.from_id = w.id)
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT * FROM edges WHERE type IN ('CONTAINS', 'DEPENDS_ON', 'REFERENCES')),
+  w AS (SELECT id, 0 AS layer FROM nodes UNION SELECT e.to_id, layer + 1 FROM w JOIN e ON e.from_id = w.id)
   SELECT layer::INTEGER AS layer, count(*) AS n FROM (SELECT id, max(layer) AS layer FROM w GROUP BY id) GROUP BY layer""")
 def topological_layers(spark, d) -> DataFrame:
-    order, _ = traversal.layers(edges(spark, d).where("type in ('CONTAINS', 'DEPENDS_ON')"), nodes(spark, d).where("type <> 'PART'"))
+    order, _ = traversal.layers(edges(spark, d).where("type in ('CONTAINS', 'DEPENDS_ON', 'REFERENCES')"), nodes(spark, d))
     return order.groupBy("layer").agg(F.count("*").alias("n"))
 
 
@@ -185,7 +185,7 @@ def cascading_match(spark, d) -> DataFrame:
     return compare.cascade(left, right, {"nation and balance": [F.col("n"), F.col("b")], "balance": [F.col("b")]})
 
 
-@query("""WITH o AS (SELECT p_type AS kind, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS name_key, p_brand AS source, p_size::VARCHAR AS signature FROM part),
+@query(r"""WITH o AS (SELECT p_type AS kind, regexp_replace(lower(p_name), '[^\p{L}\p{N}]', '', 'g') AS name_key, p_brand AS source, p_size::VARCHAR AS signature FROM part),
   r AS (SELECT kind, name_key, count(DISTINCT source) AS sources, count(DISTINCT signature) AS variants, min(signature) AS signature FROM o GROUP BY kind, name_key),
   alone AS (SELECT r.kind, r.signature, o.source FROM r JOIN (SELECT DISTINCT kind, name_key, source FROM o) o USING (kind, name_key) WHERE sources = 1 AND variants = 1),
   moved AS (SELECT kind, signature FROM alone GROUP BY kind, signature HAVING count(*) > 1 AND count(*) = count(DISTINCT source))
@@ -241,7 +241,7 @@ def confidence(spark, d) -> DataFrame:
     return rows.groupBy("source").agg(F.array_sort(F.collect_set("w")).alias("ws")).select("source", F.size("ws").cast("long").alias("n"), noisy_or(F.col("ws")).alias("confidence"))
 
 
-@query("""WITH n AS (SELECT doc_id, source, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_]+', ' ', 'g')) AS signature FROM documents)
+@query(r"""WITH n AS (SELECT doc_id, source, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}_]+', ' ', 'g')) AS signature FROM documents)
   SELECT min(doc_id) AS first_id, count(*) AS members, count(DISTINCT source) AS sources FROM n GROUP BY signature HAVING count(*) > 1 AND count(DISTINCT source) > 1""")
 def duplicate_logic(spark, d) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", "source", F.xxhash64(lexical(F.coalesce("text", F.lit("")))).alias("h"), F.sha2(lexical(F.coalesce("text", F.lit(""))), 256).alias("signature"))
@@ -275,7 +275,7 @@ def ranked_page(spark, d) -> DataFrame:
 
 # --- search, naming, validation --------------------------------------------------------------
 
-_LEX = "trim(regexp_replace(lower({}), '[^a-z0-9_]+', ' ', 'g'))"
+_LEX = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
 
 
 def _ladder_sql(field: str, q: str, weight: int) -> str:

@@ -41,13 +41,13 @@ def formula_dependencies(spark, d) -> DataFrame:
     return formula_links(formulas(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_REFS_SQL}, w AS (SELECT id AS root, id FROM formulas WHERE id LIKE 'measure:%3' UNION SELECT w.root, l.to_id FROM w JOIN links l ON l.from_id = w.id AND l.type = 'DEPENDS_ON'),
+@query(f"""WITH RECURSIVE {_REFS_SQL}, w AS (SELECT id AS root, id FROM formulas UNION SELECT w.root, l.to_id FROM w JOIN links l ON l.from_id = w.id AND l.type = 'DEPENDS_ON'),
   near AS (SELECT id FROM w) SELECT l.to_id AS id, count(DISTINCT l.from_id) AS users FROM links l WHERE l.type = 'REFERENCES' AND l.from_id IN (SELECT id FROM near) GROUP BY 1""")
 def query_coverage(spark, d) -> DataFrame:
     """Columns behind the measures that a set of queries names, through all measures in between."""
     rows = formulas(spark, d)
     links = formula_links(rows)
-    near = traversal.walk(links.where("type = 'DEPENDS_ON'").select("from_id", "to_id", "type"), rows.where("id like 'measure:%3'").select("id"), None)
+    near = traversal.walk(links.where("type = 'DEPENDS_ON'").select("from_id", "to_id", "type"), rows.select("id"), None)
     own = links.where("type = 'REFERENCES'").join(near.select(F.col("id").alias("from_id")), "from_id", "left_semi")
     return own.groupBy(F.col("to_id").alias("id")).agg(F.countDistinct("from_id").alias("users"))
 

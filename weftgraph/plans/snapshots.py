@@ -77,7 +77,7 @@ def regression_verdicts(spark, d) -> DataFrame:
 
 
 @query(f"""WITH {GRAPH_SQL}, w AS (SELECT unnest(['nation:3', 'Customer#000000001', 'customer 000000002', 'customer', 'no such']) AS wanted),
-  l AS (SELECT wanted, trim(regexp_replace(lower(wanted), '[^a-z0-9_]+', ' ', 'g')) AS k FROM w), n AS (SELECT id, trim(regexp_replace(lower(name), '[^a-z0-9_]+', ' ', 'g')) AS k FROM nodes)
+  l AS (SELECT wanted, trim(regexp_replace(lower(wanted), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS k FROM w), n AS (SELECT id, trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS k FROM nodes)
   SELECT wanted, CASE WHEN wanted IN (SELECT id FROM nodes) THEN 1 ELSE (SELECT count(*) FROM n WHERE n.k = l.k) END::BIGINT AS candidates,
     CASE WHEN wanted IN (SELECT id FROM nodes) THEN wanted WHEN (SELECT count(*) FROM n WHERE n.k = l.k) = 1 THEN (SELECT min(id) FROM n WHERE n.k = l.k) END AS id FROM l""")
 def resolved_names(spark, d) -> DataFrame:

@@ -29,7 +29,7 @@ from weftgraph.llm.scratch import give_back, stage
 PART_BYTES = 3 << 19
 PART_DOCS = 4096
 #: Parts that share a block's cells.
-PARTS = 4
+PARTS = 3
 #: Bytes of text whose windows meet in one bucket.
 BUCKET_BYTES = 6 << 20
 #: Packed bytes of cells that are cut further at a time.

@@ -38,13 +38,13 @@ RESULT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 s
 class Windows:
     """The windows of a part: where words and windows lie, each window's document and its two hashes."""
 
-    def __init__(self, block: bl.Block, window: int):
+    def __init__(self, block: bl.Block, window: int, hashes: int = 2):
         self.begin, self.end, self.first = block.words()
         self.doc = np.repeat(np.arange(len(block.ids)), np.diff(self.first))
         starts = np.arange(max(0, len(self.begin) - window + 1))
         self.starts = starts[self.doc[starts] == self.doc[starts + window - 1]] if len(starts) else starts
         self.hashes = []
-        for factor in bl.FACTORS:
+        for factor in bl.FACTORS[:hashes]:
             words = bl.byte_sums(block.bytes, factor).of(self.begin, self.end)
             self.hashes.append(bl.Sums(words, factor).of(self.starts, self.starts + window))
         self.ids = known_ids(block)[self.doc[self.starts]]
@@ -75,7 +75,7 @@ def known_ids(block: bl.Block) -> np.ndarray:
 
 def _ask(window: int, by: bl.Cut):
     def run(number: int, parts: bl.Parts, _: dict) -> Iterator[pa.RecordBatch]:
-        yield bl.cells(number, np.unique(np.concatenate([np.unique(Windows(p, window).hashes[0] & _COARSE) for p in parts])), None, by)
+        yield bl.cells(number, np.unique(np.concatenate([np.unique(Windows(p, window, 1).hashes[0] & _COARSE) for p in parts])), None, by)
 
     return run
 

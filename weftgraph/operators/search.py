@@ -1,21 +1,39 @@
-"""Ranked search, resolution and BM25 over text columns."""
+"""Ranked search, pages, resolution, prefix search and BM25 over text columns.
+
+Searchable fields are those columns of ``WEIGHTS`` that the objects have; an array holds several values.
+"""
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import lexical
 
 #: Field weights and what weaker matches cost. Fixed values.
-WEIGHTS = {"id": 1000, "source_id": 960, "name": 920, "display_name": 880, "description": 700, "expression": 520}
+WEIGHTS = {
+    "id": 1000, "source_id": 960, "name": 920, "raw_name": 890, "display_name": 880, "qualified_name": 870, "aliases": 850, "synonyms": 850,
+    "raw_id": 830, "meaning": 760, "concept": 760, "description": 700, "raw_description": 680, "expression": 520, "formula": 520, "raw_expression": 510,
+}
 PREFIX, PHRASE, ALL_WORDS = 60, 90, 120
+#: Of objects that share a name the first type is meant; others come last. Fixed values.
+TYPE_RANK = {"MEASURE": 0, "COLUMN": 1, "TABLE": 2, "CALCULATION_ITEM": 3, "PAGE": 4, "VISUAL": 5}
+LEAST_PAGE, MOST_PAGE = 1, 100
+
+
+def words_of(query: str) -> list[str]:
+    """The folded words of a query, as ``lexical`` makes those of a value."""
+    return re.findall(r"\w+", query.lower())
 
 
 def ladder(value: Column, query: str, weight: int) -> Column:
-    """Score of one field: exact, prefix, phrase, all words, or null."""
-    v, q = lexical(value), query
-    words = F.array(*map(F.lit, sorted(set(q.split()))))
+    """Score of one value: the same words, a prefix, a phrase, all words in any order, or null."""
+    own = words_of(query)
+    v, q = lexical(value), " ".join(own)
+    words = F.array(*map(F.lit, sorted(set(own))))
     padded = F.concat(F.lit(" "), v, F.lit(" "))
     return (
         F.when(v == q, weight)
@@ -25,18 +43,101 @@ def ladder(value: Column, query: str, weight: int) -> Column:
     )
 
 
-def ranked(nodes: DataFrame, query: str, fields: tuple[str, ...] = ("id", "name")) -> DataFrame:
-    """(id, type, name, score) of matches; order by score down, type, name, id."""
-    scores = [ladder(F.col(f), query, WEIGHTS[f]) for f in fields]
-    best = F.array_max(F.array(*scores)).cast("int")
-    return nodes.select("id", "type", "name", best.alias("score")).where("score is not null").orderBy(F.desc("score"), "type", "name", "id")
+def fields_of(nodes: DataFrame) -> list[str]:
+    return [c for c in WEIGHTS if c in nodes.columns]
+
+
+def matches(nodes: DataFrame, query: str, fields: list[str] | tuple[str, ...] | None = None) -> Column:
+    """An array of (minus, field, value), best first, of the values that match; ``minus`` is the score negated."""
+    kinds = dict(nodes.dtypes)
+
+    def of(field: str) -> Column:
+        values = F.col(field) if kinds[field].startswith("array") else F.array(F.col(field))
+        score = lambda v: F.when(F.lit(field == "id") & (v == query), WEIGHTS[field]).otherwise(ladder(v, query, WEIGHTS[field]))
+        found = F.transform(values, lambda v: F.struct((-score(v)).alias("minus"), F.lit(field).alias("field"), v.alias("value")))
+        return F.filter(F.coalesce(found, F.array().cast("array<struct<minus:int,field:string,value:string>>")), lambda m: m["minus"].isNotNull())
+
+    return F.array_sort(F.concat(*[of(f) for f in fields or fields_of(nodes)]))
+
+
+def ranked(nodes: DataFrame, query: str, fields: list[str] | tuple[str, ...] | None = None) -> DataFrame:
+    """(id, type, name, score) of matches; order by score down, type, folded name, model, report, id."""
+    rows = nodes.withColumn("hits", matches(nodes, query, fields)).where("size(hits) > 0")
+    rest = [F.col(c).asc_nulls_first() for c in ("model_id", "report_id") if c in nodes.columns]
+    ordered = rows.withColumn("score", -F.col("hits")[0]["minus"]).orderBy(F.desc("score"), "type", lexical(F.col("name")), *rest, "id")
+    return ordered.select("id", "type", "name", "score")
+
+
+def holding(nodes: DataFrame, query: str) -> DataFrame:
+    """(id, type, name, score) of objects whose name, description or id holds the query anywhere, in order of id; the score is 0."""
+    hit = F.lit(False)
+    for c in ("name", "description", "id"):
+        if c in nodes.columns:
+            hit = hit | F.coalesce(F.lower(c).contains(query.lower()), F.lit(False))
+    return nodes.where(hit).select("id", "type", "name", F.lit(0).alias("score")).orderBy("id")
+
+
+def page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One exact page of ordered ``rows``, each with total, has_more and next_offset (null on the last page).
+
+    ``rows`` must end their order with a key. The total is one number.
+    """
+    if not LEAST_PAGE <= limit <= MOST_PAGE or offset < 0:
+        raise ValueError(f"limit must be {LEAST_PAGE} to {MOST_PAGE} and offset at least 0")
+    total = rows.count()
+    after = offset + limit
+    more = after < total
+    told = {"total": F.lit(total).cast("long"), "has_more": F.lit(more), "next_offset": F.lit(after if more else None).cast("long")}
+    return rows.offset(offset).limit(limit).withColumns(told)
+
+
+def answer(nodes: DataFrame, query: str, limit: int, offset: int = 0, types: list[str] | None = None, models: list[str] | None = None, reports: list[str] | None = None, statuses: list[str] | None = None) -> DataFrame:
+    """A page of what a search finds in a scope; where nothing matches by words, of what holds the query anywhere."""
+    own = scope(nodes, types, models, reports, statuses)
+    hits = ranked(own, query)
+    return page(hits if not hits.isEmpty() else holding(own, query), limit, offset)
+
+
+def ambiguity(hits: DataFrame, query: str) -> DataFrame:
+    """(id, reason) of the candidates of an ambiguous query, from its ``hits`` (id, name, score); no row if it is clear.
+
+    Several objects of exactly that name, else several at the top score.
+    """
+    top = hits.agg(F.max("score").alias("top"), F.count_if(lexical(F.col("name")) == " ".join(words_of(query))).alias("named")).first()
+    if (top["named"] or 0) > 1:
+        some, reason = hits.where(lexical(F.col("name")) == " ".join(words_of(query))), "duplicate_exact_name_across_scopes"
+    else:
+        some, reason = hits.where(F.col("score") == F.lit(top["top"])), "multiple_top_matches"
+    told = some.select("id", F.lit(reason).alias("reason"))
+    return told if (top["named"] or 0) > 1 or some.limit(2).count() > 1 else told.limit(0)
+
+
+def prefix_search(docs: DataFrame, query: str, id_col: str, text_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of the texts in which every word of the query begins some word; BM25 over those words, no stemming.
+
+    Words are counted by pattern where the text lies; only counts are gathered. A word that begins words of half the
+    texts or more weighs next to nothing.
+    """
+    terms = words_of(query)
+    low = lexical(F.coalesce(F.col(text_col), F.lit("")))
+    times = [F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(t)}")).alias(f"n{i}") for i, t in enumerate(terms)]
+    sized = docs.select(F.col(id_col).alias("id"), F.when(low == "", 0).otherwise(F.regexp_count(low, F.lit(" ")) + 1).alias("size"), *times)
+    told = sized.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), *[F.count_if(F.col(f"n{i}") > 0).alias(f"d{i}") for i in range(len(terms))]).first()
+    score, every = F.lit(0.0), F.lit(True)
+    for i in range(len(terms)):
+        n = F.col(f"n{i}")
+        idf = max(math.log((told["docs"] - told[f"d{i}"] + 0.5) / (told[f"d{i}"] + 0.5)), 1e-6)
+        score = score + F.lit(idf) * n * (k1 + 1) / (n + k1 * (1 - b + b * F.col("size") / F.lit(told["mean"] or 1.0)))
+        every = every & (n > 0)
+    return sized.where(every).select("id", F.round(score, 6).alias("score"))
 
 
 def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents with a term, prefix matches not counted."""
-    split = docs.select(F.col(id_col).alias("id"), F.filter(F.split(lexical(F.coalesce(text_col, F.lit(""))), " "), lambda w: w != "").alias("words"))
-    times = lambda term: F.size(F.filter("words", lambda w: w == term))
-    sized = split.select("id", F.size("words").alias("size"), *[times(t).alias(f"n{i}") for i, t in enumerate(terms)])
+    low = lexical(F.coalesce(F.col(text_col), F.lit("")))
+    times = lambda term: F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{N}}_]){re.escape(term)}(?![\p{{L}}\p{{N}}_])"))
+    size = F.when(low == "", 0).otherwise(F.regexp_count(low, F.lit(" ")) + 1)
+    sized = docs.select(F.col(id_col).alias("id"), size.alias("size"), *[times(t).alias(f"n{i}") for i, t in enumerate(terms)])
     total = sized.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), *[F.sum((F.col(f"n{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -47,44 +148,81 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str, text_col: str, k1: floa
 
 
 def excerpt(text: Column, query: str, length: int = 240) -> Column:
-    at = F.instr(F.lower(text), query)
-    return F.when(at > 0, F.substring(text, F.greatest(at - length // 2, F.lit(1)), F.lit(length)))
-
-
-def scope(nodes: DataFrame, types: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
-    """Nodes of the types and models named; a model's own id counts as its model."""
-    own = F.when(F.col("type") == "MODEL", F.col("id")).otherwise(F.col("model_id"))
-    kept = nodes.where(F.col("type").isin(types)) if types else nodes
-    return kept.where(own.isin(models)) if models else kept
-
-
-def evidence(nodes: DataFrame, query: str, fields: tuple[str, ...] = ("id", "name"), most: int = 3) -> DataFrame:
+    """At most ``length`` characters of the text, a third of them before the query's first place; marks show what is cut off."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    wanted = F.greatest(F.instr(F.lower(flat), query.lower()) - 1 - length // 3, F.lit(0))
+    start = F.greatest(F.least(wanted, F.length(flat) - length), F.lit(0))
+    some = F.substring(flat, start + 1, F.lit(length))
+    cut = F.concat(F.when(start > 0, "…").otherwise(""), some, F.when(start + length < F.length(flat), "…").otherwise(""))
+    return F.when(F.length(flat) <= length, flat).otherwise(cut)
+
+
+def scope(nodes: DataFrame, types: list[str] | None = None, models: list[str] | None = None, reports: list[str] | None = None, statuses: list[str] | None = None) -> DataFrame:
+    """Nodes of the types, models, reports and statuses named; a model's or report's own id counts as its own."""
+    owner = lambda kind, column: F.when(F.col("type") == kind, F.col("id")).otherwise(F.col(column))
+    kept = nodes
+    if types:
+        kept = kept.where(F.col("type").isin(types))
+    if models:
+        kept = kept.where(owner("MODEL", "model_id").isin(models))
+    if reports:
+        kept = kept.where(owner("REPORT", "report_id").isin(reports))
+    return kept.where(F.col("status").isin(statuses)) if statuses else kept
+
+
+def evidence(nodes: DataFrame, query: str, fields: list[str] | tuple[str, ...] | None = None, most: int = 3) -> DataFrame:
     """(id, score, evidence): per match the best fields, by score down, field and value."""
-    found = F.filter(F.array(*[F.struct((-ladder(F.col(f), query, WEIGHTS[f])).alias("minus"), F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]), lambda e: e["minus"].isNotNull())
-    rows = nodes.select("id", F.slice(F.array_sort(found), 1, most).alias("evidence")).where("size(evidence) > 0")
+    rows = nodes.select("id", F.slice(matches(nodes, query, fields), 1, most).alias("evidence")).where("size(evidence) > 0")
     return rows.select("id", (-F.col("evidence")[0]["minus"]).alias("score"), "evidence")
 
 
 def resolve(nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """(wanted, candidates, id): an exact id, else the one node of that name; never a part of a name."""
+    """(wanted, candidates, id): an exact id, else the one node of that source id or name; never a part of a name."""
     by_id = nodes.select(F.col("id").alias("wanted"), F.col("id").alias("exact")).dropDuplicates(["wanted"])
-    by_name = nodes.dropna(subset=["name"]).groupBy(lexical(F.col("name")).alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("named"))
+    told = [F.struct(lexical(F.col("name")).alias("k"))] + ([F.struct(lexical(F.col("source_id")).alias("k"))] if "source_id" in nodes.columns else [])
+    keys = nodes.select("id", F.explode(F.array(*told)).alias("t")).select("id", "t.k").where("k <> ''").distinct()
+    by_name = keys.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("named"))
     rows = names.select("wanted", lexical(F.col("wanted")).alias("k")).join(by_id, "wanted", "left").join(by_name, "k", "left")
     return rows.select("wanted", F.when(F.col("exact").isNotNull(), 1).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("candidates"), F.coalesce("exact", F.when(F.col("n") == 1, F.col("named"))).alias("id"))
 
 
+def resolve_references(objects: DataFrame, names: DataFrame) -> DataFrame:
+    """(wanted, status, id, candidates) of names like ``Table[Column]``, ``[Name]``, a plain name or an id.
+
+    An exact id stands. Else objects of that folded name count, those of the table first if one is named and has any;
+    among them the first type by rank. One of that type is FOUND, several are AMBIGUOUS (``id`` is the smallest).
+    """
+    blank = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    asked = names.select("wanted", F.trim("wanted").alias("w")).distinct()
+    inner = F.regexp_extract("w", r"\[([^\[\]]+)\]$", 1)
+    owner = F.regexp_replace(F.trim(F.regexp_extract("w", r"^([^\[\]]*)\[", 1)), "^'|'$", "")
+    parts = asked.withColumn("key", blank(F.when(inner != "", inner).otherwise(F.col("w")))).withColumn("home", F.when(owner != "", blank(owner)))
+    tables = objects.where("type = 'TABLE'").select(F.col("id").alias("parent_id"), blank(F.col("name")).alias("table_key"))
+    known = objects.select("id", "type", "parent_id", blank(F.col("name")).alias("key")).join(tables, "parent_id", "left")
+    rank = F.coalesce(*[F.when(F.col("type") == t, n) for t, n in TYPE_RANK.items()], F.lit(9))
+    own = F.coalesce(F.col("table_key") == F.col("home"), F.lit(False))
+    met = parts.join(known, "key").groupBy("wanted", own.alias("own"), rank.alias("rank")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    best = met.groupBy("wanted").agg(F.min(F.struct((~F.col("own")).alias("other"), "rank", "n", "id")).alias("b"))
+    exact = objects.select(F.col("id").alias("w"), F.lit(True).alias("exact")).dropDuplicates(["w"])
+    rows = parts.join(exact, "w", "left").join(best, "wanted", "left")
+    status = F.when(F.col("exact") | (F.col("b.n") == 1), "FOUND").when(F.col("b.n") > 1, "AMBIGUOUS").otherwise("NOT_FOUND")
+    return rows.select("wanted", status.alias("status"), F.when(F.col("exact"), F.col("w")).otherwise(F.col("b.id")).alias("id"), F.when(F.col("exact"), 1).otherwise(F.coalesce("b.n", F.lit(0))).cast("long").alias("candidates"))
+
+
 def mentions(docs: DataFrame, names: DataFrame, id_col: str, text_col: str, longest: int = 8) -> DataFrame:
     """(id, names): names that a text mentions, from its start on the longest first, each name once, none overlapping.
 
     ``names`` has a ``name`` column; names of over ``longest`` words, or under three characters, are not
     looked for, and one plain word counts only where it is capitalised. Texts without a mention have no row.
     """
-    clean = lambda c: F.filter(F.split(c, "[^A-Za-z0-9_]+"), lambda w: w != "")
+    clean = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     known = names.select(F.lower(F.array_join(clean(F.col("name")), " ")).alias("phrase")).where("length(phrase) >= 3").distinct()
     words = docs.select(F.col(id_col).alias("id"), clean(F.col(text_col)).alias("w")).where("size(w) > 0")
-    at = words.select("id", F.posexplode("w").alias("pos", "first"), "w")
-    piece = lambda n: F.struct(F.lit(n).alias("len"), F.lower(F.array_join(F.slice("w", F.col("pos") + 1, n), " ")).alias("phrase"))
-    able = lambda n: (F.col("pos") + n <= F.size("w")) & (F.lit(n > 1) | F.col("first").rlike("^[A-Z]"))
+    # a row per place holds its next words alone, never the whole text
+    places = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("pos"), F.slice("w", i + 1, longest).alias("next")))
+    at = words.select("id", F.explode(places).alias("p")).select("id", "p.pos", "p.next")
+    piece = lambda n: F.struct(F.lit(n).alias("len"), F.lower(F.array_join(F.slice("next", 1, n), " ")).alias("phrase"))
+    able = lambda n: (F.size("next") >= n) & (F.lit(n > 1) | F.col("next")[0].rlike(r"^\p{Lu}"))
     grams = at.select("id", "pos", F.explode(F.array_compact(F.array(*[F.when(able(n), piece(n)) for n in range(1, longest + 1)]))).alias("g")).select("id", "pos", "g.*")
     hits = grams.join(known, "phrase").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("len")).alias("minus"), "phrase"))).alias("hits"))
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("names"))

@@ -286,16 +286,7 @@ def _ladder_sql(field: str, q: str, weight: int) -> str:
 @query(f"""WITH {GRAPH_SQL}, s AS (SELECT id, type, name, greatest({_ladder_sql("id", "customer 000000001", 1000)}, {_ladder_sql("name", "customer 000000001", 920)})::INTEGER AS score FROM nodes)
   SELECT * FROM s WHERE score IS NOT NULL""")
 def ranked_search(spark, d) -> DataFrame:
-    return search.ranked(nodes(spark, d), "customer 000000001")
-
-
-@query(f"""WITH {GRAPH_SQL}, s AS (SELECT id, type, name, greatest({_ladder_sql("id", "order 1", 1000)}, {_ladder_sql("name", "order 1", 920)})::INTEGER AS score FROM nodes),
-  h AS (SELECT * FROM s WHERE score IS NOT NULL)
-  SELECT type, count(*) AS hits, max(score) AS best, count(*) FILTER (score = (SELECT max(score) FROM h)) AS at_top FROM h GROUP BY type""")
-def ambiguity(spark, d) -> DataFrame:
-    hits = search.ranked(nodes(spark, d), "order 1")
-    top = hits.agg(F.max("score")).first()[0] or 0
-    return hits.groupBy("type").agg(F.count("*").alias("hits"), F.max("score").alias("best"), F.count_if(F.col("score") == top).alias("at_top"))
+    return search.ranked(nodes(spark, d), "customer 000000001", ("id", "name"))
 
 
 @query(f"""WITH s AS (SELECT doc_id AS id, list_filter(string_split({_LEX.format("coalesce(text, '')")}, ' '), lambda w: w <> '') AS words FROM documents),
@@ -307,7 +298,9 @@ def bm25_search(spark, d) -> DataFrame:
     return search.bm25(table(spark, d, "documents"), ["token", "the"], "doc_id", "text")
 
 
-@query("""SELECT doc_id, CASE WHEN strpos(lower(text), 'token') > 0 THEN substr(text, greatest(strpos(lower(text), 'token') - 120, 1), 240) END AS excerpt FROM documents WHERE strpos(lower(text), 'token') > 0""")
+@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[\x09-\x0D ]+', ' ', 'g')) AS t FROM documents WHERE strpos(lower(text), 'token') > 0),
+  p AS (SELECT doc_id, t, greatest(least(greatest(strpos(lower(t), 'token') - 81, 0), length(t) - 240), 0) AS s FROM f)
+  SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE CASE WHEN s > 0 THEN '…' ELSE '' END || substr(t, s + 1, 240) || CASE WHEN s + 240 < length(t) THEN '…' ELSE '' END END AS excerpt FROM p""")
 def excerpts(spark, d) -> DataFrame:
     return table(spark, d, "documents").where(F.instr(F.lower("text"), "token") > 0).select("doc_id", search.excerpt(F.col("text"), "token").alias("excerpt"))
 

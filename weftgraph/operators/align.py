@@ -58,11 +58,11 @@ def deep_diff(old: DataFrame, new: DataFrame, key: str, json: str, depth: int =
 
 
 def verdict(before: DataFrame, after: DataFrame, mode: str, keys: list[str], values: list[str], missing: bool = False, new: bool = False, expected: DataFrame | None = None, how: str = "EXACT", **limits: float) -> DataFrame:
-    """One row (mode, passed, compared, failed, missing_rows, new_rows) for a whole result.
+    """One row (mode, passed, compared, failed, missing_rows, new_rows) for a whole result whose rows have ``keys``.
 
-    SCHEMA_ONLY compares names and types; SET_EQUIVALENCE bags of rows; PRESERVE_AGGREGATE asks for one
+    ``regression`` compares by place instead. SCHEMA_ONLY compares names, types and the number of rows; SET_EQUIVALENCE bags of rows; PRESERVE_AGGREGATE asks for one
     row a side and the tolerance; MONITOR is never passed or failed. Rows that one side lacks fail
-    unless allowed, and in SET_EQUIVALENCE always; SCHEMA_ONLY counts no rows. Names or types that differ fail every mode but MONITOR. EXPECTED_VALUE and
+    unless allowed, and in SET_EQUIVALENCE always. Names or types that differ fail every mode but MONITOR. EXPECTED_VALUE and
     EXPECTED_CHANGE hold ``after`` against ``expected`` by mode ``how``, and against ``before`` by the
     number of rows alone; without ``expected`` they fail.
     """
@@ -75,7 +75,11 @@ def verdict(before: DataFrame, after: DataFrame, mode: str, keys: list[str], val
         return told.withColumn("mode", F.lit(mode)).withColumn("passed", F.col("passed") & F.lit(passed))
     spark, head = before.sparkSession, "mode string, passed boolean, compared long, failed long, missing_rows long, new_rows long"
     same = [(f.name, f.dataType) for f in before.schema] == [(f.name, f.dataType) for f in after.schema]
-    if mode == "MONITOR" or not same or mode == "SCHEMA_ONLY":
+    if mode == "SCHEMA_ONLY" and same:
+        lost = before.count() - after.count()
+        passed = (missing or lost <= 0) and (new or lost >= 0)
+        return spark.createDataFrame([(mode, passed, 0, 0, max(lost, 0), max(-lost, 0))], head)
+    if mode == "MONITOR" or not same:
         return spark.createDataFrame([(mode, None if mode == "MONITOR" else same, 0, 0, 0, 0)], head)
     if mode == "SET_EQUIVALENCE":
         counts = compare.bag_difference(before, after).agg(F.coalesce(F.sum(F.greatest("surplus", F.lit(0))), F.lit(0)).alias("missing_rows"), F.coalesce(F.sum(-F.least("surplus", F.lit(0))), F.lit(0)).alias("new_rows"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import alnum_key, fold
+from weftgraph.operators.regression import placed
 from weftgraph.plans.queries import query
 from weftgraph.sources.star import table
 
@@ -41,9 +42,8 @@ def override_states(spark, d) -> DataFrame:
 @query("""WITH a AS (SELECT row_number() OVER (ORDER BY n_name) AS place, n_name AS v FROM nation), b AS (SELECT row_number() OVER (ORDER BY n_name) AS place, n_name AS v FROM nation WHERE n_nationkey <> 7)
   SELECT coalesce(a.place, b.place)::INTEGER AS place, a.v IS NOT DISTINCT FROM b.v AS same FROM a FULL JOIN b ON a.place = b.place""")
 def positional_compare(spark, d) -> DataFrame:
-    """Cell by cell over an explicit order; small ordered results only, as the place is a global rank."""
-    place = F.row_number().over(Window.orderBy("n_name"))
-    ranked = lambda df, out: df.select(place.alias("place"), F.col("n_name").alias(out))
+    """Cell by cell over an explicit order."""
+    ranked = lambda df, out: placed(df.select("n_name"), ["n_name"]).select(F.col("place").cast("int").alias("place"), F.col("row.n_name").alias(out))
     n = table(spark, d, "nation")
     return ranked(n, "a").join(ranked(n.where("n_nationkey <> 7"), "b"), "place", "full_outer").select("place", F.col("a").eqNullSafe(F.col("b")).alias("same"))
 

@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import blocks as bl
 from weftgraph.llm.scratch import stage
-from weftgraph.llm.window_dedup import covered
 
 LENGTH = 400
 ANCHOR = 48
@@ -137,9 +136,15 @@ class Known:
         said = bl.said_of(self.hashes, replies, by)
         anchors = (self.hashes & _ONE) > 0
         many = self.hashes[anchors & said]
-        repeated = {(int(h), int(x)) for h, x in zip(self.hashes[~anchors & said], self.extra["x"][~anchors & said], strict=True)}
+        hashes, seconds = self.hashes[~anchors & said], self.extra["x"][~anchors & said]
+        head = _heads(hashes)
+        some, twins = hashes[head], len(head) < len(hashes)
+        pairs = {(int(h), int(x)) for h, x in zip(hashes, seconds, strict=True)} if twins else set()  # two texts share a first hash
         for w in self.parts:
-            w.whole = np.fromiter(((int(h), int(x)) in repeated for h, x in zip(w.texts, w.seconds, strict=True)), bool, len(w.texts))
+            at = np.minimum(np.searchsorted(some, w.texts), max(0, len(some) - 1))
+            w.whole = (some[at] == w.texts) & (seconds[head][at] == w.seconds) if len(some) else np.zeros(len(w.texts), bool)
+            if twins:
+                w.whole = np.array([(int(h), int(x)) in pairs for h, x in zip(w.texts, w.seconds, strict=True)], bool)
             w.mixed = np.isin(w.anchors, many)
 
 
@@ -165,17 +170,21 @@ def _ask(length: int, anchor: int, by: bl.Cut):
     return run
 
 
-def _counted(known: Known) -> tuple[np.ndarray, np.ndarray]:
+class Counted:
     """Distinct hashes of the windows of texts whose anchors have others, and how often they occur, up to twice."""
-    hashes, weights = [np.empty(0, _U)], [np.empty(0, np.int64)]
-    for w in known.parts:
-        chosen = np.flatnonzero(w.mixed)
-        runs = w.first[chosen]
-        starts = _spread(w.begin[runs], w.run[runs])
-        hashes.append(w.sums.of(starts, starts + w.length))
-        weights.append(np.repeat(np.where(w.whole[chosen], 2, 1), w.run[runs]))
-    every, which = np.unique(np.concatenate(hashes), return_inverse=True)
-    return every, np.minimum(np.bincount(which, weights=np.concatenate(weights), minlength=len(every)), 2).astype(np.uint8)
+
+    def __init__(self, known: Known):
+        self.starts, self.windows, weights = [], [], [np.empty(0, np.int64)]
+        for w in known.parts:
+            chosen = np.flatnonzero(w.mixed)
+            runs = w.first[chosen]
+            starts = _spread(w.begin[runs], w.run[runs])
+            self.starts.append(starts)
+            self.windows.append(w.sums.of(starts, starts + w.length))
+            weights.append(np.repeat(np.where(w.whole[chosen], 2, 1), w.run[runs]))
+        self.hashes, which = np.unique(np.concatenate([np.empty(0, _U), *self.windows]), return_inverse=True)
+        self.counts = np.minimum(np.bincount(which, weights=np.concatenate(weights), minlength=len(self.hashes)), 2).astype(np.uint8)
+        self.which = np.split(which, np.cumsum([len(x) for x in self.windows])[:-1])
 
 
 def _often(hashes: np.ndarray, _: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -187,36 +196,40 @@ def _count(length: int, anchor: int, by: bl.Cut):
     def run(number: int, parts: bl.Parts, row: dict) -> Iterator[pa.RecordBatch]:
         known = Known(parts, length, anchor)
         known.hear(row["replies"], by)
-        yield bl.cells(number, *_counted(known), by)
+        counted = Counted(known)
+        yield bl.cells(number, counted.hashes, counted.counts, by)
 
     return run
 
 
 class Pieces:
-    """A block's distinct runs of windows that may repeat, in order of part and place."""
+    """A block's distinct runs of windows that may repeat, in order of part and place; ``at`` lists where each part has which."""
 
     def __init__(self, known: Known, replies: list | None, by: bl.Cut):
-        hashes, counts = _counted(known)
-        often = hashes[bl.said_of(hashes, replies, by) | (counts > 1)]
-        rows: dict[tuple, int] = {}
+        counted = Counted(known)
+        often = bl.said_of(counted.hashes, replies, by) | (counted.counts > 1)
+        places: dict[tuple, int] = {}
         self.rows, self.copies, self.at = [], [], []
-        for w in known.parts:
+        for w, starts, which in zip(known.parts, counted.starts, counted.which, strict=True):
             runs = w.first[np.flatnonzero(w.mixed)]
-            starts = _spread(w.begin[runs], w.run[runs])
-            some = np.isin(w.sums.of(starts, starts + w.length), often)
+            some = often[which]
             owner = np.repeat(np.arange(len(runs)), w.run[runs])
-            head = np.flatnonzero(some & ~(np.concatenate([[False], some[:-1] & (owner[1:] == owner[:-1])]) if len(some) else some))
-            tail = np.flatnonzero(some & ~(np.concatenate([some[1:] & (owner[1:] == owner[:-1]), [False]]) if len(some) else some))
-            for i, j in zip(head.tolist(), tail.tolist(), strict=True):
-                r = runs[owner[i]]
-                begin, n = int(starts[i]), j - i + 1
-                piece = (int(w.anchors[w.which[r]]), int(w.off[r] - (begin - w.begin[r])), w.bytes[begin : begin + n + w.length - 1].tobytes())
-                place = rows.setdefault(piece, len(self.rows))
+            joined = some[1:] & some[:-1] & (owner[1:] == owner[:-1])
+            head = np.flatnonzero(some & ~np.concatenate([[False], joined])) if len(some) else owner
+            tail = np.flatnonzero(some & ~np.concatenate([joined, [False]])) if len(some) else owner
+            own = runs[owner[head]]
+            begin, size = starts[head], tail - head + 1
+            anchors, offs = w.anchors[w.which[own]], w.off[own] - (begin - w.begin[own])
+            data, here = w.bytes.tobytes(), []
+            for b, n, anchor, off in zip(begin.tolist(), size.tolist(), anchors.tolist(), offs.tolist(), strict=True):
+                piece = (anchor, off, data[b : b + n + w.length - 1])
+                place = places.setdefault(piece, len(self.rows))
                 if place == len(self.rows):
                     self.rows.append((*piece, n))
                     self.copies.append(0)
                 self.copies[place] += 1
-                self.at.append((w, begin, n, place))
+                here.append((b, n, place))
+            self.at.append(here)
 
 
 def _send(length: int, anchor: int, by: bl.Cut):
@@ -344,18 +357,25 @@ def _remove(length: int, anchor: int, by: bl.Cut):
                     gone[place] = np.ones(pieces.rows[place][3], bool)
             else:
                 gone[r["place"]] = np.unpackbits(np.frombuffer(bl.unpacked(r["bits"]), np.uint8), count=pieces.rows[r["place"]][3]).astype(bool)
-        for w in known.parts:
+        for w, here in zip(known.parts, pieces.at, strict=True):
             whole = np.flatnonzero(w.whole[w.which])
-            starts = [_spread(w.begin[whole], w.run[whole])] + [begin + np.flatnonzero(gone[place]) for part, begin, _, place in pieces.at if part is w and gone[place] is not None]
-            yield _result(w, np.unique(np.concatenate(starts)))
+            begin, size = [w.begin[whole]], [w.run[whole]]
+            for at, n, place in here:
+                if (bits := gone[place]) is not None:
+                    starts = np.array([at]) if bits.all() else at + np.flatnonzero(bits)
+                    begin.append(starts)
+                    size.append(np.array([n]) if bits.all() else np.ones(len(starts), np.int64))
+            yield _result(w, np.concatenate(begin), np.concatenate(size))
 
     return run
 
 
-def _result(w: Anchored, gone: np.ndarray) -> pa.RecordBatch:
-    """The rows of a part whose windows that start at ``gone`` are removed."""
+def _result(w: Anchored, gone: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """The rows of a part of which the runs of ``size`` windows that start at ``gone`` are removed."""
     ids, begin, end = w.docs
-    off = covered(gone, w.length, len(w.bytes))
+    total = len(w.bytes)
+    steps = np.bincount(gone, minlength=total + 1) - np.bincount(gone + size + w.length - 1, minlength=total + 1)
+    off = np.cumsum(steps[:total]) > 0
     removed = np.concatenate([[0], np.cumsum(off)])
     rises = np.concatenate([[0], np.cumsum(off & ~np.concatenate([[False], off[:-1]]))])
     digest = [hashlib.sha256(w.bytes[i:j][~off[i:j]].tobytes()).hexdigest() for i, j in zip(begin, end, strict=True)]

@@ -107,10 +107,8 @@ def _smaller(hashes: np.ndarray, _: np.ndarray, extra: np.ndarray) -> np.ndarray
 
 def covered(starts: np.ndarray, length: int, total: int) -> np.ndarray:
     """Whether each of ``total`` places lies in a window that starts at one of ``starts``."""
-    steps = np.zeros(total + 1, np.int32)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, np.minimum(starts + length, total), -1)
-    return np.cumsum(steps[:-1]) > 0
+    steps = np.bincount(starts, minlength=total + 1) - np.bincount(np.minimum(starts + length, total), minlength=total + 1)
+    return np.cumsum(steps[:total]) > 0
 
 
 def _remove(window: int, by: bl.Cut):

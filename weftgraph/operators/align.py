@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import alnum_key
+from weftgraph.functions.lineage import cut
 from weftgraph.operators import compare
 
 
@@ -39,19 +42,29 @@ def cell_states(target: DataFrame, source: DataFrame, matches: DataFrame) -> Dat
     return both.select(F.col("left_id").alias("id"), state.alias("state"))
 
 
-def flatten(json: Column, depth: int = 6) -> Column:
-    """(key, value) leaves of a JSON object as a sorted array, keys as paths; arrays, and what lies below ``depth``, are leaves."""
-    step = lambda c: F.coalesce(F.map_entries(F.from_json(c, "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
-    leaves = step(json)
-    for _ in range(depth - 1):
-        below = lambda e: F.transform(step(e["value"]), lambda x: F.struct(F.concat(e["key"], F.lit("/"), x["key"]).alias("key"), x["value"].alias("value")))
-        leaves = F.flatten(F.transform(leaves, lambda e: F.when(e["value"].startswith("{") & (e["value"] != "{}"), below(e)).otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))))
-    return F.array_sort(leaves)
-
+def leaves(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """(key, path, value) of the leaves of JSON objects, as deep as they go; arrays and empty objects are leaves.
 
-def deep_diff(old: DataFrame, new: DataFrame, key: str, json: str, depth: int = 6) -> DataFrame:
+    A round opens one level of all objects that still have one, so there are as many rounds as levels.
+    """
+    opened = F.from_json("value", "map<string,string>")
+    level = cut(rows.select(key, F.lit("").alias("path"), F.col(json).alias("value")).where("value IS NOT NULL"))
+    done, first = [], True
+    while True:
+        told = level.withColumn("inner", F.when(F.lit(first) | F.col("value").startswith("{"), opened))
+        inside = F.coalesce(F.size("inner"), F.lit(0)) > 0
+        if not first:
+            done.append(told.where(~inside).select(key, "path", "value"))
+        below = told.where(inside).select(key, "path", F.explode("inner").alias("name", "value"))
+        level = cut(below.select(key, F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws("/", "path", "name")).alias("path"), "value"))
+        first = False
+        if level.isEmpty():
+            return reduce(DataFrame.union, done) if done else level
+
+
+def deep_diff(old: DataFrame, new: DataFrame, key: str, json: str) -> DataFrame:
     """(key, path, change, old_value, new_value) of JSON properties that were added, removed or changed."""
-    side = lambda df, out: df.select(key, F.explode(flatten(F.col(json), depth)).alias("e")).select(key, F.col("e.key").alias("path"), F.col("e.value").alias(out), F.lit(True).alias(f"has_{out}"))
+    side = lambda df, out: leaves(df, key, json).select(key, "path", F.col("value").alias(out), F.lit(True).alias(f"has_{out}"))
     both = side(old, "old_value").join(side(new, "new_value"), [key, "path"], "full_outer").where("not (old_value <=> new_value) or has_old_value is null or has_new_value is null")
     change = F.when(F.col("has_old_value").isNull(), "added").when(F.col("has_new_value").isNull(), "removed").otherwise("changed")
     return both.select(key, "path", change.alias("change"), "old_value", "new_value")

@@ -60,7 +60,7 @@ def deep_property_diff(spark, d) -> DataFrame:
     text = lambda size, brand, note: F.to_json(F.struct(F.struct(size.alias("size"), brand.alias("brand")).alias("shape"), note.alias("note")))
     old = p.select("p_partkey", text(F.col("p_size"), F.col("p_brand"), F.lit(None).cast("string")).alias("json"))
     new = p.select("p_partkey", text(F.when(k % 3 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")), F.when(k % 7 != 0, F.col("p_brand")), F.when(k % 5 == 0, "x")).alias("json"))
-    return align.deep_diff(old, new, "p_partkey", "json", 3)
+    return align.deep_diff(old, new, "p_partkey", "json")
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, count(*)::DOUBLE AS v FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY 1), b AS (SELECT o_custkey AS k, count(*)::DOUBLE AS v FROM orders WHERE o_orderkey % 4 <> 0 GROUP BY 1),

@@ -28,7 +28,7 @@ WORD = r"[A-Za-z_]\w*"
 REFERENCE = rf"(?:{QUOTED}\s*|{WORD})?{BRACKETED}"
 #: One alternation, so that what begins first wins; quoted tables stay as group 1.
 SKIPPED = rf"({QUOTED})|{STRING}|{COMMENT}"
-TOKEN = rf"{STRING}|{COMMENT}|{REFERENCE}|\w+|[\s\S]"
+TOKEN = rf"{STRING}|{COMMENT}|{REFERENCE}|{QUOTED}|\w+|[\s\S]"
 
 
 def tokens(c: Column) -> Column:
@@ -87,3 +87,55 @@ def plain_text(c: Column) -> Column:
 def read_only(c: Column) -> Column:
     """False where a statement holds a writing keyword as a word, in any letter case; null stays null."""
     return ~c.rlike(rf"(?i)\b(?:{'|'.join(WRITING)})\b")
+
+
+def call_references(c: Column) -> Column:
+    """(call, function, argument, ref) of what stands inside each function's parentheses, however deep; arguments count from 0.
+
+    ``ref`` is a reference token, a quoted table or a bare word that is not called; calls are numbered by where they open.
+    """
+    code = F.filter(tokens(c), lambda t: (F.trim(t) != "") & ~t.rlike(rf"^(?:{STRING}|{COMMENT})$") & ~t.rlike(r"^\s$"))
+    frame, found = "array<struct<call:int,f:string,a:int>>", "array<struct<call:int,function:string,argument:int,ref:string>>"
+    start = F.struct(F.array().cast(frame).alias("open"), F.lit("").alias("word"), F.lit(0).alias("calls"), F.array().cast(found).alias("out"))
+
+    def told(state: Column, ref: Column) -> Column:
+        named = F.filter(state["open"], lambda x: x["f"] != "")
+        return F.concat(state["out"], F.transform(named, lambda x: F.struct(x["call"].alias("call"), x["f"].alias("function"), x["a"].alias("argument"), ref.alias("ref"))))
+
+    def step(s: Column, t: Column) -> Column:
+        out = F.when((s["word"] != "") & (t != "("), told(s, s["word"])).otherwise(s["out"])
+        opens, closes = t.isin("(", "{"), t.isin(")", "}")
+        top = F.struct(s["calls"].alias("call"), F.when(t == "(", F.upper(s["word"])).otherwise("").alias("f"), F.lit(0).alias("a"))
+        last = F.size(s["open"]) - 1
+        bumped = F.transform(s["open"], lambda x, i: F.struct(x["call"].alias("call"), x["f"].alias("f"), (x["a"] + F.when(i == last, 1).otherwise(0)).alias("a")))
+        stack = F.when(opens, F.array_append(s["open"], top)).when(closes & (last >= 0), F.slice(s["open"], 1, F.greatest(last, F.lit(0)))).when(t == ",", bumped).otherwise(s["open"])
+        is_ref = t.rlike(rf"^(?:{REFERENCE}|{QUOTED})$")
+        after = F.struct(s["open"].alias("open"), F.lit("").alias("word"), s["calls"].alias("calls"), out.alias("out"))
+        return F.struct(stack.alias("open"), F.when(t.rlike(r"^\w+$"), t).otherwise("").alias("word"), (s["calls"] + F.when(t == "(", 1).otherwise(0)).alias("calls"), F.when(is_ref, told(after, t)).otherwise(out).alias("out"))
+
+    return F.aggregate(code, start, step, lambda s: s["out"])
+
+
+def variables(c: Column) -> Column:
+    """Distinct folded names that ``VAR`` declares, sorted."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(bare(c), F.lit(r"(?i)\bVAR\s+(\w+)\s*="), F.lit(1)), lambda v: F.lower(v))))
+
+
+#: Types that a literal table's columns may have. Fixed values.
+LITERAL_TYPES = ["BOOLEAN", "LOGICAL", "CURRENCY", "DECIMAL", "DATETIME", "DOUBLE", "INTEGER", "INT64", "STRING", "TEXT"]
+
+
+def literal_table(c: Column) -> Column:
+    """(columns, rows) of a DATATABLE whose cells are all constants, a row as wide as the columns; null for any other formula."""
+    number = r"-?\s*\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+    call = rf"(?i:DATE|TIME)\s*\(\s*{number}\s*,\s*{number}\s*,\s*{number}\s*\)|(?i:BLANK)\s*\(\s*\)|(?i:TRUE|FALSE)\b(?:\s*\(\s*\))?"
+    constant = rf"(?:{call}|{STRING}|{number})"
+    row = rf"[{{(]\s*{constant}(?:\s*,\s*{constant})*\s*[}})]"
+    column = rf"({STRING})\s*,\s*(?i:{'|'.join(LITERAL_TYPES)})\s*,"
+    whole = rf"^\s*(?i:DATATABLE)\s*\(\s*(?:{column}\s*)+\{{\s*(?:{row}\s*(?:,\s*{row}\s*)*)?\}}\s*\)\s*$"
+    code = F.regexp_replace(c, rf"({STRING})|{COMMENT}", "$1 ")
+    head = F.regexp_extract(code, rf"^\s*\w+\s*\(\s*((?:{column}\s*)+)", 1)
+    names = F.transform(F.regexp_extract_all(head, F.lit(column), F.lit(1)), lambda n: F.replace(F.substring(n, F.lit(2), F.length(n) - 2), F.lit('""'), F.lit('"')))
+    rows = F.regexp_extract_all(F.substring(code, F.length(head) + F.instr(code, "(") + 1, F.length(code)), F.lit(row), F.lit(0))
+    fits = F.forall(rows, lambda r: F.regexp_count(r, F.lit(constant)) == F.size(names)) & (F.size(F.array_distinct(names)) == F.size(names))
+    return F.when(code.rlike(whole) & fits, F.struct(names.alias("columns"), F.size(rows).alias("rows")))

@@ -142,3 +142,75 @@ def carry_over(new: DataFrame, old: DataFrame, default: str = "FACT") -> DataFra
     """``new`` (id, status) with the earlier status where that was not the default."""
     kept = old.where(F.col("status") != default).select("id", F.col("status").alias("__old"))
     return new.join(kept, "id", "left").withColumn("status", F.coalesce("__old", "status")).drop("__old")
+
+
+#: Objects that may mean something, names that say nothing, and what a description declares. Fixed values.
+MEANINGFUL = ["MODEL", "TABLE", "COLUMN", "MEASURE", "FIELD_PARAMETER", "SHARED_EXPRESSION", "USER_DEFINED_FUNCTION", "CALCULATION_GROUP", "CALCULATION_ITEM"]
+GENERIC = ["column", "columns", "field", "fields", "measure", "measures", "model", "table", "value", "values", "name", "id", "object"]
+DECLARED = {
+    "fact": ["fact", "transaction", "invoice", "sales", "orders", "order"],
+    "dimension": ["dimension", "calendar", "date", "customer", "product"],
+    "selector": ["selector", "switch", "parameter", "choice", "option", "options"],
+    "measure": ["measure", "metric", "calculation", "calculated"],
+}
+#: Words that name a behaviour in a denial. Fixed values.
+BEHAVIOUR_WORDS = {
+    "selector": ["selector", "switch", "parameter", "selected value"],
+    "filter_context": ["filter", "filtered", "filter context"],
+    "relationship": ["relationship", "relation"],
+    "formatting": ["format", "formatted", "formatting"],
+    "conditional": ["condition", "conditional", "branch"],
+    "function": ["function", "call"],
+}
+
+
+def slug(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
+
+
+def candidates(objects: DataFrame) -> DataFrame:
+    """(target, assertion, value, source, priority) of what objects (id, type, name, description, functions) may mean.
+
+    A description is the meaning, with the name as alias where it says something else, and the role that its words declare.
+    Only without one does the name count, unless it is generic or a number. Called functions are behaviours. All from one scan.
+    """
+    text, name = F.trim("description"), F.trim("name")
+    described = F.coalesce(text != "", F.lit(False))
+    said = F.coalesce(name != "", F.lit(False)) & ~slug(name).isin(GENERIC)
+    numbered = F.lower(name).rlike(r"^(?:table|column|measure)[ _-]?\d+$")
+    one = lambda when, assertion, value, source, priority: F.when(
+        F.coalesce(when, F.lit(False)), F.struct(F.lit(assertion).alias("assertion"), value.alias("value"), F.lit(source).alias("source"), F.lit(priority).alias("priority"))
+    )
+    own = F.array_compact(F.array(
+        one(described, "BUSINESS_CONCEPT", text, "description", 1),
+        one(described & said & (slug(name) != slug(text)), "ALIAS", name, "description", 1),
+        one(described & role_from_text(text).isNotNull(), "ROLE", role_from_text(text), "description", 1),
+        one(~described & said & ~numbered, "BUSINESS_CONCEPT", name, "object_name", 5),
+    ))
+    called = F.coalesce(F.array_distinct(F.transform("functions", lambda f: F.upper(f))), F.array().cast("array<string>"))
+    acts = F.transform(called, lambda f: F.struct(F.lit("BEHAVIOR").alias("assertion"), f.alias("value"), F.lit("dax_analysis").alias("source"), F.lit(2).alias("priority")))
+    meant = F.when(F.col("type").isin(MEANINGFUL), own).otherwise(F.slice(own, 1, 0))
+    return objects.select(F.col("id").alias("target"), F.explode(F.concat(meant, acts)).alias("c")).select("target", "c.*")
+
+
+def conflicts(objects: DataFrame, behaviours: DataFrame) -> DataFrame:
+    """(target, behaviour, reason) where a description contradicts what an object does; the smallest behaviour tells.
+
+    ``objects`` (id, description), ``behaviours`` (id, behaviour), roles as in ``FUNCTION_CLASSES``. A fact or dimension that
+    acts as a selector is one; so is a description that denies the behaviour. Silence contradicts nothing.
+    """
+    words = F.split(F.lower("description"), r"[^\p{L}\p{N}]+")
+    declared = F.arrays_overlap(words, F.array(*map(F.lit, DECLARED["fact"] + DECLARED["dimension"])))
+    denied = F.array_compact(F.array(*[F.when(denies(F.col("description"), aliases), role) for role, aliases in BEHAVIOUR_WORDS.items()]))
+    told = objects.where("description IS NOT NULL").select("id", declared.alias("declared"), denied.alias("denied")).join(behaviours.distinct(), "id")
+    reason = F.when(F.col("declared") & (F.col("behaviour") == "selector"), "declared_role").when(F.array_contains("denied", F.col("behaviour")), "denied")
+    return told.withColumn("reason", reason).where("reason IS NOT NULL").groupBy(F.col("id").alias("target")).agg(F.min(F.struct("behaviour", "reason")).alias("r")).select("target", "r.*")
+
+
+def selected_defaults(formulas: DataFrame) -> DataFrame:
+    """(id, column, fallback) of SELECTEDVALUE calls with a constant alternate in formulas (id, formula)."""
+    from weftgraph.functions.expressions import REFERENCE, STRING
+
+    call = rf"(?i:SELECTEDVALUE)\s*\(\s*({REFERENCE})\s*,\s*({STRING}|-?\d+(?:\.\d+)?)\s*\)"
+    pairs = F.arrays_zip(F.regexp_extract_all("formula", F.lit(call), F.lit(1)).alias("c"), F.regexp_extract_all("formula", F.lit(call), F.lit(2)).alias("v"))
+    return formulas.select("id", F.explode(pairs).alias("p")).select("id", F.col("p.c").alias("column"), F.regexp_replace("p.v", '^"|"$', "").alias("fallback")).distinct()

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftgraph.plans import analysing, comparing, edits, impact, inferring, merging, regressing, relations, review, searching, snapshots, validating  # noqa: F401  register their queries
+from weftgraph.plans import analysing, comparing, edits, impact, inferring, merging, planning, regressing, relations, review, searching, snapshots, validating  # noqa: F401  register their queries
 from weftgraph.plans.queries import REGISTRY
 
 DATA = "/root/testdata/sf0.001"

@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CHILD = "id string, name string, description string"
+_WITH_TEXT = f"array<struct<{_CHILD}, expression string>>"
 #: A model file as it is read; a fixed schema, so that no pass over the files infers one.
-MODEL = f"""{_CHILD}, tables array<struct<{_CHILD}, columns array<struct<{_CHILD}, dataType string>>, measures array<struct<{_CHILD}, expression string>>>>,
-  relationships array<struct<id string, fromTable string, fromColumn string, toTable string, toColumn string, isActive boolean>>"""
-REPORT = """id string, name string, modelId string, sections array<struct<id string, displayName string,
-  visualContainers array<struct<id string, visualType string, title string, fields array<struct<objectId string, kind string>>>>>>"""
+MODEL = f"""{_CHILD}, tables array<struct<{_CHILD}, columns array<struct<{_CHILD}, dataType string>>, measures array<struct<{_CHILD}, expression string>>,
+    hierarchies array<struct<{_CHILD}, levels array<struct<{_CHILD}, column string>>>>, partitions {_WITH_TEXT}>>,
+  relationships array<struct<id string, fromTable string, fromColumn string, toTable string, toColumn string, isActive boolean>>,
+  roles array<struct<{_CHILD}, tablePermissions array<struct<{_CHILD}, table string, filterExpression string>>>>,
+  fieldParameters array<struct<{_CHILD}, entries array<struct<name string, `order` int, objectId string>>>>,
+  sharedExpressions {_WITH_TEXT}, userDefinedFunctions {_WITH_TEXT},
+  calculationGroups array<struct<{_CHILD}, precedence int, calculationItems array<struct<{_CHILD}, expression string, ordinal int>>>>"""
+_FILTERS = "filters array<struct<id string, condition string, target struct<objectId: string>>>"
+REPORT = f"""id string, name string, modelId string, {_FILTERS}, bookmarks array<struct<id string, displayName string>>,
+  sections array<struct<id string, displayName string, {_FILTERS},
+    visualContainers array<struct<id string, visualType string, title string, {_FILTERS}, fields array<struct<objectId string, kind string>>>>>>"""
 
 
 def read_models(spark: SparkSession, path: str) -> DataFrame:
@@ -32,21 +40,55 @@ def _each(items: Column, make) -> Column:
 
 
 def model_nodes(models: DataFrame) -> DataFrame:
-    """(id, type, name, parent_id, home_id, text) of models, tables, columns and measures, from one scan."""
+    """(id, type, name, parent_id, home_id, text) of models and all that they hold, from one scan; objects without an id are left out.
+
+    Children follow their parents: a table's columns, measures, hierarchies with levels and partitions; a role's filters; a
+    calculation group's items.
+    """
     m, none = F.col("id"), F.lit(None).cast("string")
-    below = lambda t: F.concat(_each(t["columns"], lambda c: _node(c["id"], "COLUMN", c["name"], t["id"], m)), _each(t["measures"], lambda x: _node(x["id"], "MEASURE", x["name"], t["id"], m, x["expression"])))
-    every = F.concat(F.array(_node(m, "MODEL", F.col("name"), none, m)), _each(F.col("tables"), lambda t: _node(t["id"], "TABLE", t["name"], m, m)), F.flatten(_each(F.col("tables"), below)), _each(F.col("relationships"), lambda r: _node(r["id"], "RELATIONSHIP", none, m, m)))
+    plain = lambda items, kind, parent, text=None: _each(items, lambda x: _node(x["id"], kind, x["name"], parent, m, x[text] if text else None))
+    nested = lambda items, make: F.flatten(_each(items, make))
+    in_table = lambda t: F.concat(
+        plain(t["columns"], "COLUMN", t["id"]), plain(t["measures"], "MEASURE", t["id"], "expression"), plain(t["hierarchies"], "HIERARCHY", t["id"]),
+        nested(t["hierarchies"], lambda h: plain(h["levels"], "LEVEL", h["id"], "column")), plain(t["partitions"], "PARTITION", t["id"], "expression"),
+    )
+    every = F.concat(
+        F.array(_node(m, "MODEL", F.col("name"), none, m)), plain(F.col("tables"), "TABLE", m), nested(F.col("tables"), in_table),
+        _each(F.col("relationships"), lambda r: _node(r["id"], "RELATIONSHIP", none, m, m)),
+        plain(F.col("roles"), "SECURITY_ROLE", m), nested(F.col("roles"), lambda r: plain(r["tablePermissions"], "ROLE_FILTER", r["id"], "filterExpression")),
+        plain(F.col("fieldParameters"), "FIELD_PARAMETER", m), plain(F.col("sharedExpressions"), "SHARED_EXPRESSION", m, "expression"),
+        plain(F.col("userDefinedFunctions"), "USER_DEFINED_FUNCTION", m, "expression"), plain(F.col("calculationGroups"), "CALCULATION_GROUP", m),
+        nested(F.col("calculationGroups"), lambda g: plain(g["calculationItems"], "CALCULATION_ITEM", g["id"], "expression")),
+    )
     return models.select(F.explode(every).alias("n")).select("n.*").where("id is not null")
 
 
+def _filter_nodes(items: Column, kind: str, parent: Column, home: Column) -> Column:
+    return _each(items, lambda f: _node(f["id"], kind, F.lit(None).cast("string"), parent, home, f["condition"]))
+
+
 def report_nodes(reports: DataFrame) -> DataFrame:
-    """(id, type, name, parent_id, home_id, text) of reports, pages and visuals."""
+    """(id, type, name, parent_id, home_id, text) of reports, pages, visuals, bookmarks, and the filters at each of them."""
     r, none = F.col("id"), F.lit(None).cast("string")
-    visuals = lambda p: _each(p["visualContainers"], lambda v: _node(v["id"], "VISUAL", v["title"], p["id"], r, v["visualType"]))
-    every = F.concat(F.array(_node(r, "REPORT", F.col("name"), none, r)), _each(F.col("sections"), lambda p: _node(p["id"], "PAGE", p["displayName"], r, r)), F.flatten(_each(F.col("sections"), visuals)))
+    visuals = lambda p: F.concat(
+        _each(p["visualContainers"], lambda v: _node(v["id"], "VISUAL", v["title"], p["id"], r, v["visualType"])),
+        F.flatten(_each(p["visualContainers"], lambda v: _filter_nodes(v["filters"], "VISUAL_FILTER", v["id"], r))),
+        _filter_nodes(p["filters"], "PAGE_FILTER", p["id"], r),
+    )
+    every = F.concat(
+        F.array(_node(r, "REPORT", F.col("name"), none, r)), _each(F.col("sections"), lambda p: _node(p["id"], "PAGE", p["displayName"], r, r)), F.flatten(_each(F.col("sections"), visuals)),
+        _filter_nodes(F.col("filters"), "REPORT_FILTER", r, r), _each(F.col("bookmarks"), lambda b: _node(b["id"], "BOOKMARK", b["displayName"], r, r)),
+    )
     return reports.select(F.explode(every).alias("n")).select("n.*").where("id is not null")
 
 
+def filter_targets(reports: DataFrame) -> DataFrame:
+    """(from_id, to_id, type) from filters, wherever they stand, to what they filter; each edge once."""
+    of = lambda items: _each(items, lambda f: F.struct(f["id"].alias("from_id"), f["target"]["objectId"].alias("to_id"), F.lit("FILTERS").alias("type")))
+    on_pages = F.flatten(_each(F.col("sections"), lambda p: F.concat(of(p["filters"]), F.flatten(_each(p["visualContainers"], lambda v: of(v["filters"]))))))
+    return reports.select(F.explode(F.concat(of(F.col("filters")), on_pages)).alias("e")).select("e.*").dropna().distinct()
+
+
 def containment(nodes: DataFrame) -> DataFrame:
     """(from_id, to_id, type) from parents to children."""
     return nodes.where("parent_id is not null").select(F.col("parent_id").alias("from_id"), F.col("id").alias("to_id"), F.lit("CONTAINS").alias("type"))
@@ -100,3 +142,15 @@ def card_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def write_cards(lines: DataFrame, path: str, files: int = 64) -> None:
     lines.repartitionByRange(files, "id", "place", "line").sortWithinPartitions("id", "place", "line").select("line").write.mode("overwrite").text(path)
+
+
+def ask_index(objects: DataFrame) -> DataFrame:
+    """(key, n, first): folded type and name of objects (id, type, name), how many bear it and the smallest id."""
+    return objects.dropna(subset=["name"]).groupBy(F.concat_ws("|", F.lower("type"), F.lower("name")).alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+def wiring(objects: DataFrame, links: DataFrame) -> DataFrame:
+    """(from_type, type, to_type, n): which types are linked with which."""
+    kinds = objects.select("id", F.col("type").alias("kind"))
+    both = links.join(kinds.toDF("from_id", "from_type"), "from_id").join(kinds.toDF("to_id", "to_type"), "to_id")
+    return both.groupBy("from_type", "type", "to_type").agg(F.count("*").alias("n"))

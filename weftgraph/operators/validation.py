@@ -178,3 +178,65 @@ def smallest(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
     ranked = part.withColumn("n", F.row_number().over(Window.partitionBy(key, "part").orderBy(value))).where(F.col("n") <= most)
     kept = ranked.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(value))).where(F.col("n") <= most)
     return kept.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("items"))
+
+
+# Links that tell meanings, and what decisions may not replace.
+SEMANTIC_LINKS = ["SEMANTICALLY_MAPS_TO", "ALIAS_OF", "HAS_ROLE", "HAS_BEHAVIOR", "HAS_OPTION", "DEFAULTS_TO", "SIMILAR_TO", "BELONGS_TO"]
+IMMUTABLE = ["id", "type", "model_id", "report_id", "source_id", "from_id", "to_id", "evidence_class"]
+DECISIONS = ["approved", "rejected", "overridden", "candidate"]
+
+
+def semantic_rules(assertions: DataFrame, links: DataFrame) -> DataFrame:
+    """Meanings that disagree, and links of meaning that pose as facts.
+
+    ``assertions`` (target, assertion, value, status): several values among the approved are a contradiction, among the candidates
+    an ambiguity. ``links`` as above.
+    """
+    own = assertions.where("value IS NOT NULL AND status IN ('approved', 'candidate')")
+    several = own.groupBy("target", "assertion", "status").agg(F.countDistinct("value").alias("n")).where("n > 1")
+    kind, status = F.coalesce("evidence_class", F.lit("FACT")), F.coalesce("status", F.lit("factual"))
+    meaning = F.col("type").isin(SEMANTIC_LINKS)
+    rules = [
+        ("observed_evidence_mismatch", "ERROR", (F.col("type") == "OBSERVED_WITH") != (kind == "OBSERVED")),
+        ("semantic_fact_mismatch", "ERROR", meaning & (F.col("type") != "HAS_OPTION") & (kind == "FACT")),
+        ("semantic_status_mismatch", "ERROR", meaning & (kind == "INFERRED") & (status == "factual")),
+    ]
+    return _union([
+        _row(several.where("status = 'approved'"), "approved_semantic_contradiction", "WARNING", object_id="target", detail=F.col("assertion")),
+        _row(several.where("status = 'candidate'"), "candidate_semantic_ambiguity", "INFO", object_id="target", detail=F.col("assertion")),
+        _issues(links, rules, edge_id="id"),
+    ])
+
+
+def selector_rules(objects: DataFrame, links: DataFrame) -> DataFrame:
+    """Options and defaults: their links must lead from a selector to an option, a default be one of the options, an option have an owner."""
+    kinds = objects.select("id", "type")
+    own = links.where("type IN ('HAS_OPTION', 'DEFAULTS_TO')").join(kinds.toDF("from_id", "source_type"), "from_id", "left").join(kinds.toDF("to_id", "target_type"), "to_id", "left")
+    shaped = F.coalesce((F.col("source_type") == "SELECTOR") & (F.col("target_type") == "SELECTOR_OPTION"), F.lit(False))
+    options = own.where(shaped & (F.col("type") == "HAS_OPTION")).select("from_id", "to_id").distinct()
+    stray = own.where(shaped & (F.col("type") == "DEFAULTS_TO")).join(options, ["from_id", "to_id"], "left_anti")
+    loose = objects.where("type = 'SELECTOR_OPTION'").join(options.select(F.col("to_id").alias("id")), "id", "left_anti")
+    return _union([
+        _row(own.where(~shaped), "invalid_selector_link", "ERROR", edge_id="id", detail=F.col("type")),
+        _row(stray, "default_is_no_option", "ERROR", edge_id="id", detail=F.col("to_id")),
+        _row(loose, "option_without_selector", "WARNING", object_id="id"),
+    ])
+
+
+def override_rules(overrides: DataFrame, targets: DataFrame) -> DataFrame:
+    """Decisions (target, property, status) that name nothing, an unknown status or a generated field, stand twice, or whose target (id) is gone."""
+    blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    named = overrides.where(~blank("target"))
+    rules = [
+        ("override_missing_property", "ERROR", blank("property")),
+        ("override_invalid_status", "ERROR", ~F.lower(F.coalesce("status", F.lit("overridden"))).isin(DECISIONS)),
+        ("override_mutates_generated_fact", "BLOCKING", F.lower("property").isin(IMMUTABLE)),
+    ]
+    twice = named.groupBy("target", "property").count().where("count > 1")
+    stale = named.select("target").distinct().join(targets.select(F.col("id").alias("target")), "target", "left_anti")
+    return _union([
+        _row(overrides.where(blank("target")), "override_missing_target", "ERROR"),
+        _issues(named, rules, object_id="target"),
+        _row(twice, "duplicate_override", "WARNING", object_id="target", detail=F.col("property")),
+        _row(stale, "stale_override", "WARNING", object_id="target"),
+    ])

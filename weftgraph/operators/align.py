@@ -18,18 +18,32 @@ def alignment_key(kind: Column, table: Column, name: Column, ends: Column) -> Co
     return F.when(kind == "RELATIONSHIP", F.concat(F.lit("RELATIONSHIP|"), pair)).otherwise(F.concat_ws("|", kind, alnum_key(F.coalesce(table, F.lit(""))), alnum_key(name)))
 
 
-def align(target: DataFrame, source: DataFrame) -> DataFrame:
+def align(target: DataFrame, source: DataFrame, manual: DataFrame | None = None, forbidden: DataFrame | None = None, second: str | None = None) -> DataFrame:
     """(left_id, right_id, step) between (id, kind, tag, table, name, signature) rows of two sources.
 
-    Passes: lineage tag, key, name in kind (moved), name alone (another kind), signature (renamed).
-    A value that stands twice on a side matches nothing in its pass; nulls never match.
+    Passes: pairs a person confirmed (``manual``: left_id, right_id), lineage tag, key, the column ``second`` as another key if one is
+    named, table and name in another kind, name in kind (moved), signature (renamed). A value that stands twice on a side
+    matches nothing in its pass; nulls never match. A pair in ``forbidden`` (left_id, right_id) is not made, and both stay.
     """
-    kind, name = F.col("kind"), alnum_key(F.col("name"))
-    passes = {
-        "tag": [F.col("tag")], "key": [kind, alnum_key(F.coalesce("table", F.lit(""))), name], "moved": [kind, name],
-        "type_conflict": [name], "possible_rename": [kind, F.col("signature")],
-    }
-    return compare.cascade(target, source, passes)
+    kind, name, table = F.col("kind"), alnum_key(F.col("name")), alnum_key(F.coalesce("table", F.lit("")))
+    passes = {"tag": [F.col("tag")], "key": [kind, table, name]} | ({"second_key": [kind, F.col(second)]} if second else {})
+    passes |= {"type_conflict": [table, name], "moved": [kind, name], "possible_rename": [kind, F.col("signature")]}
+    if manual is None:
+        return compare.cascade(target, source, passes, forbidden=forbidden)
+    once = manual.join(target.select(F.col("id").alias("left_id")), "left_id", "left_semi").join(source.select(F.col("id").alias("right_id")), "right_id", "left_semi")
+    if forbidden is not None:
+        once = once.join(forbidden, ["left_id", "right_id"], "left_anti")
+    # of two confirmed pairs that share an end neither can be told to be meant
+    single = lambda c: once.groupBy(c).count().where("count = 1").select(c)
+    given = cut(once.join(single("left_id"), "left_id", "left_semi").join(single("right_id"), "right_id", "left_semi").select("left_id", "right_id", F.lit("manual").alias("step")))
+    left = target.join(given.select(F.col("left_id").alias("id")), "id", "left_anti")
+    right = source.join(given.select(F.col("right_id").alias("id")), "id", "left_anti")
+    return given.union(compare.cascade(left, right, passes, forbidden=forbidden))
+
+
+def duplicate_tags(source: DataFrame) -> DataFrame:
+    """(tag, objects, first): lineage tags that several objects of a source bear, which is why no pass uses them."""
+    return source.where("tag IS NOT NULL").groupBy("tag").agg(F.count("*").alias("objects"), F.min("id").alias("first")).where("objects > 1")
 
 
 def cell_states(target: DataFrame, source: DataFrame, matches: DataFrame) -> DataFrame:

@@ -34,14 +34,17 @@ def unique_match(left: DataFrame, right: DataFrame, key: list[Column], id_col: s
     return once(left, "left_id").join(once(right, "right_id"), names).select("left_id", "right_id")
 
 
-def cascade(left: DataFrame, right: DataFrame, passes: dict[str, list[Column]], id_col: str = "id") -> DataFrame:
+def cascade(left: DataFrame, right: DataFrame, passes: dict[str, list[Column]], id_col: str = "id", forbidden: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id, step): passes in order, matched rows leave both pools.
 
     Matches of a pass are written before the next, which would else compute every earlier pass twice.
     """
     found = None
     for step, key in passes.items():
-        got = cut(unique_match(left, right, key, id_col).withColumn("step", F.lit(step)))
+        pairs = unique_match(left, right, key, id_col)
+        if forbidden is not None:
+            pairs = pairs.join(forbidden, ["left_id", "right_id"], "left_anti")
+        got = cut(pairs.withColumn("step", F.lit(step)))
         left = left.join(got.select(F.col("left_id").alias(id_col)), id_col, "left_anti")
         right = right.join(got.select(F.col("right_id").alias(id_col)), id_col, "left_anti")
         found = got if found is None else found.union(got)

@@ -19,9 +19,9 @@ HOLDERS = ["TABLE"]
 
 
 def _passes(full: bool) -> dict[str, list[Column]]:
-    kind, name = F.col("kind"), alnum_key(F.col("name"))
-    first = {"tag": [F.col("tag")], "key": [kind, alnum_key(F.coalesce("table", F.lit(""))), name]}
-    return first | {"moved": [kind, name], "type_conflict": [name]} if full else first
+    kind, name, table = F.col("kind"), alnum_key(F.col("name")), alnum_key(F.coalesce("table", F.lit("")))
+    first = {"tag": [F.col("tag")], "key": [kind, table, name]}
+    return first | {"type_conflict": [table, name], "moved": [kind, name]} if full else first
 
 
 def align_many(objects: DataFrame, order: list[str]) -> DataFrame:

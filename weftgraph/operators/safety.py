@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from weftgraph.functions.expressions import references
 from weftgraph.functions.keys import fingerprint
 from weftgraph.functions.lineage import Rounds, cut
+from weftgraph.operators.analysis import CONSUMERS
 
 # Fixed values.
-USING = ["DEPENDS_ON", "REFERENCES", "USES", "FILTERS"]
-FORMULA_TYPES = ["MEASURE", "COLUMN", "TABLE", "CALCULATION_ITEM", "USER_DEFINED_FUNCTION"]
+USING = [*CONSUMERS, "RELATES_TO", "FORMATS_BY", "DRILLS_THROUGH_TO", "TOOLTIP_PAGE"]
+FORMULA_TYPES = ["MEASURE", "COLUMN", "TABLE", "CALCULATION_ITEM", "USER_DEFINED_FUNCTION", "ROLE_FILTER", "REPORT_MEASURE", "VISUAL_CALCULATION"]
 VERDICTS = ["BREAKS", "NEEDS", "CHANGED", "UNCHANGED"]
 UPSTREAM = ["DEPENDS_ON", "REFERENCES", "USES", "FILTERS", "SOURCES_FROM"]
 CONTAINERS = ["MODEL", "TABLE", "REPORT", "PAGE", "VISUAL"]

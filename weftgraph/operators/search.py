@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import lexical
@@ -91,6 +91,20 @@ def page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return rows.offset(offset).limit(limit).withColumns(told)
 
 
+def page_within(rows: DataFrame, size: Column, budget: int, limit: int, offset: int = 0, order: list[str] | None = None) -> DataFrame:
+    """A page of ``rows`` (ordered by ``order``, which ends in a key) as far as the sizes of its rows stay within ``budget``.
+
+    Each row tells total, has_more and next_offset; the next page goes on where this one was cut. A first row that alone is
+    over the budget is not shown, and the next offset stays.
+    """
+    whole = page(rows.orderBy(*order) if order else rows, limit, offset)
+    so_far = F.sum("size").over(Window.orderBy(*(order or whole.columns[:1])).rowsBetween(Window.unboundedPreceding, 0))  # over one page
+    kept = whole.withColumn("size", size).withColumn("so_far", so_far).where(F.col("so_far") <= budget).drop("size", "so_far")
+    shown = kept.count()
+    more = F.col("total") > offset + shown
+    return kept.withColumns({"has_more": more, "next_offset": F.when(more, F.lit(offset + shown).cast("long"))})
+
+
 def answer(nodes: DataFrame, query: str, limit: int, offset: int = 0, types: list[str] | None = None, models: list[str] | None = None, reports: list[str] | None = None, statuses: list[str] | None = None) -> DataFrame:
     """A page of what a search finds in a scope; where nothing matches by words, of what holds the query anywhere."""
     own = scope(nodes, types, models, reports, statuses)

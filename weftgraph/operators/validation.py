@@ -181,9 +181,9 @@ def smallest(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
 
 
 # Links that tell meanings, and what decisions may not replace.
-SEMANTIC_LINKS = ["SEMANTICALLY_MAPS_TO", "ALIAS_OF", "HAS_ROLE", "HAS_BEHAVIOR", "HAS_OPTION", "DEFAULTS_TO", "SIMILAR_TO", "BELONGS_TO"]
-IMMUTABLE = ["id", "type", "model_id", "report_id", "source_id", "from_id", "to_id", "evidence_class"]
-DECISIONS = ["approved", "rejected", "overridden", "candidate"]
+SEMANTIC_LINKS = ["CONTROLLED_BY", "HAS_OPTION", "DEFAULTS_TO", "SEMANTICALLY_MAPS_TO", "SIMILAR_TO", "CONFLICTS_WITH"]
+IMMUTABLE = ["id", "type", "name", "model_id", "report_id", "source_id", "source", "evidence", "evidence_class", "from_id", "to_id", "status"]
+DECISIONS = ["candidate", "approved", "rejected", "overridden"]
 
 
 def semantic_rules(assertions: DataFrame, links: DataFrame) -> DataFrame:

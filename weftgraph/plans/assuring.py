@@ -166,7 +166,7 @@ def meaning_checks(spark, d) -> DataFrame:
     e = table(spark, d, "events")
     status = F.when(F.col("event_id") % 3 == 0, "approved").when(F.col("event_id") % 3 == 1, "candidate").otherwise("rejected")
     told = e.select(F.col("user_id").cast("string").alias("target"), F.col("event_type").alias("assertion"), F.floor(F.col("value") / 50).alias("value"), status.alias("status"))
-    odd = links(spark, d).withColumn("type", F.when((F.col("type") == "CONTAINS") & F.col("to_id").like("%2"), "HAS_ROLE").otherwise(F.col("type")))
+    odd = links(spark, d).withColumn("type", F.when((F.col("type") == "CONTAINS") & F.col("to_id").like("%2"), "CONTROLLED_BY").otherwise(F.col("type")))
     return validation.semantic_rules(told, odd)
 
 

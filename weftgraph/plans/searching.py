@@ -104,3 +104,14 @@ def mentioned_phrases(spark, d) -> DataFrame:
     names = table(spark, d, "benchmark").select(F.lower(F.regexp_extract("text", r"^([\p{L}\p{N}_]+ [\p{L}\p{N}_]+)", 1)).alias("name")).where("name <> ''")
     got = search.mentions(table(spark, d, "documents"), names, "doc_id", "text")
     return got.select("id", F.size("names").cast("long").alias("n"), F.array_min("names").alias("first"))
+
+
+@query("""WITH g AS (SELECT p_brand AS brand, count(*) AS n, string_agg(p_name, ',' ORDER BY p_partkey) AS names FROM part GROUP BY 1), t AS (SELECT count(*) AS total, max(length(names)) * 3 AS budget FROM g),
+  p AS (SELECT * FROM g ORDER BY brand LIMIT 10 OFFSET 2), r AS (SELECT *, sum(length(names)) OVER (ORDER BY brand) AS so_far FROM p), k AS (SELECT r.brand, r.n, total FROM r, t WHERE so_far <= budget)
+  SELECT brand, n, total, total > 2 + (SELECT count(*) FROM k) AS has_more, CASE WHEN total > 2 + (SELECT count(*) FROM k) THEN 2 + (SELECT count(*) FROM k) END AS next_offset FROM k""")
+def budgeted_groups(spark, d) -> DataFrame:
+    """A page of groups, cut where it would grow over a budget of characters."""
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), ",")
+    groups = table(spark, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("n"), names.alias("names"))
+    budget = 3 * (groups.agg(F.max(F.length("names"))).first()[0] or 0)
+    return search.page_within(groups, F.length("names"), budget, 10, 2, ["brand"]).drop("names")

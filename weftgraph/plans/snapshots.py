@@ -31,26 +31,48 @@ def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
-@query(f"""WITH {_SIDES_SQL} SELECT a.id AS left_id, b.id AS right_id, CASE WHEN a.id % 2 = 0 THEN 'tag' WHEN a.kind = b.kind AND a.tab = b.tab THEN 'key' WHEN a.kind = b.kind THEN 'moved' ELSE 'type_conflict' END AS step
-  FROM a JOIN b ON a.id = b.id WHERE a.id % 2 = 0 OR a.name = b.name""")
+_MATCHED = "a.id % 2 = 0 OR a.name = b.name AND (a.kind = b.kind OR a.tab = b.tab)"
+_STEP = "CASE WHEN a.id % 2 = 0 THEN 'tag' WHEN a.kind = b.kind AND a.tab = b.tab THEN 'key' WHEN a.tab = b.tab THEN 'type_conflict' ELSE 'moved' END"
+
+
+@query(f"WITH {_SIDES_SQL} SELECT a.id AS left_id, b.id AS right_id, {_STEP} AS step FROM a JOIN b ON a.id = b.id WHERE {_MATCHED}")
 def aligned_objects(spark, d) -> DataFrame:
-    """Matches by tag, key, name in kind and name; those by signature are left to ``possible_renames``."""
+    """Matches by tag, key, table and name, and name in kind; those by signature are left to ``possible_renames``."""
     return align.align(*_sides(spark, d)).where("step <> 'possible_rename'")
 
 
-@query(f"""WITH {_SIDES_SQL}, x AS (SELECT * FROM a WHERE id % 2 = 1 AND id NOT IN (SELECT a.id FROM a JOIN b ON a.id = b.id WHERE a.name = b.name)),
-  y AS (SELECT * FROM b WHERE id % 2 = 1 AND id NOT IN (SELECT a.id FROM a JOIN b ON a.id = b.id WHERE a.name = b.name)),
-  l AS (SELECT kind, sig, min(id) AS left_id FROM (SELECT * FROM x UNION ALL SELECT * FROM a WHERE id % 2 = 0 AND id % 13 = 0) GROUP BY 1, 2 HAVING count(*) = 1), r AS (SELECT kind, sig, min(id) AS right_id FROM y GROUP BY 1, 2 HAVING count(*) = 1)
+@query(f"""WITH {_SIDES_SQL}, hit AS (SELECT a.id FROM a JOIN b ON a.id = b.id WHERE {_MATCHED}), x AS (SELECT * FROM a WHERE id NOT IN (SELECT id FROM hit)), y AS (SELECT * FROM b WHERE id NOT IN (SELECT id FROM hit)),
+  l AS (SELECT kind, sig, min(id) AS left_id FROM x GROUP BY 1, 2 HAVING count(*) = 1), r AS (SELECT kind, sig, min(id) AS right_id FROM y GROUP BY 1, 2 HAVING count(*) = 1)
   SELECT left_id, right_id FROM l JOIN r USING (kind, sig)""")
 def possible_renames(spark, d) -> DataFrame:
     return align.align(*_sides(spark, d)).where("step = 'possible_rename'").select("left_id", "right_id")
 
 
-@query(f"""WITH {_SIDES_SQL} SELECT a.id, CASE WHEN b.id IS NULL THEN 'missing' WHEN a.kind <> b.kind THEN 'type_conflict' WHEN a.name <> b.name THEN 'renamed' WHEN a.tab <> b.tab THEN 'moved' WHEN a.sig <> b.sig THEN 'different' ELSE 'same' END AS state FROM a LEFT JOIN b ON a.id = b.id""")
+@query(f"""WITH {_SIDES_SQL}, m AS (SELECT b.* FROM a JOIN b ON a.id = b.id WHERE {_MATCHED})
+  SELECT a.id, CASE WHEN m.id IS NULL THEN 'missing' WHEN a.kind <> m.kind THEN 'type_conflict' WHEN a.name <> m.name THEN 'renamed' WHEN a.tab <> m.tab THEN 'moved' WHEN a.sig <> m.sig THEN 'different' ELSE 'same' END AS state FROM a LEFT JOIN m ON a.id = m.id""")
 def cell_states(spark, d) -> DataFrame:
+    """States of the cells that the alignment finds, signatures aside."""
     left, right = _sides(spark, d)
-    matches = left.select(F.col("id").alias("left_id")).join(right.select(F.col("id").alias("left_id"), F.col("id").alias("right_id")), "left_id")
-    return align.cell_states(left, right, matches)
+    return align.cell_states(left, right, align.align(left, right).where("step <> 'possible_rename'"))
+
+
+@query(f"""WITH {_SIDES_SQL}, f AS (SELECT id FROM a WHERE id % 24 = 0), man AS (SELECT x.id AS l, y.id AS r FROM a x JOIN b y ON y.id = x.id + 2 WHERE x.id % 30 = 0 AND x.id % 24 <> 0 AND (x.id + 2) % 24 <> 0)
+  SELECT l AS left_id, r AS right_id, 'manual' AS step FROM man
+  UNION ALL SELECT a.id, b.id, {_STEP} FROM a JOIN b ON a.id = b.id WHERE ({_MATCHED}) AND a.id NOT IN (SELECT id FROM f) AND a.id NOT IN (SELECT l FROM man) AND b.id NOT IN (SELECT r FROM man)""")
+def aligned_by_hand(spark, d) -> DataFrame:
+    """Some pairs were confirmed against their tags, some are forbidden."""
+    left, right = _sides(spark, d)
+    k = F.col("id")
+    manual = left.where((k % 30 == 0) & (k % 24 != 0) & ((k + 2) % 24 != 0)).select(k.alias("left_id"), (k + 2).alias("right_id"))
+    never = left.where(k % 24 == 0).select(k.alias("left_id"), k.alias("right_id"))
+    got = align.align(left, right, manual, never)
+    return got.where("step <> 'possible_rename'")
+
+
+@query("""SELECT 'tag' || p_size AS tag, count(*) AS objects, min(p_partkey) AS first FROM part WHERE p_partkey % 3 = 0 GROUP BY p_size HAVING count(*) > 1""")
+def repeated_tags(spark, d) -> DataFrame:
+    p = table(spark, d, "part")
+    return align.duplicate_tags(p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("tag"), F.col("p_size").cast("string"))).alias("tag")))
 
 
 @query("""SELECT p_partkey, 'shape/size' AS path, 'changed' AS change, p_size::VARCHAR AS old_value, (p_size + 1)::VARCHAR AS new_value FROM part WHERE p_partkey % 3 = 0

@@ -74,8 +74,9 @@ def removals(objects: DataFrame, uses: DataFrame, fields: DataFrame, removed: Da
     while not frontier.isEmpty():
         below = frontier.join(children, "id").select(F.col("child").alias("id"), "because", "policy")
         users = frontier.where("policy = 'cascade'").join(links, "id").select(F.col("owner").alias("id"), "because", "policy").join(kept, "id", "left_anti")
-        new = below.union(users).groupBy("id").agg(F.min(F.struct("because", "policy")).alias("b")).select("id", "b.*")
-        frontier = found.add(new.join(found.all().select("id"), "id", "left_anti"))
+        # what one policy has reached another may reach later, and go on from
+        new = below.union(users).groupBy("id", "policy").agg(F.min("because").alias("because")).select("id", "because", "policy")
+        frontier = found.add(new.join(found.all().select("id", "policy"), ["id", "policy"], "left_anti"))
     gone = cut(found.all().groupBy("id").agg(F.min(F.struct("because", "policy")).alias("b")).select("id", "b.*"))
     ids = gone.select("id")
     stays = links.join(gone, "id").join(ids.select(F.col("id").alias("owner")), "owner", "left_anti").join(kept.select(F.col("id").alias("owner")), "owner", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators import profiles, safety, validation
+from weftgraph.operators import profiles, review, safety, validation
 from weftgraph.plans.queries import query
 from weftgraph.sources.catalog import CATALOG_SQL, links, objects
 from weftgraph.sources.star import table
@@ -192,3 +192,38 @@ def override_checks(spark, d) -> DataFrame:
     e, i = table(spark, d, "events"), F.col("event_id")
     rows = e.select(F.when(i % 40 == 0, " ").otherwise(F.col("user_id").cast("string")).alias("target"), F.when(i % 17 == 0, None).when(i % 19 == 0, "Model_Id").otherwise(F.col("event_type")).alias("property"), F.when(i % 23 == 0, "maybe").otherwise("approved").alias("status"))
     return validation.override_rules(rows, table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("string").alias("id")))
+
+
+# --- review ----------------------------------------------------------------------------------
+
+_QUEUE_SQL = f"""{CATALOG_SQL}, n AS (SELECT id, type, model_id, status, CASE WHEN id LIKE '%20' THEN 0.4 ELSE 0.9 END AS confidence, id AS k FROM objects WHERE status = 'candidate'),
+  e AS (SELECT id, type, from_id, confidence FROM links WHERE status = 'candidate' AND evidence_class = 'INFERRED' AND to_id NOT IN (SELECT k FROM n)),
+  o AS (SELECT 'd' || event_id AS id, 'visual:' || user_id AS target FROM events),
+  q AS (SELECT id AS item_id, 'candidate' AS issue, type, id AS target_id, confidence FROM n UNION ALL SELECT id, 'inferred_link', type, from_id, confidence FROM e UNION ALL SELECT id, 'stale_override', 'OVERRIDE', target, 1.0 FROM o WHERE target NOT IN (SELECT id FROM objects)),
+  queue AS (SELECT q.*, t.model_id, CASE WHEN t.type IN ('MEASURE', 'TABLE', 'MODEL') OR confidence < 0.5 THEN 'high' ELSE 'normal' END AS impact FROM q LEFT JOIN objects t ON t.id = target_id)"""
+
+
+def _queue(spark, d) -> DataFrame:
+    o = objects(spark, d).withColumns({"confidence": F.when(F.col("id").like("%20"), 0.4).otherwise(0.9), "candidate_key": F.col("id")})
+    decisions = table(spark, d, "events").select(F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("visual:"), F.col("user_id").cast("string")).alias("target"))
+    return review.queue(o, links(spark, d).withColumn("candidate_key", F.col("to_id")), decisions)
+
+
+@query(f"WITH {_QUEUE_SQL} SELECT item_id, issue, type, target_id, model_id, confidence::DOUBLE AS confidence, impact FROM queue")
+def review_queue(spark, d) -> DataFrame:
+    """Candidate objects, inferred links not told by them, and decisions on what is gone."""
+    return _queue(spark, d)
+
+
+@query(f"WITH {_QUEUE_SQL} SELECT issue, impact, count(*) AS n FROM queue WHERE model_id IN ('model:1', 'model:3') AND issue IN ('candidate', 'inferred_link') AND confidence BETWEEN 0.3 AND 0.7 GROUP BY 1, 2")
+def review_filtered(spark, d) -> DataFrame:
+    rows = review.filtered(_queue(spark, d), models=["model:1", "model:3"], issues=["candidate", "inferred_link"], least=0.3, most=0.7)
+    return rows.groupBy("issue", "impact").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT 'measure:' || p_partkey AS t, p_type AS v, 0.5 AS c FROM part UNION ALL SELECT 'measure:' || p_partkey, ' ' || lower(p_type), 0.9 FROM part WHERE p_partkey % 2 = 0)
+  SELECT t AS from_id, 'concept:' || trim(regexp_replace(lower(v), '[^a-z0-9]+', '-', 'g'), '-') || '-' || substr(sha256(lower(trim(v))), 1, 8) AS to_id, 'SEMANTICALLY_MAPS_TO' AS type, max(c)::DOUBLE AS confidence, count(*) AS suggestions FROM s GROUP BY 1, 2""")
+def concept_links(spark, d) -> DataFrame:
+    p = table(spark, d, "part")
+    one = lambda rows, value, sure: rows.select(F.concat(F.lit("measure:"), F.col(_K).cast("string")).alias("target"), F.lit("BUSINESS_CONCEPT").alias("assertion"), value.alias("value"), F.lit(sure).alias("confidence"))
+    return review.concept_links(one(p, F.col("p_type"), 0.5).union(one(p.where("p_partkey % 2 = 0"), F.concat(F.lit(" "), F.lower("p_type")), 0.9)))

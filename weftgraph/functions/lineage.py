@@ -51,4 +51,4 @@ class Rounds:
         return new
 
     def all(self) -> DataFrame:
-        return reduce(DataFrame.union, self.frames)
+        return reduce(DataFrame.unionByName, self.frames)

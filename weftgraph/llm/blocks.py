@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.scratch import give_back, stage
+from weftgraph.llm.scratch import forget, give_back, remembers, stage
 
 PART_BYTES = 3 << 19
 PART_DOCS = 4096
@@ -121,7 +121,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(least: int, factor: int) -> tuple[np.ndarray, np.ndarray]:
     """The factor's powers and those of its inverse, modulo 2**64."""
     out = []
@@ -132,8 +132,14 @@ def _powers(least: int, factor: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+remembers("blocks", _powers.cache_clear)
+
+
 def powers(n: int, factor: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(-(-int(n) // PART_BYTES) * PART_BYTES + 4096, factor)
+    """At least ``n`` powers; those for the usual part are kept, those for a very long document are not."""
+    if n <= PART_BYTES + (1 << 18):
+        return _powers(PART_BYTES + (1 << 18), factor)
+    return _powers.__wrapped__(int(n), factor)
 
 
 class Sums:
@@ -220,6 +226,7 @@ def each_block(blocks: DataFrame, run: Callable[[int, Parts, dict], Iterator[pa.
     """``run`` on every block; gets its number, its parts, and the row's further columns."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget("blocks")
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {n: batch.column(i)[at].as_py() for i, n in enumerate(batch.schema.names)}

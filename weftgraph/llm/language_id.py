@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.scratch import give_back
+from weftgraph.llm.scratch import forget, give_back
 
 PROFILE = 400
 LONGEST = 4  #: four UTF-16 units fill a 64-bit gram
@@ -69,6 +69,7 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     held: dict[str, list[np.ndarray]] = {}
     sizes: dict[str, int] = {}
@@ -132,6 +133,7 @@ def identify(docs: DataFrame, model: list[tuple[str, int, int]], id_col: str = "
     """(doc_id, lang_pred, score) of every row; ``model`` holds the collected profiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         ranks = Ranks(model, length)
         for batch in batches:
             got = [ranks.nearest(t.as_py()) for t in batch.column(1)]
@@ -157,6 +159,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         ranks = Ranks(model)
 
         def stays(text: str | None) -> bool:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.scratch import give_back, stage
+from weftgraph.llm.scratch import forget, give_back, remembers, stage
 
 CAPACITY = 4096
 END_ID = 2
@@ -102,11 +102,15 @@ def encoder_of(vocabulary: str) -> WordIds:
     return WordIds(vocabulary)
 
 
+remembers("packing", encoder_of.cache_clear)
+
+
 def _cut(vocabulary: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        forget("packing")
         encoder, deal = encoder_of(vocabulary), TaskContext.get().partitionId() * 7919
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal")
         for batch in batches:

@@ -13,6 +13,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
@@ -50,6 +51,22 @@ def give_back() -> None:
         pass
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def remembers(name: str, clear: Callable[[], None]) -> None:
+    """What a module keeps between the tasks of a worker, and how it forgets that."""
+    _CACHES[name] = clear
+
+
+def forget(*but: str) -> None:
+    """Drops what other operators have left in this worker, which may serve one after another."""
+    for name, clear in _CACHES.items():
+        if name not in but:
+            clear()
+    give_back()
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers find this package where only the driver's path names it."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

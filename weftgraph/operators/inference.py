@@ -61,9 +61,10 @@ def denies(c: Column, aliases: list[str], reach: int = 5) -> Column:
             own = alias.lower().split()
             near = F.concat(F.lit(" "), F.array_join(F.slice(words, at + 2, reach + len(own)), " "), F.lit(" "))
             found = found | near.contains(f" {' '.join(own)} ")
-        return F.element_at(words, at + 1).isin(plain) & found
+        return F.get(words, at).isin(plain) & found
 
-    return F.coalesce(F.exists(F.sequence(F.lit(0), F.size(words) - 1), follows) & (F.size(words) > 0), F.lit(False))
+    places = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.coalesce(F.exists(places, follows), F.lit(False))
 
 
 def scored(objects: DataFrame, facts: dict[str, tuple[DataFrame, float]], cap: float = 0.99) -> DataFrame:

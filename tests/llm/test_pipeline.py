@@ -44,6 +44,15 @@ def test_run_on_no_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_run_leaves_the_last_stages_tables_alone(spark):
+    from weftgraph.llm import scratch
+
+    before = set(os.listdir(scratch.shared_dir(spark)))
+    result = corpus_pipeline.run(spark, DATA)
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(scratch.shared_dir(spark))) - before}
+    assert left == {"mixing", "pieces"} and result.count() > 0
+
+
 @pytest.mark.parametrize("lang", [None, "en"])
 def test_language_stage_keeps_texts_with_letters_when_nothing_is_learned(spark, lang):
     rows = [(i, t, None) for i, t in enumerate(["some clean words", None, "", "12 ½ _ !", "één"])]

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +40,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return it as reread from there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many tables have been staged so far."""
+    return len(_MADE)
+
+
+def discard(spark: SparkSession, since: int) -> None:
+    """Deletes what was staged after the first ``since`` tables but the newest, of which all that is needed went into that."""
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _MADE[since:-1]:
+        where = files.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    del _MADE[since:-1]
+
+
 def give_back() -> None:
     """Return memory that a Python worker has freed, for workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -87,6 +87,14 @@ def test_visual_bindings_edges(spark):
     assert rows(got) == [(1, "MEASURE", None, "M", None, None)]
 
 
+def test_visual_levels_and_sort(spark):
+    at = lambda s: {"SourceRef": {"Source": s}}
+    query = {"From": [{"Name": "d", "Entity": "Date"}], "Select": [{"HierarchyLevel": {"Expression": {"Hierarchy": {"Expression": at("d"), "Hierarchy": "Calendar"}}, "Level": "Year"}, "Name": "l"}],
+             "OrderBy": [{"Direction": 2, "Expression": {"Aggregation": {"Expression": {"Column": {"Expression": at("d"), "Property": "Day"}}, "Function": 4}}}]}
+    config = json.dumps({"singleVisual": {"visualType": "x", "projections": {"Rows": [{"queryRef": "l"}]}, "prototypeQuery": query}})
+    assert rows(folders.visual_bindings(spark.createDataFrame([(1, config)], "id int, config string"))) == [(1, "COLUMN", "Date", "Day", "Max", "sort"), (1, "LEVEL", "Date", "Calendar.Year", None, "rows")]
+
+
 TEXT = """/// All sales
 /// by day
 table Sales

@@ -58,7 +58,7 @@ def unpacked(data: bytes) -> bytes:
 _PART = pa.struct([("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("data", pa.binary())])
 
 
-def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_docs(batches: Iterator[pa.RecordBatch], most_parts: int = PARTS) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number, parts, ids, texts = TaskContext.get().partitionId() << 32, [], [], []
@@ -78,7 +78,7 @@ def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held >= PART_BYTES or len(ids) >= PART_DOCS:
                 parts.append(part())
                 total, held, ids, texts = total + held, 0, [], []
-                if len(parts) == PARTS:
+                if len(parts) == most_parts:
                     yield table({"block": ([number], pa.int64()), "parts": ([parts], pa.list_(_PART)), "bytes": ([total], pa.int64())})
                     number, parts, total = number + 1, [], 0
     if ids:
@@ -88,10 +88,10 @@ def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def make_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int = PARTS) -> DataFrame:
     """Written blocks of the whole texts; a null text is empty, and null ids come last."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return stage(rows.mapInArrow(_pack_docs, BLOCKS), "blocks")
+    return stage(rows.mapInArrow(lambda batches: _pack_docs(batches, parts), BLOCKS), "blocks")
 
 
 class Block:
@@ -154,6 +154,15 @@ class Sums:
         return mixed((self.sums[end] - self.sums[begin]) * self.down[begin] + (end - begin).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+    def all(self, width: int) -> np.ndarray:
+        """The hash of every span of ``width``, as ``of`` gives it."""
+        n = max(0, len(self.sums) - width)
+        out = self.sums[width:] - self.sums[:n]
+        out *= self.down[:n]
+        out += _U(width * 0xD6E8FEB86659FD93 % (1 << 64))
+        return mixed(out)
+
+
 _BYTE_VALUES = {f: mixed(np.arange(1, 257, dtype=_U) * _U(f)) for f in FACTORS}
 
 

@@ -85,20 +85,20 @@ class Anchored:
     def __init__(self, block: bl.Block, length: int, anchor: int):
         self.bytes, self.length, self.docs = block.bytes, length, (block.ids, block.begin, block.end)
         self.sums = bl.byte_sums(block.bytes)
-        second = bl.byte_sums(block.bytes, bl.FACTORS[1])
-        n = len(block.bytes)
         starts = np.concatenate([np.arange(i, j - length + 1) for i, j in zip(block.begin, block.end, strict=True) if j - i >= length] or [np.empty(0, np.int64)])
-        at = np.arange(max(0, n - anchor + 1))
-        short = self.sums.of(at, at + anchor)
+        short = self.sums.all(anchor)
+        place = starts
         if len(starts):
-            near = sliding_min((short >> _PLACE << _PLACE) | at.astype(_U), length - anchor + 1)[starts]
-            place = (near & _U((1 << 32) - 1)).astype(np.int64)
-        else:
-            place = starts
+            near = short >> _PLACE << _PLACE
+            near |= np.arange(len(near), dtype=_U)
+            place = (sliding_min(near, length - anchor + 1)[starts] & _U((1 << 32) - 1)).astype(np.int64)
+            del near
         new = _heads(place)
         last = np.append(new[1:], len(place)) - 1
         self.begin, self.run, self.off = starts[new], (last - new + 1)[: len(new)], place[new] - starts[new]
         anchors = bl.mixed(short[place[new]]) | _ONE  # anchors are small hashes; mixed again, they fill all buckets alike
+        del short, place, starts
+        second = bl.byte_sums(block.bytes, bl.FACTORS[1])
         end = self.begin + self.run + length - 1
         mark = bl.mixed(self.off.astype(_U) ^ anchors)
         one, two = (self.sums.of(self.begin, end) ^ mark) & ~_ONE, second.of(self.begin, end) ^ mark
@@ -387,7 +387,7 @@ def _result(w: Anchored, gone: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, bucket_bytes: int = bl.BUCKET_BYTES, fan: int = bl.FAN_BITS) -> DataFrame:
     """Per document: bytes, removed bytes, maximal removed runs, digest of what is kept."""
-    blocks = bl.make_blocks(docs, id_col, text_col)
+    blocks = bl.make_blocks(docs, id_col, text_col, parts=1)  # the arrays of one part are what a task has room for
     by = bl.bucket_cut(blocks, bucket_bytes, fan)
     replies = stage(bl.answered(bl.each_block(blocks, _ask(length, anchor, by), bl.CELLS), by, _about, ABOUT), "about")
     known = bl.with_replies(blocks, replies)

@@ -11,6 +11,7 @@ from weftgraph.llm.mixing import OP9_SQL, op9_mixing
 from weftgraph.llm.packing import op8_packing
 from weftgraph.llm.scratch import importable
 from weftgraph.llm.secret_scan import op1_secret_scan
+from weftgraph.llm.source_divergence import OP11_SQL, op11_source_divergence
 from weftgraph.llm.suffix_dedup import op2_suffix_dedup
 from weftgraph.llm.topk_search import OP3_SQL, op3_topk_search
 from weftgraph.llm.url_filter import op4_url_filter
@@ -38,6 +39,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
 QUERIES = {name: _ready(build) for name, build in QUERIES.items()}
-ORACLE_SQL = {"op3_topk_search": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {"op3_topk_search": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL}

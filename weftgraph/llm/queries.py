@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
+from weftgraph.llm.collocations import OP12_SQL, op12_collocations
 from weftgraph.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from weftgraph.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from weftgraph.llm.language_id import op5_language_id
@@ -15,6 +16,7 @@ from weftgraph.llm.source_divergence import OP11_SQL, op11_source_divergence
 from weftgraph.llm.suffix_dedup import op2_suffix_dedup
 from weftgraph.llm.topk_search import OP3_SQL, op3_topk_search
 from weftgraph.llm.url_filter import op4_url_filter
+from weftgraph.llm.warc import OP13_SQL, op13_warc
 from weftgraph.llm.window_dedup import OP6_SQL, op6_substring_dedup
 
 
@@ -40,6 +42,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_source_divergence": op11_source_divergence,
+    "op12_collocations": op12_collocations,
+    "op13_warc": op13_warc,
 }
 QUERIES = {name: _ready(build) for name, build in QUERIES.items()}
-ORACLE_SQL = {"op3_topk_search": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL}
+ORACLE_SQL = {"op3_topk_search": OP3_SQL, "op6_substring_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op9_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_collocations": OP12_SQL, "op13_warc": OP13_SQL}

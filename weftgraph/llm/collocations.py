@@ -321,15 +321,18 @@ WITH pieces AS (
 w AS (SELECT lang, row, piece_no, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM pieces),
 s AS (SELECT lang, word AS x, lead(word, 1) OVER p AS y, lead(word, 2) OVER p AS z FROM w WINDOW p AS (PARTITION BY row, piece_no ORDER BY place)),
 n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
-f AS (
+f AS MATERIALIZED (
   SELECT lang, x AS phrase, count(*) AS n FROM s GROUP BY ALL
   UNION ALL SELECT lang, x || ' ' || y, count(*) FROM s WHERE y IS NOT NULL GROUP BY ALL
   UNION ALL SELECT lang, x || ' ' || y || ' ' || z, count(*) FROM s WHERE z IS NOT NULL GROUP BY ALL),
-c AS (SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS p FROM f WHERE n >= 10 AND contains(phrase, ' ')),
-cuts AS (SELECT lang, phrase, a, p, unnest(range(1, len(p))) AS k FROM c),
+c AS MATERIALIZED (SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS p FROM f WHERE n >= 10 AND contains(phrase, ' ')),
+cuts AS (
+  SELECT lang, phrase, a, len(p) AS size, k, array_to_string(p[1:k], ' ') AS start, array_to_string(p[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, len(p))) AS k FROM c)),
+found AS MATERIALIZED (SELECT lang, phrase, n FROM f SEMI JOIN (SELECT lang, start AS phrase FROM cuts UNION ALL SELECT lang, rest FROM cuts) USING (lang, phrase)),
 scored AS (
-  SELECT t.lang, t.phrase, t.a, len(t.p) AS size, t.k, l.n AS l, r.n AS r, (1000000::HUGEINT * t.a * t.a // (l.n::HUGEINT * r.n))::BIGINT AS score
-  FROM cuts t JOIN f l ON l.lang = t.lang AND l.phrase = array_to_string(t.p[1:t.k], ' ') JOIN f r ON r.lang = t.lang AND r.phrase = array_to_string(t.p[t.k + 1:], ' ')),
+  SELECT t.lang, t.phrase, t.a, t.size, t.k, l.n AS l, r.n AS r, (1000000::HUGEINT * t.a * t.a // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM cuts t JOIN found l ON l.lang = t.lang AND l.phrase = t.start JOIN found r ON r.lang = t.lang AND r.phrase = t.rest),
 least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 longer AS (
   SELECT lang, inner_phrase, max(a) AS a FROM (

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import expressions, keys
-from weftgraph.operators import align, analysis, comparing, formulas, inference, planning, profiles, regression, safety, search, traversal, validation
+from weftgraph.operators import align, analysis, comparing, components, formulas, inference, planning, profiles, regression, safety, search, traversal, validation
 
 
 def rows(df):
@@ -40,8 +40,8 @@ def test_places_are_those_of_a_sort(spark):
 
 def test_cycles_and_parents(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("x", "a"), ("s", "s"), ("p", "q"), ("q", "p"), ("c", "p")], "from_id string, to_id string")
-    assert rows(traversal.cycles(e)) == {("a", "a"), ("b", "a"), ("c", "a"), ("s", "s"), ("p", "p"), ("q", "p")}
-    assert traversal.cycles(e.where("from_id IN ('d', 'x')")).count() == 0
+    assert rows(components.strong_components(e)) == {("a", "a"), ("b", "a"), ("c", "a"), ("s", "s"), ("p", "p"), ("q", "p")}
+    assert components.strong_components(e.where("from_id IN ('d', 'x')")).count() == 0
     n = spark.createDataFrame([("v", "w", "VISUAL"), ("w", "p", "GROUP"), ("p", "r", "PAGE"), ("l", "m", "VISUAL"), ("m", "l", "GROUP"), ("o", None, "VISUAL")], "id string, parent_id string, type string")
     assert rows(traversal.path_of_parents(n, n.where("type = 'VISUAL'").select("id"), ["PAGE"])) == {("v", "p")}
 
@@ -144,3 +144,59 @@ def test_shared_expressions_need_their_model(spark):
     texts = spark.createDataFrame([("q", "m", 'let x = #"My Path" & "Server" & Server in x'), ("s", "m", "Server")], "id string, model_id string, text string")
     shared = spark.createDataFrame([("s", "m", "Server"), ("p", "m", "My Path"), ("o", "n", "Server")], "id string, model_id string, name string")
     assert rows(formulas.shared_links(texts, shared)) == {("q", "s"), ("q", "p")}
+
+
+def test_shortest_cycles(spark):
+    ring = [(f"n{i}", f"n{(i + 1) % 6}") for i in range(6)]
+    more = [("n2", "n4"), ("n5", "t"), ("s", "s"), ("s", "s"), ("a", "b"), ("b", "a"), ("b", "n0"), ("u", "a")]
+    e = spark.createDataFrame(ring + more, "from_id string, to_id string")
+    groups = components.strong_components(e)
+    assert rows(groups) == {(f"n{i}", "n0") for i in range(6)} | {("s", "s"), ("a", "a"), ("b", "a")}
+    found = {}
+    for cycle, place, node in sorted(tuple(r) for r in components.shortest_cycles(e, groups).select("cycle", "place", "id").collect()):
+        found.setdefault(cycle, []).append(node)
+    assert found == {"n0": ["n0", "n1", "n2", "n4", "n5", "n0"], "s": ["s", "s"], "a": ["a", "b", "a"]}
+    assert components.shortest_cycles(e, groups.limit(0)).count() == 0 and components.strong_components(e.limit(0)).count() == 0
+
+
+def test_components_joined_by_one_way_links_and_null_ends(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "m"), ("m", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("e", "f"), ("f", "e"), (None, "a"), ("a", None)], "from_id string, to_id string")
+    assert rows(components.strong_components(e)) == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "e"), ("f", "e")}
+
+
+def test_deep_chains_of_parents(spark):
+    n = spark.range(200).select(F.concat(F.lit("o"), F.col("id")).alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("o"), F.col("id") - 1)).alias("parent_id"), F.when(F.col("id") == 0, "REPORT").otherwise("GROUP").alias("type"), F.lit(1).alias("rank"), F.lit("N").alias("name"))
+    loop = spark.createDataFrame([("x", "y", "GROUP", 1, "N"), ("y", "x", "GROUP", 1, "N"), ("z", "x", "GROUP", 1, "N"), ("w", "gone", "GROUP", 2, "W")], "id string, parent_id string, type string, rank int, name string")
+    every = n.unionByName(loop)
+    assert rows(traversal.path_of_parents(every, every.select("id"), ["REPORT"])) == {(f"o{i}", "o0") for i in range(200)}
+    paths = {r["id"]: r["path"] for r in comparing.preorder(every.select("id", "parent_id", "rank", "name")).collect()}
+    assert set(paths) == {f"o{i}" for i in range(200)} | {"w"} and paths["w"] == ["02:w:w"]
+    assert paths["o199"] == [f"01:n:o{i}" for i in range(200)]
+
+
+@pytest.mark.parametrize(("x", "y", "absolute", "relative", "passed"), [
+    (1.0, 1.1, "0.1", 0, True), (1.1, 1.0, 0.1, 0, True), (1.0, 1.1000000000001, 0.1, 0, False), (10.0, 11.0, 0, "0.0909", False), (10.0, 9.0, 0, 0.1, True), (1e300, 1.1e300, 0, 0.2, True), (1e-20, 2e-20, 1e-20, 0, True), (None, None, 0, 0, True), (None, 1.0, 9, 9, False),
+])
+def test_tolerance_is_decimal(spark, x, y, absolute, relative, passed):
+    a, b = (spark.createDataFrame([(1, v)], "k int, v double") for v in (x, y))
+    got = regression.regression(a, b, "NUMERIC_TOLERANCE", ["k"], absolute=float(absolute), relative=float(relative)).first()
+    assert got["status"] == ("PASSED" if passed else "FAILED")
+
+
+def test_tolerance_of_long_decimals(spark):
+    from decimal import Decimal
+
+    a, b = (spark.createDataFrame([(1, Decimal(v))], "k int, v decimal(38,21)") for v in ("0.123456789012345678901", "0.123456789012345678902"))
+    told = lambda mode, **kw: regression.regression(a, b, mode, ["k"], **kw).first()["status"]
+    assert told("EXACT") == "FAILED" and told("NUMERIC_TOLERANCE", absolute=1e-20) == "PASSED" and told("NUMERIC_TOLERANCE", absolute=1e-22) == "FAILED"
+    assert told("EXPECTED_DELTA", least=0.0, most=1e-20) == "PASSED"
+
+
+def test_ties_of_weights_and_roles_of_slicers(spark):
+    from weftgraph.operators.inference import evidence_weight
+    from weftgraph.sources.folders import use_of
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(evidence_weight(F.lit("description_object_name"))) == 0.96
+    assert [one(use_of(F.lit(r), F.lit("slicer"))) for r in ("Values", "Field", "Y", "Data", "Indicator", "x", "--", "My Role")] == ["slicer_field", "slicer_field", "value", "value", "value", "value", "field", "my_role"]
+    assert one(use_of(F.lit("Values"), F.lit("table"))) == "value"

@@ -9,7 +9,8 @@ import tempfile
 from functools import reduce
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Rounds that are read side by side before they are written as one.
 MOST_ROUNDS = 16
@@ -36,15 +37,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """As ``cut``, and ``what`` (the number of rows) as seen while writing, so that no job asks for it."""
+    seen = Observation()
+    written = cut(df.observe(seen, (F.count(F.lit(1)) if what is None else what).alias("n")))
+    return written, seen.get["n"]
+
+
 class Rounds:
-    """What rounds have found so far. A round is written once and appended; earlier ones are not written again but now and then as one."""
+    """What rounds have found so far. A round is written once and appended; earlier ones are not written again but now and then as one.
+
+    ``added`` is the number of rows of the last round.
+    """
 
     def __init__(self, first: DataFrame):
-        self.frames = [cut(first)]
+        new, self.added = counted(first)
+        self.frames = [new]
 
     def add(self, found: DataFrame) -> DataFrame:
         """Writes one more round and returns it."""
-        new = cut(found)
+        new, self.added = counted(found)
         self.frames.append(new)
         if len(self.frames) > MOST_ROUNDS:
             self.frames = [cut(self.all())]

@@ -130,7 +130,7 @@ def impact(objects: DataFrame, links: DataFrame, targets: list[str], changes: Da
         step = frontier.join(steps.withColumnRenamed("fact", "sure"), frontier["id"] == steps["at"]).select("root", steps["id"], (F.col("fact") & F.col("sure")).alias("fact"))
         new = (step.unionByName(late.select("root", "id", "fact")) if at == 1 else step).groupBy("root", "id").agg(F.max("fact").alias("fact"))
         frontier = found.add(new.join(found.all().select("root", "id"), ["root", "id"], "left_anti").select("root", "id", F.lit(at).alias("depth"), "fact"))
-        if frontier.isEmpty():
+        if not found.added:
             break
     visited = found.all().withColumnRenamed("fact", "way")
     kinds = own.select("root", F.col("type").alias("root_type"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import fingerprint
 from weftgraph.functions.lineage import cut
+from weftgraph.functions.numbers import moved_by, within
 
 
 def classify(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -58,20 +59,16 @@ def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy(*columns).agg(F.sum("__n").alias("surplus")).where("surplus <> 0")
 
 
-def within_tolerance(a: Column, b: Column, absolute: float, relative: float) -> Column:
-    return a.eqNullSafe(b) | (F.abs(a - b) <= F.greatest(F.lit(absolute), relative * F.greatest(F.abs(a), F.abs(b))))
-
-
 def compare_results(before: DataFrame, after: DataFrame, keys: list[str], values: list[str], mode: str, absolute: float = 0.0, relative: float = 0.0, least: float = 0.0, most: float = 0.0) -> DataFrame:
     """Per key the verdict of one regression mode: passed is true, false, or null where a row is missing."""
     a = before.select(*keys, *[F.col(v).alias(f"a_{v}") for v in values], F.lit(True).alias("in_a"))
     b = after.select(*keys, *[F.col(v).alias(f"b_{v}") for v in values], F.lit(True).alias("in_b"))
     one = {
-        "EXACT": lambda x, y: x.eqNullSafe(y),
-        "NUMERIC_TOLERANCE": lambda x, y: within_tolerance(x, y, absolute, relative),
-        "EXPECTED_DELTA": lambda x, y: F.coalesce((y - x).between(least, most), F.lit(False)),
+        "EXACT": lambda x, y, kind: x.eqNullSafe(y),
+        "NUMERIC_TOLERANCE": lambda x, y, kind: within(x, y, kind, absolute, relative),
+        "EXPECTED_DELTA": lambda x, y, kind: moved_by(x, y, kind, least, most),
     }[mode]
-    passed = reduce(lambda p, q: p & q, [one(F.col(f"a_{v}"), F.col(f"b_{v}")) for v in values])
+    passed = reduce(lambda p, q: p & q, [one(F.col(f"a_{v}"), F.col(f"b_{v}"), before.schema[v].dataType) for v in values])
     return a.join(b, keys, "full_outer").select(*keys, F.when(F.col("in_a") & F.col("in_b"), passed).alias("passed"))
 
 

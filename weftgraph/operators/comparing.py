@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.expressions import formula_key, plain_text, reference_name, reference_table, tokens
 from weftgraph.operators.align import leaves
+from weftgraph.functions.lineage import cut
 from weftgraph.operators.compare import classify
+from weftgraph.operators.components import ends_of, paths_to_ends
 
 # States from the one that hides the others down, and what properties are compared.
 STATES = ["type_conflict", "missing", "renamed", "moved", "different", "same"]
@@ -162,25 +164,18 @@ def lineage_view(objects: DataFrame, capped: int = 200, dropped: tuple[str, ...]
     return objects.select(*cut, definition.alias("definition_hash"))
 
 
-def preorder(nodes: DataFrame, most: int = 64) -> DataFrame:
+def preorder(nodes: DataFrame) -> DataFrame:
     """(id, path): by sorting on ``path`` every object comes right before its children, which come by rank of type and name.
 
-    ``nodes`` have id, parent_id, rank, name. Paths grow level by level from the objects whose parent is absent; objects on a
-    loop are not reached and have none.
+    ``nodes`` have id, parent_id, rank, name. Paths lead down from the objects whose parent is absent, however deep; objects on
+    a loop or below one have none.
     """
-    from weftgraph.functions.lineage import Rounds, cut
-
     step = F.concat(F.lpad(F.col("rank").cast("string"), 2, "0"), F.lit(":"), F.lower("name"), F.lit(":"), F.col("id"))
     own = cut(nodes.select("id", "parent_id", step.alias("step")))
-    roots = own.join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
-    found = Rounds(roots.select("id", F.array("step").alias("path")))
-    frontier = found.all()
-    for _ in range(most):
-        children = own.join(frontier.select(F.col("id").alias("parent_id"), "path"), "parent_id")
-        frontier = found.add(children.select("id", F.concat("path", F.array("step")).alias("path")))
-        if frontier.isEmpty():
-            break
-    return found.all()
+    roots = own.join(nodes.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id", F.lit(True).alias("root"))
+    marked = own.join(roots.distinct(), "id", "left").select("id", F.when(F.col("root"), F.col("id")).otherwise(F.col("parent_id")).alias("next"), F.coalesce("root", F.lit(False)).alias("done"), "step")
+    steps = cut(marked)
+    return paths_to_ends(steps.join(ends_of(steps).select("id"), "id", "left_semi"))
 
 
 def synced_pairs(members: DataFrame) -> DataFrame:

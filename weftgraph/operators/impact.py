@@ -52,7 +52,7 @@ def closure(links: DataFrame, seeds: DataFrame, most: int | None = None) -> Data
             step.groupBy("id").agg(best)
             .select("id", F.lit(at).alias("depth"), "b.rule", "b.rank", (F.col("b.fact") & F.col("b.old_fact")).alias("fact"), F.concat("b.path", F.array("id")).alias("path"))
         )
-        if frontier.isEmpty():
+        if not found.added:
             break
     state = found.all()
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), F.col("rank") + 1)
@@ -75,7 +75,7 @@ def context_slice(edges: DataFrame, seeds: DataFrame, moves: list[tuple[str, tup
     for _ in rounds(most):
         new = frontier.join(links, ["id", "mode"]).select(F.col("next_id").alias("id"), F.col("next_mode").alias("mode")).distinct()
         frontier = found.add(new.join(found.all(), ["id", "mode"], "left_anti"))
-        if frontier.isEmpty():
+        if not found.added:
             break
     return found.all()
 
@@ -83,18 +83,22 @@ def context_slice(edges: DataFrame, seeds: DataFrame, moves: list[tuple[str, tup
 def upstream(edges: DataFrame, origins: DataFrame, goals: DataFrame, most: int | None = None) -> DataFrame:
     """(origin, source, depth, via): per origin the first of ``goals`` (id) on each way along the edges.
 
-    The walk ends at a goal; of equally short ways the one over the smallest last step is told.
+    The walk ends at a goal; of equally short ways the one over the smallest last step is told. It runs from the goals
+    back, so its state is a row per object and goal that it leads to, not per origin and object on the way, and
+    ``most`` bounds its rounds.
     """
-    links, marked = cut(edges.select("from_id", F.col("to_id").alias("id"))), cut(goals.select("id", F.lit(True).alias("is_goal")))
-    found = Rounds(origins.distinct().select(F.col("id").alias("origin"), "id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("goal")))
+    marked = goals.select("id").distinct()
+    flagged = marked.select(F.col("id").alias("from_id"), F.lit(True).alias("is_goal"))
+    links = cut(edges.select("from_id", F.col("to_id").alias("id")).distinct().join(flagged, "from_id", "left").select("from_id", "id", F.coalesce("is_goal", F.lit(False)).alias("is_goal")))
+    found = Rounds(marked.select("id", F.col("id").alias("source"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("is_goal")))
     frontier = found.all()
     for at in rounds(most):
-        step = frontier.where("not goal").select("origin", F.col("id").alias("from_id")).join(links, "from_id")
-        best = step.groupBy("origin", "id").agg(F.min("from_id").alias("via")).join(found.all().select("origin", "id"), ["origin", "id"], "left_anti")
-        frontier = found.add(best.join(marked, "id", "left").select("origin", "id", F.lit(at).alias("depth"), "via", F.coalesce("is_goal", F.lit(False)).alias("goal")))
-        if frontier.isEmpty():
+        step = frontier.where("NOT is_goal").select("id", "source", "via").join(links.select("id", "from_id", F.col("is_goal").alias("ends")), "id")
+        best = step.groupBy(F.col("from_id").alias("id"), "source").agg(F.min(F.coalesce("via", "from_id")).alias("via"), F.first("ends").alias("is_goal"))
+        frontier = found.add(best.join(found.all().select("id", "source"), ["id", "source"], "left_anti").select("id", "source", F.lit(at).alias("depth"), "via", "is_goal"))
+        if not found.added:
             break
-    return found.all().where("goal").select("origin", F.col("id").alias("source"), "depth", "via")
+    return found.all().where("depth > 0").join(origins.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("origin"), "source", "depth", "via")
 
 
 def removal_preview(uses: DataFrame, removed: DataFrame) -> DataFrame:

@@ -26,9 +26,9 @@ DENIALS = ["not", "never", "without", "no", "does not", "doesn't", "isn't", "is
 
 
 def evidence_weight(source: Column) -> Column:
-    """Weight of one source; the longest name that it holds decides."""
+    """Weight of one source; the longest name that it holds decides, of equally long ones the first in ``WEIGHTS``."""
     out, s = F.lit(UNKNOWN), F.lower(F.coalesce(source, F.lit("")))
-    for key in sorted(WEIGHTS, key=len):
+    for key in sorted(reversed(WEIGHTS), key=len):
         out = F.when(s.contains(key), WEIGHTS[key]).otherwise(out)
     return out
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from weftgraph.functions.keys import fingerprint
 from weftgraph.functions.lineage import cut
+from weftgraph.functions.numbers import moved_by, within
 from weftgraph.operators.compare import bag_difference
 
 #: Fixed values.
@@ -44,12 +45,9 @@ def content_hash(rows: DataFrame) -> Column:
 
 def _same(kind, x: Column, y: Column, mode: str, fold: bool, limits: dict) -> Column:
     if mode != "EXACT" and isinstance(kind, NumericType):
-        delta = y - x
         if mode == "EXPECTED_DELTA":
-            near = delta.between(limits["least"], limits["most"])
-        else:
-            near = F.abs(delta) <= F.greatest(F.lit(limits["absolute"]), F.lit(limits["relative"]) * F.greatest(F.abs(x), F.abs(y)))
-        return F.when(x.isNull() | y.isNull(), x.eqNullSafe(y)).otherwise(near)
+            return moved_by(x, y, kind, limits["least"], limits["most"])
+        return within(x, y, kind, limits["absolute"], limits["relative"])
     if fold and isinstance(kind, StringType):
         return F.lower(x).eqNullSafe(F.lower(y))
     return x.eqNullSafe(y)
@@ -70,7 +68,8 @@ def regression(before: DataFrame, after: DataFrame, mode: str, order: list[str],
     mode but MONITOR, which is INCONCLUSIVE always. EXACT, NUMERIC_TOLERANCE, PRESERVE_AGGREGATE (one row a side) and
     EXPECTED_DELTA compare cells by place, and any other number of rows fails them; SET_EQUIVALENCE compares bags of rows;
     EXPECTED_VALUE and EXPECTED_CHANGE hold ``after`` against ``expected`` by mode ``how``. ``fold`` ignores the case of
-    texts. Null equals null alone. A cell that is no number is compared exactly in every mode.
+    texts. Null equals null alone. Numbers differ as decimals of their shortest text, limits too, where 28 digits hold them.
+    A cell that is no number is compared exactly in every mode.
     """
     if mode not in MODES or how not in BOUNDED:
         raise ValueError(f"no such mode: {mode}, {how}")

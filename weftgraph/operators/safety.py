@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.expressions import references
 from weftgraph.functions.keys import fingerprint
-from weftgraph.functions.lineage import Rounds, cut
 from weftgraph.operators.analysis import CONSUMERS
+from weftgraph.operators.impact import upstream
 
 # Fixed values.
 USING = [*CONSUMERS, "RELATES_TO", "FORMATS_BY", "DRILLS_THROUGH_TO", "TOOLTIP_PAGE"]
@@ -90,16 +90,10 @@ def data_sources_of(objects: DataFrame, links: DataFrame, targets: DataFrame) ->
     held = (F.col("type") == "CONTAINS") & F.col("from_type").isin(CONTAINERS) & ((F.col("from_type") != "TABLE") | (F.col("to_type") == "PARTITION"))
     on = ends.where(F.col("type").isin(UPSTREAM) | held).select("from_id", "to_id")
     back = objects.where("type = 'COLUMN' AND parent_id IS NOT NULL").select(F.col("id").alias("from_id"), F.col("parent_id").alias("to_id"))
-    steps = cut(on.union(back).distinct().join(kinds.select(F.col("id").alias("to_id"), (F.col("type") == "DATA_SOURCE").alias("is_source")), "to_id"))
-    found, at = Rounds(targets.join(kinds, "id").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), (F.col("type") == "DATA_SOURCE").alias("source")).distinct()), 0
-    frontier = found.all()
-    while True:
-        at += 1
-        step = frontier.where("NOT source").join(steps, frontier["id"] == steps["from_id"]).select("root", F.col("to_id").alias("id"), F.lit(at).alias("depth"), F.col("is_source").alias("source")).distinct()
-        frontier = found.add(step.join(found.all().select("root", "id"), ["root", "id"], "left_anti"))
-        if frontier.isEmpty():
-            break
-    return found.all().where("source").select("root", F.col("id").alias("source"), "depth")
+    sources, asked = kinds.where("type = 'DATA_SOURCE'").select("id"), targets.select("id").distinct().join(kinds, "id").select("id")
+    own = asked.join(sources, "id", "left_semi").select(F.col("id").alias("root"), F.col("id").alias("source"), F.lit(0).alias("depth"))
+    fed = upstream(on.union(back).join(kinds.select(F.col("id").alias("to_id")), "to_id", "left_semi"), asked.join(sources, "id", "left_anti"), sources)
+    return own.union(fed.select(F.col("origin").alias("root"), "source", "depth"))
 
 
 def source_links(queries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.lineage import Rounds, cut
+from weftgraph.operators.components import ends_of
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, of: str) -> DataFrame:
@@ -46,7 +47,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int | None, ends: tuple[str,
         else:
             step = step.join(done.select("id"), "id", "left_anti")
         frontier = found.add(step.select("id", F.lit(at).alias("depth"), "stopped"))
-        if frontier.isEmpty():
+        if not found.added:
             break
     return found.all().groupBy("id").agg(F.min("depth").alias("depth"))
 
@@ -71,7 +72,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int | None = No
             break
         step = frontier.join(links, frontier["id"] == links["from_id"]).groupBy(F.col("to_id").alias("id")).agg(F.min("from_id").alias("before"))
         frontier = found.add(step.join(found.all().select("id"), "id", "left_anti").withColumn("depth", F.lit(at)))
-        if frontier.isEmpty():
+        if not found.added:
             return spark.createDataFrame([], "step int, id string")
     path, now, seen = [], goal, found.all()
     while now is not None and (row := seen.where(F.col("id") == now).first()):
@@ -94,41 +95,11 @@ def layers(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = cut(links.join(free.select(F.col("id").alias("from_id")), "from_id", "left_anti"))
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(id, cycle): the objects on cycles and the smallest id of the cycle's group; what only leads there or comes after is left out.
-
-    Peeling from both sides leaves the cycles and what lies between them; of that, two objects that reach
-    each other are one group. Reach runs over the residue alone, one row per object and start.
-    """
-    links = cut(edges.select("from_id", "to_id").distinct())
-    while True:
-        starts, ends = links.select(F.col("to_id").alias("from_id")), links.select(F.col("from_id").alias("to_id"))
-        inner = cut(links.join(starts, "from_id", "left_semi").join(ends, "to_id", "left_semi").select("from_id", "to_id"))
-        if inner.count() == links.count():
-            break
-        links = inner
-    found = Rounds(links)
-    frontier = links
-    while not frontier.isEmpty():
-        step = frontier.join(links.toDF("to_id", "further"), "to_id").select("from_id", F.col("further").alias("to_id")).distinct()
-        frontier = found.add(step.join(found.all(), ["from_id", "to_id"], "left_anti"))
-    reach = found.all()
-    back = reach.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))
-    return reach.join(back, ["from_id", "to_id"], "left_semi").groupBy(F.col("from_id").alias("id")).agg(F.min("to_id").alias("cycle"))
-
-
-def path_of_parents(nodes: DataFrame, ids: DataFrame, goal_types: list[str], most: int = 64) -> DataFrame:
-    """(id, ancestor): for each of ``ids`` (id) the first object of ``goal_types`` up its ``parent_id`` chain; none if the chain ends or loops."""
-    climb = cut(nodes.select(F.col("id").alias("at"), "parent_id", F.col("type").isin(goal_types).alias("goal")))
-    frontier, found = cut(ids.select("id", F.col("id").alias("at")).distinct()), None
-    for _ in range(most):
-        told = frontier.join(climb, "at")
-        hit = cut(told.where("goal").select("id", F.col("at").alias("ancestor")))
-        found = hit if found is None else found.union(hit)
-        frontier = cut(told.where("NOT goal AND parent_id IS NOT NULL AND parent_id <> id").select("id", F.col("parent_id").alias("at")))
-        if frontier.isEmpty():
-            break
-    return found
+def path_of_parents(nodes: DataFrame, ids: DataFrame, goal_types: list[str]) -> DataFrame:
+    """(id, ancestor): for each of ``ids`` (id) the first object of ``goal_types`` up its ``parent_id`` chain, itself included; none if the chain ends or loops."""
+    goal = F.col("type").isin(goal_types)
+    steps = nodes.select("id", F.when(goal, F.col("id")).otherwise(F.col("parent_id")).alias("next"), goal.alias("done")).where("next IS NOT NULL AND (done OR next <> id)")
+    return ends_of(steps).join(ids.select("id").distinct(), "id", "left_semi").select("id", F.col("end").alias("ancestor"))
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:

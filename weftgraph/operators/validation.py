@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.traversal import cycles
+from weftgraph.operators.components import strong_components
 
 # What may contain what, what must be contained by what, and the closed lists.
 MODEL_OBJECTS = [
@@ -149,7 +149,7 @@ def dependency_rules(objects: DataFrame, links: DataFrame) -> DataFrame:
     told = own.join(types.toDF("from_id", "source_type"), "from_id", "left").join(types.toDF("to_id", "target_type"), "to_id", "left")
     broken = F.col("source_type").isNull() | F.col("target_type").isNull()
     rules = [("broken_dax_dependency", "ERROR", broken), ("invalid_dax_dependency_source", "ERROR", ~broken & ~F.col("source_type").isin(EXPRESSIONS))]
-    loops = lambda kind: cycles(links.where(F.col("type") == kind).dropna(subset=["from_id", "to_id"]))
+    loops = lambda kind: strong_components(links.where(F.col("type") == kind).dropna(subset=["from_id", "to_id"]))
     return _union([
         _issues(told, rules, edge_id="id"),
         _row(loops("DEPENDS_ON"), "dax_dependency_cycle", "BLOCKING", object_id="id", detail=F.col("cycle")),

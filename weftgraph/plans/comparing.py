@@ -154,11 +154,11 @@ def overview_order(spark, d) -> DataFrame:
     return comparing.preorder(objects(spark, d).select("id", "parent_id", rank.alias("rank"), "name")).withColumn("path", F.array_join("path", ">"))
 
 
-@query("""WITH m AS (SELECT c_mktsegment AS report_id, 'g' || (c_nationkey % 4) AS group_name, 'visual:' || c_custkey AS id FROM customer WHERE c_acctbal > 9000)
+@query("""WITH m AS (SELECT 'report:' || (c_custkey // 20) AS report_id, 'g' || (c_nationkey % 4) AS group_name, 'visual:' || c_custkey AS id FROM customer)
   SELECT a.report_id, a.group_name, a.id AS from_id, b.id AS to_id FROM m a JOIN m b ON a.report_id = b.report_id AND a.group_name = b.group_name AND a.id < b.id""")
 def synced_slicers(spark, d) -> DataFrame:
-    rows = table(spark, d, "customer").where("c_acctbal > 9000")
-    return comparing.synced_pairs(rows.select(F.col("c_mktsegment").alias("report_id"), F.concat(F.lit("g"), (F.col("c_nationkey") % 4).cast("string")).alias("group_name"), F.concat(F.lit("visual:"), F.col("c_custkey").cast("string")).alias("id")))
+    rows = table(spark, d, "customer")
+    return comparing.synced_pairs(rows.select(F.concat(F.lit("report:"), F.floor(F.col("c_custkey") / 20).cast("string")).alias("report_id"), F.concat(F.lit("g"), (F.col("c_nationkey") % 4).cast("string")).alias("group_name"), F.concat(F.lit("visual:"), F.col("c_custkey").cast("string")).alias("id")))
 
 
 @query(f"""WITH {CATALOG_SQL}, v AS (SELECT id, report_id, parent_id, lower(split_part(name, '#', 1)) AS x, CAST(substr(id, 8) AS BIGINT) AS k FROM objects WHERE type = 'VISUAL'),

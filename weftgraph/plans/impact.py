@@ -61,7 +61,7 @@ def relationship_reach(spark, d) -> DataFrame:
   WHERE u.type = 'USES' AND r.type = 'REFERENCES' GROUP BY 1, 2""")
 def upstream_sources(spark, d) -> DataFrame:
     e, n = edges(spark, d).where("type in ('USES', 'REFERENCES')"), nodes(spark, d)
-    return impact.upstream(e, n.where("type = 'ORDER'").select("id"), n.where("type = 'SUPPLIER'").select("id"), 4)
+    return impact.upstream(e, n.where("type = 'ORDER'").select("id"), n.where("type = 'SUPPLIER'").select("id"))
 
 
 MOVES = [

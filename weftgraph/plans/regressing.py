@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.numbers import moved_by, within
 from weftgraph.operators.regression import covered, placed, regression
 from weftgraph.plans.queries import query
 from weftgraph.sources.star import table
@@ -73,6 +75,20 @@ def regression_modes(spark, d) -> DataFrame:
     return reduce(DataFrame.unionByName, rows).withColumn("codes", F.array_join("codes", ",")).drop("before_hash", "after_hash")
 
 
+_EDGE = """t AS (SELECT l_orderkey * 8 + l_linenumber AS k, round(l_extendedprice, 2)::DECIMAL(18,2) AS v FROM lineitem),
+  pairs AS (SELECT k, v, v + CASE k % 4 WHEN 0 THEN 0.10 WHEN 1 THEN -0.10 WHEN 2 THEN 0.11 ELSE 0.09 END::DECIMAL(18,2) AS w FROM t)"""
+
+
+@query(f"""WITH {_EDGE} SELECT k, abs(w - v) <= 0.10 AS absolute, abs(w - v) <= 0.00001::DECIMAL(6,5) * greatest(abs(v), abs(w)) AS relative, w - v BETWEEN -0.10 AND 0.09 AS moved FROM pairs""")
+def decimal_tolerance(spark, d) -> DataFrame:
+    """Prices a tenth apart as floats, of which binary subtraction makes a little more or less than a tenth."""
+    k, v = F.col("l_orderkey") * 8 + F.col("l_linenumber"), F.round("l_extendedprice", 2).cast("decimal(18,2)")
+    by = F.element_at(F.array(*[F.lit(Decimal(x)) for x in ("0.10", "-0.10", "0.11", "0.09")]), (F.col("k") % 4 + 1).cast("int"))
+    rows = table(spark, d, "lineitem").select(k.alias("k"), v.alias("v")).select("k", F.col("v").cast("double").alias("x"), (F.col("v") + by).cast("double").alias("y"))
+    x, y, kind = F.col("x"), F.col("y"), rows.schema["x"].dataType
+    return rows.select("k", within(x, y, kind, 0.1).alias("absolute"), within(x, y, kind, relative=0.00001).alias("relative"), moved_by(x, y, kind, -0.1, 0.09).alias("moved"))
+
+
 @query("SELECT row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place, o_orderkey FROM orders")
 def places(spark, d) -> DataFrame:
     """Every row's place in an explicit order, without a task that sees them all."""

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators import traversal, validation
+from weftgraph.functions.lineage import cut
+from weftgraph.operators import components, traversal, validation
 from weftgraph.plans.queries import query
 from weftgraph.sources.catalog import CATALOG_SQL, links, objects
 from weftgraph.sources.star import table
@@ -81,6 +82,39 @@ def dependency_integrity(spark, d) -> DataFrame:
     return validation.dependency_rules(*_looped(spark, d))
 
 
+_RINGS = """k AS (SELECT p_partkey AS k, p_partkey // 7 AS ring, p_partkey % 7 AS spot FROM part),
+  e AS (SELECT 'm' || lpad(k::VARCHAR, 9, '0') AS a, 'm' || lpad(t::VARCHAR, 9, '0') AS b FROM (
+    SELECT k, 7 * ring + (spot + 1) % 7 AS t FROM k UNION ALL SELECT k, 7 * ring + (spot + 4) % 7 FROM k WHERE ring % 3 = 0 AND spot = 2
+    UNION ALL SELECT k, k + 7 FROM k WHERE spot = 3 AND ring % 4 <> 0 UNION ALL SELECT k, k FROM k WHERE k % 50 = 0 UNION ALL SELECT k, k - 7 FROM k WHERE spot = 5 AND ring % 12 = 6))"""
+
+
+def _rings(spark, d) -> DataFrame:
+    """Rings of seven, some with a short cut, some joined to the next one way or both, and objects that depend on themselves."""
+    k = F.col("p_partkey")
+    ring, at = F.floor(k / 7), k % 7
+    to = lambda ok, t: F.when(ok, t)
+    ends = F.array_compact(F.array(7 * ring + (at + 1) % 7, to((ring % 3 == 0) & (at == 2), 7 * ring + (at + 4) % 7), to((at == 3) & (ring % 4 != 0), k + 7), to(k % 50 == 0, k), to((at == 5) & (ring % 12 == 6), k - 7)))
+    name = lambda c: F.concat(F.lit("m"), F.lpad(c.cast("string"), 9, "0"))
+    return table(spark, d, "part").select(name(k).alias("from_id"), F.explode(ends).alias("t")).select("from_id", name(F.col("t")).alias("to_id"))
+
+
+@query(f"""WITH RECURSIVE {_RINGS},
+  reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+  members AS (SELECT x.a AS id, min(x.b) AS cycle FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+  inner_e AS (SELECT DISTINCT m.cycle, e.a, e.b FROM e JOIN members m ON m.id = e.a JOIN members n ON n.id = e.b AND n.cycle = m.cycle),
+  w AS (SELECT DISTINCT cycle, [cycle] AS path FROM members
+    UNION ALL SELECT w.cycle, list_append(w.path, i.b) FROM w JOIN inner_e i ON i.cycle = w.cycle AND i.a = w.path[-1]
+    WHERE (len(w.path) = 1 OR w.path[-1] <> w.cycle) AND (i.b = w.cycle OR NOT list_contains(w.path, i.b)) AND len(w.path) <= 7),
+  best AS (SELECT * FROM w WHERE len(path) > 1 AND path[-1] = cycle QUALIFY row_number() OVER (PARTITION BY cycle ORDER BY len(path), list_reverse(path)) = 1)
+  SELECT cycle, (SELECT count(*) FROM members m WHERE m.cycle = best.cycle) AS members, array_to_string(path, '>') AS path FROM best""")
+def dependency_cycles(spark, d) -> DataFrame:
+    """Every group of objects that depend on each other, with a shortest cycle through its smallest one."""
+    e = _rings(spark, d)
+    groups = cut(components.strong_components(e))
+    nodes = components.shortest_cycles(e, groups).groupBy("cycle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]), ">").alias("path"))
+    return nodes.join(groups.groupBy("cycle").agg(F.count("*").alias("members")), "cycle")
+
+
 @query(f"""WITH {CATALOG_SQL}, gone AS (SELECT id, source_id FROM objects WHERE (type = 'COLUMN' AND id LIKE '%7') OR id LIKE 'table:%3'),
   u AS (SELECT DISTINCT to_id, from_id FROM links WHERE to_id IN (SELECT id FROM gone)),
   r AS (SELECT to_id, from_id, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS n, count(*) OVER (PARTITION BY to_id) AS c FROM u)

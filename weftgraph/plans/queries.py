@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import alnum_key, edge_id, lexical, name_style, noisy_or
-from weftgraph.operators import compare, search, traversal
+from weftgraph.functions.lineage import shared_folder
+from weftgraph.operators import compare, search, text_index, traversal
 from weftgraph.sources.star import GRAPH_SQL, edges, nodes, table
 
 REGISTRY: dict[str, tuple] = {}
@@ -289,13 +292,24 @@ def ranked_search(spark, d) -> DataFrame:
     return search.ranked(nodes(spark, d), "customer 000000001", ("id", "name"))
 
 
+_INDEXES: dict[tuple, text_index.Index] = {}
+
+
+def stored_index(spark, d, stemmed: bool = False) -> text_index.Index:
+    """The index of the documents' texts, built once for an application."""
+    key = (spark.sparkContext.applicationId, d, stemmed)
+    if key not in _INDEXES:
+        _INDEXES[key] = text_index.build(table(spark, d, "documents"), f"{shared_folder(spark)}/index-{uuid4().hex}", "doc_id", "text", stemmed)
+    return _INDEXES[key]
+
+
 @query(f"""WITH s AS (SELECT doc_id AS id, list_filter(string_split({_LEX.format("coalesce(text, '')")}, ' '), lambda w: w <> '') AS words FROM documents),
   c AS (SELECT id, len(words) AS size, len(list_filter(words, lambda w: w = 'token')) AS n0, len(list_filter(words, lambda w: w = 'the')) AS n1 FROM s),
   t AS (SELECT count(*) AS docs, avg(size) AS mean, count(*) FILTER (n0 > 0) AS d0, count(*) FILTER (n1 > 0) AS d1 FROM c)
   SELECT id, round(ln(1 + (docs - d0 + 0.5) / (d0 + 0.5)) * n0 * 2.2 / (n0 + 1.2 * (0.25 + 0.75 * size / mean)) + ln(1 + (docs - d1 + 0.5) / (d1 + 0.5)) * n1 * 2.2 / (n1 + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score
   FROM c, t WHERE n0 > 0 OR n1 > 0""")
 def bm25_search(spark, d) -> DataFrame:
-    return search.bm25(table(spark, d, "documents"), ["token", "the"], "doc_id", "text")
+    return text_index.search(spark, stored_index(spark, d), ["token", "the"], prefix=False, every=False)
 
 
 @query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(text, '[\x09-\x0D ]+', ' ', 'g')) AS t FROM documents WHERE strpos(lower(text), 'token') > 0),

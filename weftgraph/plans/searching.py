@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators import search
-from weftgraph.plans.queries import query
+from weftgraph.functions.stems import stem_sql
+from weftgraph.operators import search, text_index
+from weftgraph.plans.queries import query, stored_index
 from weftgraph.sources.catalog import CATALOG_SQL, objects
 from weftgraph.sources.star import table
 
@@ -69,7 +70,27 @@ def ambiguity(spark, d) -> DataFrame:
   t AS (SELECT count(*) AS docs, avg(size) AS mean, greatest(ln((count(*) - count(*) FILTER (n0 > 0) + 0.5) / (count(*) FILTER (n0 > 0) + 0.5)), 1e-6) AS i0, greatest(ln((count(*) - count(*) FILTER (n1 > 0) + 0.5) / (count(*) FILTER (n1 > 0) + 0.5)), 1e-6) AS i1 FROM c)
   SELECT id, round(i0 * n0 * 2.2 / (n0 + 1.2 * (0.25 + 0.75 * size / mean)) + i1 * n1 * 2.2 / (n1 + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score FROM c, t WHERE n0 > 0 AND n1 > 0""")
 def prefix_search(spark, d) -> DataFrame:
-    return search.prefix_search(table(spark, d, "documents"), "tok re", "doc_id", "text")
+    return text_index.search(spark, stored_index(spark, d), "tok re")
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, unnest(list_filter(string_split({_lex("coalesce(text, '')")}, ' '), lambda x: x <> '')) AS word FROM documents),
+  stems AS ({stem_sql("w")}), sizes AS (SELECT id, count(*) AS size FROM w GROUP BY id),
+  c AS (SELECT s.id, s.size, count(*) FILTER (starts_with(stem, 'erin')) AS n0, count(*) FILTER (starts_with(stem, 'erat')) AS n1 FROM sizes s JOIN w USING (id) JOIN stems USING (word) GROUP BY s.id, s.size),
+  t AS (SELECT docs, (SELECT sum(size) FROM sizes) / docs AS mean, greatest(ln((docs - d0 + 0.5) / (d0 + 0.5)), 1e-6) AS i0, greatest(ln((docs - d1 + 0.5) / (d1 + 0.5)), 1e-6) AS i1
+    FROM (SELECT (SELECT count(*) FROM documents) AS docs, count(*) FILTER (n0 > 0) AS d0, count(*) FILTER (n1 > 0) AS d1 FROM c))
+  SELECT id, round(i0 * n0 * 2.2 / (n0 + 1.2 * (0.25 + 0.75 * size / mean)) + i1 * n1 * 2.2 / (n1 + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score FROM c, t WHERE n0 > 0 AND n1 > 0""")
+def stemmed_search(spark, d) -> DataFrame:
+    """Both words are stemmed, as are those of the texts, and stand for all stems that they begin."""
+    return text_index.search(spark, stored_index(spark, d, True), "erining erating")
+
+
+@query(f"""WITH s AS (SELECT doc_id AS id, list_filter(string_split({_lex("coalesce(text, '')")}, ' '), lambda w: w <> '') AS words FROM documents),
+  c AS (SELECT id, len(words) AS size, len(list_filter(words, lambda w: w = 'token')) AS n0, len(list_filter(words, lambda w: w = 'the')) AS n1 FROM s),
+  t AS (SELECT count(*) AS docs, avg(size) AS mean, count(*) FILTER (n0 > 0) AS d0, count(*) FILTER (n1 > 0) AS d1 FROM c),
+  r AS (SELECT id, round(ln(1 + (docs - d0 + 0.5) / (d0 + 0.5)) * n0 * 2.2 / (n0 + 1.2 * (0.25 + 0.75 * size / mean)) + ln(1 + (docs - d1 + 0.5) / (d1 + 0.5)) * n1 * 2.2 / (n1 + 1.2 * (0.25 + 0.75 * size / mean)), 6) AS score FROM c, t WHERE n0 > 0 OR n1 > 0)
+  SELECT id, score, (row_number() OVER (ORDER BY score DESC, id))::INTEGER AS rank FROM r ORDER BY score DESC, id LIMIT 20""")
+def best_documents(spark, d) -> DataFrame:
+    return text_index.best(spark, stored_index(spark, d), ["token", "the"], 20)
 
 
 _WANTED = ["nation:3", "measure:5", "Customer#000000001", "customer 000000002", "src:4", "building", "no such", "region_1"]

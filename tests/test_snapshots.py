@@ -74,6 +74,20 @@ def test_deep_diff(spark):
     assert got == {(1, "a/b", "changed"), (1, "a/c", "changed"), (1, "a/d/x", "added"), (2, "z", "added")}
 
 
+def test_deep_diff_keeps_types(spark):
+    cases = [
+        ('{"a":{"b":1},"c":1}', '{"a":"{\\"b\\":1}","c":"1"}', {("a", "changed", '{"b":1}', '"{\\"b\\":1}"'), ("c", "changed", "1", '"1"')}),
+        ('{"a":null}', "{}", {("a", "removed", "null", None)}), ('{"a":null}', '{"a":"null"}', {("a", "changed", "null", '"null"')}), ('{"a":true}', '{"a":"true"}', {("a", "changed", "true", '"true"')}),
+        ('{"a":{}}', '{"a":{"b":{}}}', {("a/b", "added", None, "{}")}), ('{"a":[]}', '{"a":{}}', {("a", "changed", "[]", "{}")}), ('{"a":{"x":1}}', '{"a":[1]}', {("a", "changed", '{"x":1}', "[1]")}),
+        ('{"a/b":{"~":1}}', '{"a/b":{"~":2}}', {("a~1b/~0", "changed", "1", "2")}), ('{"a":1,"b":2}', '{"b":2,"a":1}', set()), ('{"a":1}', '{"a":1.0}', {("a", "changed", "1", "1")}), ('{"a":1.0}', '{"a":1.00}', set()),
+    ]
+    old, new = (spark.createDataFrame([(i, c[k]) for i, c in enumerate(cases)], "id int, j string") for k in (0, 1))
+    got = {}
+    for r in align.deep_diff(old, new, "id", "j").collect():
+        got.setdefault(r["id"], set()).add((r["path"], r["change"], r["old_value"], r["new_value"]))
+    assert got == {i: c[2] for i, c in enumerate(cases) if c[2]}
+
+
 def test_verdicts(spark):
     t = lambda *v: spark.createDataFrame(list(v), "k int, v double")
     passed = lambda a, b, mode, **kw: align.verdict(a, b, mode, ["k"], ["v"], **kw).first()["passed"]

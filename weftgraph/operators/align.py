@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import alnum_key
-from weftgraph.functions.lineage import cut
+from weftgraph.functions.lineage import counted, cut
 from weftgraph.operators import compare
 
 
@@ -56,32 +56,64 @@ def cell_states(target: DataFrame, source: DataFrame, matches: DataFrame) -> Dat
     return both.select(F.col("left_id").alias("id"), state.alias("state"))
 
 
+def _pointer(path: str, name: str) -> Column:
+    """The path one key further down; ``~`` and ``/`` of keys are written ``~0`` and ``~1``."""
+    own = F.replace(F.replace(F.col(name), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+    return F.when(F.col(path) == "", own).otherwise(F.concat_ws("/", path, own))
+
+
+def _opened(value: str) -> Column:
+    return F.try_variant_get(F.col(value), "$", "map<string,variant>")
+
+
+def _told(value: str) -> tuple[Column, Column]:
+    """The JSON text of a value, and whether it has a fraction in its form: 1 and 1.0 differ, 1.0 and 1.00 do not."""
+    kind = F.schema_of_variant(F.col(value))
+    return F.to_json(F.col(value)), kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
+
+
 def leaves(rows: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, path, value) of the leaves of JSON objects, as deep as they go; arrays and empty objects are leaves.
+    """(key, path, value) of the leaves of JSON objects, as deep as they go, values as JSON; arrays and empty objects are leaves.
 
-    A round opens one level of all objects that still have one, so there are as many rounds as levels.
+    Values are variants, so that types stay. A round opens one level of all objects that still have one, so there are as many
+    rounds as levels. What is no JSON object has no leaves.
     """
-    opened = F.from_json("value", "map<string,string>")
-    level = cut(rows.select(key, F.lit("").alias("path"), F.col(json).alias("value")).where("value IS NOT NULL"))
-    done, first = [], True
-    while True:
-        told = level.withColumn("inner", F.when(F.lit(first) | F.col("value").startswith("{"), opened))
+    level = cut(rows.select(key, F.lit("").alias("path"), F.try_parse_json(json).alias("value")))
+    done, first, more = [], True, 1
+    while more:
+        told = level.withColumn("inner", _opened("value"))
         inside = F.coalesce(F.size("inner"), F.lit(0)) > 0
         if not first:
-            done.append(told.where(~inside).select(key, "path", "value"))
+            done.append(told.where(~inside).select(key, "path", F.to_json("value").alias("value")))
         below = told.where(inside).select(key, "path", F.explode("inner").alias("name", "value"))
-        level = cut(below.select(key, F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws("/", "path", "name")).alias("path"), "value"))
+        level, more = counted(below.select(key, _pointer("path", "name").alias("path"), "value"))
         first = False
-        if level.isEmpty():
-            return reduce(DataFrame.union, done) if done else level
+    return reduce(DataFrame.union, done) if done else level.select(key, "path", F.to_json("value").alias("value"))
 
 
 def deep_diff(old: DataFrame, new: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, path, change, old_value, new_value) of JSON properties that were added, removed or changed."""
-    side = lambda df, out: leaves(df, key, json).select(key, "path", F.col("value").alias(out), F.lit(True).alias(f"has_{out}"))
-    both = side(old, "old_value").join(side(new, "new_value"), [key, "path"], "full_outer").where("not (old_value <=> new_value) or has_old_value is null or has_new_value is null")
-    change = F.when(F.col("has_old_value").isNull(), "added").when(F.col("has_new_value").isNull(), "removed").otherwise("changed")
-    return both.select(key, "path", change.alias("change"), "old_value", "new_value")
+    """(key, path, change, old_value, new_value) of JSON properties that were added, removed or changed; values as JSON, null where there is none.
+
+    Both sides are walked together. Objects are opened on either side or, if the other has nothing there, on one; anything else
+    is compared as a whole, so an object that became a text, or 1 that became "1", is one change. Arrays are values.
+    A side that is null or no JSON object has no properties.
+    """
+    side = lambda df, out: df.select(key, F.try_parse_json(json).alias(out)).where(_opened(out).isNotNull())
+    level, more, first, done = *counted(side(old, "x").join(side(new, "y"), key, "full_outer").select(key, F.lit("").alias("path"), "x", "y")), True, []
+    while more:
+        told = level.withColumns({"a": _opened("x"), "b": _opened("y")})
+        (p, fine_p), (q, fine_q) = _told("x"), _told("y")
+        no_x, no_y, a, b = F.col("x").isNull(), F.col("y").isNull(), F.col("a"), F.col("b")
+        apart = ~p.eqNullSafe(q) | ~fine_p.eqNullSafe(fine_q)
+        opened = (a.isNotNull() | no_x) & (b.isNotNull() | no_y) & (F.coalesce(F.size("a"), F.lit(0)) + F.coalesce(F.size("b"), F.lit(0)) > 0)
+        if not first:
+            done.append(told.where(~opened & apart).select(key, "path", F.when(no_x, "added").when(no_y, "removed").otherwise("changed").alias("change"), p.alias("old_value"), q.alias("new_value")))
+        differ = ~p.eqNullSafe(q) | ~F.schema_of_variant("x").eqNullSafe(F.schema_of_variant("y"))
+        keys = lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
+        below = told.where(opened & differ).select(key, "path", "a", "b", F.explode(F.array_union(keys("a"), keys("b"))).alias("name"))
+        level, more = counted(below.select(key, _pointer("path", "name").alias("path"), F.try_element_at("a", F.col("name")).alias("x"), F.try_element_at("b", F.col("name")).alias("y")))
+        first = False
+    return reduce(DataFrame.union, done) if done else level.select(key, "path", F.lit("changed").alias("change"), F.to_json("x").alias("old_value"), F.to_json("y").alias("new_value"))
 
 
 def verdict(before: DataFrame, after: DataFrame, mode: str, keys: list[str], values: list[str], missing: bool = False, new: bool = False, expected: DataFrame | None = None, how: str = "EXACT", **limits: float) -> DataFrame:

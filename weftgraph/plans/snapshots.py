@@ -75,13 +75,24 @@ def repeated_tags(spark, d) -> DataFrame:
     return align.duplicate_tags(p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("tag"), F.col("p_size").cast("string"))).alias("tag")))
 
 
-@query("""SELECT p_partkey, 'shape/size' AS path, 'changed' AS change, p_size::VARCHAR AS old_value, (p_size + 1)::VARCHAR AS new_value FROM part WHERE p_partkey % 3 = 0
-  UNION ALL SELECT p_partkey, 'note', 'added', NULL, 'x' FROM part WHERE p_partkey % 5 = 0 UNION ALL SELECT p_partkey, 'shape/brand', 'removed', p_brand, NULL FROM part WHERE p_partkey % 7 = 0""")
+@query("""WITH k AS (SELECT p_partkey, p_size, p_brand FROM part)
+  SELECT p_partkey, 'shape/size' AS path, 'changed' AS change, p_size::VARCHAR AS old_value, (p_size + 1)::VARCHAR AS new_value FROM k WHERE p_partkey % 3 = 0 AND p_partkey % 4 <> 1
+  UNION ALL SELECT p_partkey, 'shape/size', 'changed', p_size::VARCHAR, '"' || p_size || '"' FROM k WHERE p_partkey % 3 = 1 AND p_partkey % 4 <> 1
+  UNION ALL SELECT p_partkey, 'note', 'added', NULL, '"x"' FROM k WHERE p_partkey % 5 = 0
+  UNION ALL SELECT p_partkey, 'shape/brand', 'removed', '"' || p_brand || '"', NULL FROM k WHERE p_partkey % 7 = 0 AND p_partkey % 4 <> 1
+  UNION ALL SELECT p_partkey, 'shape', 'changed', '{"brand":"' || p_brand || '","size":' || p_size || '}', '"{\\"size\\":1}"' FROM k WHERE p_partkey % 4 = 1
+  UNION ALL SELECT p_partkey, 'deep/a~1b/c/' || n, 'changed', '[1,' || p_partkey || ']', '[' || p_partkey || ',1]' FROM k, (VALUES ('d'), ('e')) v(n) WHERE p_partkey % 11 = 0""")
 def deep_property_diff(spark, d) -> DataFrame:
+    """Sizes grown or turned into texts, an object turned into the text of one, and arrays four levels down in another order."""
     k, p = F.col("p_partkey"), table(spark, d, "part")
-    text = lambda size, brand, note: F.to_json(F.struct(F.struct(size.alias("size"), brand.alias("brand")).alias("shape"), note.alias("note")))
-    old = p.select("p_partkey", text(F.col("p_size"), F.col("p_brand"), F.lit(None).cast("string")).alias("json"))
-    new = p.select("p_partkey", text(F.when(k % 3 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")), F.when(k % 7 != 0, F.col("p_brand")), F.when(k % 5 == 0, "x")).alias("json"))
+    line = lambda size, brand, note, shape, x, y: F.concat(F.lit('{"shape":'), shape(F.concat(F.lit('{"size":'), size, brand, F.lit("}"))), note, F.lit(',"deep":{"a/b":{"c":{"d":['), x, F.lit(","), y, F.lit('],"e":['), x, F.lit(","), y, F.lit("]}}}}"))
+    size, one, key = F.col("p_size").cast("string"), F.lit("1"), k.cast("string")
+    brand = F.concat(F.lit(',"brand":"'), "p_brand", F.lit('"'))
+    old = p.select("p_partkey", line(size, brand, F.lit(""), lambda s: s, one, key).alias("json"))
+    grown = F.when(k % 3 == 0, (F.col("p_size") + 1).cast("string")).when(k % 3 == 1, F.concat(F.lit('"'), size, F.lit('"'))).otherwise(size)
+    text = lambda s: F.when(k % 4 == 1, r'"{\"size\":1}"').otherwise(s)
+    turned = k % 11 == 0
+    new = p.select("p_partkey", line(grown, F.when(k % 7 != 0, brand).otherwise(""), F.when(k % 5 == 0, ',"note":"x"').otherwise(""), text, F.when(turned, key).otherwise(one), F.when(turned, one).otherwise(key)).alias("json"))
     return align.deep_diff(old, new, "p_partkey", "json")
 
 

@@ -28,8 +28,8 @@ from weftgraph.llm.scratch import forget, give_back
 PROFILE = 400
 LONGEST = 4  #: four UTF-16 units fill a 64-bit gram
 UNKNOWN = "und"
-#: The pipeline's stage rejects texts of so many grams that score less; of 10,000 labelled documents the lowest scored 0.295.
-LEAST_SCORE, LEAST_GRAMS = 0.15, 100
+#: A text that scores less under its nearest profile is rejected; 0 rejects none with a letter.
+LEAST_SCORE = 0.0
 #: Parts of a language's grams that are ranked apart before the best of all parts are.
 RANK_PARTS = 32
 #: Grams that a task holds before it counts them.
@@ -148,12 +148,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return [tuple(r) for r in profiles(labelled, length).collect()]
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE, least_grams: int = LEAST_GRAMS) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows whose text has a language, all columns kept.
 
-    Rejected are null texts, texts without a letter, and texts of ``least_grams`` distinct grams or more
-    whose nearest profile scores under ``least_score``: a foreign script, or letters at random. Shorter
-    texts say too little to be rejected. With nothing learned every text with a letter stays.
+    Rejected are null texts, texts without a letter and, at every length, texts whose nearest profile scores under
+    ``least_score``, which is for the caller to set by their own texts. With nothing learned every text with a letter stays.
     """
     model = learn(docs, id_col, text_col)
     place = docs.columns.index(text_col)
@@ -164,7 +163,10 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         def stays(text: str | None) -> bool:
             grams = np.unique(grams_of(text), return_counts=True)
-            return len(grams[0]) > 0 and (not ranks.langs or len(grams[0]) < least_grams or ranks.of_grams(*grams)[1] >= least_score)
+            if not len(grams[0]) or not ranks.langs:
+                return len(grams[0]) > 0
+            lang, score = ranks.of_grams(*grams)
+            return lang != UNKNOWN and score >= least_score
 
         for batch in batches:
             yield batch.filter(pa.array([stays(t.as_py()) for t in batch.column(place)], pa.bool_()))

@@ -71,7 +71,8 @@ class _Slice:
         coded = langs.combine_chunks().dictionary_encode()
         coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
         of_row, many = coded.indices.to_numpy(), max(len(words.distinct), 1)
-        seen, self.word, self.times = np.unique(of_row[words.row].astype(np.int64) * many + words.code, return_inverse=True, return_counts=True)
+        seen, word, self.times = np.unique(of_row[words.row].astype(np.int64) * many + words.code, return_inverse=True, return_counts=True)
+        self.word = word.astype(np.int32)  # a slice is far shorter than that
         self.lang = coded.dictionary.take(pa.array(seen // many))
         self.text = words.distinct.take(pa.array(seen % many))
         self.hash = _hash_of(words.distinct.to_pylist())[seen % many] if len(seen) else np.empty(0, np.uint64)
@@ -81,7 +82,7 @@ class _Slice:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Where pairs begin, and the two words of each."""
-        at = np.flatnonzero(self.next)
+        at = np.flatnonzero(self.next).astype(np.int32)
         return at, self.word[at], self.word[at + 1]
 
     def rows(self, *words: np.ndarray, size: int, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -162,10 +163,12 @@ def _two_words(bits: int, least: int, frequent: Broadcast, bucket: Broadcast):
             whole = _joined(s.hash[first], s.hash[second])
             may = _set(pairs, whole, bits)
             at, first, second, whole = at[may], first[may], second[may], whole[may]
-            keys, n = _repeats(first.astype(np.int64) << 32 | second)
-            yield from s.rows(keys >> 32, keys & 0xFFFFFFFF, size=2, n=n)
             goes_on = np.flatnonzero(at[1:] == at[:-1] + 1)
             buckets.add(_joined(whole[goes_on], s.hash[second[goes_on + 1]]))
+            del at, whole, may, goes_on
+            keys, n = _repeats(first.astype(np.int64) << 32 | second)
+            del first, second
+            yield from s.rows(keys >> 32, keys & 0xFFFFFFFF, size=2, n=n)
         yield from buckets.rows()
         give_back()
 
@@ -190,6 +193,7 @@ def _three_words(bits: int, frequent: Broadcast, bucket: Broadcast):
             goes_on = goes_on[_set(triples, _joined(whole[goes_on], s.hash[second[goes_on + 1]]), bits)]
             seen, pair = np.unique(first[goes_on].astype(np.int64) << 32 | second[goes_on], return_inverse=True)
             keys, n = _repeats(pair.astype(np.int64) << 32 | second[goes_on + 1])
+            del at, first, second, whole, may, goes_on, pair
             start = seen[keys >> 32]
             yield from s.rows(start >> 32, start & 0xFFFFFFFF, keys & 0xFFFFFFFF, size=3, n=n)
         give_back()

@@ -138,3 +138,21 @@ def visual_bindings(spark, d) -> DataFrame:
 @query("""SELECT DISTINCT trim(unnest(string_split(p_type || '; ' || p_brand || ';', ';'))) AS folder FROM part WHERE p_type IS NOT NULL EXCEPT SELECT ''""")
 def display_folders(spark, d) -> DataFrame:
     return folders.display_folders(table(spark, d, "part").select(F.concat("p_type", F.lit("; "), "p_brand", F.lit(";")).alias("display_folder")))
+
+
+@query("""SELECT p_partkey AS id, 'COLUMN' AS kind, 'Home' || (p_partkey % 25) AS entity, p_name AS property, NULL::VARCHAR AS level FROM part
+  UNION ALL SELECT p_partkey, 'MEASURE', NULL, 'M' || p_partkey, NULL FROM part WHERE p_partkey % 5 > 0
+  UNION ALL SELECT p_partkey, 'COLUMN', 'Inner', p_brand, NULL FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT p_partkey, 'HIERARCHY', 'Home' || (p_partkey % 25), 'H', 'L' || (p_partkey % 7) FROM part WHERE p_partkey % 4 = 0""")
+def nested_fields(spark, d) -> DataFrame:
+    """Fields inside sums of up to five levels, in a subquery that hides an alias, and a level that orders."""
+    k, p = F.col("p_partkey"), table(spark, d, "part")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    column = lambda name: text('{"Column":{"Expression":{"SourceRef":{"Source":"a"}},"Property":"', name, '"}}')
+    deep = (k % 5).cast("int")
+    left, right = F.expr("repeat('{\"Arithmetic\":{\"Left\":', cast(p_partkey % 5 as int))"), text(',"Right":{"Measure":{"Property":"[M', k, ']"}}}}')
+    summed = text('{"Aggregation":{"Expression":', left, column(F.col("p_name")), F.array_join(F.array_repeat(right, deep), ""), ',"Function":0}}')
+    inner = F.when(k % 3 == 0, text(',"Where":[{"In":{"Query":{"From":[{"Name":"a","Entity":"Inner"}],"Select":[', column(F.col("p_brand")), "]}}}]")).otherwise("")
+    order = F.when(k % 4 == 0, text(',"OrderBy":[{"Expression":{"HierarchyLevel":{"Expression":{"Hierarchy":{"Expression":{"SourceRef":{"Source":"a"}},"Hierarchy":"H"}},"Level":"L', k % 7, '"}}}]')).otherwise("")
+    config = text('{"query":{"From":[{"Name":"a","Entity":"Home', k % 25, '"}],"Select":[', summed, "]", inner, order, "}}")
+    return folders.nested_bindings(p.select(k.alias("id"), config.alias("config")))

@@ -106,7 +106,9 @@ def test_search_additions(spark):
     assert {r["wanted"]: (r["candidates"], r["id"]) for r in search.resolve(nodes, names).collect()} == {"net_sales": (0, None), "Net-Sales": (2, None), "margin": (1, "b"), "a": (1, "a"), "x": (0, None)}
 
 
-def test_mentions_take_the_longest_first(spark):
+@pytest.mark.parametrize("most", [10_000, 0])
+def test_mentions_take_the_longest_first(spark, monkeypatch, most):
+    monkeypatch.setattr(search, "MOST_FIRST_WORDS", most)
     names = spark.createDataFrame([("Net Sales",), ("Sales",), ("Sales Margin",), ("of",), (None,)], "name string")
     docs = spark.createDataFrame([(1, "the net sales margin, Net Sales again"), (2, "sales of sales"), (3, None), (4, "Sales, Sales margin of")], "id int, t string")
     assert {r["id"]: list(r["names"]) for r in search.mentions(docs, names, "id", "t").collect()} == {1: ["net sales", "sales"], 4: ["sales", "sales margin"]}

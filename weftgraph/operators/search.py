@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.keys import lexical
+from weftgraph.functions.lineage import cut
 
 #: Field weights and what weaker matches cost. Fixed values.
 WEIGHTS = {
@@ -22,6 +23,8 @@ PREFIX, PHRASE, ALL_WORDS = 60, 90, 120
 #: Of objects that share a name the first type is meant; others come last. Fixed values.
 TYPE_RANK = {"MEASURE": 0, "COLUMN": 1, "TABLE": 2, "CALCULATION_ITEM": 3, "PAGE": 4, "VISUAL": 5}
 LEAST_PAGE, MOST_PAGE = 1, 100
+#: First words of names that are sent along with a plan.
+MOST_FIRST_WORDS = 10_000
 
 
 def words_of(query: str) -> list[str]:
@@ -227,18 +230,30 @@ def mentions(docs: DataFrame, names: DataFrame, id_col: str, text_col: str, long
     """(id, names): names that a text mentions, from its start on the longest first, each name once, none overlapping.
 
     ``names`` has a ``name`` column; names of over ``longest`` words, or under three characters, are not
-    looked for, and one plain word counts only where it is capitalised. Texts without a mention have no row.
+    looked for, and one plain word counts only where it is capitalised. Texts without a mention have no row. A place is
+    left before any phrase is formed if no name begins with its word, and phrases have only the lengths of such names. Up to
+    ``MOST_FIRST_WORDS`` first words go with the plan, more are joined.
     """
     clean = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     known = names.select(F.lower(F.array_join(clean(F.col("name")), " ")).alias("phrase")).where("length(phrase) >= 3").distinct()
+    known = cut(known.withColumns({"words": F.split("phrase", " "), "first": F.split("phrase", " ")[0]}).select("phrase", "first", F.size("words").alias("n")).where(F.col("n") <= longest))
+    sizes = range(1, longest + 1)
+    firsts = cut(known.groupBy("first").agg(*[F.max(F.col("n") == n).alias(f"n{n}") for n in sizes]))
+    any_of = firsts.agg(*[F.max(f"n{n}").alias(f"n{n}") for n in sizes]).first()
+    lengths = [n for n in sizes if any_of[f"n{n}"]]
+    few = [r["first"] for r in firsts.select("first").limit(MOST_FIRST_WORDS + 1).collect()]
     words = docs.select(F.col(id_col).alias("id"), clean(F.col(text_col)).alias("w")).where("size(w) > 0")
     # a row per place holds its next words alone, never the whole text
-    places = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("pos"), F.slice("w", i + 1, longest).alias("next")))
-    at = words.select("id", F.explode(places).alias("p")).select("id", "p.pos", "p.next")
+    places = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(i.alias("pos"), F.slice("w", i + 1, max(lengths, default=1)).alias("next")))
+    if len(few) <= MOST_FIRST_WORDS:
+        begins = F.filter(F.transform("w", lambda w, i: F.struct(F.lower(w).alias("v"), i.alias("i"))), lambda x: x["v"].isin(few))
+        places = F.transform(begins, lambda x: F.struct(x["i"].alias("pos"), F.slice("w", x["i"] + 1, max(lengths, default=1)).alias("next")))
+    at = words.select("id", F.explode(places).alias("p")).select("id", "p.pos", "p.next", F.lower(F.col("p.next")[0]).alias("first")).join(firsts, "first")
     piece = lambda n: F.struct(F.lit(n).alias("len"), F.lower(F.array_join(F.slice("next", 1, n), " ")).alias("phrase"))
-    able = lambda n: (F.size("next") >= n) & (F.lit(n > 1) | F.col("next")[0].rlike(r"^\p{Lu}"))
-    grams = at.select("id", "pos", F.explode(F.array_compact(F.array(*[F.when(able(n), piece(n)) for n in range(1, longest + 1)]))).alias("g")).select("id", "pos", "g.*")
-    hits = grams.join(known, "phrase").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("len")).alias("minus"), "phrase"))).alias("hits"))
+    able = lambda n: F.col(f"n{n}") & (F.size("next") >= n) & (F.lit(n > 1) | F.col("next")[0].rlike(r"^\p{Lu}"))
+    pieces = F.array_compact(F.array(*[F.when(able(n), piece(n)) for n in lengths])) if lengths else F.array().cast("array<struct<len:int,phrase:string>>")
+    grams = at.select("id", "pos", F.explode(pieces).alias("g")).select("id", "pos", "g.*")
+    hits = grams.join(known.select("phrase"), "phrase").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("len")).alias("minus"), "phrase"))).alias("hits"))
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("names"))
     take = lambda s, h: F.when((h["pos"] >= s["next"]) & ~F.array_contains(s["names"], h["phrase"]), F.struct((h["pos"] - h["minus"]).alias("next"), F.array_append(s["names"], h["phrase"]).alias("names"))).otherwise(s)
     return hits.select("id", F.aggregate("hits", start, take, lambda s: s["names"]).alias("names"))

@@ -8,12 +8,13 @@ sources again, and a lost executor does not restart the walk.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.lineage import Rounds, cut
+from weftgraph.functions.lineage import MOST_ROUNDS, Rounds, counted, cut
 from weftgraph.operators.components import ends_of
 
 
@@ -82,17 +83,24 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int | None = No
 
 
 def layers(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Kahn's peel: (id, layer) of nodes in topological layers, and (id) of those behind a cycle."""
-    left, links, at = cut(ids.select("id").distinct()), cut(edges.select("from_id", "to_id").distinct()), 0
-    done = Rounds(left.limit(0).withColumn("layer", F.lit(0)))
-    while True:
-        free = cut(left.join(links.select(F.col("to_id").alias("id")), "id", "left_anti"))
-        if free.isEmpty():
-            return done.all(), left
-        done.add(free.withColumn("layer", F.lit(at)))
+    """Kahn's peel: (id, layer) of nodes in topological layers, and (id) of those behind a cycle.
+
+    A round writes the nodes left with the number of links into them that are left, and takes those with none.
+    """
+    links = cut(edges.select("from_id", F.col("to_id").alias("id")).distinct())
+    into = links.groupBy("id").agg(F.count("*").alias("n"))
+    free = F.count_if(F.col("n") == 0)
+    left, ready = counted(ids.select("id").distinct().join(into, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n")), free)
+    done, at = [left.limit(0).select("id", F.lit(0).alias("layer"))], 0
+    while ready:
+        now = left.where("n = 0").select("id")
+        done.append(now.select("id", F.lit(at).alias("layer")))
+        if len(done) > MOST_ROUNDS:
+            done = [cut(reduce(DataFrame.union, done))]
+        less = now.withColumnRenamed("id", "from_id").join(links, "from_id").groupBy("id").agg(F.count("*").alias("less"))
+        left, ready = counted(left.where("n > 0").join(less, "id", "left").select("id", (F.col("n") - F.coalesce("less", F.lit(0))).alias("n")), free)
         at += 1
-        left = cut(left.join(free, "id", "left_anti"))
-        links = cut(links.join(free.select(F.col("id").alias("from_id")), "from_id", "left_anti"))
+    return reduce(DataFrame.union, done), left.select("id")
 
 
 def path_of_parents(nodes: DataFrame, ids: DataFrame, goal_types: list[str]) -> DataFrame:

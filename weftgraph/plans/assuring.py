@@ -92,17 +92,20 @@ def sources_of_columns(spark, d) -> DataFrame:
 
 # --- usage, status, names --------------------------------------------------------------------
 
-_USES_SQL = """u AS (SELECT DISTINCT l_partkey AS object_id, o_orderkey AS visual_id, CASE l_linenumber % 4 WHEN 0 THEN 'tooltip' WHEN 1 THEN 'value' WHEN 2 THEN 'slicer_field' ELSE 'sort' END AS role, CASE WHEN o_orderkey % 5 = 0 THEN 'Card' ELSE 'chart' END AS visual_type,
-    o_custkey AS page_id, CASE WHEN o_custkey % 3 = 0 THEN 'Tooltip' END AS page_type, o_custkey % 2 = 0 AS page_hidden FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 7 <> 0 AND (l_partkey % 5 <> 0 OR l_linenumber % 4 IN (0, 3)))"""
+_USES_SQL = """u AS (SELECT DISTINCT CASE WHEN l_partkey % 7 = 0 THEN -1 - l_partkey ELSE l_partkey END AS object_id, o_orderkey AS visual_id,
+    CASE WHEN l_linenumber % 4 = 0 THEN 'tooltip' WHEN l_linenumber % 4 = 3 OR l_partkey % 5 = 0 THEN 'sort' WHEN l_linenumber % 4 = 1 THEN 'value' ELSE 'slicer_field' END AS role, CASE WHEN o_orderkey % 5 = 0 THEN 'Card' ELSE 'chart' END AS visual_type,
+    o_custkey AS page_id, CASE WHEN o_custkey % 3 = 0 THEN 'Tooltip' END AS page_type, o_custkey % 2 = 0 AS page_hidden FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  objects AS (SELECT p_partkey AS id FROM part UNION ALL SELECT -1 - p_partkey FROM part WHERE p_partkey % 7 = 0)"""
 
 
 def _uses(spark, d) -> DataFrame:
+    """Every line is a use; those of a part of some keys are of a second object in its place, so that the part has none."""
     lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     n = F.col("l_linenumber") % 4
-    role = F.when(n == 0, "tooltip").when(n == 1, "value").when(n == 2, "slicer_field").otherwise("sort")
-    kept = lines.where((F.col("l_partkey") % 7 != 0) & ((F.col("l_partkey") % 5 != 0) | n.isin(0, 3)))
-    return kept.select(
-        F.col("l_partkey").alias("object_id"), F.col("o_orderkey").alias("visual_id"), role.alias("role"), F.when(F.col("o_orderkey") % 5 == 0, "Card").otherwise("chart").alias("visual_type"),
+    k = F.col("l_partkey")
+    role = F.when(n == 0, "tooltip").when((n == 3) | (k % 5 == 0), "sort").when(n == 1, "value").otherwise("slicer_field")
+    return lines.select(
+        F.when(k % 7 == 0, -1 - k).otherwise(k).alias("object_id"), F.col("o_orderkey").alias("visual_id"), role.alias("role"), F.when(F.col("o_orderkey") % 5 == 0, "Card").otherwise("chart").alias("visual_type"),
         F.col("o_custkey").alias("page_id"), F.when(F.col("o_custkey") % 3 == 0, "Tooltip").alias("page_type"), (F.col("o_custkey") % 2 == 0).alias("page_hidden"),
     )
 
@@ -114,15 +117,16 @@ def usage_profile(spark, d) -> DataFrame:
 
 @query(f"""WITH {_USES_SQL}, t AS (SELECT object_id, count(DISTINCT visual_id) AS visuals, count(DISTINCT page_id) AS pages, count(DISTINCT visual_id) FILTER (visual_type = 'Card' AND role = 'value') AS kpi, count(DISTINCT visual_id) FILTER (role = 'slicer_field') AS slicer,
     count(*) FILTER (role <> 'sort') AS shown, count(*) FILTER (role NOT IN ('sort', 'tooltip')) AS besides, count(DISTINCT page_id) FILTER (page_type IS NULL) AS plain, count(DISTINCT page_id) FILTER (NOT page_hidden) AS open FROM u GROUP BY 1),
-  f AS (SELECT p_partkey AS object_id, 1 AS filters FROM part WHERE p_partkey % 14 = 0), b AS (SELECT p_partkey AS object_id, coalesce(visuals, 0) AS visuals, coalesce(pages, 0) AS pages, coalesce(kpi, 0) AS kpi, coalesce(slicer, 0) AS slicer, coalesce(shown, 0) AS shown, coalesce(besides, 0) AS besides,
-    coalesce(plain, 0) AS plain, coalesce(open, 0) AS open, coalesce(filters, 0) AS filters FROM part LEFT JOIN t ON t.object_id = p_partkey LEFT JOIN f ON f.object_id = p_partkey)
+  f AS (SELECT p_partkey AS object_id, 1 AS filters FROM part WHERE p_partkey % 14 = 0), b AS (SELECT o.id AS object_id, coalesce(visuals, 0) AS visuals, coalesce(pages, 0) AS pages, coalesce(kpi, 0) AS kpi, coalesce(slicer, 0) AS slicer, coalesce(shown, 0) AS shown, coalesce(besides, 0) AS besides,
+    coalesce(plain, 0) AS plain, coalesce(open, 0) AS open, coalesce(filters, 0) AS filters FROM objects o LEFT JOIN t ON t.object_id = o.id LEFT JOIN f ON f.object_id = o.id)
   SELECT object_id, 'KPI_VALUE' AS fact, kpi AS n FROM b WHERE kpi > 0 UNION ALL SELECT object_id, 'SLICER_DIMENSION', slicer FROM b WHERE slicer > 0 UNION ALL SELECT object_id, 'ONLY_TOOLTIP', visuals FROM b WHERE visuals > 0 AND shown > 0 AND besides = 0
   UNION ALL SELECT object_id, 'ONLY_TOOLTIP_PAGES', pages FROM b WHERE visuals > 0 AND NOT (shown > 0 AND besides = 0) AND plain = 0 UNION ALL SELECT object_id, 'FORMATTING_OR_SORT_ONLY', visuals FROM b WHERE visuals > 0 AND shown = 0
   UNION ALL SELECT object_id, 'ONLY_HIDDEN_PAGES', pages FROM b WHERE visuals > 0 AND open = 0 UNION ALL SELECT object_id, 'FILTER_ONLY', filters FROM b WHERE visuals = 0 AND filters > 0 UNION ALL SELECT object_id, 'UNUSED_IN_REPORTS', 0 FROM b WHERE visuals = 0 AND filters = 0""")
 def usage_facts(spark, d) -> DataFrame:
     p = table(spark, d, "part")
     filters = p.where("p_partkey % 14 = 0").select(F.col(_K).alias("object_id"), F.lit("f").alias("filter_id"))
-    return profiles.usage_facts(p.select(F.col(_K).alias("id")), _uses(spark, d), filters)
+    objects = p.select(F.col(_K).alias("id")).union(p.where("p_partkey % 7 = 0").select(-1 - F.col(_K)))
+    return profiles.usage_facts(objects, _uses(spark, d), filters)
 
 
 @query("""SELECT o_custkey AS visual_id, CASE min(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 END) WHEN 1 THEN 'removed' WHEN 2 THEN 'breaks' WHEN 3 THEN 'changes' WHEN 4 THEN 'new' ELSE 'unchanged' END AS status FROM orders GROUP BY 1""")

@@ -17,7 +17,7 @@ RULES = [Rule("consumer_closure", CONSUMERS), Rule("contained_scope", ("CONTAINS
 _STEPS_SQL = f"""WITH RECURSIVE {GRAPH_SQL},
   steps AS (SELECT to_id AS at, from_id AS id, 'consumer_closure' AS rule, type <> 'REFERENCES' AS fact FROM edges WHERE type IN {CONSUMERS}
     UNION ALL SELECT from_id, to_id, 'contained_scope', true FROM edges WHERE type = 'CONTAINS'),
-  w AS (SELECT 'nation:3' AS id, 0 AS depth UNION SELECT s.id, depth + 1 FROM w JOIN steps s ON s.at = w.id WHERE depth < 4),
+  w AS (SELECT 'nation:3' AS id, 0 AS depth UNION SELECT s.id, depth + 1 FROM w JOIN steps s ON s.at = w.id),
   f AS (SELECT id, min(depth) AS depth FROM w GROUP BY id),
   steps_in AS (SELECT f.id, f.depth, s.at, s.rule, s.fact, row_number() OVER (PARTITION BY f.id ORDER BY s.at, s.rule, s.fact) AS k
     FROM f JOIN steps s ON s.id = f.id JOIN f g ON g.id = s.at AND g.depth = f.depth - 1),
@@ -28,7 +28,7 @@ _STEPS_SQL = f"""WITH RECURSIVE {GRAPH_SQL},
 
 def _closure(spark, d) -> DataFrame:
     links = impact.steps(edges(spark, d), RULES, F.col("type") != "REFERENCES")
-    return impact.closure(links, spark.createDataFrame([("nation:3",)], "id string"), 4)
+    return impact.closure(links, spark.createDataFrame([("nation:3",)], "id string"))
 
 
 @query(_STEPS_SQL + """SELECT id, depth::INTEGER AS depth, rule, CASE rule WHEN 'seed' THEN 'DIRECT' ELSE 'STRUCTURAL' END AS category, CASE WHEN fact THEN 'FACT' ELSE 'INFERRED' END AS certainty, path FROM paths""")
@@ -77,7 +77,7 @@ MOVES = [
     JOIN edges e ON (e.type = 'CONTAINS') = (m.kind = 'CONTAINS') AND s.id = CASE WHEN m.along THEN e.from_id ELSE e.to_id END)
   SELECT id, mode FROM s""")
 def context_slice(spark, d) -> DataFrame:
-    return impact.context_slice(edges(spark, d), nodes(spark, d).where("id = 'part:1'").select("id"), MOVES, 8)
+    return impact.context_slice(edges(spark, d), nodes(spark, d).where("id = 'part:1'").select("id"), MOVES)
 
 
 @query("""WITH u AS (SELECT DISTINCT l_orderkey AS owner, l_partkey AS item FROM lineitem), c AS (SELECT owner, count(*) AS used, count(*) FILTER (p_size <= 10) AS lost FROM u LEFT JOIN part ON item = p_partkey GROUP BY owner)

@@ -200,3 +200,16 @@ def test_ties_of_weights_and_roles_of_slicers(spark):
     assert one(evidence_weight(F.lit("description_object_name"))) == 0.96
     assert [one(use_of(F.lit(r), F.lit("slicer"))) for r in ("Values", "Field", "Y", "Data", "Indicator", "x", "--", "My Role")] == ["slicer_field", "slicer_field", "value", "value", "value", "value", "field", "my_role"]
     assert one(use_of(F.lit("Values"), F.lit("table"))) == "value"
+
+
+def test_what_an_impact_cannot_see(spark):
+    objects = spark.createDataFrame([("c1", "COLUMN", "m", "t1"), ("c2", "COLUMN", "m", "t2"), ("c3", "COLUMN", "m", "gone"), ("c4", "COLUMN", "m", None), ("t1", "TABLE", "m", None), ("t2", "TABLE", "m", None), ("s", "DATA_SOURCE", None, None), ("r", "REPORT", None, None), ("x", "MEASURE", "other", None)],
+                                    "id string, type string, model_id string, parent_id string")
+    relations = spark.createDataFrame([("ok", "c1", "c2"), ("self", "c1", "c1"), ("no table", "c1", "c3"), ("null table", "c4", "c2"), ("no column", "c1", "t2"), ("null end", "c1", None)], "id string, from_column_id string, to_column_id string")
+    findings = spark.createDataFrame([("c1", "diagnostics"), ("c1", "diagnostics"), ("r", "unresolved_fields"), ("x", "diagnostics"), ("c1", "other")], "object_id string, finding string")
+    queries = spark.createDataFrame([("q1",), ("q2",)], "id string")
+    of = lambda *ids: analysis.unread(objects, ["m"], spark.createDataFrame([(i,) for i in ids], "id string"), relations, findings, queries)
+    crooked = {("MISSING_ENDPOINT_TABLE", "no table"), ("MISSING_ENDPOINT_TABLE", "null table"), ("UNRESOLVED_RELATIONSHIP", "no column"), ("UNRESOLVED_RELATIONSHIP", "null end"), ("DIAGNOSTICS", "c1"), ("UNRESOLVED_FIELDS", "r")}
+    assert rows(of("c1")) == crooked and rows(of("s")) == crooked | {("UNREAD_M_QUERY", "q1"), ("UNREAD_M_QUERY", "q2")}
+    assert rows(analysis.completeness(of("c1").limit(0))) == {("COMPLETE", None, 0)} and rows(analysis.completeness(of("c1").limit(0), False)) == {("INCOMPLETE", None, 0)}
+    assert rows(analysis.completeness(of("c1").where("reason = 'DIAGNOSTICS'"))) == {("INCOMPLETE", "DIAGNOSTICS", 1)}

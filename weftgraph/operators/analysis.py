@@ -143,8 +143,44 @@ def impact(objects: DataFrame, links: DataFrame, targets: list[str], changes: Da
     return best.select("root", "object_id", "rule", "category", F.when(inferred, "INFERRED").otherwise("FACT").alias("evidence_class"), F.col("b.depth").alias("depth"))
 
 
+#: What a scan may say of an object that it could not read in full. Fixed values.
+FINDINGS = ["unresolved_references", "unresolved_fields", "unresolved_bindings", "dax_diagnostics", "diagnostics"]
+
+
+def unread(objects: DataFrame, models: list[str], targets: DataFrame, relations: DataFrame, findings: DataFrame, queries: DataFrame) -> DataFrame:
+    """(reason, object_id) of what else an impact on ``targets`` (id) cannot see.
+
+    ``relations`` (id, from_column_id, to_column_id) of which an end is no column, or is a column whose table (``parent_id``) is gone; ``findings`` (object_id,
+    finding: one of ``FINDINGS``) on objects of ``models`` and on reports; and, where a target is a data source, every one of ``queries`` (id) that was not read, for
+    each may read it.
+    """
+    columns = objects.where("type = 'COLUMN'").select(F.col("id").alias("end"), "parent_id")
+    tables = objects.select(F.col("id").alias("parent_id"), F.lit(True).alias("held")).distinct()
+    ends = relations.select("id", F.explode(F.array("from_column_id", "to_column_id")).alias("end")).join(columns.withColumn("known", F.lit(True)), "end", "left").join(tables, "parent_id", "left")
+    told = ends.groupBy("id").agg(F.count("known").alias("known"), F.count("held").alias("held"))
+    reason = F.when(F.col("known") < 2, "UNRESOLVED_RELATIONSHIP").when(F.col("held") < 2, "MISSING_ENDPOINT_TABLE")
+    crooked = told.select(reason.alias("reason"), F.col("id").alias("object_id")).where("reason IS NOT NULL")
+    seen = objects.where(F.col("model_id").isin(models) | (F.col("type") == "REPORT")).select(F.col("id").alias("object_id"))
+    odd = findings.where(F.col("finding").isin(FINDINGS)).join(seen, "object_id", "left_semi").select(F.upper("finding").alias("reason"), "object_id").distinct()
+    sources = objects.where("type = 'DATA_SOURCE'").join(targets, "id", "left_semi").limit(1).select(F.lit(1).alias("one"))
+    dark = queries.select(F.lit("UNREAD_M_QUERY").alias("reason"), F.col("id").alias("object_id"), F.lit(1).alias("one")).join(sources, "one", "left_semi").drop("one")
+    return crooked.unionByName(odd).unionByName(dark)
+
+
+def completeness(unknown: DataFrame, scanned: bool = True) -> DataFrame:
+    """(status, reason, objects): how many objects each reason of ``unknown`` (reason, object_id) leaves open; one row without a reason if there are none.
+
+    An impact is COMPLETE only if nothing is open and the scan below it was complete (``scanned``).
+    """
+    open_ = unknown.groupBy("reason").agg(F.countDistinct("object_id").alias("objects"))
+    none = unknown.sparkSession.range(1).select(F.lit(None).cast("string").alias("reason"), F.lit(0).cast("long").alias("objects"))
+    alone = none.withColumn("k", F.lit(1)).join(open_.limit(1).select(F.lit(1).alias("k")), "k", "left_anti").drop("k")
+    status = F.when(F.col("reason").isNotNull() | F.lit(not scanned), "INCOMPLETE").otherwise("COMPLETE")
+    return open_.unionByName(alone).select(status.alias("status"), "reason", "objects")
+
+
 def unknowns(objects: DataFrame, links: DataFrame, models: list[str]) -> DataFrame:
-    """(reason, object_id) of what an impact on ``models`` cannot see: absent ends, reports without a model, visuals whose fields are not resolved."""
+    """(reason, object_id) of what an impact on ``models`` cannot see: absent ends, reports without a model, visuals whose fields are not resolved; ``unread`` has the rest."""
     ends = links.select(F.explode(F.array("from_id", "to_id")).alias("object_id")).dropna().distinct()
     lost = ends.join(objects.select(F.col("id").alias("object_id")), "object_id", "left_anti").select(F.lit("DANGLING_GRAPH_ENDPOINT").alias("reason"), "object_id")
     loose = objects.where("type = 'REPORT' AND model_id IS NULL").select(F.lit("UNRESOLVED_REPORT_MODEL").alias("reason"), F.col("id").alias("object_id"))

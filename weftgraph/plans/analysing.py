@@ -115,3 +115,25 @@ def impact_unknowns(spark, d) -> DataFrame:
     o, e = _graph(spark, d)
     left = o.where("id NOT LIKE 'measure:%77'").withColumn("model_id", F.when(F.col("id") != "report:BUILDING-1", F.col("model_id")))
     return analysis.unknowns(left, e.where("NOT (type = 'USES' AND from_id LIKE '%5')"), ["model:2"])
+
+
+@query(f"""WITH {CATALOG_SQL}, o AS (SELECT * FROM objects WHERE id <> 'table:3' AND NOT (type = 'COLUMN' AND id LIKE '%9')),
+  c AS (SELECT id, parent_id IN (SELECT id FROM o) AS held FROM o WHERE type = 'COLUMN'),
+  r AS (SELECT 'relation:' || s_suppkey AS id, 'column:' || s_suppkey AS f, 'column:' || (s_suppkey + 1) AS t FROM supplier),
+  u AS (
+    SELECT CASE WHEN a.id IS NULL OR b.id IS NULL THEN 'UNRESOLVED_RELATIONSHIP' ELSE 'MISSING_ENDPOINT_TABLE' END AS reason, r.id FROM r LEFT JOIN c a ON a.id = f LEFT JOIN c b ON b.id = t WHERE a.id IS NULL OR b.id IS NULL OR NOT (a.held AND b.held)
+    UNION ALL SELECT 'DAX_DIAGNOSTICS', 'measure:' || p_partkey FROM part WHERE p_partkey % 6 = 0 AND 'measure:' || p_partkey IN (SELECT id FROM o WHERE model_id = 'model:2')
+    UNION ALL SELECT 'UNRESOLVED_FIELDS', id FROM o WHERE type = 'REPORT' UNION ALL SELECT 'UNREAD_M_QUERY', 'query:' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 0)
+  SELECT 'INCOMPLETE' AS status, reason, count(*) AS objects FROM u GROUP BY reason""")
+def impact_completeness(spark, d) -> DataFrame:
+    """Why an impact on a model and a data source is not complete, and over how many objects."""
+    o = objects(spark, d)
+    left = o.where("id <> 'table:3' AND NOT (type = 'COLUMN' AND id LIKE '%9')")
+    k, s = F.col("p_partkey"), F.col("s_suppkey")
+    name = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    supplier = table(spark, d, "supplier")
+    source = left.limit(1).select(*[F.lit("source:1" if c == "id" else "DATA_SOURCE" if c == "type" else None).cast("string").alias(c) for c in left.columns])
+    relations = supplier.select(name("relation:", s).alias("id"), name("column:", s).alias("from_column_id"), name("column:", s + 1).alias("to_column_id"))
+    findings = table(spark, d, "part").where(k % 6 == 0).select(name("measure:", k).alias("object_id"), F.lit("dax_diagnostics").alias("finding")).union(left.where("type IN ('REPORT', 'PAGE')").select("id", F.when(F.col("type") == "REPORT", "unresolved_fields").otherwise("notes")))
+    queries = supplier.where(s % 10 == 0).select(name("query:", s).alias("id"))
+    return analysis.completeness(analysis.unread(left.union(source), ["model:2"], spark.createDataFrame([("source:1",)], "id string"), relations, findings, queries))

@@ -12,7 +12,7 @@ from weftgraph.operators import align, search
 from weftgraph.plans.queries import query
 from weftgraph.sources.metadata import card_lines
 from weftgraph.sources.star import GRAPH_SQL, edges, nodes, table
-from weftgraph.streaming import changes
+from weftgraph.streaming import changes, rescans
 
 _SIDES_SQL = """a AS (SELECT p_partkey AS id, p_type AS kind, p_brand AS tab, p_name || ' ' || p_partkey AS name, p_size AS sig FROM part),
   b AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'OTHER' ELSE p_type END AS kind, CASE WHEN p_partkey % 7 = 0 THEN 'moved' ELSE p_brand END AS tab,
@@ -141,3 +141,20 @@ def streamed_changes(spark, d) -> DataFrame:
     folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     changes.drain(changes.classify(changes.read_table(spark, d, "events"), "user_id", "event_id", ["event_type"]), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
+
+
+@query("""WITH o AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 10 = 3 THEN 'r' || p_partkey ELSE 'm' || p_partkey END AS name,
+    CASE WHEN p_partkey % 10 = 6 THEN '[m1] + [r' || (p_partkey + 7) || ']' ELSE '[M' || (p_partkey // 2) || '] * [r' || (p_partkey + 1) || ']' END AS formula FROM part WHERE p_partkey % 10 <> 9),
+  r AS (SELECT DISTINCT k, lower(unnest(regexp_extract_all(formula, '\\[([^\\[\\]]+)\\]', 1))) AS name FROM o)
+  SELECT 'o' || r.k AS from_id, r.name, min('o' || o.k) AS to_id FROM r JOIN o ON lower(o.name) = r.name GROUP BY 1, 2""")
+def rescanned_edges(spark, d) -> DataFrame:
+    """Formulas that name others, scanned once and then again after renames, deletions and new formulas; edges as the second scan leaves them."""
+    k = F.col("p_partkey")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    first, renamed = text("[M", F.floor(k / 2), "] * [r", k + 1, "]"), text("r", k)
+    parts, state = table(spark, d, "part"), rescans.State(spark, f"{shared_folder(spark)}/rescan-{uuid4().hex}")
+    records = lambda df, name, formula, gone: df.select(text("o", k).alias("id"), name.alias("name"), formula.alias("formula"), gone.alias("deleted"))
+    rescans.rescan(state, records(parts, text("m", k), first, F.lit(False)), 0)
+    changed = parts.where((k % 10).isin(3, 6, 9, 4))
+    rescans.rescan(state, records(changed, F.when(k % 10 == 3, renamed).otherwise(text("m", k)), F.when(k % 10 == 6, text("[m1] + [r", k + 7, "]")).otherwise(first), k % 10 == 9), 1)
+    return state.now("edges")

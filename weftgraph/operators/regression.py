@@ -6,6 +6,7 @@ Rows get their places from a range partitioning and the partitions' sizes: no ta
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -61,7 +62,23 @@ def _cells(a: DataFrame, b: DataFrame, mode: str, fold: bool, limits: dict) -> i
     return both.agg(F.sum(wrong)).first()[0] or 0
 
 
-def regression(before: DataFrame, after: DataFrame, mode: str, order: list[str], missing: bool = False, new: bool = False, expected: DataFrame | None = None, how: str = "EXACT", fold: bool = False, absolute: float = 0.0, relative: float = 0.0, least: float | None = None, most: float | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Side:
+    """A result with its rows in place, their number and their digest, for use in several comparisons."""
+
+    frame: DataFrame
+    rows: DataFrame
+    n: int
+    hash: str
+
+
+def side(frame: DataFrame, order: list[str]) -> Side:
+    rows = placed(frame, order)
+    told = rows.agg(F.count("*").alias("n"), content_hash(rows).alias("h")).first()
+    return Side(frame, rows, told["n"], told["h"])
+
+
+def regression(before: DataFrame | Side, after: DataFrame | Side, mode: str, order: list[str], missing: bool = False, new: bool = False, expected: DataFrame | Side | None = None, how: str = "EXACT", fold: bool = False, absolute: float = 0.0, relative: float = 0.0, least: float | None = None, most: float | None = None) -> DataFrame:
     """One row: mode, status, changed, rows_before, rows_after, cells_failed, codes, before_hash, after_hash.
 
     Columns must agree in name and type, and fewer or more rows fail unless ``missing`` or ``new`` allow them, in every
@@ -69,38 +86,38 @@ def regression(before: DataFrame, after: DataFrame, mode: str, order: list[str],
     EXPECTED_DELTA compare cells by place, and any other number of rows fails them; SET_EQUIVALENCE compares bags of rows;
     EXPECTED_VALUE and EXPECTED_CHANGE hold ``after`` against ``expected`` by mode ``how``. ``fold`` ignores the case of
     texts. Null equals null alone. Numbers differ as decimals of their shortest text, limits too, where 28 digits hold them.
-    A cell that is no number is compared exactly in every mode.
+    A cell that is no number is compared exactly in every mode. A result that is compared more than once may be given as a ``side``,
+    which is placed once.
     """
     if mode not in MODES or how not in BOUNDED:
         raise ValueError(f"no such mode: {mode}, {how}")
     if min(absolute, relative) < 0 or mode == "EXPECTED_DELTA" and (least is None or most is None or least > most):
         raise ValueError("tolerances must not be negative, and least at most most")
+    x, y = (s if isinstance(s, Side) else side(s, order) for s in (before, after))
+    before, after, a, b = x.frame, y.frame, x.rows, y.rows
     spark, limits = before.sparkSession, {"absolute": absolute, "relative": relative, "least": least, "most": most}
     same = [(f.name, f.dataType) for f in before.schema] == [(f.name, f.dataType) for f in after.schema]
-    a, b = placed(before, order), placed(after, order)
-    told = lambda rows: rows.agg(F.count("*").alias("n"), content_hash(rows).alias("h")).first()
-    x, y = told(a), told(b)
-    row = [mode, "", x["h"] != y["h"], x["n"], y["n"], 0, [], x["h"], y["h"]]
+    row = [mode, "", x.hash != y.hash, x.n, y.n, 0, [], x.hash, y.hash]
     if mode == "MONITOR":
         row[1], row[6] = "INCONCLUSIVE", ["MONITOR_REQUIRES_ACCEPTANCE"]
         return spark.createDataFrame([tuple(row)], RESULT)
     codes = set() if same else {"COLUMN_SCHEMA_CHANGED"}
-    codes |= {"MISSING_ROWS"} if x["n"] > y["n"] and not missing else set()
-    codes |= {"ADDITIONAL_ROWS"} if x["n"] < y["n"] and not new else set()
+    codes |= {"MISSING_ROWS"} if x.n > y.n and not missing else set()
+    codes |= {"ADDITIONAL_ROWS"} if x.n < y.n and not new else set()
     if mode == "SET_EQUIVALENCE":
         codes |= {"ROW_SET_CHANGED"} if not same or not bag_difference(before, after).isEmpty() else set()
     elif mode in ("EXPECTED_VALUE", "EXPECTED_CHANGE"):
         if expected is None:
             codes.add("EXPECTED_RESULT_MISSING")
         else:
-            inner = regression(expected, after, how, order, absolute=absolute, relative=relative).first()
+            inner = regression(expected, y, how, order, absolute=absolute, relative=relative).first()
             codes |= set(inner["codes"])
             row[5] = inner["cells_failed"]
     elif mode != "SCHEMA_ONLY":
-        codes |= {"ROW_COUNT_CHANGED"} if x["n"] != y["n"] else set()
+        codes |= {"ROW_COUNT_CHANGED"} if x.n != y.n else set()
         row[5] = _cells(a, b, mode, fold, limits) if same else 0
         codes |= {"CELL_CHANGED"} if row[5] else set()
-        if mode == "PRESERVE_AGGREGATE" and (x["n"], y["n"]) != (1, 1):
+        if mode == "PRESERVE_AGGREGATE" and (x.n, y.n) != (1, 1):
             codes.add("AGGREGATE_QUERY_MUST_RETURN_ONE_ROW")
     row[1], row[6] = "FAILED" if codes else "PASSED", sorted(codes)
     return spark.createDataFrame([tuple(row)], RESULT)

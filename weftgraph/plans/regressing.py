@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.numbers import moved_by, within
-from weftgraph.operators.regression import covered, placed, regression
+from weftgraph.operators.regression import covered, placed, regression, side
 from weftgraph.plans.queries import query
 from weftgraph.sources.star import table
 
@@ -64,7 +64,7 @@ _CASES = [
 
 @query(f"WITH {_SIDES}, t AS ({' UNION ALL '.join(_CASES)}) SELECT label, mode, CASE WHEN mode = 'MONITOR' THEN 'INCONCLUSIVE' WHEN codes = '' THEN 'PASSED' ELSE 'FAILED' END AS status, label <> 'same' AS changed, rows_before, rows_after, cells_failed, codes FROM t")
 def regression_modes(spark, d) -> DataFrame:
-    a, b, c = _sides(spark, d)
+    a, b, c = (side(df, ["k"]) for df in _sides(spark, d))
     one = lambda label, y, mode, **kw: regression(a, y, mode, ["k"], **kw).withColumn("label", F.lit(label))
     rows = [
         one("same", a, "EXACT"), one("changed", b, "EXACT"), one("folded", b, "EXACT", fold=True), one("lost", c, "EXACT"), one("within one", b, "NUMERIC_TOLERANCE", absolute=1.0),

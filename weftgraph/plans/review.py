@@ -166,3 +166,20 @@ def conflicting_assertions(spark, d) -> DataFrame:
     """More than one value for a target and assertion, among the approved and among the others."""
     rows = table(spark, d, "events").groupBy(F.col("user_id").alias("target"), F.col("event_type").alias("kind"), (F.col("event_id") % 2 == 0).alias("approved"))
     return rows.agg(F.countDistinct(F.floor(F.col("value") / 50)).alias("values")).where("values > 1")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, 'Home' || (p_partkey % 25) AS home, 'm' || (p_partkey // 2) AS half, p_partkey % 3 AS way FROM part)
+  SELECT id, 'table' AS kind, 'Sales' AS "table", NULL::VARCHAR AS name FROM p WHERE way < 2 UNION ALL SELECT id, 'table', home, NULL FROM p WHERE way < 2
+  UNION ALL SELECT id, 'column', 'Sales', 'Qty' FROM p WHERE way = 1 UNION ALL SELECT id, 'measure', NULL, half FROM p WHERE way <> 1""")
+def scoped_dependencies(spark, d) -> DataFrame:
+    """What formulas refer to where variables bear the names of tables and measures, some of them only inside a call."""
+    k = F.col("p_partkey")
+    home, half = F.concat(F.lit("Home"), (k % 25).cast("string")), F.concat(F.lit("m"), F.floor(k / 2).cast("string"))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    formula = (
+        F.when(k % 3 == 0, text("VAR Sales = COUNTROWS(Sales) RETURN [", half, "] + Sales + COUNTROWS(", home, ") // ", home, "[x]"))
+        .when(k % 3 == 1, text("SUMX(Sales, VAR ", home, " = Sales[Qty] RETURN ", home, " * 2) + COUNTROWS(", home, ")"))
+        .otherwise(text("VAR ", half, " = 1 VAR y = ", half, " RETURN [", half, "] + ", half, " + y"))
+    )
+    found = table(spark, d, "part").select(k.alias("id"), F.explode(expressions.scoped_references(formula)).alias("r"))
+    return found.select("id", "r.kind", F.col("r.table").alias("table"), "r.name")

@@ -253,8 +253,10 @@ def test_language_stage_rejects_what_fits_no_profile(spark):
     r = random.Random(4)
     english = [(i, "the cat and the dog ran over the hill that they had seen before " * 3, "en") for i in range(8)]
     odd = [(100, " ".join("".join(chr(0x4E00 + r.randrange(5000)) for _ in range(4)) for _ in range(100)), None), (101, "слово", None), (102, "qq", None)]
-    kept = language_id.keep_identified(spark.createDataFrame(english + odd, "doc_id long, text string, lang string"))
-    assert sorted(x["doc_id"] for x in kept.collect()) == [*range(8), 101, 102]
+    docs = spark.createDataFrame(english + odd, "doc_id long, text string, lang string")
+    kept = lambda **kw: sorted(x["doc_id"] for x in language_id.keep_identified(docs, **kw).collect())
+    assert kept() == [*range(8), 100, 101, 102]  # a score rejects only where the caller sets one, and then at every length
+    assert kept(least_score=0.15) == [*range(8)]
 
 
 def test_grams_do_not_cross_words():

@@ -43,11 +43,11 @@ _SQL = """m AS (SELECT p_partkey AS k, p_partkey // 2 AS n FROM part),
 
 @query(f"""WITH RECURSIVE {_SQL}
   SELECT 'operation' AS kind, row_number() OVER (ORDER BY phase, layer, 'row:' || k) AS place, op AS what, 'row:' || k AS object_id, NULL::VARCHAR AS cause, text FROM ops JOIN placed USING (phase, k)
-  UNION ALL SELECT 'blocking', NULL, 'removal_blocked', 'row:' || m.k, 'row:' || d.k, NULL FROM (SELECT k FROM gone WHERE k IN (SELECT k FROM removed WHERE policy = 'block')) d JOIN m ON m.n = d.k AND m.k > 1
+  UNION ALL SELECT 'blocking', 0, 'removal_blocked', 'row:' || m.k, 'row:' || d.k, NULL FROM (SELECT k FROM gone WHERE k IN (SELECT k FROM removed WHERE policy = 'block')) d JOIN m ON m.n = d.k AND m.k > 1
     WHERE m.k IN (SELECT k FROM live) AND m.k NOT IN (SELECT k FROM chosen)
-  UNION ALL SELECT CASE outcome WHEN 'add' THEN 'warning' ELSE 'blocking' END, NULL, CASE outcome WHEN 'add' THEN 'need_added' WHEN 'removed' THEN 'removed' ELSE 'need_' || outcome END, 'row:' || k, 'row:' || n, NULL FROM standing WHERE outcome IN ('add', 'removed', 'missing', 'clash')
-  UNION ALL SELECT 'blocking', NULL, 'renamed', 'row:' || k, 'row:' || n, NULL FROM touched WHERE NOT agreed
-  UNION ALL SELECT 'blocking', NULL, 'no_source_object', 'row:0', NULL, NULL""")
+  UNION ALL SELECT CASE outcome WHEN 'add' THEN 'warning' ELSE 'blocking' END, 0, CASE outcome WHEN 'add' THEN 'need_added' WHEN 'removed' THEN 'removed' ELSE 'need_' || outcome END, 'row:' || k, 'row:' || n, NULL FROM standing WHERE outcome IN ('add', 'removed', 'missing', 'clash')
+  UNION ALL SELECT 'blocking', 0, 'renamed', 'row:' || k, 'row:' || n, NULL FROM touched WHERE NOT agreed
+  UNION ALL SELECT 'blocking', 0, 'no_source_object', 'row:0', NULL, NULL""")
 def compiled_plan(spark, d) -> DataFrame:
     """Choices over the measures of two models, with needs that run on, names that clash, removals and renames."""
     p = table(spark, d, "part")
@@ -66,4 +66,5 @@ def compiled_plan(spark, d) -> DataFrame:
                        F.array().cast("array<string>").alias("properties"), F.when(k % 80 == 21, "cascade").alias("policy"), none.alias("repoint")).where("choice IS NOT NULL")
     said = p.where((k % 13 == 0) | (k % 9 == 0)).select(row(k).alias("row_key"), F.when(k % 13 == 0, DROPPED).otherwise(MAPPED).alias("action"), row(k + 1).alias("target_row"))
     included = p.where(k % 3 != 0).select(row(k).alias("row_key"), row(half).alias("cause"))
-    return compiling.compile_plan(p.select(row(k).alias("row_key"), F.lit("measure").alias("object_type")), cells, links, choices, "a", said, included)
+    plan = compiling.compile_plan(p.select(row(k).alias("row_key"), F.lit("measure").alias("object_type")), cells, links, choices, "a", said, included)
+    return plan.withColumn("place", F.coalesce("place", F.lit(0)))

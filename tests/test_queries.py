@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from weftgraph.plans import analysing, assuring, comparing, compiling, edits, impact, inferring, merging, planning, reading, regressing, relations, review, searching, snapshots, validating, walking  # noqa: F401  register their queries
+from weftgraph.plans import analysing, assuring, comparing, compiling, edits, impact, inferring, merging, planning, projecting, reading, regressing, relations, review, searching, snapshots, validating, walking  # noqa: F401  register their queries
 from weftgraph.plans.queries import REGISTRY
 
 DATA = "/root/testdata/sf0.001"

@@ -219,6 +219,20 @@ def test_word_ids_are_those_of_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_of_letters_and_marks_are_learned_apart(monkeypatch):
+    import numpy as np
+
+    encoder, r = packing.WordIds(packing.default_vocabulary()), random.Random(8)
+    assert len(encoder.encode(["viê&&& viê### Viê. viê"])) == 1 and set(encoder.known) - {b""} == {"viê".encode(), b"&&&", b"###", b"."}
+    monkeypatch.setattr(packing, "REMEMBERED", 30)
+    monkeypatch.setattr(packing, "SLICE_BYTES", 40)
+    ends = ["", ".", "...", "###", "'s", "'", "<|endoftext|>", "÷x", "ß", "9", "_", "»", "\u00a0", "ñ'LL", "ж"]
+    texts = ["".join(r.choice(["the", "ÉÀ", "ÿz", "x"]) + r.choice(ends) + r.choice([" ", "\n", "\t ", "", "\x85"]) for _ in range(r.randrange(12))) for _ in range(400)]
+    assert encoder.encode([]) == []
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_best_fit():
     assert packing.best_fit([6, 5, 4, 3, 2], 10) == [(0, 0), (1, 0), (0, 6), (1, 5), (1, 8)]
 

@@ -31,69 +31,122 @@ from weftgraph.llm.scratch import forget, give_back, remembers, stage
 CAPACITY = 4096
 END_ID = 2
 BUCKET_PIECES = 50_000
-#: Words whose ids a task remembers; beyond that it forgets them all and starts again.
+#: Words whose ids a task remembers; beyond that it keeps those met again, or none if they are too many.
 REMEMBERED = 600_000
-_GAP, _ODD = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\t\x0b\x0c\r]")
-_LETTERS, _OTHER = re.compile("[a-zà-öø-ÿ]+"), re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: Bytes of text that are taken apart at a time; a longer text is a slice of its own.
+SLICE_BYTES = 2 << 20
+_GAP = re.compile(r"[\x20\x09-\x0D]+")
+_LETTERS, _OTHER = re.compile("[a-zß-öø-ÿ]+"), re.compile("[^\x00-\u012f\u0131-\u024f]")
 #: Printable ASCII that holds no special token, and the runs that the vocabulary splits it into.
 _ASCII, _RUNS = re.compile("[!-;=-~]+"), re.compile("(?i)'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_STOP = re.compile("[.,](?<=[a-zà-öø-ÿ][.,])(?=[ \n]|\\Z)")
+_GAPS, _SMALL, _MARKS = (np.isin(np.arange(256), list(some)) for some in (b"\x20\x09\x0a\x0b\x0c\x0d", bytes(range(97, 123)), b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"))
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """How many words come before each text (and in all), every word's place among the distinct ones, and these.
+
+    Words end at white space and where a mark follows a small letter.
+    """
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    gap, letter = _GAPS[data], _SMALL[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x9F) & (data[1:] != 0xB7)  # ß to ÿ without the sign of division
+    begins = ~gap
+    begins[1:] &= gap[:-1] | (_MARKS[data[1:]] & letter[:-1])
+    sizes = np.array([len(t) + 1 for t in texts])
+    before = np.searchsorted(np.flatnonzero(begins), np.concatenate([[0], np.cumsum(sizes)]))
+    letters = data[~gap]
+    edges = np.append(np.flatnonzero(begins[~gap]), len(letters)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(letters)]).dictionary_encode()
+    return before, coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
 class WordIds:
-    """Token ids by white-space separated word, as little-endian bytes.
+    """Token ids by word, as little-endian bytes.
 
-    The vocabulary's own splitting ends every token at white space, so the ids of a text are
-    those of its words one after another. A run of letters is a token sequence of its own that
-    ends in a token marked as the end of a word, so many runs can be encoded as one text and
-    told apart again; a stop or comma after a letter at the end of a word is split off first.
-    Texts of Latin letters alone are lowered beforehand, as the vocabulary would.
+    The vocabulary's own splitting ends every token at white space and at the end of every run
+    of letters, so the ids of a text are those of its words one after another. A run of letters
+    is a token sequence of its own that ends in a token marked as the end of a word, so many
+    runs can be encoded as one text and told apart again. Texts of Latin letters alone are
+    lowered beforehand, as the vocabulary would; others are split at white space only.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {"": b""}
+        self.tokenizer, self.known, self.again = Tokenizer.from_file(vocabulary), {}, set()
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
-    def _one(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, words: list[str]) -> None:
+        self.known.update((w.encode(), ids.tobytes()) for w, ids in zip(words, self._ids(words), strict=True))
 
     def _together(self, words: list[str], runs: list[int]) -> None:
         """Learns ``words`` that hold the given numbers of token runs, encoded in few texts."""
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = self._ids([" ".join(some)])[0]
             ends, last = 4 * (np.flatnonzero(self.ends[ids]) + 1), np.cumsum(runs[at : at + 1000])
             if len(ends) == last[-1]:
                 data, cuts = ids.tobytes(), [0, *ends[last - 1].tolist()]
-                self.known.update((w, data[i:j]) for w, i, j in zip(some, cuts, cuts[1:], strict=False))
+                self.known.update((w.encode(), data[i:j]) for w, i, j in zip(some, cuts, cuts[1:], strict=False))
             else:
-                self.known.update((w, self._one(w)) for w in some)
+                self._apart(some)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        words = []
-        for t in texts:
-            if not _OTHER.search(t):
-                t = _STOP.sub(r" \g<0>", t.lower())
-            words.append(_GAP.split(t) if _ODD.search(t) else t.replace("\n", " ").split(" "))
+    def _learn(self, distinct: list[bytes]) -> None:
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        new = set().union(*words) - self.known.keys()
+            self.known = {w: self.known[w] for w in self.again} if len(self.again) < REMEMBERED // 2 else {}
+            self.again = set()
+        new = [w for w in distinct if w not in self.known]
+        self.again.update(set(distinct).difference(new))
+        new = [w.decode() for w in new]
         letters = [w for w in new if _LETTERS.fullmatch(w)]
         self._together(letters, [1] * len(letters))
-        rest = new.difference(letters)
+        rest = set(new).difference(letters)
         plain = [w for w in rest if _ASCII.fullmatch(w)]
         self._together(plain, [len(_RUNS.findall(w)) for w in plain])
-        for word in rest.difference(plain):
-            self.known[word] = self._one(word)
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        self._apart(list(rest.difference(plain)))
+
+    def _slice(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of some texts of Latin letters."""
+        before, code, distinct = _words(texts)
+        self._learn(distinct)
+        known = [self.known[w] for w in distinct]
+        ids, n = np.frombuffer(b"".join(known), "<u4"), np.array([len(x) // 4 for x in known], np.int64)
+        first, size = (np.cumsum(n) - n)[code], n[code]
+        end = np.cumsum(size)
+        data = ids[np.repeat(first - end + size, size) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        cuts = (4 * np.concatenate([[0], end])[before]).tolist()
+        return (data[i:j] for i, j in zip(cuts, cuts[1:], strict=False))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out, held, size = [b""] * len(texts), [], 0
+
+        def settle() -> None:
+            for i, ids in zip([i for i, _ in held], self._slice([t for _, t in held]), strict=True):
+                out[i] = ids
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if _OTHER.search(text):
+                words = [w.encode() for w in _GAP.split(text) if w]
+                self._learn(list(set(words)))
+                out[i] = b"".join(map(self.known.__getitem__, words))
+                continue
+            data = text.lower().encode()
+            if held and size + len(data) > SLICE_BYTES:
+                settle()
+                size = 0
+            held.append((i, data))
+            size += len(data)
+        settle()
+        return out
 
 
 @lru_cache(1)
@@ -116,9 +169,9 @@ def _cut(vocabulary: str, capacity: int, end_id: int):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             out: list[tuple] = []
-            for at in range(0, len(ids), 256):
-                some = [t or "" for t in texts.slice(at, 256).to_pylist()]
-                for doc, data in zip(ids[at : at + 256], encoder.encode(some), strict=True):
+            for at in range(0, len(ids), 1024):
+                some = [t or "" for t in texts.slice(at, 1024).to_pylist()]
+                for doc, data in zip(ids[at : at + 1024], encoder.encode(some), strict=True):
                     data += end_id.to_bytes(4, "little")
                     total = len(data) // 4
                     for start in range(0, total, capacity):

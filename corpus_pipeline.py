@@ -13,7 +13,7 @@ from weftgraph.llm.scratch import discard, importable, made, stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; null texts and texts without a letter go."""
+    """Documents whose text has a language, which ``lang`` names from then on; null texts and texts without a letter go."""
     return language_id.keep_identified(docs)
 
 
@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of the packed sequences."""
-    return packing.pack(docs, packing.default_vocabulary())
+    """A row per piece of the packed sequences, each of which holds texts of one identified language."""
+    return packing.pack(docs, packing.default_vocabulary(), apart_col="lang")
 
 
 STAGES = [

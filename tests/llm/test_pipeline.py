@@ -61,3 +61,19 @@ def test_language_stage_keeps_texts_with_letters_when_nothing_is_learned(spark,
     kept = language_id.keep_identified(docs.union(ids))
     assert language_id.learn(docs.union(ids)) == [] and kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id < 100").collect()) == [0, 4] and kept.where("doc_id >= 100").count() == ids.count() > 0
+
+
+def test_the_identified_language_decides_what_shares_a_sequence(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    truth = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    unlabelled = docs.withColumn("lang", F.expr("CASE WHEN doc_id % 10 < 2 THEN NULL WHEN doc_id % 10 = 2 THEN 'en' ELSE lang END"))
+    now = unlabelled
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        now = stage(step(spark, now, DATA), "language-test")
+    found = {r["doc_id"]: r["lang"] for r in now.select("doc_id", "lang").collect()}
+    wrong = [i for i, lang in found.items() if lang != truth[i]]
+    assert len(wrong) <= 0.02 * len(found) and len({*truth.values()}) > 1
+    sequences = {}
+    for r in corpus_pipeline.STAGES[-1][1](spark, now, DATA).collect():
+        sequences.setdefault(r["sequence_id"], set()).add(found[r["doc_id"]])
+    assert all(len(langs) == 1 for langs in sequences.values()) and {lang for s in sequences.values() for lang in s} == set(found.values())

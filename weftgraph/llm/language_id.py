@@ -121,6 +121,9 @@ class Ranks:
         return self.of_grams(*np.unique(every, return_counts=True))
 
     def of_grams(self, grams: np.ndarray, counts: np.ndarray) -> tuple[str, float]:
+        """The nearest language; with nothing learned none, at the best score, as none is then a reason to reject."""
+        if not self.langs:
+            return UNKNOWN, 1.0
         own = grams[np.argsort(-counts, kind="stable")[: self.length]]
         at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
         ranks = np.where((self.grams[at] == own)[:, None], self.ranks[at], -1)
@@ -148,28 +151,25 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return [tuple(r) for r in profiles(labelled, length).collect()]
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows whose text has a language, all columns kept.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE, lang_col: str = "lang") -> DataFrame:
+    """The rows whose text has a language, which ``lang_col`` names from then on; all other columns are kept.
 
-    Rejected are null texts, texts without a letter and, at every length, texts whose nearest profile scores under
-    ``least_score``, which is for the caller to set by their own texts. With nothing learned every text with a letter stays.
+    Labels given before are what is learned from; a row's own may be missing or wrong, and the nearest profile replaces it. Rejected are null texts, texts without a letter and, at every length, texts whose nearest profile scores under
+    ``least_score``, which is for the caller to set by their own texts. With nothing learned every text with a letter stays, with its label.
     """
-    model = learn(docs, id_col, text_col)
-    place = docs.columns.index(text_col)
+    model = learn(docs, id_col, text_col, lang_col)
+    place, named = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         ranks = Ranks(model)
 
-        def stays(text: str | None) -> bool:
-            grams = np.unique(grams_of(text), return_counts=True)
-            if not len(grams[0]) or not ranks.langs:
-                return len(grams[0]) > 0
-            lang, score = ranks.of_grams(*grams)
-            return lang != UNKNOWN and score >= least_score
-
         for batch in batches:
-            yield batch.filter(pa.array([stays(t.as_py()) for t in batch.column(place)], pa.bool_()))
+            found = [ranks.of_grams(*grams) if len((grams := np.unique(grams_of(t.as_py()), return_counts=True))[0]) else None for t in batch.column(place)]
+            if ranks.langs:
+                langs = pa.array([f and f[0] for f in found], pa.string()).cast(batch.schema.field(named).type)
+                batch = batch.set_column(named, batch.schema.field(named), langs)
+            yield batch.filter(pa.array([f is not None and f[1] >= least_score for f in found], pa.bool_()))
         give_back()
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots or clashes don't matter

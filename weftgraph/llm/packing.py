@@ -19,6 +19,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ _LETTERS, _OTHER = re.compile("[a-zß-öø-ÿ]+"), re.compile("[^\x00-\u012f\u01
 _ASCII, _RUNS = re.compile("[!-;=-~]+"), re.compile("(?i)'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 _GAPS, _SMALL, _MARKS = (np.isin(np.arange(256), list(some)) for some in (b"\x20\x09\x0a\x0b\x0c\x0d", bytes(range(97, 123)), b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"))
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long, kind string"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -165,20 +167,21 @@ def _cut(vocabulary: str, capacity: int, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         forget("packing")
         encoder, deal = encoder_of(vocabulary), TaskContext.get().partitionId() * 7919
-        names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal")
+        names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal", "kind")
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            ids, texts, kinds = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
             out: list[tuple] = []
             for at in range(0, len(ids), 1024):
                 some = [t or "" for t in texts.slice(at, 1024).to_pylist()]
-                for doc, data in zip(ids[at : at + 1024], encoder.encode(some), strict=True):
+                for doc, data, kind in zip(ids[at : at + 1024], encoder.encode(some), kinds[at : at + 1024], strict=True):
                     data += end_id.to_bytes(4, "little")
                     total = len(data) // 4
                     for start in range(0, total, capacity):
                         piece = data[4 * start : 4 * (start + capacity)]
                         deal += 1
-                        out.append((doc, start, len(piece) // 4, zlib.crc32(piece), total, deal))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 6)], names=list(names))
+                        out.append((doc, start, len(piece) // 4, zlib.crc32(piece), total, deal, kind))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.string())], names=list(names))
             give_back()
 
     return run
@@ -232,21 +235,29 @@ def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:
 
 
 def _pack(capacity: int):
-    order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+    order = [("kind", "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start")).select(columns)
-        placed = best_fit(rows.column("length").to_pylist(), capacity)
-        sequence = pa.array([(key[0].as_py() << 32) + w for w, _ in placed], pa.int64())
-        return rows.append_column("sequence_id", sequence).append_column("offset", pa.array([o for _, o in placed], pa.int64()))
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_start"))
+        sequence, offset, first = [], [], key[0].as_py() << 32
+        for _, some in groupby(zip(rows.column("kind").to_pylist(), rows.column("length").to_pylist(), strict=True), itemgetter(0)):
+            placed = best_fit([length for _, length in some], capacity)
+            sequence += [first + w for w, _ in placed]
+            offset += [o for _, o in placed]
+            first = max(sequence[-len(placed) :]) + 1
+        return rows.select(columns).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
-    """A row per piece: where it lies in its document and in its sequence."""
-    pieces = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_cut(vocabulary, capacity, end_id), PIECES), "pieces")
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, bucket_pieces: int = BUCKET_PIECES, apart_col: str | None = None) -> DataFrame:
+    """A row per piece: where it lies in its document and in its sequence.
+
+    Documents that differ in ``apart_col``, where one is named, share no sequence.
+    """
+    kind = (F.col(apart_col) if apart_col else F.lit(None)).cast("string").alias("kind")
+    pieces = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), kind).mapInArrow(_cut(vocabulary, capacity, end_id), PIECES), "pieces")
     buckets = max(1, -(-pieces.count() // bucket_pieces))
     return pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "deal"), F.lit(buckets))).groupBy("bucket").applyInArrow(_pack(capacity), PACKED)
 

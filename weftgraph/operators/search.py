@@ -226,8 +226,8 @@ def resolve_references(objects: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("wanted", status.alias("status"), F.when(F.col("exact"), F.col("w")).otherwise(F.col("b.id")).alias("id"), F.when(F.col("exact"), 1).otherwise(F.coalesce("b.n", F.lit(0))).cast("long").alias("candidates"))
 
 
-def mentions(docs: DataFrame, names: DataFrame, id_col: str, text_col: str, longest: int = 8) -> DataFrame:
-    """(id, names): names that a text mentions, from its start on the longest first, each name once, none overlapping.
+def mentions(docs: DataFrame, names: DataFrame, id_col: str, text_col: str, longest: int = 8, overlapping: bool = False) -> DataFrame:
+    """(id, names): names that a text mentions, from its start on the longest first, each name once, none overlapping unless ``overlapping``.
 
     ``names`` has a ``name`` column; names of over ``longest`` words, or under three characters, are not
     looked for, and one plain word counts only where it is capitalised. Texts without a mention have no row. A place is
@@ -253,7 +253,12 @@ def mentions(docs: DataFrame, names: DataFrame, id_col: str, text_col: str, long
     able = lambda n: F.col(f"n{n}") & (F.size("next") >= n) & (F.lit(n > 1) | F.col("next")[0].rlike(r"^\p{Lu}"))
     pieces = F.array_compact(F.array(*[F.when(able(n), piece(n)) for n in lengths])) if lengths else F.array().cast("array<struct<len:int,phrase:string>>")
     grams = at.select("id", "pos", F.explode(pieces).alias("g")).select("id", "pos", "g.*")
-    hits = grams.join(known.select("phrase"), "phrase").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("len")).alias("minus"), "phrase"))).alias("hits"))
+    found = grams.join(known.select("phrase"), "phrase")
+    if overlapping:
+        first = found.groupBy("id", "phrase").agg(F.min("pos").alias("pos"), F.first("len").alias("len"))
+        told = first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("len")).alias("minus"), "phrase"))).alias("hits"))
+        return told.select("id", F.transform("hits", lambda h: h["phrase"]).alias("names"))
+    hits = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.col("len")).alias("minus"), "phrase"))).alias("hits"))
     start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("names"))
     take = lambda s, h: F.when((h["pos"] >= s["next"]) & ~F.array_contains(s["names"], h["phrase"]), F.struct((h["pos"] - h["minus"]).alias("next"), F.array_append(s["names"], h["phrase"]).alias("names"))).otherwise(s)
     return hits.select("id", F.aggregate("hits", start, take, lambda s: s["names"]).alias("names"))

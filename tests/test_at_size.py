@@ -1,6 +1,9 @@
 """What larger tables brought to light."""
 
+import pytest
+
 from weftgraph.operators import search
+from weftgraph.sources import projects
 
 
 def test_mentions_may_overlap(spark):
@@ -9,3 +12,18 @@ def test_mentions_may_overlap(spark):
     told = lambda **more: {r["id"]: r["names"] for r in search.mentions(docs, names, "id", "t", **more).collect()}
     assert told(overlapping=True) == {1: ["net and", "and by", "by net"], 2: ["and by"]}
     assert told() == {1: ["net and", "by net", "and by"], 2: ["and by"]}
+
+
+def test_project_files_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    texts = {"main.pbip": "{}", "A.Report/definition/pages/p1/page.json": '{"name":"ü"}', "A.Report/x/y/z.json": "", "A.Report/.hidden/v.json": "{}", "A.Report/_v.json": "{}", "A.Report/plain.txt": "t", "empty.tmdl": ""}
+    projects.write_files(spark.createDataFrame(list(texts.items()), "file string, text string"), f"{tmp_path}/a b")
+    monkeypatch.setattr(type(spark.read), "text", lambda *a, **k: pytest.fail("Spark's reader lists every file in the driver"))
+    read = projects.project_files(spark, f"file://{tmp_path}/a b")
+    shown = {f: t for f, t in texts.items() if f.endswith(("json", "pbip", "tmdl")) and "/." not in f and "/_" not in f}
+    assert {r["file"]: (r["folder"], r["text"]) for r in read.collect()} == {f: ("A.Report" if f.startswith("A") else None, t) for f, t in shown.items()}
+
+
+def test_project_files_of_another_store_are_read_by_spark(spark, tmp_path):
+    projects.write_files(spark.createDataFrame([("A.Report/definition/a+b c.json", "{}")], "file string, text string"), f"{tmp_path}/p")
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.told.link./in", f"file://{tmp_path}")
+    assert [tuple(r) for r in projects.project_files(spark, "viewfs://told/in/p").select("file", "folder", "text").collect()] == [("A.Report/definition/a+b c.json", "A.Report", "{}")]

@@ -1,18 +1,22 @@
 """Project folders: a pointer file, model folders of declarations, report folders of JSON files.
 
-Files are read whole, a row each, wherever Spark reads; which folders belong to a project follows from its pointer file, the folders
+Files are listed, a folder a row, and read whole, a file a row, by tasks with Arrow's file systems, as they are written; the driver holds no list of them. Only
+folders that Arrow cannot open are listed by Spark's reader, whose driver holds every file's name. Which folders belong to a project follows from its pointer file, the folders
 beside it and what its reports refer to. Objects whose parts lie in several files are joined by their place in the folder.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions.lineage import Rounds
 from weftgraph.sources.folders import TOP
 
 #: Endings of folders, folded, and keys and types of a pointer file by what they name. Fixed values.
@@ -24,12 +28,21 @@ POINTER = f"artifacts array<struct<type:string,path:string,report:{_NAMED},{','.
 REFERENCE = f"datasetReference struct<byPath:{_NAMED}>"
 
 
+#: Characters of text that a task hands over at once, about, and rows.
+_BATCH, _BATCH_ROWS = 1 << 22, 4096
+
+
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of ``root`` and the path there."""
+    local = re.fullmatch(r"(?:file:(?://)?)?(/.*)", root)
+    return (fs.LocalFileSystem(), local[1].rstrip("/")) if local else fs.FileSystem.from_uri(root.rstrip("/"))
+
+
 def write_files(rows: DataFrame, root: str) -> None:
     """Writes each row of (file, text) as a file under ``root``, from the tasks; a task run again writes the same."""
 
     def write(some: Iterable[Row]) -> None:
-        local = re.fullmatch(r"(?:file:(?://)?)?(/.*)", root)
-        files, at = (fs.LocalFileSystem(), local[1]) if local else fs.FileSystem.from_uri(root)
+        files, at = _store(root)
         for row in some:
             files.create_dir(f"{at}/{row['file']}".rpartition("/")[0], recursive=True)
             with files.open_output_stream(f"{at}/{row['file']}") as out:
@@ -50,15 +63,68 @@ def clean_path(path: Column) -> Column:
     return F.aggregate(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), start, step, lambda s: F.when(~s["out"], F.array_join(s["parts"], "/")))
 
 
+def _glob(pattern: str) -> str:
+    """A pattern of file names, with ``*``, ``?`` and ``{a,b}``, as a regular expression."""
+    told = {"*": ".*", "?": ".", "{": "(?:", ",": "|", "}": ")"}
+    return "".join(told[c] if c in "*?" or (c in "{,}" and "{" in pattern) else re.escape(c) for c in pattern)
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, folder) of all under ``root``, hidden names aside: a round for each level, in which a row is one folder that a task lists."""
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, at = _store(root)
+        some: list[tuple[str, bool]] = []
+        for path in (p for batch in batches for p in batch["path"]):
+            inside = files.get_file_info(fs.FileSelector(f"{at}/{path}".rstrip("/")))
+            some += [(f"{path}/{f.base_name}".lstrip("/"), f.type == fs.FileType.Directory) for f in inside if f.base_name[0] not in "._"]
+            if len(some) >= _BATCH_ROWS:
+                yield pd.DataFrame(some, columns=["path", "folder"])
+                some = []
+        yield pd.DataFrame(some, columns=["path", "folder"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = Rounds(spark.createDataFrame([("", True)], "path string, folder boolean"))
+    frontier = found.all()
+    while found.added:
+        frontier = found.add(frontier.where("folder").select("path").repartition(tasks, "path").mapInPandas(entries, "path string, folder boolean"))
+    return found.all()
+
+
+def _read(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """(file, text) of the files under ``root`` whose names fit ``pattern``."""
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, at = _store(root)
+        some, size = [], 0
+        for path in (p for batch in batches for p in batch["path"]):
+            with files.open_input_stream(f"{at}/{path}") as read:
+                some.append((path, read.read().decode("utf-8", "replace")))
+            size += len(some[-1][1])
+            if size > _BATCH or len(some) == _BATCH_ROWS:
+                yield pd.DataFrame(some, columns=["file", "text"])
+                some, size = [], 0
+        yield pd.DataFrame(some, columns=["file", "text"])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fits = F.substring_index("path", "/", -1).rlike(f"^{_glob(pattern)}$")
+    return _listed(spark, root).where(~F.col("folder") & fits).select("path").repartition(tasks, "path").mapInPandas(texts, "file string, text string")
+
+
 def project_files(spark: SparkSession, root: str, pattern: str = "*.{pbip,pbir,json,tmdl}") -> DataFrame:
     """(file, folder, text) of all files under ``root``; ``folder`` is the outermost model or report folder that a file lies in."""
-    read = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
-    whole = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z0-9+.-]+:/*", "/")
-    base = re.sub(r"^[A-Za-z0-9+.-]+:/*", "/", root.rstrip("/")) + "/"
-    file = F.substring_index(F.url_decode(F.replace(whole, F.lit("+"), F.lit("%2B"))), base, -1)
+    try:
+        _store(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):  # no such store, or its library is missing here
+        whole = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z0-9+.-]+:/*", "/")
+        base = re.sub(r"^[A-Za-z0-9+.-]+:/*", "/", root.rstrip("/")) + "/"
+        file = F.substring_index(F.url_decode(F.replace(whole, F.lit("+"), F.lit("%2B"))), base, -1)
+        read = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(file.alias("file"), F.col("value").alias("text"))
+    else:
+        read = _read(spark, root, pattern)
     ends = "|".join([*MODEL_ENDS, *REPORT_ENDS])
     folder = F.regexp_extract("file", rf"(?i)^((?:[^/]+/)*?[^/]*\.(?:{ends}))/", 1)
-    return read.select(file.alias("file"), F.col("value").alias("text")).withColumn("folder", F.when(folder != "", folder))
+    return read.withColumn("folder", F.when(folder != "", folder))
 
 
 def artifacts(files: DataFrame) -> DataFrame:

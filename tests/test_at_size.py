@@ -2,7 +2,7 @@
 
 import pytest
 
-from weftgraph.operators import search
+from weftgraph.operators import search, text_index
 from weftgraph.sources import projects
 
 
@@ -27,3 +27,13 @@ def test_project_files_of_another_store_are_read_by_spark(spark, tmp_path):
     projects.write_files(spark.createDataFrame([("A.Report/definition/a+b c.json", "{}")], "file string, text string"), f"{tmp_path}/p")
     spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.told.link./in", f"file://{tmp_path}")
     assert [tuple(r) for r in projects.project_files(spark, "viewfs://told/in/p").select("file", "folder", "text").collect()] == [("A.Report/definition/a+b c.json", "A.Report", "{}")]
+
+
+def test_an_index_shuffles_its_terms_once(spark, tmp_path, monkeypatch):
+    plans, writer = [], type(spark.range(1).write)
+    dealt = writer.partitionBy
+    monkeypatch.setattr(writer, "partitionBy", lambda self, *c: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or dealt(self, *c))
+    index = text_index.build(spark.createDataFrame([(1, "b a b"), (2, "a"), (3, ""), (4, None)], "id long, text string"), f"{tmp_path}/i")
+    assert [plan.count("Exchange ") for plan in plans] == [1]
+    told = text_index.postings(spark, index, ["a", "b"]).selectExpr("at", "inline(entries)").collect()
+    assert {tuple(r) for r in told} == {(0, 1, 1, 3), (0, 2, 1, 1), (1, 1, 2, 3)}

@@ -26,6 +26,8 @@ from weftgraph.operators.search import words_of
 PARTS = 32
 #: Documents of one block, about.
 BLOCK = 1024
+#: Shuffle partitions for each slice of a part; slices are of blocks, so that a frequent term is no single task's.
+SLICE = 8
 #: Blocks whose scores set the first floor of a search for the best.
 FIRST_BLOCKS = 4
 K1, B = 1.2, 0.75
@@ -58,10 +60,20 @@ def _write(docs: DataFrame, index: Index, number: int, id_col: str, text_col: st
     bits = max(0, math.ceil(math.log2(max(1, docs.count()) / BLOCK)))
     named = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), _terms(F.col(text_col), index.stemmed).alias("terms"))
     sized = named.withColumn("size", F.size("terms")).withColumn("block", F.shiftleft(F.ceil(F.log2(F.col("size") + F.lit(1.0))).cast("long"), 40) + (F.shiftrightunsigned(F.xxhash64("id"), 64 - bits) if bits else F.lit(0)))
-    counts = sized.select("id", "size", "block", F.explode("terms").alias("term")).groupBy("id", "size", "block", "term").agg(F.count("*").cast("int").alias("n"))
-    entry = F.struct("id", "n", "size")
-    rows = counts.groupBy("term", "block").agg(F.max("n").alias("most"), F.min("size").alias("shortest"), F.sort_array(F.collect_list(entry)).alias("entries")).withColumn("head", _head(F.col("term")))
-    ordered = rows.repartitionByRange("head", "term", "block").sortWithinPartitions("head", "term", "block")
+    # terms are counted in their row; what a document has for a part goes there as one text and its counts, the only time that terms are shuffled
+    at_change = lambda of, differs: F.filter(F.sequence(F.lit(0), F.size(of) - 1), lambda i: (i == 0) | differs(i))
+    length = lambda starts, of: lambda p, i: F.coalesce(F.get(starts, i + 1), F.size(of)) - p
+    words = sized.where("size > 0").select("id", "size", "block", F.sort_array("terms").alias("terms"))
+    begun = words.withColumn("starts", at_change("terms", lambda i: F.get("terms", i) != F.get("terms", i - 1)))
+    often = length("starts", "terms")
+    once = begun.select("id", "size", "block", F.sort_array(F.transform("starts", lambda p, i: F.struct(_head(F.get("terms", p)).alias("head"), F.get("terms", p).alias("term"), often(p, i).alias("n")))).alias("terms"))
+    parted = once.withColumn("starts", at_change("terms", lambda i: F.get("terms", i)["head"] != F.get("terms", i - 1)["head"]))
+    own = parted.select("id", "size", "block", F.explode(F.transform("starts", lambda p, i: F.slice("terms", p + 1, often(p, i)))).alias("terms"))
+    slices = math.ceil(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) / SLICE)
+    sent = own.select("id", "size", "block", F.col("terms")[0]["head"].alias("head"), F.pmod(F.xxhash64("block"), F.lit(slices)).alias("slice"), F.array_join("terms.term", " ").alias("words"), F.col("terms.n").alias("often")).repartition("head", "slice")
+    each = sent.select("id", "size", "block", "head", "slice", F.explode(F.arrays_zip(F.split("words", " ").alias("term"), F.col("often").alias("n"))).alias("t")).select("id", "size", "block", "head", "slice", "t.*")
+    rows = each.groupBy("head", "slice", "block", "term").agg(F.max("n").alias("most"), F.min("size").alias("shortest"), F.sort_array(F.collect_list(F.struct("id", "n", "size"))).alias("entries"))
+    ordered = rows.select("term", "block", "most", "shortest", "entries", "head").sortWithinPartitions("head", "term", "block")
     ordered.write.partitionBy("head").parquet(f"{index.path}/postings/segment={number}")
     sized.select("id", "size", "block").write.parquet(f"{index.path}/docs/segment={number}")
     return docs.sparkSession.read.parquet(f"{index.path}/docs/segment={number}")

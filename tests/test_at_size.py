@@ -2,7 +2,7 @@
 
 import pytest
 
-from weftgraph.operators import search, text_index
+from weftgraph.operators import impact, search, text_index
 from weftgraph.sources import projects
 
 
@@ -37,3 +37,17 @@ def test_an_index_shuffles_its_terms_once(spark, tmp_path, monkeypatch):
     assert [plan.count("Exchange ") for plan in plans] == [1]
     told = text_index.postings(spark, index, ["a", "b"]).selectExpr("at", "inline(entries)").collect()
     assert {tuple(r) for r in told} == {(0, 1, 1, 3), (0, 2, 1, 1), (1, 1, 2, 3)}
+
+
+def test_upstream_writes_nothing_for_what_no_edge_leads_to(spark, monkeypatch):
+    goals = ["s", "s:0", "s:00", "s:7", "s:32768", "s:999999999", "s:1234567890123", "x\n5"]
+    edges = [("p", g) for g in goals] + [("q", "s:7"), ("q", "p"), ("o", "q"), ("o", "p"), ("t", "q"), ("s:7", "s"), ("s:7", "s:7"), ("u", "s:7"), ("alone", "t2")]
+    ids = lambda *of: spark.createDataFrame([(i,) for i in of], "id string")
+    kept, add = [], impact.Rounds.add
+    monkeypatch.setattr(impact.Rounds, "add", lambda self, df: kept.append(df.select("id").distinct()) or add(self, df))
+    told = impact.upstream(spark.createDataFrame(edges, "from_id string, to_id string"), ids("o", "t", "u", "q", "s:7", "alone"), ids(*goals))
+    from_p = {(g, 2, "p") for g in goals}
+    expected = {("o", *x) for x in from_p} | {("q", *x) for x in from_p if x[0] != "s:7"} | {("q", "s:7", 1, "q"), ("t", "s:7", 2, "q"), ("u", "s:7", 1, "u"), ("s:7", "s", 1, "s:7")}
+    expected |= {("t", g, 3, "p") for g in goals if g != "s:7"}
+    assert {tuple(r) for r in told.collect()} == expected
+    assert {r["id"] for df in kept for r in df.collect()} == {"p", "q", "s:7", "t"} - {"t"}

@@ -85,20 +85,36 @@ def upstream(edges: DataFrame, origins: DataFrame, goals: DataFrame, most: int |
 
     The walk ends at a goal; of equally short ways the one over the smallest last step is told. It runs from the goals
     back, so its state is a row per object and goal that it leads to, not per origin and object on the way, and
-    ``most`` bounds its rounds.
+    ``most`` bounds its rounds. Rounds find and keep only what other objects lead to; a last step, whose result is not
+    written, takes every origin over its own edges. To it goals go as lists of short numbers behind a common text.
     """
     marked = goals.select("id").distinct()
     flagged = marked.select(F.col("id").alias("from_id"), F.lit(True).alias("is_goal"))
-    links = cut(edges.select("from_id", F.col("to_id").alias("id")).distinct().join(flagged, "from_id", "left").select("from_id", "id", F.coalesce("is_goal", F.lit(False)).alias("is_goal")))
+    links = cut(edges.select("from_id", F.col("to_id").alias("id")))
+    heads = cut(links.select(F.col("id").alias("from_id")).dropna().distinct().join(flagged, "from_id", "left").select("from_id", F.coalesce("is_goal", F.lit(False)).alias("is_goal")))
+    inner = cut(links.join(heads, "from_id"))
     found = Rounds(marked.select("id", F.col("id").alias("source"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("via"), F.lit(False).alias("is_goal")))
     frontier = found.all()
-    for at in rounds(most):
-        step = frontier.where("NOT is_goal").select("id", "source", "via").join(links.select("id", "from_id", F.col("is_goal").alias("ends")), "id")
+    for at in rounds(None if most is None else most - 1):
+        step = frontier.where("NOT is_goal").select("id", "source", "via").join(inner.select("id", "from_id", F.col("is_goal").alias("ends")), "id")
         best = step.groupBy(F.col("from_id").alias("id"), "source").agg(F.min(F.coalesce("via", "from_id")).alias("via"), F.first("ends").alias("is_goal"))
         frontier = found.add(best.join(found.all().select("id", "source"), ["id", "source"], "left_anti").select("id", "source", F.lit(at).alias("depth"), "via", "is_goal"))
         if not found.added:
             break
-    return found.all().where("depth > 0").join(origins.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("origin"), "source", "depth", "via")
+    # a goal's id is a text and the number it ends with; lists hold the low 15 bits of those that have the others in common
+    number = F.regexp_extract("source", r"(?s)^.*?(0|[1-9]\d{0,8})$", 1)
+    told = found.all().where("NOT is_goal").withColumn("number", F.when(number != "", number.cast("int")).otherwise(-1))
+    told = told.withColumn("text", F.when(F.col("number") >= 0, F.substring("source", F.lit(1), F.length("source") - F.length(F.col("number").cast("string")))).otherwise(F.col("source")))
+    low, high = F.col("number").bitwiseAND(0x7FFF).cast("smallint"), F.shiftright("number", 15)
+    lists = told.groupBy("id", "depth", "via", "text", high.alias("high")).agg(F.sort_array(F.collect_list(low)).alias("lows"))
+    sent = links.join(lists, "id").select(F.col("from_id").alias("origin"), (F.col("depth") + 1).alias("depth"), F.coalesce("via", "from_id").alias("via"), "text", "high", "lows")
+    if most is not None:
+        sent = sent.where(F.col("depth") <= most)
+    each = sent.repartition("origin").select("origin", "depth", "via", "text", "high", F.explode("lows").alias("low"))
+    best = each.groupBy("origin", "text", "high", "low").agg(F.min(F.struct("depth", "via")).alias("b"))
+    source = F.when(F.col("high") < 0, F.col("text")).otherwise(F.concat("text", F.shiftleft("high", 15).bitwiseOR(F.col("low").cast("int")).cast("string")))
+    asked = origins.select(F.col("id").alias("origin")).dropna().distinct()
+    return best.join(asked, "origin", "left_semi").select("origin", source.alias("source"), "b.depth", "b.via").where("origin <> source")
 
 
 def removal_preview(uses: DataFrame, removed: DataFrame) -> DataFrame:

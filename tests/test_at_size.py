@@ -2,7 +2,7 @@
 
 import pytest
 
-from weftgraph.operators import impact, search, text_index
+from weftgraph.operators import impact, search, text_index, walks
 from weftgraph.sources import projects
 
 
@@ -51,3 +51,18 @@ def test_upstream_writes_nothing_for_what_no_edge_leads_to(spark, monkeypatch):
     expected |= {("t", g, 3, "p") for g in goals if g != "s:7"}
     assert {tuple(r) for r in told.collect()} == expected
     assert {r["id"] for df in kept for r in df.collect()} == {"p", "q", "s:7", "t"} - {"t"}
+
+
+def test_walks_write_no_rows_of_ends(spark, monkeypatch):
+    links = [("", "a", "b"), ("", "b", "c"), ("", "a", "x"), ("", "b", "x"), ("", "c", "a"), ("", "c", "y"), ("", "c", "y"), ("s", "a", "z"), ("", None, "y")]
+    seeds = [("o", "", "a"), ("o", "", "y"), ("p", "", "c"), ("q", "s", "a"), ("r", "", "x")]
+    kept, add = [], walks.Rounds.add
+    monkeypatch.setattr(walks.Rounds, "add", lambda self, df: kept.append(add(self, df)) or kept[-1])
+    found = walks.reach(spark.createDataFrame(links, "side string, at string, id string"), spark.createDataFrame(seeds, "origin string, side string, id string"))
+    told = {(r["origin"], r["id"], r["depth"], ">".join(r["path"]), r["again"]) for r in found.collect()}
+    assert told == {
+        ("o", "a", 0, "a", False), ("o", "y", 0, "y", False), ("o", "b", 1, "a>b", False), ("o", "x", 1, "a>x", False), ("o", "c", 2, "a>b>c", False), ("o", "a", 3, "a>b>c>a", True), ("o", "y", 3, "a>b>c>y", True),
+        ("p", "c", 0, "c", False), ("p", "a", 1, "c>a", False), ("p", "y", 1, "c>y", False), ("p", "b", 2, "c>a>b", False), ("p", "x", 2, "c>a>x", False), ("p", "c", 3, "c>a>b>c", True),
+        ("q", "a", 0, "a", False), ("q", "z", 1, "a>z", False), ("r", "x", 0, "x", False),
+    }
+    assert {r["id"] for df in kept for r in df.collect()} == {"a", "b", "c"}

@@ -22,20 +22,27 @@ def reach(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(origin, side, id, depth, path, again) of all that each of ``seeds`` (origin, side, id) reaches along ``links`` (side, at, id).
 
     A path is a shortest one, of equally short ones that over the smallest predecessors. A seed that is reached again
-    has one more row, ``again``, with the way round to it.
+    has one more row, ``again``, with the way round to it. Rounds find and keep only what the walk goes on from; what no link
+    leads on from is taken from there in a last step, which is not written and tells no paths that nobody asks for.
     """
-    links = cut(links.select("side", "at", "id").dropna().distinct())
-    first = seeds.select("origin", "side", "id").dropna().distinct()
+    on = ["origin", "side", "id"]
+    links = cut(links.select("side", "at", "id").dropna())
+    tails = cut(links.select("side", F.col("at").alias("id"), F.lit(True).alias("goes")).distinct())
+    links = cut(links.join(tails, ["side", "id"], "left").select("side", "at", "id", F.coalesce("goes", F.lit(False)).alias("goes")))
+    inner, last = links.where("goes").drop("goes"), links.where("NOT goes").drop("goes")
+    first = seeds.select(*on).dropna().distinct()
     found = Rounds(first.select("*", F.lit(0).alias("depth"), F.array("id").alias("path"), F.lit(False).alias("again")))
-    frontier, at, starts = found.all(), 0, cut(first.select("origin", "side", "id", F.lit(True).alias("start")))
+    frontier, at, starts = found.all(), 0, cut(first.select(*on, F.lit(True).alias("start")))
     while found.added:
         at += 1
-        step = frontier.where("NOT again").select("origin", "side", F.col("id").alias("at"), "path").join(links, ["side", "at"])
-        best = step.groupBy("origin", "side", "id").agg(F.min(F.struct("at", "path")).alias("b"))
-        new = best.join(found.all().where("depth > 0").select("origin", "side", "id"), ["origin", "side", "id"], "left_anti").join(starts, ["origin", "side", "id"], "left")
-        told = new.select("origin", "side", "id", F.lit(at).alias("depth"), F.concat("b.path", F.array("id")).alias("path"), F.coalesce("start", F.lit(False)).alias("again"))
+        step = frontier.where("NOT again").select("origin", "side", F.col("id").alias("at"), "path").join(inner, ["side", "at"])
+        best = step.groupBy(*on).agg(F.min(F.struct("at", "path")).alias("b"))
+        new = best.join(found.all().where("depth > 0").select(*on), on, "left_anti").join(starts, on, "left")
+        told = new.select(*on, F.lit(at).alias("depth"), F.concat("b.path", F.array("id")).alias("path"), F.coalesce("start", F.lit(False)).alias("again"))
         frontier = found.add(told)
-    return found.all()
+    step = found.all().where("NOT again").select("origin", "side", F.col("id").alias("at"), "depth", "path").join(last, ["side", "at"])
+    best = step.groupBy(*on).agg((F.min("depth") + 1).alias("depth"), F.min(F.struct("depth", "at", "path"))["path"].alias("path")).join(starts, on, "left")
+    return found.all().unionByName(best.select(*on, "depth", F.concat("path", F.array("id")).alias("path"), F.coalesce("start", F.lit(False)).alias("again")))
 
 
 def needs(adds: DataFrame, objects: DataFrame, links: DataFrame, target: DataFrame, alignment: DataFrame, said: DataFrame | None = None) -> DataFrame:
@@ -50,13 +57,12 @@ def needs(adds: DataFrame, objects: DataFrame, links: DataFrame, target: DataFra
     known = own.select("side", "id")
     inner = links.select(F.col("source").alias("side"), F.col("from_id").alias("at"), F.col("to_id").alias("id")).join(known, ["side", "id"], "left_semi").join(known.withColumnRenamed("id", "at"), ["side", "at"], "left_semi")
     seeds = adds.select(F.col("row_key").alias("origin"), F.col("source").alias("side"), F.col("row_key").alias("id")).join(known, ["side", "id"], "left_semi")
-    found = reach(inner, seeds).where("depth > 0")
     ids = target.select("id").distinct()
     aligned = alignment.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select(F.col("source").alias("side"), "id")
-    lacking = found.join(aligned, ["side", "id"], "left_anti").join(ids, "id", "left_anti")
+    lacking = own.join(aligned, ["side", "id"], "left_anti").join(ids, "id", "left_anti")
     taken = target.select(fold(F.col("name")).alias("folded"), F.lit(True).alias("clash")).dropna().distinct()
     added = adds.select(F.col("row_key").alias("id"), F.lit(True).alias("added")).distinct()
-    told = lacking.join(own, ["side", "id"]).withColumn("folded", fold(F.col("name"))).join(taken, "folded", "left").join(added, "id", "left")
+    told = lacking.withColumn("folded", fold(F.col("name"))).join(taken, "folded", "left").join(added, "id", "left")
     severity = F.when(F.col("clash"), "name_clash").when(F.col("added"), "will_be_added").otherwise("missing")
     action = F.lit(None).cast("string")
     if said is not None:
@@ -64,7 +70,9 @@ def needs(adds: DataFrame, objects: DataFrame, links: DataFrame, target: DataFra
         action = F.col("action")
     settled = F.when(action == MAPPED, "mapped").when(action == ADDED, "will_be_added").otherwise(severity)
     blocking = settled.isin("name_clash", "missing") & ~F.coalesce(action == DROPPED, F.lit(False))
-    return _items(told, "needs", F.col("origin"), F.col("side"), settled, F.lit("certain"), blocking)
+    told = cut(told.select("side", "id", settled.alias("settled"), blocking.alias("blocking")))  # an object's verdict is the same for all rows that need it
+    found = reach(inner, seeds).where("depth > 0").join(told, ["side", "id"])
+    return _items(found, "needs", F.col("origin"), F.col("side"), F.col("settled"), F.lit("certain"), F.col("blocking"))
 
 
 def breaks(changes: DataFrame, target: DataFrame, links: DataFrame, policies: DataFrame | None = None, included: DataFrame | None = None) -> DataFrame:
@@ -77,18 +85,17 @@ def breaks(changes: DataFrame, target: DataFrame, links: DataFrame, policies: Da
     """
     ids = target.select("id").distinct()
     own = changes.join(ids.withColumnRenamed("id", "object_id"), "object_id", "left_semi")
-    seeds = own.select(F.col("row_key").alias("origin"), F.lit("").alias("side"), F.col("object_id").alias("id"))
-    back = links.select(F.lit("").alias("side"), F.col("to_id").alias("at"), F.col("from_id").alias("id"), "fact")
-    sure = cut(reach(back.where("fact"), seeds).where("depth > 0 AND NOT again"))
-    every = reach(back, seeds).where("depth > 0 AND NOT again")
-    on = ["origin", "side", "id"]
-    both = sure.withColumn("sure", F.lit(True)).unionByName(every.join(sure, on, "left_anti").withColumn("sure", F.lit(False)))
+    sides = F.when(F.col("fact"), F.array(F.lit("sure"), F.lit("every"))).otherwise(F.array(F.lit("every")))  # both walks in one, as two graphs
+    seeds = own.select(F.col("row_key").alias("origin"), F.explode(F.array(F.lit("sure"), F.lit("every"))).alias("side"), F.col("object_id").alias("id"))
+    back = links.select(F.explode(sides).alias("side"), F.col("to_id").alias("at"), F.col("from_id").alias("id"))
+    walked = reach(back, seeds).where("depth > 0 AND NOT again").withColumn("sure", F.col("side") == "sure")
+    both = walked.groupBy("origin", "id").agg(F.max("sure").alias("sure"), F.min(F.struct(~F.col("sure"), "path"))["path"].alias("path"))
     kind = own.groupBy(F.col("row_key").alias("origin")).agg(F.min("change").alias("change"))
-    told = both.join(kind, "origin")
     policy, rewritten = F.lit("block"), F.lit(False)
     if policies is not None:
-        told = told.join(policies.groupBy(F.col("row_key").alias("origin")).agg(F.min("policy").alias("policy")), "origin", "left")
+        kind = kind.join(policies.groupBy(F.col("row_key").alias("origin")).agg(F.min("policy").alias("policy")), "origin", "left")
         policy = F.coalesce("policy", policy)
+    told = both.join(cut(kind), "origin")
     if included is not None:
         told = told.join(included.select(F.col("row_key").alias("origin"), F.col("object_id").alias("id"), F.lit(True).alias("rewritten")).distinct(), ["origin", "id"], "left")
         rewritten = F.coalesce("rewritten", rewritten)
